@@ -9,11 +9,9 @@ from .draws import col
 
 
 def _after_marker(path: Column, marker: Column) -> Column:
-    at = F.instr(path, marker) if not isinstance(marker, Column) else F.call_function(
-        "locate", marker, path
-    )
-    rest = F.substring(path, at + F.length(marker), F.length(path))
-    return F.when(at > 0, rest).otherwise(path)
+    """What follows the first occurrence of the marker, else the whole path."""
+    quoted = F.concat(F.lit(r"\Q"), marker, F.lit(r"\E"))
+    return F.element_at(F.split(path, quoted, 2), -1)
 
 
 def norm_path(path, case=None, repo_dirs: Sequence[str] = ()) -> Column:
@@ -30,9 +28,7 @@ def norm_path(path, case=None, repo_dirs: Sequence[str] = ()) -> Column:
     if case is not None:
         key = F.coalesce(col(case), F.lit(""))
         for lead in ("/repos_patched/", "/"):
-            p = F.when(key == "", p).otherwise(
-                _after_marker(p, F.concat(F.lit(lead), key, F.lit("/")))
-            )
+            p = _after_marker(p, F.concat(F.lit(lead), key, F.lit("/")))
     p = F.regexp_replace(p, "^[ab]/", "")
     for name in repo_dirs:
         p = F.replace(p, F.lit(f"{name}/{name}/"), F.lit(f"{name}/"))

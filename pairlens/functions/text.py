@@ -260,12 +260,15 @@ def lexical_audit(
     union = "(?i)" + _union([p for ps in lexicon.values() for p in ps])
     out = df.withColumn("_hits", F.array_distinct(F.regexp_extract_all(t, F.lit(union), F.lit(0))))
 
+    def spelled(token):
+        return F.filter("_hits", lambda h: F.lower(h).rlike(f"^(?:{token})$"))
+
     def found(patterns):
         parts = []
         for p in patterns:
             token = lx.single_token(p)
             if token:
-                parts.append(F.filter("_hits", lambda h, k=token: F.lower(h).rlike(f"^(?:{k})$")))
+                parts.append(spelled(token))
             else:
                 parts.append(
                     F.regexp_extract_all(t, F.lit("(?i)" + lx.unicode_pattern(p)), F.lit(0))

@@ -5,8 +5,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.draws import md5_hex
 from ..functions.scores import severity_score
-from .ranks import positions
 
 UNIT = ["case", "model"]
 
@@ -35,7 +35,9 @@ def multiset_diff(
 
     The k-th occurrence of a key, ordered by line and then row hash, is new
     when k exceeds the number of BEFORE rows with that key. Only keys that are
-    partly new need an order; all others are settled by their counts.
+    partly new need an order; all others are settled by their counts. The order
+    is taken from per-line cells, so a hot key is split over its lines and its
+    md5 prefixes instead of being sorted in one task.
     """
     keys = list(keys)
     old = before.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb"))
@@ -44,10 +46,17 @@ def multiset_diff(
     rows = after.join(counts, keys)
     mixed = (F.col("_nb") > 0) & (F.col("_nb") < F.col("_na"))
     settled = rows.where(~mixed).withColumn("_new", F.col("_nb") == 0)
-    ordered = positions(rows.where(mixed), keys, line, tie, out="_k").withColumn(
-        "_new", F.col("_k") > F.col("_nb")
+    cell = [*keys, line, "_hp"]
+    part = rows.where(mixed).withColumn("_h", md5_hex(*tie)).withColumn("_hp", F.substring("_h", 1, 2))
+    prior = W.partitionBy(*keys).orderBy(line, "_hp").rowsBetween(W.unboundedPreceding, -1)
+    cells = part.groupBy(*cell).agg(F.count(F.lit(1)).alias("_c")).select(
+        *cell, F.coalesce(F.sum("_c").over(prior), F.lit(0)).alias("_off")
     )
-    out = settled.unionByName(ordered.drop("_k"))
+    local = W.partitionBy(*cell).orderBy("_h", *tie)
+    ordered = part.join(cells, cell).withColumn(
+        "_new", F.col("_off") + F.row_number().over(local) > F.col("_nb")
+    )
+    out = settled.unionByName(ordered.drop("_h", "_hp", "_off"))
     return out.withColumns({
         "is_new_finding": F.col("_new").cast("int"),
         "existed_before": (~F.col("_new")).cast("int"),

@@ -50,13 +50,24 @@ def compare(spark, con, name: str, sf: str) -> str:
         return "EMPTY"
     got.sort(key=_key)
     want.sort(key=_key)
-    for a, b in zip(got, want):
-        for c, x, y in zip(cols, a, b):
-            if type(x) is not type(y) or (
-                not math.isclose(x, y, rel_tol=1e-12, abs_tol=1e-9) if isinstance(x, float) else x != y
-            ):
-                return f"{c}: {x!r} != {y!r}\n   got  {dict(zip(cols, a))}\n   want {dict(zip(cols, b))}"
-    return ""
+    if all(_same(a, b) for a, b in zip(got, want)):
+        return ""
+    left = set(map(_key, want))
+    mine = next((g for g in got if _key(g) not in left), got[0])
+    right = set(map(_key, got))
+    theirs = [w for w in want if _key(w) not in right] or want
+    near = max(theirs, key=lambda w: sum(x == y for x, y in zip(mine, w)))
+    diff = {c: (x, y) for c, x, y in zip(cols, mine, near) if not _same((x,), (y,))}
+    keep = {c: x for c, x, y in zip(cols, mine, near) if _same((x,), (y,))}
+    return f"\n   differ (got, want): {diff}\n   same: {str(keep)[:400]}\n   rows off: {len(theirs)}"
+
+
+def _same(a, b) -> bool:
+    return all(
+        type(x) is type(y)
+        and (math.isclose(x, y, rel_tol=1e-12, abs_tol=1e-9) if isinstance(x, float) else x == y)
+        for x, y in zip(a, b)
+    )
 
 
 def main(argv: list[str]) -> int:

@@ -6,6 +6,8 @@ holds their DuckDB form for the oracle.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MODELS = ["A", "N", "R"]
@@ -233,6 +235,8 @@ def oracle(needs: list[str], body: str) -> str:
     for n in needs:
         visit(n)
     ctes = ", ".join(f"{n} AS ({SQL[n][1]})" for n in order)
+    if not ctes:
+        body = re.sub(r"^\s*,", "WITH", body)
     return f"WITH {ctes} {body}" if ctes else body
 
 
@@ -247,6 +251,12 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat findings as a normalised table would hold them."""
+    return view(spark, sf, "lineitem", FINDING_CLEAN)
+
+
+def parsed_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows, normalised from the raw report columns."""
     from ..functions.paths import norm_path
     from ..functions.scores import fingerprint
 

@@ -41,7 +41,7 @@ def b2(spark, sf):
 @query("b3_fingerprint", """
 SELECT finding_fingerprint, COUNT(*) AS n FROM raw_findings GROUP BY 1""", ["raw_findings"])
 def b3(spark, sf):
-    return fx.raw_findings(spark, sf).groupBy("finding_fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    return fx.parsed_findings(spark, sf).groupBy("finding_fingerprint").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("b4_severity_score", """
@@ -346,7 +346,7 @@ e AS (SELECT *, CASE WHEN hit > 0 AND lo + hit > 1 THEN substr(t, 1, lo + hit -
 f AS (SELECT *, CASE WHEN title <> '' AND starts_with(u, title) THEN ltrim(substr(u, length(title) + 1), E' \\n\\t')
   ELSE u END AS v FROM e),
 g AS (SELECT doc_id, trim(regexp_replace(v, '\\n{3,}', E'\\n\\n', 'g'), E' \\n\\t') AS w FROM f)
-SELECT doc_id, md5(CASE WHEN length(w) <= 2000 THEN w ELSE rtrim(substr(w, 1, 2000 - 46), E' \\n\\t') ||
+SELECT doc_id, md5(CASE WHEN length(w) <= 2000 THEN w ELSE rtrim(substr(w, 1, 2000 - 45), E' \\n\\t') ||
   E'\\n\\n[issue truncated for shared context budget]' END) AS digest FROM g""")
 def b18(spark, sf):
     d = fx.table(spark, sf, "documents").selectExpr(
