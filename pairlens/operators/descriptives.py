@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ranks import quantiles, quantiles_of, ranked
+from .staging import stage
 
 Q5 = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}
 
@@ -29,12 +30,12 @@ def quality_audit(df: DataFrame, group: str, case: str, flags: Sequence[str]) ->
 
 def group_descriptives(df: DataFrame, group: str, metrics: Sequence[str]) -> DataFrame:
     """Mean, median and sum of each metric per group (long form)."""
-    rows = long(df, [group], metrics)
-    base = rows.groupBy(group, "metric").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.sum("value").alias("sum")
-    )
-    mid = quantiles(rows, [group, "metric"], "value", {"median": 0.5}).drop("count")
-    return base.join(mid, [group, "metric"], "left")
+    by = [group, "metric"]
+    table = ranked(long(df, [group], metrics), by, "value")
+    base = table.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum(F.col("value") * F.col("n")).alias("sum")
+    ).withColumn("mean", F.col("sum") / F.col("n"))
+    return base.join(quantiles_of(table, by, "value", {"median": 0.5}).drop("count"), by)
 
 
 def paired_long(df: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -55,7 +56,7 @@ def before_after(df: DataFrame, group: str, pairs: Sequence[tuple[str, str]]) ->
     from .stats import wilcoxon
 
     by = [group, "before_metric", "after_metric"]
-    rows = paired_long(df, [group], pairs)
+    rows = stage(paired_long(df, [group], pairs))
     base = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_cases"),
         F.avg("before").alias("before_mean"), F.avg("after").alias("after_mean"),

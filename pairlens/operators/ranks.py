@@ -1,10 +1,11 @@
 """Distributed ranks, quantiles and positions.
 
 A window without partition keys, or over one hot key, sends everything to one
-task. Here the ordering column is cut into range buckets whose bounds are
-literals in the plan, so every recomputation after a lost executor cuts the
-same way. Ranks are local to (key, bucket) and shifted by the bucket's prefix
-count. Rows are first combined per distinct value, which removes hot values.
+task. Here rows are first combined per distinct value, which removes hot values
+and reads the input once. The distinct values are then cut into range buckets
+whose bounds are literals in the plan, so every recomputation after a lost
+executor cuts the same way. Ranks are local to (key, bucket) and shifted by the
+bucket's prefix count.
 """
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.draws import md5_hex
+from .staging import stage
 
 MAX_BUCKETS = 4096
 _COARSE = 64
@@ -70,13 +72,14 @@ def ranked(
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull())
-    if bounds is None:
-        bounds = value_bounds(rows, value, buckets)
     unit = F.col(weight) if weight else F.lit(1)
     g = rows.groupBy(*by, value).agg(
         F.sum(unit).cast("long").alias("n"), *[F.sum(s).alias(s) for s in sums]
     )
-    g = g.withColumn("_b", bucket_of(F.col(value), bounds))
+    if bounds is None and buckets != 1:
+        g = stage(g)
+        bounds = value_bounds(g, value, buckets)
+    g = g.withColumn("_b", bucket_of(F.col(value), bounds or []))
     counted = ["n", *sums]
     inside = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     local = g.select(

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.draws import md5_draw
 from .ranks import bucket_of, draw_positions, positions, value_bounds
+from .staging import stage
 
 # Order of context states, best first.
 CONTEXT_QUALITY = {
@@ -104,7 +105,7 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) ->
     islands of earlier buckets added, so one hot key is not sorted in one task.
     """
     keys = list(keys)
-    rows = df.select(*keys, start, end)
+    rows = stage(df.select(*keys, start, end))
     rows = rows.withColumn("_b", bucket_of(F.col(start), value_bounds(rows, start)))
     prior = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     reach = rows.groupBy(*keys, "_b").agg(F.max(end).alias("_m")).select(

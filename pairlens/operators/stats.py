@@ -10,6 +10,7 @@ from ..functions import tails
 from ..functions.tails import Z95
 from .compare import wide
 from .ranks import avg_rank, ranked
+from .staging import stage
 
 
 # --- contingency tables -----------------------------------------------------------
@@ -78,17 +79,23 @@ def fisher_exact(df: DataFrame, out: str = "fisher_p_value") -> DataFrame:
 
 
 def bh_adjust(df: DataFrame, p: str, out: str = "fdr_bh", family: Sequence[str] = (),
-              buckets: int | None = 1) -> DataFrame:
+              large: bool = False) -> DataFrame:
     """Benjamini-Hochberg adjustment per family; null p-values stay out.
 
-    A family is a list of tests and fits one window by default; give
-    ``buckets=None`` for families of millions, which then rank over range
-    buckets with the suffix minimum carried across them.
+    A family is a list of tests and is adjusted with windows. ``large`` is for
+    families of millions: ranks over range buckets, with the suffix minimum
+    carried across the buckets.
     """
     family = list(family)
-    table = ranked(df, family, p, buckets=buckets)
-    raw = table.withColumn("_q", F.col(p) * F.col("total") / (F.col("below") + F.col("n")))
     head = family or [F.lit(0)]
+    if not large:
+        up = W.partitionBy(*head).orderBy(p).rangeBetween(W.unboundedPreceding, W.currentRow)
+        down = W.partitionBy(*head).orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, W.currentRow)
+        raw = F.col(p) * F.count(p).over(W.partitionBy(*head)) / F.count(p).over(up)
+        q = F.least(F.lit(1.0), F.min("_q").over(down))
+        return df.withColumn("_q", raw).withColumn(out, F.when(F.col(p).isNotNull(), q)).drop("_q")
+    table = ranked(df, family, p)
+    raw = table.withColumn("_q", F.col(p) * F.col("total") / (F.col("below") + F.col("n")))
     after = W.partitionBy(*head).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
     tail = raw.groupBy(*family, "_b").agg(F.min("_q").alias("_m")).select(
         *family, "_b", F.min("_m").over(after).alias("_later")
@@ -309,37 +316,58 @@ def friedman(df: DataFrame, unit: Sequence[str], group: str, value: str, members
     return out.withColumn("p_value", tails.chi2_sf_col(F.col("friedman_chi2"), F.col("df").cast("double")))
 
 
-def wilcoxon(df: DataFrame, by: Sequence[str], delta: str, side: str = "two-sided", buckets: int | None = None) -> DataFrame:
-    """Signed-rank sums, statistic, p-value and rank-biserial effect per group.
+def signed_rank_sums(df: DataFrame, by: Sequence[str], delta: str, buckets: int | None = None) -> DataFrame:
+    """Per group: n non-zero, n_zero, W+, W- and the tie term of the signed ranks.
 
-    Zeros are dropped. Without ties or zeros and up to 50 differences the null
-    is exact, otherwise the tie-corrected normal is used.
+    Zeros are ranked along with the rest and taken off afterwards: they are the
+    lowest values, so every other rank is n_zero too high.
     """
     by = list(by)
     rows = df.where(F.col(delta).isNotNull()).select(
-        *by, F.abs(F.col(delta)).alias("_a"), (F.col(delta) > 0).cast("long").alias("_pos"),
-        (F.col(delta) == 0).cast("long").alias("_zero"),
+        *by, F.abs(F.col(delta).cast("double")).alias("_a"), (F.col(delta) > 0).cast("long").alias("_pos")
     )
-    zeros = rows.groupBy(*by).agg(F.sum("_zero").alias("n_zero"))
-    table = ranked(rows.where("_zero = 0"), by, "_a", sums=["_pos"], buckets=buckets)
-    n = F.col("n").cast("double")
-    g = table.groupBy(*by).agg(
-        F.sum("n").alias("n"), F.sum(F.col("avg_rank") * F.col("_pos")).alias("w_plus"),
-        F.sum(F.col("avg_rank") * (F.col("n") - F.col("_pos"))).alias("w_minus"),
-        F.sum(n * n * n - n).alias("_tie"),
+    t = ranked(rows, by, "_a", sums=["_pos"], buckets=buckets)
+    real, n = F.col("_a") > 0, F.col("n").cast("double")
+
+    def total(c):
+        return F.sum(F.when(real, c).otherwise(0.0))
+
+    g = t.groupBy(*by).agg(
+        F.sum(F.when(real, F.col("n")).otherwise(0)).alias("n"),
+        F.sum(F.when(real, 0).otherwise(F.col("n"))).alias("n_zero"),
+        total(F.col("_pos").cast("double")).alias("_np"),
+        total(F.col("avg_rank") * F.col("_pos")).alias("_wp"),
+        total(F.col("avg_rank") * (F.col("n") - F.col("_pos"))).alias("_wm"),
+        total(n * n * n - n).alias("tie_term"),
     )
-    if by:
-        out = zeros.join(g, by, "left")
-    else:
-        out = g.select("*", zeros.scalar().alias("n_zero"))
-    out = out.na.fill(0, ["n"]).na.fill(0.0, ["w_plus", "w_minus", "_tie"])
-    w, total = F.least("w_plus", "w_minus"), F.col("w_plus") + F.col("w_minus")
-    p = tails.signed_rank_col(F.col("w_plus"), F.col("n"), F.col("n_zero"), F.col("_tie"), side)
-    return out.select(
-        *by, "n", "n_zero", "w_plus", "w_minus",
-        (w if side == "two-sided" else F.col("w_plus")).alias("statistic"),
-        F.when(F.col("n") > 0, p).otherwise(1.0).alias("p_value"),
-        F.when(total > 0, (F.col("w_plus") - F.col("w_minus")) / total).otherwise(0.0).alias("rank_biserial"),
+    return g.select(
+        *by, "n", "n_zero", (F.col("_wp") - F.col("n_zero") * F.col("_np")).alias("w_plus"),
+        (F.col("_wm") - F.col("n_zero") * (F.col("n") - F.col("_np"))).alias("w_minus"), "tie_term",
+    )
+
+
+def signed_rank_p(side: str = "two-sided") -> Column:
+    """p-value column over the columns of ``signed_rank_sums``."""
+    p = tails.signed_rank_col(F.col("w_plus"), F.col("n"), F.col("n_zero"), F.col("tie_term"), side)
+    return F.when(F.col("n") > 0, p).otherwise(1.0)
+
+
+def signed_rank_effect() -> Column:
+    total = F.col("w_plus") + F.col("w_minus")
+    return F.when(total > 0, (F.col("w_plus") - F.col("w_minus")) / total).otherwise(0.0)
+
+
+def wilcoxon(df: DataFrame, by: Sequence[str], delta: str, side: str = "two-sided", buckets: int | None = None) -> DataFrame:
+    """Signed-rank sums, statistic, p-value and rank-biserial effect per group.
+
+    Zeros are dropped. Without ties or zeros and up to 50 differences the null
+    is exact, otherwise the tie-corrected normal is used.
+    """
+    g = signed_rank_sums(df, by, delta, buckets)
+    w = F.least("w_plus", "w_minus") if side == "two-sided" else F.col("w_plus")
+    return g.select(
+        *by, "n", "n_zero", "w_plus", "w_minus", w.alias("statistic"),
+        signed_rank_p(side).alias("p_value"), signed_rank_effect().alias("rank_biserial"),
     )
 
 
@@ -366,20 +394,21 @@ def paired_delta(runs: DataFrame, run: Sequence[str], arm: str, a: str, b: str,
     from .ranks import quantiles
     from .replicates import bootstrap_mean_ci
 
-    d = run_deltas(runs, run, arm, a, b, metrics)
+    d = stage(run_deltas(runs, run, arm, a, b, metrics))
     base = d.groupBy("metric").agg(
         F.count(F.lit(1)).alias("n_runs"), F.avg("value_a").alias("mean_a"), F.avg("value_b").alias("mean_b"),
         F.avg("delta").alias("mean_delta"), F.stddev_samp("delta").alias("std_delta"),
         F.count_if(F.col("delta") > 0).alias("a_wins"), F.count_if(F.col("delta") < 0).alias("b_wins"),
         F.count_if(F.col("delta") == 0).alias("ties"),
     )
-    mid = quantiles(d, ["metric"], "delta", {"median_delta": 0.5}, buckets=1).drop("count")
+    mid = quantiles(d, ["metric"], "delta", {"median_delta": 0.5}).drop("count")
     ci = bootstrap_mean_ci(d, ["metric"], "delta", [*run, "metric"], replicates, seed).drop("replicates")
-    two = wilcoxon(d, ["metric"], "delta", buckets=1).select(
-        "metric", F.col("statistic").alias("wilcoxon_stat"), F.col("p_value").alias("p_two_sided"), "rank_biserial")
-    up = wilcoxon(d, ["metric"], "delta", "greater", buckets=1).select("metric", F.col("p_value").alias("p_a_greater"))
-    down = wilcoxon(d, ["metric"], "delta", "less", buckets=1).select("metric", F.col("p_value").alias("p_b_greater"))
-    out = base.join(mid, "metric").join(ci, "metric").join(two, "metric").join(up, "metric").join(down, "metric")
+    test = signed_rank_sums(d, ["metric"], "delta").select(
+        "metric", F.least("w_plus", "w_minus").alias("wilcoxon_stat"), signed_rank_effect().alias("rank_biserial"),
+        signed_rank_p().alias("p_two_sided"), signed_rank_p("greater").alias("p_a_greater"),
+        signed_rank_p("less").alias("p_b_greater"),
+    )
+    out = base.join(mid, "metric").join(ci, "metric").join(test, "metric")
     out = out.withColumn(
         "winner_by_mean", F.when(F.col("mean_delta") > 0, a).when(F.col("mean_delta") < 0, b).otherwise("tie"))
     for p, q in (("p_two_sided", "q_two_sided"), ("p_a_greater", "q_a_greater"), ("p_b_greater", "q_b_greater")):

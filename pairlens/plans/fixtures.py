@@ -284,10 +284,15 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def diffed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """BEFORE findings and the AFTER findings with novelty flags."""
+    """BEFORE findings and the AFTER findings with novelty flags.
+
+    The flat findings are a table of their own (Parquet between stages), since
+    several branches read them.
+    """
     from ..operators.findings import multiset_diff
+    from ..operators.staging import stage
 
-    f = findings(spark, sf)
+    f = stage(findings(spark, sf))
     before = f.where("phase = 'before'")
     return before, multiset_diff(before, f.where("phase = 'after'"))
 
@@ -301,8 +306,9 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def cohort(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.findings import common_cohort
+    from ..operators.staging import stage
 
-    return common_cohort(summary(spark, sf), "case", "model", MODELS)
+    return common_cohort(stage(summary(spark, sf)), "case", "model", MODELS)
 
 
 def problem(spark: SparkSession, sf: str) -> DataFrame:
