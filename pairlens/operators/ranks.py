@@ -17,14 +17,19 @@ from ..functions.draws import md5_hex
 from .staging import stage
 
 MAX_BUCKETS = 4096
+ROWS_PER_BUCKET = 50_000
 _COARSE = 64
 
 
+def bucket_count(rows: int) -> int:
+    """Buckets that keep about ROWS_PER_BUCKET distinct rows each."""
+    return max(1, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
+
+
 def value_bounds(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Approximate equi-depth cut points of ``value`` (one scan, few numbers back)."""
+    """Approximate equi-depth cut points of ``value`` (few numbers come back)."""
     if buckets is None:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(1, min(MAX_BUCKETS, 4 * parts))
+        buckets = bucket_count(df.count())
     if buckets <= 1:
         return []
     probs = [i / buckets for i in range(1, buckets)]
@@ -82,19 +87,25 @@ def ranked(
     g = g.withColumn("_b", bucket_of(F.col(value), bounds or []))
     counted = ["n", *sums]
     inside = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    local = g.select(
-        "*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in counted]
-    )
-    head = by or [F.lit(0)]
-    prior = W.partitionBy(*head).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*head)
-    offsets = g.groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in counted]).select(
-        *by,
-        "_b",
-        *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(f"_off_{c}") for c in counted],
-        *[F.sum(c).over(whole).alias(f"_all_{c}") for c in counted],
-    )
-    out = local.join(offsets, [*by, "_b"])
+    local = [F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in counted]
+    if not bounds:
+        # Few distinct rows in all: one window per group holds both numbers.
+        group = W.partitionBy(*by, "_b")
+        out = g.select(
+            "*", *local, *[F.lit(0).alias(f"_off_{c}") for c in counted],
+            *[F.sum(c).over(group).alias(f"_all_{c}") for c in counted],
+        )
+    else:
+        head = by or [F.lit(0)]
+        prior = W.partitionBy(*head).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        whole = W.partitionBy(*head)
+        offsets = g.groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in counted]).select(
+            *by,
+            "_b",
+            *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(f"_off_{c}") for c in counted],
+            *[F.sum(c).over(whole).alias(f"_all_{c}") for c in counted],
+        )
+        out = g.select("*", *local).join(offsets, [*by, "_b"])
     return out.select(
         *by,
         value,
@@ -154,7 +165,7 @@ def positions(
     """
     by = list(by)
     rows = df.withColumn("_h", md5_hex(*tie)).withColumn("_hp", F.substring("_h", 1, 2))
-    cells = rows.groupBy(*by, value, "_hp").agg(F.count(F.lit(1)).alias("_c"))
+    cells = stage(rows.groupBy(*by, value, "_hp").agg(F.count(F.lit(1)).alias("_c")))
     table = ranked(cells, by, value, weight="_c", **kw)
     first = F.col("total") - F.col("below") - F.col("n") if descending else F.col("below")
     table = table.select(*by, value, first.alias("_first"))

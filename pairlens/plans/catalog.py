@@ -1,7 +1,7 @@
 """All registered queries."""
 from __future__ import annotations
 
-from . import q_joins, q_sources, q_stats, q_tables, q_text  # noqa: F401
+from . import q_joins, q_models, q_sources, q_stats, q_tables, q_text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 TABLES = (
