@@ -86,19 +86,19 @@ def pairwise_category_diff(ct: DataFrame, category: str, members: Sequence[str],
     })
     # The crosstab has one row per category, so this window ranks a short list.
     order = W.partitionBy("group_a", "group_b").orderBy(F.desc("difference"), category)
-    d = d.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    d = d.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).withColumn("_t", totals)
 
     def total(side):
         out = F.lit(None).cast("long")
         for m in members:
-            out = F.when(F.col(side) == m, totals[m]).otherwise(out)
+            out = F.when(F.col(side) == m, F.col("_t")[m]).otherwise(out)
         return out
 
     a, b = total("group_a"), total("group_b")
     return d.withColumns({
         "total_difference": a - b,
         "pct_total_difference": F.abs(a - b) / F.greatest(a, b, F.lit(1)) * 100.0,
-    })
+    }).drop("_t")
 
 
 def top_categories(ct: DataFrame, category: str, by: str = "total", n: int = 25) -> DataFrame:
@@ -261,16 +261,15 @@ def hellinger(df: DataFrame, group: str, a: str, b: str, category: str, by: Sequ
     """Hellinger distance of the category distributions of two groups."""
     by = list(by)
     n = df.where(F.col(group).isin(a, b)).groupBy(*by, category).agg(
-        F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb")
+        F.count_if(F.col(group) == a).alias("_na"), F.count_if(F.col(group) == b).alias("_nb")
     )
-    t = n.groupBy(*by).agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    # sum (sqrt p - sqrt q)^2 = [A present] + [B present] - 2 sum sqrt(p q): margins suffice.
-    s = n.groupBy(*by).agg(F.sum(F.sqrt(F.col("na").cast("double")) * F.sqrt(F.col("nb").cast("double"))).alias("s"))
-    j = t.join(s, by) if by else t.select("*", s.select("s").scalar().alias("s"))
+    # sum (sqrt p - sqrt q)^2 = [A present] + [B present] - 2 sum sqrt(p q): one pass over the counts.
+    root = F.sqrt(F.col("_na").cast("double")) * F.sqrt(F.col("_nb").cast("double"))
+    g = n.groupBy(*by).agg(F.sum("_na").alias("ta"), F.sum("_nb").alias("tb"), F.sum(root).alias("_s"))
     ta, tb = F.col("ta").cast("double"), F.col("tb").cast("double")
-    cross = F.when((ta > 0) & (tb > 0), F.col("s") / F.sqrt(ta * tb)).otherwise(0.0)
+    cross = F.when((ta > 0) & (tb > 0), F.col("_s") / F.sqrt(ta * tb)).otherwise(0.0)
     square = (ta > 0).cast("double") + (tb > 0).cast("double") - 2.0 * cross
-    return j.select(*by, "ta", "tb", (F.sqrt(F.greatest(F.lit(0.0), square)) / F.sqrt(F.lit(2.0))).alias("hellinger"))
+    return g.select(*by, "ta", "tb", (F.sqrt(F.greatest(F.lit(0.0), square)) / F.sqrt(F.lit(2.0))).alias("hellinger"))
 
 
 def chi_square(df: DataFrame, row: str, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -280,14 +279,14 @@ def chi_square(df: DataFrame, row: str, column: str, by: Sequence[str] = ()) ->
     occupied cells and the margins are needed.
     """
     by = list(by)
-    cells = df.groupBy(*by, row, column).agg(F.count(F.lit(1)).alias("o"))
-    rows = cells.groupBy(*by, row).agg(F.sum("o").alias("r"))
-    cols = cells.groupBy(*by, column).agg(F.sum("o").alias("c"))
-    o = F.col("o").cast("double")
+    cells = df.groupBy(*by, row, column).agg(F.count(F.lit(1)).alias("_o"))
+    rows = cells.groupBy(*by, row).agg(F.sum("_o").alias("_r"))
+    cols = cells.groupBy(*by, column).agg(F.sum("_o").alias("_c"))
+    o = F.col("_o").cast("double")
     part = cells.join(rows, [*by, row]).join(cols, [*by, column])
     g = part.groupBy(*by).agg(
-        F.sum("o").alias("n"),
-        F.sum(o * o / (F.col("r").cast("double") * F.col("c"))).alias("_s"),
+        F.sum("_o").alias("n"),
+        F.sum(o * o / (F.col("_r").cast("double") * F.col("_c"))).alias("_s"),
         F.count_distinct(row).alias("n_rows"), F.count_distinct(column).alias("n_cols"),
     )
     chi = F.greatest(F.lit(0.0), F.col("n") * (F.col("_s") - 1.0))

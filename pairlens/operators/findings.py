@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.draws import md5_hex
 from ..functions.scores import severity_score
+from .staging import stage
 
 UNIT = ["case", "model"]
 
@@ -77,6 +78,7 @@ def matched_counts(before: DataFrame, after: DataFrame,
 
 def file_risk_flags(diffed: DataFrame) -> DataFrame:
     """Whether the file of each finding has any HIGH finding, after and new."""
+    diffed = stage(diffed)
     keys = [*UNIT, "relative_filename"]
     high = F.upper("severity") == "HIGH"
     per_file = diffed.groupBy(*keys).agg(

@@ -242,14 +242,14 @@ def hunk_audit(diffs: DataFrame, keys: Sequence[str], patch: str) -> DataFrame:
         (F.size(_side(body, " -")) != F.col("old_count")) | (F.size(_side(body, " +")) != F.col("new_count"))
     )
     per_file = h.groupBy(*keys, "file_id").agg(
-        F.count_if(empty).alias("e"), F.count_if(noop).alias("n"),
-        F.count_if(kept).alias("k"), F.count_if(wrong).alias("w"),
+        F.count_if(empty).alias("_e"), F.count_if(noop).alias("_n"),
+        F.count_if(kept).alias("_k"), F.count_if(wrong).alias("_w"),
     )
     found = per_file.groupBy(*keys).agg(
-        F.count_if(F.col("k") > 0).alias("files_kept"),
-        F.count_if(F.col("k") == 0).alias("files_without_useful_hunk"),
-        F.sum("k").alias("hunks_kept"), F.sum("n").alias("hunks_dropped_noop"),
-        F.sum("e").alias("hunks_dropped_empty"), F.sum("w").alias("hunks_recounted"),
+        F.count_if(F.col("_k") > 0).alias("files_kept"),
+        F.count_if(F.col("_k") == 0).alias("files_without_useful_hunk"),
+        F.sum("_k").alias("hunks_kept"), F.sum("_n").alias("hunks_dropped_noop"),
+        F.sum("_e").alias("hunks_dropped_empty"), F.sum("_w").alias("hunks_recounted"),
     )
     names = [c for c in found.columns if c not in keys]
     return diffs.select(*keys).join(found, keys, "left").select(

@@ -67,6 +67,7 @@ def blind(df: DataFrame, key: str, shown: Sequence[str], raters: Sequence[str] =
 def review_sample(findings: DataFrame, size: int, seed, key: Sequence[str],
                   equivalence: str = "equivalence_key", status: str = "context_status") -> DataFrame:
     """All new findings, filled up to ``size`` with stratified distinct controls."""
+    findings = stage(findings)
     new = findings.where(F.col("is_new_finding") == 1)
     controls = dedupe(
         findings.where(F.col("is_new_finding") != 1), [equivalence],

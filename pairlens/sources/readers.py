@@ -63,6 +63,17 @@ def read_findings(spark: SparkSession, path: str, phase: str) -> DataFrame:
     return flatten_report(keyed.withColumn("phase", F.lit(phase)))
 
 
+def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, text) of every matching file, byte for byte; invalid UTF-8 is dropped."""
+    raw = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob).load(path)
+    )
+    text = F.col("content").cast("string")
+    clean = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
+    return raw.select("path", F.when(F.is_valid_utf8(text), text).otherwise(clean).alias("text"))
+
+
 def parse_run_metadata(df: DataFrame, text: str, schema: str = META_SCHEMA) -> DataFrame:
     """Metadata JSON text to columns; unreadable text counts as missing."""
     fields = StructType.fromDDL(schema).names
@@ -82,12 +93,9 @@ def parse_run_metadata(df: DataFrame, text: str, schema: str = META_SCHEMA) -> D
 
 def read_run_metadata(spark: SparkSession, path: str) -> DataFrame:
     """One JSON file per case; a corrupt file yields a row with metadata_ok = 0."""
-    raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json").text(path)
-    )
-    keyed = raw.withColumns(path_keys(F.col("_metadata.file_path"), ".json"))
-    return parse_run_metadata(keyed, "value").drop("value")
+    raw = _whole_files(spark, path, "*.json")
+    keyed = raw.withColumns(path_keys(F.col("path"), ".json")).drop("path")
+    return parse_run_metadata(keyed, "text").drop("text")
 
 
 def pick_artifact(files: DataFrame, cases: DataFrame, suffix: str) -> DataFrame:
@@ -130,12 +138,8 @@ def pick_artifact(files: DataFrame, cases: DataFrame, suffix: str) -> DataFrame:
 
 def read_text_artifacts(spark: SparkSession, path: str, cases: DataFrame, suffix: str) -> DataFrame:
     """Whole-file texts below ``path`` assigned to cases."""
-    raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{suffix}").text(path)
-    )
-    files = raw.select(
-        F.substring_index("_metadata.file_path", "/", -1).alias("name"), F.col("value").alias("text")
+    files = _whole_files(spark, path, f"*{suffix}").select(
+        F.substring_index("path", "/", -1).alias("name"), "text"
     )
     return pick_artifact(files, cases, suffix)
 
