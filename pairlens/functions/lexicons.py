@@ -156,3 +156,28 @@ def single_token(pattern: str) -> str | None:
     if re.fullmatch(r"[a-z?]+(?:\\w\*)?", body):
         return body.replace(r"\w", WORD)
     return None
+
+
+STEM = 5
+
+
+def token_filter(patterns) -> tuple[list[str], list[str]]:
+    """Whole words, and five-letter beginnings of open-ended words, to look for.
+
+    The beginnings only narrow the tokens down; the patterns decide afterwards.
+    """
+    words, stems = set(), set()
+    for body in filter(None, map(single_token, patterns)):
+        if body.endswith("*"):
+            stems.add(body[: -len(WORD) - 1][:STEM])
+        elif "?" in body:
+            words.update((body.replace("?", ""), re.sub(r".\?", "", body)))
+        else:
+            words.add(body)
+    return sorted(words), sorted(stems)
+
+
+def plain_part(pattern: str) -> str:
+    """A literal that every match of a several-word pattern contains."""
+    body = pattern.replace(r"\b", "").replace(r"\.", ".").replace(r"\(", "(")
+    return re.split(r"\(\?:|\\d|\?", body)[0]

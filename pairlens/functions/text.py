@@ -10,10 +10,14 @@ from .draws import col
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
+ODD_BREAK = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
 
 def lines(text) -> Column:
     """Lines of the text; a final line break does not open another line."""
-    parts = F.split(F.coalesce(col(text), F.lit("")), LINE_BREAK)
+    t = F.coalesce(col(text), F.lit(""))
+    # Most texts only hold \\n, which splits without the regular expression.
+    parts = F.when(t.rlike(ODD_BREAK), F.split(t, LINE_BREAK)).otherwise(F.split(t, "\n"))
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
@@ -52,47 +56,49 @@ def count_of(text: Column, needle: str) -> Column:
     return ((F.length(text) - gone) / len(needle)).cast("long")
 
 
-def _lit_count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("long")
+def _lit_count(text: Column, pattern: str, *guards: str) -> Column:
+    """Matches of a pattern; with guards only texts that hold one of them are searched."""
+    found = F.regexp_count(text, F.lit(pattern)).cast("long")
+    if not guards:
+        return found
+    held = F.lit(False)
+    for g in guards:
+        held = held | F.contains(text, F.lit(g))
+    return F.when(held, found).otherwise(F.lit(0).cast("long"))
 
 
-def _union(patterns: Sequence[str]) -> str | None:
-    tokens = list(dict.fromkeys(t for t in map(lx.single_token, patterns) if t))
-    return rf"(?<!{lx.WORD})(?:{'|'.join(tokens)})(?!{lx.WORD})" if tokens else None
+def tokens(text: Column) -> Column:
+    """Maximal runs of word characters."""
+    return F.regexp_extract_all(text, F.lit(f"{lx.WORD}+"), F.lit(0))
 
 
-class _Hits:
-    """Counts for many pattern lists from one pass over the text.
+def lexicon_hits(toks: Column, *lists: Sequence[str], fold: bool = False) -> Column:
+    """The few tokens that any one-word pattern of the lists can match.
 
-    All one-word patterns are matched by a single alternation whose hits form a
-    short array; lists are then counted on that array. Patterns of several
-    words are counted on the text itself.
+    One hash lookup per token decides, whatever the number of patterns; the
+    patterns themselves then only run on this short array.
     """
+    words, stems = lx.token_filter([p for ps in lists for p in ps])
 
-    def __init__(self, lists: Mapping[str, Sequence[str]]):
-        self.lists = lists
-        self.union = _union([p for ps in lists.values() for p in ps])
-
-    def array(self, low: Column) -> Column:
-        return F.regexp_extract_all(low, F.lit(self.union), F.lit(0))
+    def wanted(t):
+        t = F.lower(t) if fold else t
+        keep = t.isin(words) if words else F.lit(False)
+        return keep | F.substring(t, 1, lx.STEM).isin(stems) if stems else keep
 
-    def count(self, name: str, low: Column, hits: Column) -> Column:
-        return pattern_count(self.lists[name], low, hits)
+    return F.filter(toks, wanted)
 
 
-def pattern_count(patterns: Sequence[str], low: Column, hits: Column | None = None) -> Column:
-    """Sum over patterns of their matches in the lower-cased text."""
-    tokens = [t for t in map(lx.single_token, patterns) if t]
+def pattern_count(patterns: Sequence[str], low: Column, hits: Column) -> Column:
+    """Sum over patterns of their matches: one-word patterns on the hit tokens,
+    the others on the lower-cased text when it holds their literal part."""
+    bodies = [t for t in map(lx.single_token, patterns) if t]
     total = F.lit(0).cast("long")
-    if tokens:
-        if hits is None:
-            total = total + _lit_count(low, _union(patterns))
-        else:
-            whole = f"^(?:{'|'.join(tokens)})$"
-            total = total + F.size(F.filter(hits, lambda h: h.rlike(whole))).cast("long")
+    if bodies:
+        whole = f"^(?:{'|'.join(bodies)})$"
+        total = total + F.size(F.filter(hits, lambda h: h.rlike(whole))).cast("long")
     for p in patterns:
         if not lx.single_token(p):
-            total = total + _lit_count(low, lx.unicode_pattern(p))
+            total = total + _lit_count(low, lx.unicode_pattern(p), lx.plain_part(p))
     return total
 
 
@@ -100,9 +106,9 @@ FILE_PATH = (
     rf"(?<![\p{{L}}\p{{N}}_./-])(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.(?:{lx.FILE_ENDINGS})"
 )
 IDENTIFIER = (
-    rf"(?<!{lx.WORD})[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_.]*{lx.EDGE}"
+    rf"(?=[A-Za-z_])(?<!{lx.WORD})[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_.]*{lx.EDGE}"
 )
-NUMBER = rf"(?<!{lx.WORD})\p{{Nd}}+(?:\.\p{{Nd}}+)?{lx.EDGE}"
+NUMBER = rf"(?=\p{{Nd}})(?<!{lx.WORD})\p{{Nd}}+(?:\.\p{{Nd}}+)?{lx.EDGE}"
 BULLET = rf"^{lx.SPACE}*(?:[-*+]|\p{{Nd}}+[.)]){lx.SPACE}+"
 TEST_WORD = (
     rf"(?<!{lx.WORD})test(?:s|ing)?(?!{lx.WORD})|pytest|unittest|fail_to_pass|pass_to_pass"
@@ -114,22 +120,37 @@ TRACEBACK = (
 URL = r"https?://[^\s\x1c-\x1f\x85\p{Z})\]>]+"
 
 
+def _identifiers(t: Column) -> Column:
+    return F.when(t.rlike(r"\.[A-Za-z_]"), _lit_count(t, IDENTIFIER)).otherwise(F.lit(0).cast("long"))
+
+
+def _prepare(df: DataFrame, text: str, *lists: Sequence[str]) -> DataFrame:
+    """Text, lower-cased text, its lines and tokens, and the lexicon hits, each computed once."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    out = df.withColumns({"_t": t, "_low": F.lower(t)})
+    out = out.withColumns({"_ls": lines(F.col("_t")), "_tok": tokens(F.col("_low"))})
+    return out.withColumn("_hits", lexicon_hits(F.col("_tok"), *lists))
+
+
+_WORK = ("_t", "_low", "_ls", "_tok", "_hits")
+
+
 def density_features(df: DataFrame, text: str, prefix: str = "ps_") -> DataFrame:
     """Counts, ratios and densities of a statement (13 columns)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(t)
-    ls = lines(t)
-    out = df.withColumns({
+    t, low, hits = F.col("_t"), F.col("_low"), F.col("_hits")
+    # Lower-casing a dotted capital I splits its word; such texts are counted as they are.
+    words = F.when(F.contains(t, F.lit("\u0130")), _lit_count(t, f"{lx.WORD}+")).otherwise(F.size("_tok"))
+    out = _prepare(df, text, lx.CONSTRAINTS, lx.MODALS).withColumns({
         f"{prefix}chars": F.length(t).cast("long"),
-        f"{prefix}lines": F.size(ls).cast("long"),
-        f"{prefix}words": _lit_count(t, f"{lx.WORD}+"),
+        f"{prefix}lines": F.size("_ls").cast("long"),
+        f"{prefix}words": words.cast("long"),
         f"{prefix}questions": count_of(t, "?"),
         f"{prefix}numeric_literal_count": _lit_count(t, NUMBER),
-        f"{prefix}identifier_count": _lit_count(t, IDENTIFIER),
-        f"{prefix}bullet_count": F.size(F.filter(ls, lambda x: x.rlike(BULLET))).cast("long"),
-        f"{prefix}constraint_count": pattern_count(lx.CONSTRAINTS, low),
-        f"{prefix}modal_count": pattern_count(lx.MODALS, low),
-    })
+        f"{prefix}identifier_count": _identifiers(t),
+        f"{prefix}bullet_count": F.size(F.filter("_ls", lambda x: x.rlike(BULLET))).cast("long"),
+        f"{prefix}constraint_count": pattern_count(lx.CONSTRAINTS, low, hits),
+        f"{prefix}modal_count": pattern_count(lx.MODALS, low, hits),
+    }).drop(*_WORK)
     n_lines = F.greatest(F.col(f"{prefix}lines"), F.lit(1))
     n_words = F.greatest(F.col(f"{prefix}words"), F.lit(1))
     return out.withColumns({
@@ -140,19 +161,29 @@ def density_features(df: DataFrame, text: str, prefix: str = "ps_") -> DataFrame
     })
 
 
+def _paths(t: Column) -> Column:
+    found = F.regexp_extract_all(t, F.lit(FILE_PATH), F.lit(0))
+    return F.when(F.contains(t, F.lit("/")), found).otherwise(F.array().cast("array<string>"))
+
+
+def _evidence(prefix: str) -> dict[str, Column]:
+    low = F.col("_low")
+    return {
+        f"{prefix}file_path_count": F.size("_paths").cast("long"),
+        f"{prefix}unique_file_path_count": F.size(F.array_distinct("_paths")).cast("long"),
+        f"{prefix}test_reference_count": _lit_count(low, TEST_WORD, "test", "_to_pass"),
+        f"{prefix}traceback_count": _lit_count(low, TRACEBACK, "traceback", "file"),
+        f"{prefix}url_count": _lit_count(low, URL, "http"),
+    }
+
+
 def evidence_features(df: DataFrame, text: str, prefix: str = "ps_") -> DataFrame:
     """Paths, test words, tracebacks, URLs and fenced blocks (6 columns)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(t)
-    paths = F.col("_paths")
-    return df.withColumn("_paths", F.regexp_extract_all(t, F.lit(FILE_PATH), F.lit(0))).withColumns({
-        f"{prefix}file_path_count": F.size(paths).cast("long"),
-        f"{prefix}unique_file_path_count": F.size(F.array_distinct(paths)).cast("long"),
-        f"{prefix}test_reference_count": _lit_count(low, TEST_WORD),
-        f"{prefix}traceback_count": _lit_count(low, TRACEBACK),
-        f"{prefix}url_count": _lit_count(low, URL),
-        f"{prefix}code_fence_count": F.floor(count_of(t, "```") / 2).cast("long"),
-    }).drop("_paths")
+    out = df.withColumns({"_t": t, "_low": F.lower(t), "_paths": _paths(t)}).withColumns({
+        **_evidence(prefix), f"{prefix}code_fence_count": F.floor(count_of(F.col("_t"), "```") / 2).cast("long"),
+    })
+    return out.drop("_t", "_low", "_paths")
 
 
 def lexicon_features(
@@ -163,12 +194,11 @@ def lexicon_features(
     prefix: str = "ps_",
 ) -> DataFrame:
     """Per domain a flag and a count, and the number of implicit domains hit."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    hits = _Hits(lexicon)
-    out = df.withColumn("_hits", hits.array(low))
+    out = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    out = out.withColumn("_hits", lexicon_hits(tokens(F.col("_low")), *lexicon.values()))
     out = out.withColumns({
-        f"{prefix}domain_{d}_count": hits.count(d, low, F.col("_hits")) for d in lexicon
-    }).drop("_hits")
+        f"{prefix}domain_{d}_count": pattern_count(ps, F.col("_low"), F.col("_hits")) for d, ps in lexicon.items()
+    }).drop("_hits", "_low")
     out = out.withColumns({
         f"{prefix}domain_{d}": (F.col(f"{prefix}domain_{d}_count") > 0).cast("int") for d in lexicon
     })
@@ -189,9 +219,8 @@ def statement_features(df: DataFrame, text: str) -> DataFrame:
 
 def envelope_features(df: DataFrame, text: str, prefix: str = "sem_") -> DataFrame:
     """The 35 features of a whole prompt envelope."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(t)
-    domains = _Hits(lx.ENVELOPE_DOMAINS)
+    domains = lx.ENVELOPE_DOMAINS
+    t, low, hits = F.col("_t"), F.col("_low"), F.col("_hits")
     imperative = (
         rf"(?imd)^{lx.SPACE}*(?:[-*]{lx.SPACE}*)?(?:{'|'.join(lx.IMPERATIVES)})(?!{lx.WORD})"
     )
@@ -200,46 +229,41 @@ def envelope_features(df: DataFrame, text: str, prefix: str = "sem_") -> DataFra
     def said(*terms):
         return has_any(t, terms)
 
-    out = df.withColumn("_hits", domains.array(low)).withColumns({
-        f"_n_{d}": domains.count(d, low, F.col("_hits")) for d in lx.ENVELOPE_DOMAINS
-    }).withColumn("_paths", F.regexp_extract_all(t, F.lit(FILE_PATH), F.lit(0)))
-    out = out.withColumns({
-        f"{prefix}bullet_count": F.size(F.filter(lines(t), lambda x: x.rlike(BULLET))).cast("long"),
+    out = _prepare(df, text, *domains.values(), lx.ENVELOPE_CONSTRAINTS, lx.NEGATIONS, lx.MODALS)
+    out = out.withColumn("_paths", _paths(t)).withColumns({
+        **_evidence(prefix),
+        **{f"_n_{d}": pattern_count(ps, low, hits) for d, ps in domains.items()},
+        f"{prefix}bullet_count": F.size(F.filter("_ls", lambda x: x.rlike(BULLET))).cast("long"),
         f"{prefix}question_count": count_of(t, "?"),
         f"{prefix}code_block_count": F.floor(count_of(t, "```") / 2).cast("long"),
-        f"{prefix}traceback_count": _lit_count(low, TRACEBACK),
-        f"{prefix}file_path_count": F.size("_paths").cast("long"),
-        f"{prefix}unique_file_path_count": F.size(F.array_distinct("_paths")).cast("long"),
-        f"{prefix}test_reference_count": _lit_count(low, TEST_WORD),
-        f"{prefix}constraint_count": pattern_count(lx.ENVELOPE_CONSTRAINTS, low),
-        f"{prefix}negation_constraint_count": pattern_count(lx.NEGATIONS, low),
-        f"{prefix}modal_count": pattern_count(lx.MODALS, low),
+        f"{prefix}constraint_count": pattern_count(lx.ENVELOPE_CONSTRAINTS, low, hits),
+        f"{prefix}negation_constraint_count": pattern_count(lx.NEGATIONS, low, hits),
+        f"{prefix}modal_count": pattern_count(lx.MODALS, low, hits),
         f"{prefix}imperative_count": _lit_count(t, imperative),
-        f"{prefix}identifier_count": _lit_count(t, IDENTIFIER),
+        f"{prefix}identifier_count": _identifiers(t),
         f"{prefix}numeric_literal_count": _lit_count(t, NUMBER),
-        f"{prefix}url_count": _lit_count(low, URL),
-        "_sections": _lit_count(t, section),
+        "_sections": _lit_count(t, section, "["),
         f"{prefix}has_explicit_security_guidance": said(
             "[security-guidelines]", "security guidelines", "secure coding"
         ),
         f"{prefix}has_test_objective": said("[objective]", "tests pass", "make these tests pass"),
         f"{prefix}has_relevant_files_section": said("[relevant files]"),
         f"{prefix}has_repository_context": said("[repository]", "commit_base:", "repo:"),
-        **{
-            f"{prefix}mentions_{d}": (F.col(f"_n_{d}") > 0).cast("int") for d in lx.ENVELOPE_DOMAINS
-        },
+    }).drop(*_WORK, "_paths")
+    out = out.withColumns({
+        f"{prefix}mentions_{d}": (F.col(f"_n_{d}") > 0).cast("int") for d in domains
     })
     terms, domains_hit = F.lit(0), F.lit(0)
     for d in lx.ENVELOPE_SECURITY_TERMS:
         terms = terms + F.col(f"_n_{d}")
-    for d in lx.ENVELOPE_DOMAINS:
+    for d in domains:
         domains_hit = domains_hit + F.col(f"{prefix}mentions_{d}")
     return out.withColumns({
         f"{prefix}requirement_count": F.col(f"{prefix}bullet_count") + F.col(f"{prefix}modal_count")
         + F.col("_sections"),
         f"{prefix}security_term_count": terms.cast("long"),
         f"{prefix}domain_count": domains_hit.cast("int"),
-    }).drop("_hits", "_paths", "_sections", *[f"_n_{d}" for d in lx.ENVELOPE_DOMAINS])
+    }).drop("_sections", *[f"_n_{d}" for d in domains])
 
 
 def _first_spellings(terms: Column) -> Column:
@@ -256,9 +280,10 @@ def lexical_audit(
     explicit: str = "explicit_security",
 ) -> DataFrame:
     """The concrete terms found per domain, ' | '-joined, with their number."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    union = "(?i)" + _union([p for ps in lexicon.values() for p in ps])
-    out = df.withColumn("_hits", F.array_distinct(F.regexp_extract_all(t, F.lit(union), F.lit(0))))
+    t, low = F.col("_t"), F.col("_low")
+    raw = F.coalesce(F.col(text), F.lit(""))
+    out = df.withColumns({"_t": raw, "_low": F.lower(raw)}).withColumn(
+        "_hits", F.array_distinct(lexicon_hits(tokens(t), *lexicon.values(), fold=True)))
 
     def spelled(token):
         return F.filter("_hits", lambda h: F.lower(h).rlike(f"^(?:{token})$"))
@@ -270,9 +295,9 @@ def lexical_audit(
             if token:
                 parts.append(spelled(token))
             else:
-                parts.append(
-                    F.regexp_extract_all(t, F.lit("(?i)" + lx.unicode_pattern(p)), F.lit(0))
-                )
+                said = F.regexp_extract_all(t, F.lit("(?i)" + lx.unicode_pattern(p)), F.lit(0))
+                held = F.contains(low, F.lit(lx.plain_part(p)))
+                parts.append(F.when(held, said).otherwise(F.array().cast("array<string>")))
         return _first_spellings(F.flatten(F.array(*parts)))
 
     out = out.withColumns({f"_t_{d}": found(ps) for d, ps in lexicon.items()})
@@ -286,7 +311,7 @@ def lexical_audit(
         **{f"audit_{d}_terms": F.concat_ws(" | ", f"_t_{d}") for d in lexicon},
         "audit_has_explicit_security_terms": (F.size(f"_t_{explicit}") > 0).cast("int"),
         "audit_has_security_relevant_task_terms": (implicit > 0).cast("int"),
-    }).drop("_hits", *[f"_t_{d}" for d in lexicon])
+    }).drop("_hits", "_t", "_low", *[f"_t_{d}" for d in lexicon])
 
 
 def strip_blanks(c: Column) -> Column:

@@ -88,7 +88,9 @@ def _duck(text: str) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    from ..sources.readers import spread
+
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def view(spark: SparkSession, sf: str, name: str, cols: dict[str, str]) -> DataFrame:
