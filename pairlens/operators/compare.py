@@ -272,14 +272,16 @@ def hellinger(df: DataFrame, group: str, a: str, b: str, category: str, by: Sequ
     return g.select(*by, "ta", "tb", (F.sqrt(F.greatest(F.lit(0.0), square)) / F.sqrt(F.lit(2.0))).alias("hellinger"))
 
 
-def chi_square(df: DataFrame, row: str, column: str, by: Sequence[str] = ()) -> DataFrame:
+def chi_square(df: DataFrame, row: str, column: str, by: Sequence[str] = (),
+               weight: str | None = None) -> DataFrame:
     """Chi-square of independence and Cramer's V, empty cells included.
 
     sum (o-e)^2/e over all cells equals N (sum o^2/(r c) - 1), so only the
     occupied cells and the margins are needed.
     """
     by = list(by)
-    cells = df.groupBy(*by, row, column).agg(F.count(F.lit(1)).alias("_o"))
+    unit = F.col(weight) if weight else F.lit(1)
+    cells = df.groupBy(*by, row, column).agg(F.sum(unit).cast("long").alias("_o"))
     rows = cells.groupBy(*by, row).agg(F.sum("_o").alias("_r"))
     cols = cells.groupBy(*by, column).agg(F.sum("_o").alias("_c"))
     o = F.col("_o").cast("double")

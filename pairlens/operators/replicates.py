@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.draws import POISSON_CUTS, PRIME, md5_draw, replicate_constants
-from .ranks import positions, quantiles
+from ..sources.readers import spread
+from .ranks import positions
+from .staging import stage
 
 # Groups held in a task before its partial sums are handed on.
 FLUSH_GROUPS = 256
@@ -29,6 +31,7 @@ def replicate_sums(df: DataFrame, by: Sequence[str], value: str, ids: Sequence[s
     rows = df.where(F.col(value).isNotNull()).select(
         *by, F.col(value).cast("double").alias("_v"), (md5_draw(*ids) % PRIME).alias("_x")
     )
+    rows = spread(rows)
     fields = [rows.schema[c] for c in by]
     schema = StructType([*fields, StructField("rep", LongType()), StructField("_w", DoubleType()),
                          StructField("_wv", DoubleType())])
@@ -246,9 +249,10 @@ def permutation_chi_square(df: DataFrame, group: str, category: str, replicates:
     """Chi-square with a permutation p-value; cost depends on the margins only."""
     from .compare import chi_square
 
-    margin = df.groupBy(category).agg(F.count(F.lit(1)).alias("_n"))
+    table = stage(df.groupBy(group, category).agg(F.count(F.lit(1)).alias("_n")))
+    margin = table.groupBy(category).agg(F.sum("_n").alias("_n"))
     # One row per group label: the labels of the comparison, a short list.
-    sizes = {r[0]: int(r[1]) for r in df.groupBy(group).agg(F.count(F.lit(1))).orderBy(group).collect()}
+    sizes = {r[0]: int(r[1]) for r in table.groupBy(group).agg(F.sum("_n")).orderBy(group).collect()}
     n = sum(sizes.values())
 
     def reduce(values, counts, alloc, first):
@@ -260,7 +264,7 @@ def permutation_chi_square(df: DataFrame, group: str, category: str, replicates:
         return pd.DataFrame({"rep": np.arange(1, replicates + 1), "s": part})
 
     reps = permutation_counts(margin, category, "_n", sizes, replicates, seed, reduce, "rep long, s double")
-    observed = chi_square(df, group, category)
+    observed = chi_square(table, group, category, weight="_n")
     sim = reps.groupBy("rep").agg(F.sum("s").alias("s")).withColumn("stat", F.lit(float(n)) * (F.col("s") - 1))
     seen = observed.select("chi2").scalar()
     hits = sim.agg(F.count_if(F.col("stat") >= seen * (1 - 1e-9) - 1e-9)).scalar()
@@ -295,14 +299,15 @@ def permutation_anova(df: DataFrame, group: str, value: str, replicates: int = 5
     random allocation, since the total sum of squares does not change.
     """
     rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
-    sizes = {r[0]: int(r[1]) for r in rows.groupBy("_g").agg(F.count(F.lit(1))).orderBy("_g").collect()}
+    table = stage(rows.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    sizes = {r[0]: int(r[1]) for r in table.groupBy("_g").agg(F.sum("_n")).orderBy("_g").collect()}
     k, n = len(sizes), sum(sizes.values())
     observed = anova(df, group, value)
     if n - k <= 0:
         return observed.withColumns({"iterations": F.lit(0), "p_perm": F.lit(1.0)})
     total = rows.agg(F.avg("_v").alias("m"), F.var_pop("_v").alias("v")).first()
     centre, tss = float(total["m"]), float(total["v"]) * n
-    cells = rows.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    cells = table.groupBy("_v").agg(F.sum("_n").alias("_n"))
     names = [f"s{i}" for i in range(k)]
 
     def reduce(values, counts, alloc, first):

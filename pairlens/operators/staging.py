@@ -39,3 +39,11 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{base}/pairlens/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path below the stage folder; needs one to be named on a cluster."""
+    base = stage_dir(spark)
+    if base is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{base}/pairlens/{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import tails
 from ..functions.tails import Z95
+from ..sources.readers import spread
 from .compare import wide
 from .ranks import avg_rank, ranked
 from .staging import stage
@@ -444,7 +445,7 @@ def adjusted_odds_ratios(df: DataFrame, continuous: Sequence[str], binary: Seque
     cols += [F.col(c).cast("double") for c in binary]
     cols += [(F.col(group) == m).cast("double") for m in dummies]
     design = df.select(F.col(target).cast("double").alias("_y"), *[c.alias(f"_x{i}") for i, c in enumerate(cols)])
-    design = design.persist(StorageLevel.MEMORY_AND_DISK)
+    design = spread(design).persist(StorageLevel.MEMORY_AND_DISK)
 
     def step(beta):
         def fold(batches):

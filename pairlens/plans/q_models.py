@@ -1,13 +1,11 @@
 """Queries for splits, models, triage and streaming (H, I)."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import models as md, splits as sp, triage as tr
-from ..operators.staging import stage, stage_dir
+from ..operators.staging import scratch, stage
 from ..streaming import scoring
 from . import fixtures as fx
 from .q_stats import NUMERIC, num, r, rs
@@ -242,7 +240,7 @@ def h18(spark, sf):
 @query("i1_score_stream", _SCORE_SQL, ["diffs"])
 def i1(spark, sf):
     """All diffs are written as files, scored as a stream, and read back."""
-    base = f"{stage_dir(spark)}/pairlens/{uuid.uuid4().hex}"
+    base = scratch(spark)
     fx.diffs(spark, sf).select("case", "patch").repartition(4).write.parquet(f"{base}/in")
     stream = spark.readStream.schema("case string, patch string").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     scores = scoring.score_stream(stream, SCORER, stage(case_features(spark, sf)), "case", "patch")
