@@ -125,11 +125,11 @@ c AS (SELECT 'OVERALL' AS scope, ms FROM u UNION ALL SELECT 'MODEL:' || l_return
 SELECT scope, COUNT(*) AS n, """ + rs({
     "mean": "AVG(ms)", "min": "MIN(ms)", "max": "MAX(ms)", "q1": "quantile_cont(ms, 0.25)", "median": "quantile_cont(ms, 0.5)",
     "q3": "quantile_cont(ms, 0.75)", "p95": "quantile_cont(ms, 0.95)",
-    "iqr": "quantile_cont(ms, 0.75) - quantile_cont(ms, 0.25)"}, 2) + " FROM c GROUP BY 1")
+    "iqr": "quantile_cont(ms, 0.75) - quantile_cont(ms, 0.25)"}, 6) + " FROM c GROUP BY 1")
 def d16(spark, sf):
     raw = fx.table(spark, sf, "lineitem")
     d = de.latency_summary(raw, ["l_suppkey", "l_returnflag"], "l_returnflag", "l_extendedprice")
-    return d.withColumns(r(["mean", "min", "max", "q1", "median", "q3", "p95", "iqr"], 2))
+    return d.withColumns(r(["mean", "min", "max", "q1", "median", "q3", "p95", "iqr"], 6))
 
 
 @query("d17_ratio_summary", """
