@@ -186,7 +186,7 @@ def median_fill(df: DataFrame, columns: Sequence[str], train: Column | None = No
 
 
 def rank_correlation_pairs(df: DataFrame, columns: Sequence[str], ids: Sequence[str], threshold: float = 0.8) -> DataFrame:
-    """Column pairs whose rank correlation reaches the threshold in size."""
+    """Column pairs whose rank correlation reaches the threshold in size; ``ids`` identify a row."""
     from .descriptives import long
 
     filled = median_fill(df.select(*ids, *columns), columns)

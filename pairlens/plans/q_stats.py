@@ -469,8 +469,8 @@ p AS (""" + " UNION ALL ".join(
     for a in sorted((*FEATURES, "balance")) for b in sorted((*FEATURES, "balance")) if a < b) + """)
 SELECT feature_a, feature_b, ROUND(rho, 8) AS spearman_rho, ROUND(abs(rho), 8) AS abs_rho FROM p WHERE abs(rho) >= 0.005""", ["num"])
 def g11(spark, sf):
-    d = fx.view(spark, sf, "lineitem", {**NUMERIC, "o": "l_orderkey", "pk": "l_partkey", "sk": "l_suppkey"})
-    s = stats.rank_correlation_pairs(d, [*FEATURES, "balance"], ["o", "run", "pk", "sk", "price"][:4], 0.005)
+    d = fx.view(spark, sf, "lineitem", {**NUMERIC, "row_key": fx.FINDING["row_key"]})
+    s = stats.rank_correlation_pairs(d, [*FEATURES, "balance"], ["row_key"], 0.005)
     return s.select("feature_a", "feature_b", F.round("spearman_rho", 8).alias("spearman_rho"), F.round("abs_rho", 8).alias("abs_rho"))
 
 
