@@ -24,6 +24,7 @@ def norm_path(path, case=None, repo_dirs: Sequence[str] = ()) -> Column:
     p = F.replace(F.coalesce(col(path), F.lit("")), F.lit("\\"), F.lit("/"))
     p = F.regexp_replace(p, "/{2,}", "/")
     p = F.regexp_replace(p, r"^(?:\./)+", "")
+    # The directory formats of the BEFORE worktree and of the patched copies.
     p = F.regexp_replace(p, r"^.*?/swe_before_[^/]+/repo/(?=.)", "")
     if case is not None:
         key = F.coalesce(col(case), F.lit(""))
