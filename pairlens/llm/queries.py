@@ -15,6 +15,7 @@ from .quality_rules import quality_rules
 from .secret_scan import BASE, RULES, listed, scan_secrets
 from .sharding import shard_rows
 from .simhash import hex_print, near_duplicates
+from .substrings import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,3 +110,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).drop("removed")
