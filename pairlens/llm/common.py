@@ -12,6 +12,8 @@ from ..shipping import ship
 
 #: Rows that a group or bucket is cut to; numbers of groups follow from counts.
 GROUP_ROWS = 4096
+#: Rows of an Arrow batch that a Python function holds at once.
+ROWS_AT_ONCE = 512
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +59,7 @@ def map_rows(df: DataFrame, fn: Callable[..., tuple], inputs: list[str], outputs
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in made.fields]
-        for batch in batches:
+        for batch in (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, ROWS_AT_ONCE)):
             columns = [batch.column(batch.schema.get_field_index(c)) for c in inputs]
             rows = [fn(*(x.as_py() for x in row)) for row in zip(*columns)]
             parts = list(zip(*rows)) if rows else [()] * len(names)

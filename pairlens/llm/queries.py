@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode
 from .common import read
 from ..operators.staging import scratch
 from .exact_dedup import exact_duplicates
@@ -17,6 +18,9 @@ from .sharding import shard_rows
 from .simhash import hex_print, near_duplicates
 from .substrings import remove_repeats
 
+#: Folder of the public tokenizers' vocabulary files, for where the package that names it is not installed.
+TOKENIZERS = "/opt/tokenizers"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +119,19 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).drop("removed")
+
+
+def tokenizer_path(name: str) -> str:
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
+
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    texts = decode(encode(read(spark, sf_dir, "documents"), path), path)
+    return texts.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
