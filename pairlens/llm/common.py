@@ -12,6 +12,8 @@ from ..shipping import ship
 
 #: Rows that a group or bucket is cut to; numbers of groups follow from counts.
 GROUP_ROWS = 4096
+#: Bytes of the batches that go to Python.
+BATCH_BYTES = 4 << 20
 #: Rows of an Arrow batch that a Python function holds at once.
 ROWS_AT_ONCE = 512
 
@@ -39,8 +41,10 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with this package on the workers."""
-    ship(df.sparkSession)
+    """``mapInArrow`` with this package on the workers, in batches bounded by bytes: rows hold whole texts."""
+    spark = df.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(run, schema)
 
 
