@@ -10,6 +10,7 @@ from .bpe import decode, encode
 from .common import read
 from ..operators.staging import scratch
 from .exact_dedup import exact_duplicates
+from .license_scan import NOT_WORD, PHRASES, TEMPLATES, THRESHOLD, need_of, scan_licenses, template_words
 from .packing import pack_documents
 from .quality_gam import classify_quality
 from .quality_rules import quality_rules
@@ -31,6 +32,43 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    """Every line against every template, and every place of every phrase."""
+
+    def listed(values: list[str]) -> str:
+        return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+    sets = [template_words(t.text) for t in TEMPLATES]
+    templates = ", ".join(f"('{t.label}', {listed(w)}, {need_of(len(w), THRESHOLD)})" for t, w in zip(TEMPLATES, sets))
+    phrases = ", ".join(f"('{label}', {listed(p.split())})" for p, label in PHRASES.items())
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"list_filter(string_split_regex({lower}, '{NOT_WORD}'), lambda w: w <> '')"
+    return f"""
+WITH t(label, words, need) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}),
+d AS (SELECT doc_id, coalesce(text, '') AS text, {words.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT doc_id, list_distinct({words.format("line")}) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+m AS (SELECT doc_id, label, len(list_intersect(b.w, t.words)) / len(t.words) AS best FROM b, t
+      WHERE len(list_intersect(b.w, t.words)) >= need),
+f AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS found, max(best) AS best, list(DISTINCT label) AS labels FROM m GROUP BY doc_id),
+s AS (SELECT doc_id, label, i - 1 AS i FROM (SELECT doc_id, label, p.words AS pw, d.w AS w, unnest(range(1, len(d.w) + 1)) AS i FROM d, p)
+      WHERE w[i:i + len(pw) - 1] = pw),
+g AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, list(DISTINCT label) AS labels FROM s GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word,
+       coalesce(array_to_string(list_sort(g.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(g.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
+       CASE WHEN n > 0 THEN 1.0 ELSE coalesce(best, 0) END::DOUBLE AS score
+FROM d LEFT JOIN f USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
+
+
+ORACLES["op1_license_scan"] = _license_sql()
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
