@@ -115,13 +115,14 @@ def exact_duplicates(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFra
     """
     key = ["fp1", "fp2", "n_bytes"]
     rows = stage(fingerprints(docs, chunk_chars))
-    sizes = rows.groupBy(*key).count().where("count > 1").drop("count")
+    # Written first: a join whose sides both come from a shuffle is one whose hot keys Spark splits.
+    sizes = stage(rows.groupBy(*key).count().where("count > 1").drop("count"))
     twins = rows.join(sizes, key, "left_semi")
-    mixed = differing(docs, twins, key, chunk_chars).withColumn("mixed", F.lit(True))
+    mixed = stage(differing(docs, twins, key, chunk_chars).withColumn("mixed", F.lit(True)))
     parted = rows.join(mixed, key, "left").withColumn("part", F.when(F.col("mixed"), F.col("digest")).otherwise(F.lit("")))
     group = [*key, "part"]
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("x"), "doc_id", "uid"))
-    heads = parted.groupBy(*group).agg(best.alias("head"), F.count("*").alias("group_size"))
+    heads = stage(parted.groupBy(*group).agg(best.alias("head"), F.count("*").alias("group_size")))
     out = parted.join(heads, group)
     return out.select("doc_id", "tkey", F.col("head.doc_id").alias("keep_id"), "group_size",
                       (F.col("uid") == F.col("head.uid")).alias("kept"), F.col("digest").alias("text_sha256"))

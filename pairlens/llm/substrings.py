@@ -211,15 +211,18 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP
     """doc_id, tkey, lo, n: the windows lo to lo + n - 1 of the text also begin elsewhere."""
     anchors = stage(anchored(docs, window))
     totals = anchors.groupBy("anchor").agg(F.count("*").alias("total"), F.min("context").alias("c0"), F.max("context").alias("c1"))
-    met = stage(anchors.join(totals.where("total > 1").select("anchor", (F.col("c0") == F.col("c1")).alias("alike")), "anchor"))
+    # Written first: a join whose sides both come from a shuffle is one whose hot keys Spark splits.
+    shared = stage(totals.where("total > 1").select("anchor", (F.col("c0") == F.col("c1")).alias("alike")))
+    met = stage(anchors.join(shared, "anchor"))
     run = ["doc_id", "tkey", "lo", "n"]
     settled = met.where("alike").select(*run)
     mixed = met.where("not alike")
     distinct = stage(mixed.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct(*run)).alias("at")))
     settled = settled.unionAll(mixed.join(distinct.where("times > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(*run))
     # One occurrence of each distinct context carries its words to the others of its anchor.
-    crowds = distinct.groupBy("anchor").agg((F.count("*") > group_rows).alias("crowd"))
-    wanted = (distinct.join(crowds, "anchor").groupBy(F.col("at.doc_id").alias("d"), F.col("at.tkey").alias("t"))
+    crowds = stage(distinct.groupBy("anchor").count().where(F.col("count") > group_rows).select("anchor", F.lit(True).alias("crowd")))
+    placed = distinct.join(crowds, "anchor", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    wanted = (placed.groupBy(F.col("at.doc_id").alias("d"), F.col("at.tkey").alias("t"))
               .agg(F.collect_list(F.struct("anchor", "crowd", "at.lo", "at.n")).alias("wanted")))
     source = docs.select("doc_id", text_key().alias("tkey"), text_bytes().alias("body"))
     texts = source.join(wanted, _same_row(source, wanted)).select("doc_id", "tkey", "body", "wanted")
