@@ -35,16 +35,16 @@ def md5_hex(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[col(p).cast("string") for p in parts]))
 
 
-def md5_draw(*parts) -> Column:
-    """32-bit unsigned draw from the first eight hex digits of the md5."""
-    return F.conv(F.substring(md5_hex(*parts), 1, 8), 16, 10).cast("long")
+def md5_draw(*parts, word: int = 0) -> Column:
+    """32-bit unsigned draw from eight hex digits of the md5, the first ones unless ``word`` says otherwise."""
+    return F.conv(F.substring(md5_hex(*parts), 1 + 8 * word, 8), 16, 10).cast("long")
 
 
 def replicate_constants(seed: int, replicates: int):
-    """Multiplier and offset of each replicate's affine hash, as int64 arrays.
+    """Two multipliers and the offset of each replicate's affine hash, as int64 arrays.
 
-    ``(a * x + b) % PRIME`` is pairwise independent over x, which is what the
-    variance of a resampled sum needs.
+    ``(a * x + c * y + b) % PRIME`` is pairwise independent over the ids (x, y)
+    of 62 bits, which is what the variance of a resampled sum needs.
     """
     import hashlib
 
@@ -55,5 +55,6 @@ def replicate_constants(seed: int, replicates: int):
 
     reps = range(1, replicates + 1)
     a = np.array([1 + word(r, "a") % (PRIME - 1) for r in reps], dtype=np.int64)
+    c = np.array([1 + word(r, "c") % (PRIME - 1) for r in reps], dtype=np.int64)
     b = np.array([word(r, "b") % PRIME for r in reps], dtype=np.int64)
-    return a, b
+    return a, c, b

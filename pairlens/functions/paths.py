@@ -10,8 +10,8 @@ from .draws import col
 
 def _after_marker(path: Column, marker: Column) -> Column:
     """What follows the first occurrence of the marker, else the whole path."""
-    quoted = F.concat(F.lit(r"\Q"), marker, F.lit(r"\E"))
-    return F.element_at(F.split(path, quoted, 2), -1)
+    at = F.position(marker, path)
+    return F.when(at > 0, F.substr(path, at + F.length(marker))).otherwise(path)
 
 
 def norm_path(path, case=None, repo_dirs: Sequence[str] = ()) -> Column:

@@ -163,35 +163,31 @@ def jaccard(df: DataFrame, group: str, key: Sequence[str], members: Sequence[str
     )
 
 
-# Below this many distinct items a basket's item set is a short array.
-SMALL_VOCABULARY = 2000
+# Items whose pairs one row expands to.
+PAIR_BLOCK = 256
 
 
 def cooccurrence(df: DataFrame, basket: Sequence[str], item: str, by: Sequence[str] = ()) -> DataFrame:
     """Baskets that hold both items, per unordered item pair.
 
-    With a small item vocabulary (checked) equal item sets are counted first,
-    so pairs are formed once per distinct set. Otherwise the distinct
-    (basket, item) rows meet in an equi-join.
+    Equal item sets are counted first, so pairs are formed once per distinct
+    set. A set is cut into blocks of first items, dealt out before their pairs
+    are formed; pairs are summed before they are shuffled.
     """
     by = list(by)
     key = [*by, *basket]
     d = df.where(F.col(item).isNotNull()).select(*key, item).distinct()
-    vocabulary = df.select(item).distinct().limit(SMALL_VOCABULARY + 1).count()
-    if vocabulary <= SMALL_VOCABULARY:
-        sets = d.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_s"))
-        sets = sets.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_c"))
-        seconds = sets.select(*by, "_c", "_s", F.posexplode("_s").alias("_i", "item_a"))
-        pairs = seconds.select(
-            *by, "_c", "item_a",
-            F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("item_b"),
-        )
-        return pairs.groupBy(*by, "item_a", "item_b").agg(F.sum("_c").alias("n_baskets"))
-    a = d.withColumnRenamed(item, "item_a")
-    b = d.withColumnRenamed(item, "item_b")
-    return a.join(b, key).where("item_a < item_b").groupBy(*by, "item_a", "item_b").agg(
-        F.count(F.lit(1)).alias("n_baskets")
+    sets = d.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_s"))
+    sets = sets.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_s"), F.lit(1)), F.lit(PAIR_BLOCK))
+    blocks = sets.select(*by, "_c", "_s", F.explode(starts).alias("_at"))
+    firsts = blocks.select(
+        *by, "_c", "_s", "_at", F.posexplode(F.slice("_s", F.col("_at"), F.lit(PAIR_BLOCK))).alias("_i", "item_a"))
+    pairs = firsts.select(
+        *by, "_c", "item_a",
+        F.explode(F.slice("_s", F.col("_at") + F.col("_i") + 1, F.size("_s"))).alias("item_b"),
     )
+    return pairs.groupBy(*by, "item_a", "item_b").agg(F.sum("_c").alias("n_baskets"))
 
 
 def graph_density(df: DataFrame, basket: Sequence[str], item: str, by: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.draws import md5_hex
 from ..functions.scores import severity_score
+from .keys import key_join
 from .staging import stage
 
 UNIT = ["case", "model"]
@@ -35,33 +36,31 @@ def multiset_diff(
     """AFTER rows with existed_before / is_new_finding under the multiset rule.
 
     The k-th occurrence of a key, ordered by line and then row hash, is new
-    when k exceeds the number of BEFORE rows with that key. Only keys that are
-    partly new need an order; all others are settled by their counts. The order
-    is taken from per-line cells, so a hot key is split over its lines and its
-    md5 prefixes instead of being sorted in one task.
+    when k exceeds the number of BEFORE rows with that key. Both tables are
+    read once, into counts per (key, line, md5 prefix); AFTER rows join them
+    once. Rows are ordered inside a cell only, so a hot key is split over its
+    lines and prefixes. The offsets of a key's cells are one window, whose rows
+    are cells and not findings. Null keys are keys like others.
     """
     keys = list(keys)
-    old = before.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb"))
-    new = after.groupBy(*keys).agg(F.count(F.lit(1)).alias("_na"))
-    counts = new.join(old, keys, "left").withColumn("_nb", F.coalesce("_nb", F.lit(0)))
-    rows = after.join(counts, keys)
-    mixed = (F.col("_nb") > 0) & (F.col("_nb") < F.col("_na"))
-    settled = rows.where(~mixed).withColumn("_new", F.col("_nb") == 0)
+    rows = after.withColumn("_h", md5_hex(*tie)).withColumn("_hp", F.substring("_h", 1, 2))
+    # Cells of both sides in one aggregate; the BEFORE rows of a key are one cell without a place.
+    kinds = {f.name: f.dataType for f in after.schema.fields}
+    sides = rows.select(*keys, line, "_hp", F.lit(0).alias("_b"), F.lit(1).alias("_a")).unionAll(before.select(
+        *keys, F.lit(None).cast(kinds[line]), F.lit(None).cast("string"), F.lit(1), F.lit(0)))
+    cells = sides.groupBy(*keys, line, "_hp").agg(F.sum("_b").alias("_b"), F.sum("_a").alias("_a"))
+    prior = W.partitionBy(*keys).orderBy(F.col(line).asc_nulls_first(), F.col("_hp").asc_nulls_first())
+    cells = cells.select(
+        *keys, line, "_hp", F.sum("_b").over(W.partitionBy(*keys)).alias("_nb"),
+        F.coalesce(F.sum("_a").over(prior.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+    ).where(F.col("_hp").isNotNull())
     cell = [*keys, line, "_hp"]
-    part = rows.where(mixed).withColumn("_h", md5_hex(*tie)).withColumn("_hp", F.substring("_h", 1, 2))
-    prior = W.partitionBy(*keys).orderBy(line, "_hp").rowsBetween(W.unboundedPreceding, -1)
-    cells = part.groupBy(*cell).agg(F.count(F.lit(1)).alias("_c")).select(
-        *cell, F.coalesce(F.sum("_c").over(prior), F.lit(0)).alias("_off")
-    )
     local = W.partitionBy(*cell).orderBy("_h", *tie)
-    ordered = part.join(cells, cell).withColumn(
-        "_new", F.col("_off") + F.row_number().over(local) > F.col("_nb")
-    )
-    out = settled.unionByName(ordered.drop("_h", "_hp", "_off"))
-    return out.withColumns({
+    placed = key_join(rows, cells, cell).withColumn("_new", F.col("_off") + F.row_number().over(local) > F.col("_nb"))
+    return placed.withColumns({
         "is_new_finding": F.col("_new").cast("int"),
         "existed_before": (~F.col("_new")).cast("int"),
-    }).drop("_na", "_nb", "_new")
+    }).drop("_h", "_hp", "_nb", "_off", "_new")
 
 
 def matched_counts(before: DataFrame, after: DataFrame,
@@ -85,7 +84,7 @@ def file_risk_flags(diffed: DataFrame) -> DataFrame:
         F.max(high.cast("int")).alias("is_risky_after"),
         F.max((high & (F.col("is_new_finding") == 1)).cast("int")).alias("is_risky_new"),
     )
-    return diffed.join(per_file, keys)
+    return key_join(diffed, per_file, keys)
 
 
 def case_model_summary(before: DataFrame, diffed: DataFrame, units: DataFrame | None = None) -> DataFrame:

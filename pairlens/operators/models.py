@@ -14,7 +14,7 @@ from ..functions.draws import md5_draw
 from ..functions.ratios import interactions, one_hot
 from .ranks import draw_positions, quantiles
 from .splits import group_folds, group_splits
-from .staging import stage, stage_dir
+from .staging import scratch, stage
 from .triage import binary_metrics, curve_metrics
 
 
@@ -144,22 +144,15 @@ class _Table:
     """Rows of one schema written bit by bit to a staged table."""
 
     def __init__(self, df: DataFrame):
-        base = stage_dir(df.sparkSession)
-        self.path = f"{base}/pairlens/{uuid.uuid4().hex}" if base else None
+        self.path = scratch(df.sparkSession)
         self.parts: list[DataFrame] = []
 
     def add(self, df: DataFrame) -> None:
         self.parts.append(df)
-        if self.path:
-            df.write.mode("append").parquet(self.path)
+        df.write.mode("append").parquet(self.path)
 
     def read(self) -> DataFrame:
-        if self.path:
-            return self.parts[0].sparkSession.read.schema(self.parts[0].schema).parquet(self.path)
-        out = self.parts[0]
-        for p in self.parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return self.parts[0].sparkSession.read.schema(self.parts[0].schema).parquet(self.path)
 
 
 def predictions(df: DataFrame, sets: Mapping[str, Sequence[str]], models: Mapping[str, Fitter], splits: DataFrame,

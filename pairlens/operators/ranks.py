@@ -14,23 +14,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.draws import md5_hex
+from .keys import key_join
 from .staging import stage
 
-MAX_BUCKETS = 4096
-ROWS_PER_BUCKET = 50_000
 _COARSE = 64
 
 
-def bucket_count(rows: int) -> int:
-    """Buckets that keep about ROWS_PER_BUCKET distinct rows each."""
-    return max(1, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
+def bucket_count(df: DataFrame) -> int:
+    """Range buckets of an input: as many as shuffles have partitions, which a cluster sets by its size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def value_bounds(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Approximate equi-depth cut points of ``value`` (few numbers come back)."""
-    if buckets is None:
-        buckets = bucket_count(df.count())
-    if buckets <= 1:
+    """Approximate equi-depth cut points of ``value`` from one sketch (few numbers come back)."""
+    buckets = buckets or bucket_count(df)
+    if buckets == 1:
         return []
     probs = [i / buckets for i in range(1, buckets)]
     cuts = df.select(F.col(value).cast("double").alias("v")).approxQuantile(
@@ -73,39 +71,32 @@ def ranked(
     Adds ``n`` rows at the value, ``below`` rows strictly under it, ``total``
     rows of the group, ``avg_rank`` for ties, and for every column in ``sums``
     its sum at the value, below it (``<c>_below``) and in total (``<c>_total``).
-    Null values are left out. ``buckets=1`` is for inputs known to be small.
+    Null and NaN values are left out; null keys are groups like others.
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull())
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        rows = rows.where(~F.isnan(value))
     unit = F.col(weight) if weight else F.lit(1)
-    g = rows.groupBy(*by, value).agg(
+    g = stage(rows.groupBy(*by, value).agg(
         F.sum(unit).cast("long").alias("n"), *[F.sum(s).alias(s) for s in sums]
-    )
-    if bounds is None and buckets != 1:
-        g = stage(g)
+    ))
+    if bounds is None:
         bounds = value_bounds(g, value, buckets)
-    g = g.withColumn("_b", bucket_of(F.col(value), bounds or []))
+    g = g.withColumn("_b", bucket_of(F.col(value), bounds))
     counted = ["n", *sums]
     inside = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     local = [F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in counted]
-    if not bounds:
-        # Few distinct rows in all: one window per group holds both numbers.
-        group = W.partitionBy(*by, "_b")
-        out = g.select(
-            "*", *local, *[F.lit(0).alias(f"_off_{c}") for c in counted],
-            *[F.sum(c).over(group).alias(f"_all_{c}") for c in counted],
-        )
-    else:
-        head = by or [F.lit(0)]
-        prior = W.partitionBy(*head).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-        whole = W.partitionBy(*head)
-        offsets = g.groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in counted]).select(
-            *by,
-            "_b",
-            *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(f"_off_{c}") for c in counted],
-            *[F.sum(c).over(whole).alias(f"_all_{c}") for c in counted],
-        )
-        out = g.select("*", *local).join(offsets, [*by, "_b"])
+    head = by or [F.lit(0)]
+    prior = W.partitionBy(*head).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*head)
+    offsets = g.groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in counted]).select(
+        *by,
+        "_b",
+        *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(f"_off_{c}") for c in counted],
+        *[F.sum(c).over(whole).alias(f"_all_{c}") for c in counted],
+    )
+    out = key_join(g.select("*", *local), offsets, [*by, "_b"])
     return out.select(
         *by,
         value,
@@ -123,7 +114,7 @@ def ranked(
 def avg_rank(df: DataFrame, by: Sequence[str], value: str, out: str = "rank", **kw) -> DataFrame:
     """Every row with the average rank of its value inside its group."""
     ranks = ranked(df, by, value, **kw).select(*by, value, F.col("avg_rank").alias(out))
-    return df.join(ranks, [*by, value], "left")
+    return key_join(df, ranks, [*by, value], "left")
 
 
 def quantiles_of(table: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
@@ -172,10 +163,11 @@ def positions(
     prior = W.partitionBy(*by, value).orderBy("_hp").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select(
         *by, value, "_hp", F.coalesce(F.sum("_c").over(prior), F.lit(0)).alias("_tie")
-    ).join(table, [*by, value])
+    )
+    cells = key_join(cells, table, [*by, value])
     local = W.partitionBy(*by, value, "_hp").orderBy("_h", *tie)
     return (
-        rows.join(cells, [*by, value, "_hp"])
+        key_join(rows, cells, [*by, value, "_hp"])
         .withColumn(
             out,
             (F.col("_first") + F.col("_tie") + F.row_number().over(local)).cast("long"),
@@ -209,7 +201,7 @@ def draw_positions(
         keep_col = keep if isinstance(keep, Column) else F.lit(keep)
         cells = cells.where(F.col("_off") < keep_col)
     local = W.partitionBy(*by, "_b").orderBy("_d", *tie)
-    placed = rows.join(cells, [*by, "_b"]).withColumn(
+    placed = key_join(rows, cells, [*by, "_b"]).withColumn(
         out, (F.col("_off") + F.row_number().over(local)).cast("long")
     )
     if keep is not None:

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.draws import POISSON_CUTS, PRIME, md5_draw, replicate_constants
-from ..sources.readers import spread
 from .ranks import positions
 from .staging import stage
 
@@ -29,9 +28,9 @@ def replicate_sums(df: DataFrame, by: Sequence[str], value: str, ids: Sequence[s
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull()).select(
-        *by, F.col(value).cast("double").alias("_v"), (md5_draw(*ids) % PRIME).alias("_x")
+        *by, F.col(value).cast("double").alias("_v"), (md5_draw(*ids) % PRIME).alias("_x"),
+        (md5_draw(*ids, word=1) % PRIME).alias("_y")
     )
-    rows = spread(rows)
     fields = [rows.schema[c] for c in by]
     schema = StructType([*fields, StructField("rep", LongType()), StructField("_w", DoubleType()),
                          StructField("_wv", DoubleType())])
@@ -40,7 +39,7 @@ def replicate_sums(df: DataFrame, by: Sequence[str], value: str, ids: Sequence[s
         import numpy as np
         import pandas as pd
 
-        a, b = replicate_constants(seed, replicates)
+        a, c, b = replicate_constants(seed, replicates)
         cuts = np.array(POISSON_CUTS, dtype=np.int64)
         acc: dict[tuple, list] = {}
 
@@ -48,8 +47,8 @@ def replicate_sums(df: DataFrame, by: Sequence[str], value: str, ids: Sequence[s
             parts = []
             for key, (w, wv) in acc.items():
                 part = pd.DataFrame({"rep": np.arange(1, replicates + 1), "_w": w, "_wv": wv})
-                for c, k in zip(by, key):
-                    part[c] = k
+                for c_, k in zip(by, key):
+                    part[c_] = k
                 parts.append(part[[*by, "rep", "_w", "_wv"]])
             acc.clear()
             return pd.concat(parts, ignore_index=True)
@@ -62,12 +61,12 @@ def replicate_sums(df: DataFrame, by: Sequence[str], value: str, ids: Sequence[s
                     if len(acc) >= FLUSH_GROUPS:
                         yield emit()
                     acc[key] = [np.zeros(replicates), np.zeros(replicates)]
-                x = g["_x"].to_numpy(np.int64)
+                x, y = g["_x"].to_numpy(np.int64), g["_y"].to_numpy(np.int64)
                 v = g["_v"].to_numpy(np.float64)
                 # A block of rows times all replicates stays below a few MB.
                 step = max(1, 2_000_000 // replicates)
                 for i in range(0, len(x), step):
-                    u = (a[None, :] * x[i:i + step, None] + b[None, :]) % PRIME
+                    u = (a[None, :] * x[i:i + step, None] + c[None, :] * y[i:i + step, None] + b[None, :]) % PRIME
                     if kind == "sign":
                         w = np.where(u < PRIME // 2, 1.0, -1.0)
                     else:
@@ -167,14 +166,22 @@ def sign_flip_test(df: DataFrame, by: Sequence[str], value: str, ids: Sequence[s
     )
 
 
+# Margins of this many rows and more are drawn from the normal; results say so in ``method``.
+EXACT_BELOW = 1_000_000_000
+
+
+def draw_method(n: int) -> str:
+    return "hypergeometric" if n < EXACT_BELOW else "rounded normal"
+
+
 def _draw_hypergeometric(rng, good, bad, sample):
-    """Hypergeometric counts; beyond numpy's range the rounded normal is exact enough."""
+    """Hypergeometric counts; from ``EXACT_BELOW`` rows on (the generator's range) the rounded normal."""
     import numpy as np
 
     good, bad, sample = np.broadcast_arrays(
         np.asarray(good, np.int64), np.asarray(bad, np.int64), np.asarray(sample, np.int64))
     total = good + bad
-    big = total >= 1_000_000_000
+    big = total >= EXACT_BELOW
     small_out = rng.hypergeometric(np.where(big, 1, good), np.where(big, 1, bad), np.where(big, 1, sample))
     t = np.maximum(total, 2).astype(float)
     mean = sample * (good / t)
@@ -209,14 +216,39 @@ def _split(rng, counts, sizes, replicates):
     return np.stack(out)
 
 
+def _descend(seed, totals, sizes, replicates, mine):
+    """How many labels of every group fall into shard ``mine``: (groups, replicates).
+
+    The shards are the leaves of a tree; at each node the labels are split
+    between its halves, by a draw that depends on the node only. A task walks
+    to its own leaf, so that what it holds does not grow with the shards.
+    """
+    import numpy as np
+
+    lo, hi = 0, len(totals)
+    sums = np.concatenate([[0], np.cumsum(np.asarray(totals, np.int64))])
+    here = np.array([np.broadcast_to(np.int64(s), (replicates,)) for s in sizes])
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        rng = np.random.default_rng([seed, 0, lo, hi])
+        need = np.full(replicates, sums[mid] - sums[lo])
+        rest = here.sum(axis=0)
+        left = np.zeros_like(here)
+        for g in range(len(here)):
+            rest = rest - here[g]
+            left[g] = _draw_hypergeometric(rng, here[g], rest, need)
+            need = need - left[g]
+        lo, hi, here = (lo, mid, left) if mine < mid else (mid, hi, here - left)
+    return here
+
+
 def permutation_counts(cells: DataFrame, value: str, count: str, groups: dict[str, int], replicates: int,
                        seed: int, reduce, schema: str, shard_cells: int | None = None) -> DataFrame:
-    """Exact label permutations of a value table, in shards.
+    """Label permutations of a value table, in shards.
 
     ``cells`` has one row per distinct value and its multiplicity. Values are
     hashed to shards; each task first draws how many labels of every group fall
-    into each shard (all tasks make the same draw from the shard sizes), then
-    allocates its own cells. ``reduce(values, counts, allocation, first)``
+    into its shard, then allocates its own cells. ``reduce(values, counts, allocation, first)``
     turns the allocation (groups, replicates, cells) into rows to be summed by
     replicate; ``first`` is true in one shard only.
     """
@@ -235,11 +267,11 @@ def permutation_counts(cells: DataFrame, value: str, count: str, groups: dict[st
         import numpy as np
 
         shard = int(pdf["_shard"].iloc[0])
-        top = _split(np.random.default_rng([seed, 0]), np.array(shard_sizes), group_sizes, replicates)
         mine = order.index(shard)
+        own = _descend(seed, shard_sizes, group_sizes, replicates, mine)
         pdf = pdf.sort_values(value, kind="stable")
         counts = pdf[count].to_numpy(np.int64)
-        alloc = _split(np.random.default_rng([seed, 1, shard]), counts, list(top[:, :, mine]), replicates)
+        alloc = _split(np.random.default_rng([seed, 1, shard]), counts, list(own), replicates)
         return reduce(pdf[value].to_numpy(), counts, alloc, mine == 0)
 
     return sharded.groupBy("_shard").applyInPandas(run, schema)
@@ -269,7 +301,8 @@ def permutation_chi_square(df: DataFrame, group: str, category: str, replicates:
     seen = observed.select("chi2").scalar()
     hits = sim.agg(F.count_if(F.col("stat") >= seen * (1 - 1e-9) - 1e-9)).scalar()
     return observed.withColumns({
-        "iterations": F.lit(replicates), "p_perm": (hits + 1) / F.lit(replicates + 1.0)
+        "iterations": F.lit(replicates), "p_perm": (hits + 1) / F.lit(replicates + 1.0),
+        "method": F.lit(draw_method(n)),
     })
 
 
@@ -293,7 +326,7 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def permutation_anova(df: DataFrame, group: str, value: str, replicates: int = 500, seed: int = 42) -> DataFrame:
-    """One-way F with the exact label-permutation p-value.
+    """One-way F with the label-permutation p-value; ``method`` says how labels were drawn.
 
     Values are counted first; a replicate needs only the group sums of its
     random allocation, since the total sum of squares does not change.
@@ -304,7 +337,7 @@ def permutation_anova(df: DataFrame, group: str, value: str, replicates: int = 5
     k, n = len(sizes), sum(sizes.values())
     observed = anova(df, group, value)
     if n - k <= 0:
-        return observed.withColumns({"iterations": F.lit(0), "p_perm": F.lit(1.0)})
+        return observed.withColumns({"iterations": F.lit(0), "p_perm": F.lit(1.0), "method": F.lit(draw_method(n))})
     total = rows.agg(F.avg("_v").alias("m"), F.var_pop("_v").alias("v")).first()
     centre, tss = float(total["m"]), float(total["v"]) * n
     cells = table.groupBy("_v").agg(F.sum("_n").alias("_n"))
@@ -332,5 +365,6 @@ def permutation_anova(df: DataFrame, group: str, value: str, replicates: int = 5
     seen = observed.select("f_stat").scalar()
     hits = sums.select(f.alias("f")).agg(F.count_if(F.col("f") >= seen * (1 - 1e-9))).scalar()
     return observed.withColumns({
-        "iterations": F.lit(replicates), "p_perm": (hits + 1) / F.lit(replicates + 1.0)
+        "iterations": F.lit(replicates), "p_perm": (hits + 1) / F.lit(replicates + 1.0),
+        "method": F.lit(draw_method(n)),
     })

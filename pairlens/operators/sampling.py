@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.draws import md5_draw
+from .keys import key_join
 from .ranks import bucket_of, draw_positions, positions, value_bounds
 from .staging import stage
 
@@ -90,7 +91,7 @@ def top_fraction(df: DataFrame, by: Sequence[str], score: str, fraction: float,
     placed = positions(df, by, score, tie, descending=True, out="place")
     n = df.where(F.col(score).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     k = F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(float(fraction))))
-    return placed.join(n, by).where(F.col("place") <= k).drop("_n")
+    return key_join(placed, n, by).where(F.col("place") <= k).drop("_n")
 
 
 def rankings(long: DataFrame, metric: str, member: str, value: str) -> DataFrame:
@@ -106,20 +107,21 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) ->
     islands of earlier buckets added, so one hot key is not sorted in one task.
     """
     keys = list(keys)
-    rows = stage(df.select(*keys, start, end))
+    # One row per start: a start that many rows share costs one.
+    rows = stage(df.groupBy(*keys, start).agg(F.max(end).alias(end), F.count(F.lit(1)).alias("_n")))
     rows = rows.withColumn("_b", bucket_of(F.col(start), value_bounds(rows, start)))
     prior = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     reach = rows.groupBy(*keys, "_b").agg(F.max(end).alias("_m")).select(
         *keys, "_b", F.max("_m").over(prior).alias("_reach")
     )
-    local = W.partitionBy(*keys, "_b").orderBy(start, end)
+    local = W.partitionBy(*keys, "_b").orderBy(start)
     seen = F.greatest(F.max(end).over(local.rowsBetween(W.unboundedPreceding, -1)), F.col("_reach"))
-    rows = rows.join(reach, [*keys, "_b"]).withColumn("_seen", seen)
+    rows = key_join(rows, reach, [*keys, "_b"]).withColumn("_seen", seen)
     rows = rows.withColumn("_new", (F.col("_seen").isNull() | (F.col(start) > F.col("_seen") + 1)).cast("int"))
     base = rows.groupBy(*keys, "_b").agg(F.sum("_new").alias("_k")).select(
         *keys, "_b", F.coalesce(F.sum("_k").over(prior), F.lit(0)).alias("_base")
     )
     running = F.sum("_new").over(local.rowsBetween(W.unboundedPreceding, 0))
-    return rows.join(base, [*keys, "_b"]).withColumn("island", F.col("_base") + running).groupBy(
+    return key_join(rows, base, [*keys, "_b"]).withColumn("island", F.col("_base") + running).groupBy(
         *keys, "island"
-    ).agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("merged"))
+    ).agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("_n").alias("merged"))

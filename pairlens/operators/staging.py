@@ -7,43 +7,49 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
-def stage_dir(spark: SparkSession) -> str | None:
+def stage_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
     Only a local session without that setting gets a folder of its own; on a
-    cluster without it nothing is staged.
+    cluster the folder must be named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
-        return None
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="pairlens-stage-")
     return _OWN[app]
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path below the stage folder."""
+    path = f"{stage_dir(spark)}/pairlens/{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """The same rows read back from a written table.
 
     The upstream plan then runs once however many branches follow, and a lost
     executor re-reads files instead of repeating it.
     """
-    spark = df.sparkSession
-    base = stage_dir(spark)
-    if base is None:
-        return df
-    path = f"{base}/pairlens/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path below the stage folder; needs one to be named on a cluster."""
-    base = stage_dir(spark)
-    if base is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{base}/pairlens/{uuid.uuid4().hex}"
+def release(spark: SparkSession) -> int:
+    """Remove every table this application has staged; results that read them must be written before."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in made:
+        at = hadoop(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(made)

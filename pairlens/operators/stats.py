@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import tails
 from ..functions.tails import Z95
-from ..sources.readers import spread
 from .compare import wide
+from .keys import key_join
 from .ranks import avg_rank, ranked
 from .staging import stage
 
@@ -79,22 +79,14 @@ def fisher_exact(df: DataFrame, out: str = "fisher_p_value") -> DataFrame:
     return df.withColumn(out, tails.fisher_col("a", "b", "c", "d"))
 
 
-def bh_adjust(df: DataFrame, p: str, out: str = "fdr_bh", family: Sequence[str] = (),
-              large: bool = False) -> DataFrame:
+def bh_adjust(df: DataFrame, p: str, out: str = "fdr_bh", family: Sequence[str] = ()) -> DataFrame:
     """Benjamini-Hochberg adjustment per family; null p-values stay out.
 
-    A family is a list of tests and is adjusted with windows. ``large`` is for
-    families of millions: ranks over range buckets, with the suffix minimum
-    carried across the buckets.
+    Ranks over range buckets, with the suffix minimum carried across the
+    buckets, so that a family of millions is not one task.
     """
     family = list(family)
     head = family or [F.lit(0)]
-    if not large:
-        up = W.partitionBy(*head).orderBy(p).rangeBetween(W.unboundedPreceding, W.currentRow)
-        down = W.partitionBy(*head).orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, W.currentRow)
-        raw = F.col(p) * F.count(p).over(W.partitionBy(*head)) / F.count(p).over(up)
-        q = F.least(F.lit(1.0), F.min("_q").over(down))
-        return df.withColumn("_q", raw).withColumn(out, F.when(F.col(p).isNotNull(), q)).drop("_q")
     table = ranked(df, family, p)
     raw = table.withColumn("_q", F.col(p) * F.col("total") / (F.col("below") + F.col("n")))
     after = W.partitionBy(*head).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
@@ -102,10 +94,10 @@ def bh_adjust(df: DataFrame, p: str, out: str = "fdr_bh", family: Sequence[str]
         *family, "_b", F.min("_m").over(after).alias("_later")
     )
     inside = W.partitionBy(*family, "_b").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
-    q = raw.join(tail, [*family, "_b"]).select(
+    q = key_join(raw, tail, [*family, "_b"]).select(
         *family, p, F.least(F.lit(1.0), F.min("_q").over(inside), "_later").alias(out)
     )
-    return df.join(q, [*family, p], "left")
+    return key_join(df, q, [*family, p], "left")
 
 
 def effect_label(df: DataFrame, ratio: str, low: str, high: str, q: str, out: str = "effect",
@@ -445,7 +437,7 @@ def adjusted_odds_ratios(df: DataFrame, continuous: Sequence[str], binary: Seque
     cols += [F.col(c).cast("double") for c in binary]
     cols += [(F.col(group) == m).cast("double") for m in dummies]
     design = df.select(F.col(target).cast("double").alias("_y"), *[c.alias(f"_x{i}") for i, c in enumerate(cols)])
-    design = spread(design).persist(StorageLevel.MEMORY_AND_DISK)
+    design = design.persist(StorageLevel.MEMORY_AND_DISK)
 
     def step(beta):
         def fold(batches):

@@ -88,20 +88,16 @@ def _duck(text: str) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    from ..sources.readers import spread
-
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    # Long texts are the rows whose work is worth a shuffle of a small input.
-    return spread(df) if name == "documents" else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf: str, name: str, cols: dict[str, str]) -> DataFrame:
     return table(spark, sf, name).selectExpr(*[f"{e} AS `{n}`" for n, e in cols.items()])
 
 
-def h32(expr: str) -> str:
-    """DuckDB form of the 32-bit md5 draw of a string expression."""
-    return f"CAST('0x' || substr(md5({expr}), 1, 8) AS BIGINT)"
+def h32(expr: str, word: int = 0) -> str:
+    """DuckDB form of a 32-bit md5 draw of a string expression."""
+    return f"CAST('0x' || substr(md5({expr}), {1 + 8 * word}, 8) AS BIGINT)"
 
 
 RATINGS = {

@@ -26,6 +26,19 @@ def c2(spark, sf):
     return after.select("case", "model", "row_key", "finding_fingerprint", "is_new_finding", "existed_before")
 
 
+@query("c2_null_model", """
+, f AS (SELECT "case", CASE WHEN model <> 'N' THEN model END AS model, finding_fingerprint, line_number, row_key, phase FROM findings),
+b AS (SELECT "case", model, finding_fingerprint, COUNT(*) AS n FROM f WHERE phase = 'before' GROUP BY 1, 2, 3),
+a AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY "case", model, finding_fingerprint ORDER BY line_number NULLS FIRST, md5(row_key), row_key) AS k
+  FROM f WHERE phase = 'after')
+SELECT a."case", a.model, row_key, CAST(k > coalesce(n, 0) AS INTEGER) AS is_new_finding FROM a LEFT JOIN b
+  ON a."case" = b."case" AND a.model IS NOT DISTINCT FROM b.model AND a.finding_fingerprint = b.finding_fingerprint""", ["findings"])
+def c2n(spark, sf):
+    f = fx.findings(spark, sf).withColumn("model", F.expr("CASE WHEN model <> 'N' THEN model END"))
+    out = fo.multiset_diff(f.where("phase = 'before'"), f.where(_AFTER))
+    return out.select("case", "model", "row_key", "is_new_finding")
+
+
 @query("c2_matched_counts", """
 , g AS (SELECT "case", model, finding_fingerprint, COUNT(*) FILTER (WHERE phase = 'before') AS n_before,
   COUNT(*) FILTER (WHERE phase = 'after') AS n_after FROM findings GROUP BY 1, 2, 3)

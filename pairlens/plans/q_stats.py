@@ -295,6 +295,15 @@ def e8(spark, sf):
     return t.select("run", "score", "avg_rank", "n")
 
 
+@query("e8_null_group", """
+, n AS (SELECT CASE WHEN g <> 'N' THEN g END AS flag, score FROM num)
+SELECT flag, score, ANY_VALUE(rk) AS avg_rank, COUNT(*) AS n FROM (SELECT flag, score, RANK() OVER (PARTITION BY flag ORDER BY score) +
+  (COUNT(*) OVER (PARTITION BY flag, score) - 1) / 2.0 AS rk FROM n) GROUP BY 1, 2""", ["num"])
+def e8n(spark, sf):
+    rows = num(spark, sf).selectExpr("CASE WHEN g <> 'N' THEN g END AS flag", "score")
+    return ranks.ranked(rows, ["flag"], "score").select("flag", "score", "avg_rank", "n")
+
+
 @query("e8_global_quantiles", "SELECT " + rs({
     "q05": "quantile_cont(price, 0.05)", "median": "quantile_cont(price, 0.5)", "q95": "quantile_cont(price, 0.95)"}, 4) +
        ", COUNT(*) AS \"count\" FROM num", ["num"])
@@ -352,8 +361,11 @@ _REPS = 200
 
 
 def _replicates(seed: int) -> str:
-    return (f"k AS (SELECT r, 1 + {fx.h32(chr(39) + str(seed) + '|' + chr(39) + ' || r || ' + chr(39) + '|a' + chr(39))} % {PRIME - 1} AS a, "
-            f"{fx.h32(chr(39) + str(seed) + '|' + chr(39) + ' || r || ' + chr(39) + '|b' + chr(39))} % {PRIME} AS b FROM range(1, {_REPS + 1}) t(r))")
+    def word(kind: str) -> str:
+        return fx.h32(f"'{seed}|' || r || '|{kind}'")
+
+    return (f"k AS (SELECT r, 1 + {word('a')} % {PRIME - 1} AS a, 1 + {word('c')} % {PRIME - 1} AS c, {word('b')} % {PRIME} AS b "
+            f"FROM range(1, {_REPS + 1}) t(r))")
 
 
 _CUT = " + ".join(f"CAST(u >= {c} AS INTEGER)" for c in POISSON_CUTS)
@@ -362,7 +374,7 @@ _CUT = " + ".join(f"CAST(u >= {c} AS INTEGER)" for c in POISSON_CUTS)
 @query("g4_sign_flip_test", f"""
 , d AS (SELECT a.user_id, a.n - b.n AS d FROM outcomes a JOIN outcomes b ON a.user_id = b.user_id AND a.event_type = 'click'
   AND b.event_type = 'view'), {_replicates(7)},
-x AS (SELECT r, abs(SUM(CASE WHEN (a * ({fx.h32('CAST(user_id AS VARCHAR)')} % {PRIME}) + b) % {PRIME} < {PRIME // 2} THEN d ELSE -d END)) AS s FROM d, k GROUP BY 1),
+x AS (SELECT r, abs(SUM(CASE WHEN (a * ({fx.h32('CAST(user_id AS VARCHAR)')} % {PRIME}) + c * ({fx.h32('CAST(user_id AS VARCHAR)', 1)} % {PRIME}) + b) % {PRIME} < {PRIME // 2} THEN d ELSE -d END)) AS s FROM d, k GROUP BY 1),
 o AS (SELECT COUNT(*) AS n, abs(SUM(d)) AS s FROM d)
 SELECT o.n, ROUND(CAST(o.s AS DOUBLE) / o.n, 8) AS abs_mean, COUNT(*) FILTER (WHERE x.s >= o.s) AS n_extreme,
   ROUND((COUNT(*) FILTER (WHERE x.s >= o.s) + 1) / {_REPS + 1}.0, 8) AS p_value FROM x, o GROUP BY o.n, o.s""", ["outcomes"])
@@ -434,7 +446,19 @@ q AS (SELECT g, p, n, least(1.0, MIN(p * m / cum) OVER (PARTITION BY g ORDER BY
 SELECT g, p, CAST(n AS BIGINT) AS n, ROUND(q, 8) AS fdr_bh FROM q""", ["num"])
 def g8(spark, sf):
     p = num(spark, sf).selectExpr("g", "CASE WHEN qty < 3 THEN NULL ELSE ROUND(score, 3) END AS p")
-    a = stats.bh_adjust(p, "p", family=["g"], large=True).where("p IS NOT NULL")
+    a = stats.bh_adjust(p, "p", family=["g"]).where("p IS NOT NULL")
+    return a.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n"), F.max(F.round("fdr_bh", 8)).alias("fdr_bh"))
+
+
+@query("g8_null_family", """
+, p AS (SELECT CASE WHEN g <> 'N' THEN g END AS g, CASE WHEN qty < 3 THEN NULL ELSE ROUND(score, 3) END AS p FROM num),
+k AS (SELECT g, p, COUNT(*) AS n FROM p WHERE p IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT *, SUM(n) OVER (PARTITION BY g ORDER BY p) AS cum, SUM(n) OVER (PARTITION BY g) AS m FROM k),
+q AS (SELECT g, p, n, least(1.0, MIN(p * m / cum) OVER (PARTITION BY g ORDER BY p DESC)) AS q FROM c)
+SELECT g, p, CAST(n AS BIGINT) AS n, ROUND(q, 8) AS fdr_bh FROM q""", ["num"])
+def g8n(spark, sf):
+    p = num(spark, sf).selectExpr("CASE WHEN g <> 'N' THEN g END AS g", "CASE WHEN qty < 3 THEN NULL ELSE ROUND(score, 3) END AS p")
+    a = stats.bh_adjust(p, "p", family=["g"]).where("p IS NOT NULL")
     return a.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n"), F.max(F.round("fdr_bh", 8)).alias("fdr_bh"))
 
 
@@ -561,12 +585,12 @@ def g17(spark, sf):
 
 _BOOT = f"""
 , {_replicates(2026)},
-u AS (SELECT r, g, v, (a * (x % {PRIME}) + b) % {PRIME} AS u FROM src, k),
+u AS (SELECT r, g, v, (a * (x % {PRIME}) + c * (y % {PRIME}) + b) % {PRIME} AS u FROM src, k),
 m AS (SELECT r, g, SUM(v * w) / SUM(w) AS m FROM (SELECT r, g, v, {_CUT} AS w FROM u) GROUP BY 1, 2 HAVING SUM(w) > 0)
 SELECT g AS {{g}}, ROUND(quantile_cont(m, 0.025), 6) AS ci_low, ROUND(quantile_cont(m, 0.975), 6) AS ci_high, COUNT(*) AS replicates FROM m GROUP BY 1"""
 
 fx.SQL["src"] = (["outcomes"], f"""
-SELECT event_type AS g, CAST(total AS DOUBLE) AS v, {fx.h32("user_id || '|' || event_type")} AS x FROM outcomes""")
+SELECT event_type AS g, CAST(total AS DOUBLE) AS v, {fx.h32("user_id || '|' || event_type")} AS x, {fx.h32("user_id || '|' || event_type", 1)} AS y FROM outcomes""")
 
 
 @query("g18_bootstrap_ci", _BOOT.format(g="event_type"), ["src"])

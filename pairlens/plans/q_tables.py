@@ -22,6 +22,17 @@ def d2(spark, sf):
     return fo.file_risk_flags(after).select("row_key", "is_risky_after", "is_risky_new")
 
 
+@query("d2_null_path", """
+, d AS (SELECT row_key, "case", model, severity, is_new_finding, CASE WHEN model <> 'N' THEN relative_filename END AS path FROM diffed)
+SELECT row_key, MAX(CAST(severity = 'HIGH' AS INTEGER)) OVER w AS is_risky_after,
+  MAX(CAST(severity = 'HIGH' AND is_new_finding = 1 AS INTEGER)) OVER w AS is_risky_new
+FROM d WINDOW w AS (PARTITION BY "case", model, path)""", ["diffed"])
+def d2n(spark, sf):
+    _, after = fx.diffed(spark, sf)
+    after = after.withColumn("relative_filename", F.expr("CASE WHEN model <> 'N' THEN relative_filename END"))
+    return fo.file_risk_flags(after).select("row_key", "is_risky_after", "is_risky_new")
+
+
 @query("d3_category_prevalence", """
 , t AS (SELECT *, COUNT(*) OVER (PARTITION BY cwe) / COUNT(*) OVER () AS p, CASE severity WHEN 'LOW' THEN 1
   WHEN 'MEDIUM' THEN 2 ELSE 3 END AS s FROM raw_findings)
@@ -181,6 +192,14 @@ def e4(spark, sf):
     return sampling.sample_per_group(d, ["source"], 10, 7, ["doc_id"])
 
 
+@query("e4_sample_null_group", f"""
+, d AS (SELECT doc_id, CASE WHEN lang <> 'en' THEN lang END AS lang FROM documents)
+SELECT doc_id, lang, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY {_DRAW}, doc_id) AS draw_place FROM d QUALIFY draw_place <= 25""")
+def e4n(spark, sf):
+    d = fx.table(spark, sf, "documents").selectExpr("doc_id", "CASE WHEN lang <> 'en' THEN lang END AS lang")
+    return sampling.sample_per_group(d, ["lang"], 25, 7, ["doc_id"])
+
+
 @query("e5_top_categories", """
 SELECT cwe, total FROM ct ORDER BY total DESC, cwe LIMIT 10""", ["ct"])
 def e5(spark, sf):
@@ -204,6 +223,34 @@ def e6(spark, sf):
     return t.select("l_returnflag", "row_key", F.round("l_extendedprice", 2).alias("price"))
 
 
+@query("e6_top_fraction_null_group", """
+, l AS (SELECT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag, l_extendedprice,
+  CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS row_key FROM lineitem)
+SELECT flag, row_key, ROUND(l_extendedprice, 2) AS price FROM l
+QUALIFY ROW_NUMBER() OVER (PARTITION BY flag ORDER BY l_extendedprice DESC, md5(row_key)) <= greatest(1, ceil(COUNT(*) OVER (PARTITION BY flag) * 0.2))""")
+def e6n(spark, sf):
+    rows = fx.table(spark, sf, "lineitem").selectExpr(
+        "CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag", "l_extendedprice",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_key")
+    top = sampling.top_fraction(rows, ["flag"], "l_extendedprice", 0.2, ["row_key"])
+    return top.select("flag", "row_key", F.round("l_extendedprice", 2).alias("price"))
+
+
+@query("e9_merge_null_key", """
+, w AS (SELECT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag, l_orderkey // 50 * 500 AS s,
+  l_orderkey // 50 * 500 + CAST(l_quantity AS BIGINT) * 12 AS e FROM lineitem),
+m AS (SELECT *, MAX(e) OVER (PARTITION BY flag ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM w),
+i AS (SELECT *, SUM(CASE WHEN seen IS NULL OR s > seen + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY flag ORDER BY s, e
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)
+SELECT flag, CAST(island AS BIGINT) AS island, MIN(s) AS s, MAX(e) AS e, COUNT(*) AS merged FROM i GROUP BY 1, 2
+""")
+def e9n(spark, sf):
+    w = fx.table(spark, sf, "lineitem").selectExpr(
+        "CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag", "l_orderkey div 50 * 500 AS s",
+        "l_orderkey div 50 * 500 + CAST(l_quantity AS BIGINT) * 12 AS e")
+    return sampling.merge_intervals(w, ["flag"], "s", "e")
+
+
 @query("e9_merge_intervals", """
 , w AS (SELECT l_suppkey, l_orderkey * 10 AS s, l_orderkey * 10 + CAST(l_quantity AS BIGINT) * 4 AS e FROM lineitem),
 m AS (SELECT *, MAX(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM w),

@@ -8,23 +8,6 @@ from pyspark.sql.types import StructType
 
 from ..functions.scores import cwe_label
 
-SPREAD_BYTES = 2 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input is too few splits to use them.
-
-    A single file of one row group is one task however long its rows take. An
-    input that already has as many splits as there are cores is left alone.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < SPREAD_BYTES or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 ISSUE = (
     "STRUCT<filename:STRING, line_number:INT, test_id:STRING, test_name:STRING, "
     "issue_severity:STRING, issue_confidence:STRING, issue_text:STRING, issue_cwe:STRUCT<id:INT>>"
