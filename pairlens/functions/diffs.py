@@ -7,8 +7,8 @@ from .draws import col
 from .paths import norm_path
 from .text import lines
 
+# Fixed value: the format of a git file header.
 GIT_HEADER = r"(?md)^diff --git a/(.+?) b/(.+?)$"
-HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
 def _count(ls: Column, keep) -> Column:

@@ -12,6 +12,7 @@ OUTSIDE, CONTEXT = "UNCHANGED_OUTSIDE_DIFF", "CONTEXT_LINE_IN_HUNK"
 ADDED, NO_DIFF = "ADDED_IN_PATCH", "UNCHANGED_NO_DIFF"
 
 STRICT_HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+# The formats of unified diffs, with the deviations that models produce.
 LOOSE_HUNK = r"^@@+\s*-(\d+)(?:,(\d+))?\s+\+(\d+)(?:,(\d+))?\s*@@+(.*)$"
 GIT_HEADER = r"^diff --git\s+(\S+)\s+(\S+)\s*$"
 STAMP = r"\s+\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:\s*[+-]\d{4})?\s*$"
@@ -281,21 +282,26 @@ def relocate_hunks(
     one before. The fold runs inside the row of one file section.
     """
     keys = list(keys)
+
+    def rstrip(a):
+        return F.transform(a, lambda v: F.regexp_replace(v, r"\s+$", ""))
+
+    def strip(a):
+        return F.transform(a, lambda v: F.regexp_replace(v, r"^\s+|\s+$", ""))
+
+    def forms(a, name):
+        # The three forms that are compared, made once per block and file.
+        return [a.alias(name), rstrip(a).alias(f"{name}_r"), strip(a).alias(f"{name}_s")]
+
     h = _hunks(hunk_lines(diffs, keys, patch), keys)
     sections = h.groupBy(*keys, "file_id", F.col("old_path").alias(path)).agg(
         F.array_sort(F.collect_list(F.struct(
-            "hunk_id", "old_start", _side(F.col("body"), " -").alias("block")
+            "hunk_id", "old_start", *forms(_side(F.col("body"), " -"), "block")
         ))).alias("_hs")
     ).where(F.col(path) != "/dev/null")
     source = F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n")
     joined = sections.join(files.select(path, source.alias("_src")), path, "left")
 
-    def rstrip(a):
-        return F.transform(a, lambda v: F.regexp_replace(v, r"\s+$", ""))
-
-    def strip(a):
-        return F.transform(a, lambda v: F.regexp_replace(v, r"^\s+|\s+$", ""))
-
     joined = joined.withColumns({"_src_r": rstrip(F.col("_src")), "_src_s": strip(F.col("_src"))})
     item = "array<struct<hunk_id:bigint,old_start:int,found:int>>"
 
@@ -303,8 +309,8 @@ def relocate_hunks(
         floor, hint, block = state["floor"], hunk["old_start"] - 1, hunk["block"]
         spot = F.coalesce(
             _find(F.col("_src"), block, floor, hint),
-            _find(F.col("_src_r"), rstrip(block), floor, hint),
-            _find(F.col("_src_s"), strip(block), floor, hint),
+            _find(F.col("_src_r"), hunk["block_r"], floor, hint),
+            _find(F.col("_src_s"), hunk["block_s"], floor, hint),
         )
         placed = F.struct(
             hunk["hunk_id"].cast("long").alias("hunk_id"), hunk["old_start"].cast("int").alias("old_start"),

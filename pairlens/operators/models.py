@@ -267,7 +267,7 @@ def impurity_importance(spark, fits: Sequence[tuple]) -> DataFrame:
 
 
 def interaction_test(df: DataFrame, features: Sequence[str], column: str, values: Sequence[str], splits: DataFrame,
-                     group: str, label: str, replicates: int = 1000) -> DataFrame:
+                     group: str, label: str, replicates: int = 10_000) -> DataFrame:
     """Additive against interaction model over the same runs (AUC deltas and tests)."""
     from .stats import paired_delta
 

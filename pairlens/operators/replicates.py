@@ -89,7 +89,7 @@ def _interval(reps: DataFrame, by: Sequence[str], value: str, alpha: float) -> D
 
 
 def bootstrap_mean_ci(df: DataFrame, by: Sequence[str], value: str, ids: Sequence[str],
-                      replicates: int = 1000, seed: int = 2026, alpha: float = 0.05) -> DataFrame:
+                      replicates: int = 10_000, seed: int = 2026, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the mean of every group."""
     sums = replicate_sums(df, by, value, ids, replicates, seed)
     means = sums.where("w > 0").withColumn("_m", F.col("wv") / F.col("w"))
@@ -97,7 +97,7 @@ def bootstrap_mean_ci(df: DataFrame, by: Sequence[str], value: str, ids: Sequenc
 
 
 def bootstrap_median_ci(df: DataFrame, by: Sequence[str], value: str, ids: Sequence[str],
-                        replicates: int = 1000, seed: int = 2026, alpha: float = 0.05) -> DataFrame:
+                        replicates: int = 10_000, seed: int = 2026, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the median of every group.
 
     The median of a resample is an order statistic of uniform draws read off
@@ -277,7 +277,7 @@ def permutation_counts(cells: DataFrame, value: str, count: str, groups: dict[st
     return sharded.groupBy("_shard").applyInPandas(run, schema)
 
 
-def permutation_chi_square(df: DataFrame, group: str, category: str, replicates: int = 300, seed: int = 123) -> DataFrame:
+def permutation_chi_square(df: DataFrame, group: str, category: str, replicates: int = 500, seed: int = 123) -> DataFrame:
     """Chi-square with a permutation p-value; cost depends on the margins only."""
     from .compare import chi_square
 
@@ -325,7 +325,7 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     return t.select(F.col("k").alias("n_groups"), "n", f.alias("f_stat"))
 
 
-def permutation_anova(df: DataFrame, group: str, value: str, replicates: int = 500, seed: int = 42) -> DataFrame:
+def permutation_anova(df: DataFrame, group: str, value: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """One-way F with the label-permutation p-value; ``method`` says how labels were drawn.
 
     Values are counted first; a replicate needs only the group sums of its

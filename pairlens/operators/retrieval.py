@@ -16,6 +16,7 @@ STOP_WORDS = [
 ]
 # Weights of symbols, quoted terms, plain words and definition lines.
 W_SYMBOL, W_QUOTED, W_WORD, W_DEFINITION = 10, 8, 1, 20
+# Fixed value: the format of a traceback line.
 TRACE = r"""File\s+["']([^"']+\.py)["'],\s+line\s+(\d+)"""
 
 
@@ -128,20 +129,22 @@ def line_scores(files: DataFrame, terms: DataFrame, keys: Sequence[str], text: s
     """
     keys = list(keys)
 
-    def score(line):
+    def prepared(line):
         low = F.lower(line)
-        head = F.regexp_replace(low, r"^\s+", "")
+        return F.struct(low.alias("low"), F.regexp_replace(low, r"^\s+", "").alias("head"))
 
+    def score(line):
         def add(total, t):
-            defines = F.startswith(head, F.concat(F.lit("class "), t["term"])) | F.startswith(
-                head, F.concat(F.lit("def "), t["term"]))
+            defines = F.startswith(line["head"], F.concat(F.lit("class "), t["term"])) | F.startswith(
+                line["head"], F.concat(F.lit("def "), t["term"]))
             gain = t["weight"] + F.when(defines, W_DEFINITION).otherwise(0)
-            return total + F.when(F.contains(low, t["term"]), gain).otherwise(0)
+            return total + F.when(F.contains(line["low"], t["term"]), gain).otherwise(0)
 
         return F.aggregate("terms", F.lit(0), add)
 
     joined = files.join(terms.select(*keys, "terms"), keys).withColumn("_ls", lines(text))
-    scored = F.transform("_ls", lambda x, i: F.struct(score(x).alias("score"), i.alias("index")))
+    # Lower case and indentation are taken off once per line, not once per term.
+    scored = F.transform(F.transform("_ls", prepared), lambda x, i: F.struct(score(x).alias("score"), i.alias("index")))
     return joined.withColumn(out, F.filter(scored, lambda s: s["score"] > 0)).drop("terms")
 
 

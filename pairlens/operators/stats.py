@@ -382,7 +382,7 @@ def run_deltas(runs: DataFrame, run: Sequence[str], arm: str, a: str, b: str, me
 
 
 def paired_delta(runs: DataFrame, run: Sequence[str], arm: str, a: str, b: str, metrics: Sequence[str],
-                 replicates: int = 1000, seed: int = 2026) -> DataFrame:
+                 replicates: int = 10_000, seed: int = 2026) -> DataFrame:
     """Summary of paired runs: means, signs, bootstrap interval, tests and FDR."""
     from .ranks import quantiles
     from .replicates import bootstrap_mean_ci

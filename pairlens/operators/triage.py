@@ -141,7 +141,7 @@ POLICY_METRICS = ["coverage", "workload_reduction", "finding_recall", "miss_rate
 
 
 def policy_summary(runs: DataFrame, policy: str, run: Sequence[str], metrics: Sequence[str] = POLICY_METRICS,
-                   replicates: int = 1000, seed: int = 2026) -> DataFrame:
+                   replicates: int = 20_000, seed: int = 2026) -> DataFrame:
     """Mean, deviation and bootstrap interval of every policy metric over runs."""
     from .descriptives import long
     from .replicates import bootstrap_mean_ci

@@ -73,7 +73,7 @@ def h4(spark, sf):
 @query("h5_balanced_rf")
 def h5(spark, sf):
     d = labelled_text(spark, sf)
-    m = md.balanced_rf(d, TEXT_FEATURES, "y", trees=20, depth=8)
+    m = md.balanced_rf(d, TEXT_FEATURES, "y", trees=100, depth=15)
     return m.transform(d).select("doc_id", "y", "y_score", "y_pred")
 
 
@@ -111,42 +111,46 @@ def h8(spark, sf):
     return tr.average_precision(preds(spark, sf), ["run"]).withColumns(r(["pr_auc"], 8))
 
 
+# Runs of the split-based queries. Each run is a Spark fit per set; the published 30 runs are a parameter.
+RUNS = 5
 SETS = {"size": ["ps_chars", "ps_lines", "ps_words"], "content": ["ps_questions", "ps_numeric_literal_count"]}
 
 
 @query("h9_evaluate_sets")
 def h9(spark, sf):
     d = labelled_text(spark, sf)
-    s = sp.group_splits(d, "source", 2, 0.3, 42)
+    s = sp.group_splits(d, "source", RUNS, 0.2, 42)
     return md.evaluate_sets(d, SETS, md.LR, s, "source", "y")
 
 
 @query("h10_leave_group_out")
 def h10(spark, sf):
     d = labelled_text(spark, sf)
-    s = sp.group_splits(d, "source", 2, 0.3, 42)
+    s = sp.group_splits(d, "source", RUNS, 0.2, 42)
     return md.leave_group_out(d, SETS, md.LR, s, "source", "y")
 
 
 @query("h11_permutation_importance")
 def h11(spark, sf):
-    d = labelled_text(spark, sf)
-    m = md.balanced_lr(d, SETS["size"], "y")
-    return md.importance_of(md.permutation_importance(m, d, "y", ["doc_id"], repeats=3))
+    d = stage(labelled_text(spark, sf))
+    # Fitted on the training groups, permuted on the test groups of the first split.
+    tagged = d.join(sp.group_splits(d, "source", 1, 0.2, 42).select("source", "is_test"), "source")
+    m = md.balanced_lr(tagged.where("is_test = 0"), SETS["size"], "y")
+    return md.importance_of(md.permutation_importance(m, tagged.where("is_test = 1"), "y", ["doc_id"], repeats=10))
 
 
 @query("h12_impurity_importance")
 def h12(spark, sf):
     d = labelled_text(spark, sf)
-    m = md.balanced_rf(d, TEXT_FEATURES, "y", trees=10, depth=5)
+    m = md.balanced_rf(d, TEXT_FEATURES, "y", trees=100, depth=15)
     return md.impurity_importance(spark, [(0, "full", "random_forest", m)])
 
 
 @query("h13_interaction_test")
 def h13(spark, sf):
     d = labelled_text(spark, sf)
-    s = sp.group_splits(d, "source", 2, 0.3, 42)
-    return md.interaction_test(d, ["ps_chars", "ps_questions"], "lang", ["de", "en", "es", "fr"], s, "source", "y", 200)
+    s = sp.group_splits(d, "source", RUNS, 0.2, 42)
+    return md.interaction_test(d, ["ps_chars", "ps_questions"], "lang", ["de", "en", "es", "fr"], s, "source", "y", 10_000)
 
 
 @query("h14_group_folds", """
@@ -159,7 +163,7 @@ def h14(spark, sf):
 
 @query("h14_oof_scores")
 def h14o(spark, sf):
-    return md.oof_scores(labelled_text(spark, sf), SETS["size"], "y", "source", 3, 42, keep=["doc_id"])
+    return md.oof_scores(labelled_text(spark, sf), SETS["size"], "y", "source", 5, 42, keep=["doc_id"])
 
 
 _IDS = "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)"
@@ -200,7 +204,7 @@ def h15t(spark, sf):
     f"SELECT run, policy, '{c}' AS metric, CAST({_PCOLS[c]} AS DOUBLE) AS v FROM m" for c in tr.POLICY_METRICS) +
        ") SELECT policy, metric, COUNT(*) AS n_runs, " + rs({"mean": "AVG(v)", "std": "stddev_samp(v)"}, 8) + " FROM l GROUP BY 1, 2", ["sc"])
 def h16(spark, sf):
-    s = tr.policy_summary(stage(_policies(spark, sf)), "policy", ["run"], replicates=200)
+    s = tr.policy_summary(stage(_policies(spark, sf)), "policy", ["run"], replicates=20_000)
     return s.drop("ci_low", "ci_high").withColumns(r(["mean", "std"], 8))
 
 
@@ -241,7 +245,7 @@ def h18(spark, sf):
 def i1(spark, sf):
     """All diffs are written as files, scored as a stream, and read back."""
     base = scratch(spark)
-    fx.diffs(spark, sf).select("case", "patch").repartition(4).write.parquet(f"{base}/in")
+    fx.diffs(spark, sf).select("case", "patch").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("case string, patch string").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     scores = scoring.score_stream(stream, SCORER, stage(case_features(spark, sf)), "case", "patch")
     scoring.run_scoring(scores, f"{base}/out", f"{base}/ck").awaitTermination()

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.staging import scratch
 from ..sources import cases, contracts, readers
 from . import fixtures as fx
 from .registry import query
@@ -85,7 +86,10 @@ def a4(spark, sf):
 @query("a5_require", """
 SELECT l_orderkey, l_linenumber, COUNT(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) <> 1""")
 def a5(spark, sf):
-    return contracts.violations(fx.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+    rows = contracts.require(
+        fx.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], forbidden=["y_true"],
+        unique=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"])
+    return contracts.violations(rows, ["l_orderkey", "l_linenumber"])
 
 
 @query("a5_constant_per_key", """
@@ -103,7 +107,9 @@ def a5b(spark, sf):
 SELECT CAST(NULL AS VARCHAR) AS model, p_brand AS repo, p_partkey, p_name, p_size FROM part""")
 def a6(spark, sf):
     p = fx.table(spark, sf, "part").selectExpr("p_partkey", "p_name", "p_brand AS repo", "p_size")
-    return readers.order_columns(p, ["model", "repo"])
+    path = scratch(spark)
+    readers.write_ordered(p, path, ["model", "repo"])
+    return spark.read.parquet(path)
 
 
 @query("a7_prepare_cases", """

@@ -339,7 +339,7 @@ def g1(spark, sf):
 
 @query("g2_permutation_chi_square")
 def g2(spark, sf):
-    return rp.permutation_chi_square(fx.raw_findings(spark, sf), "model", "cwe", 300)
+    return rp.permutation_chi_square(fx.raw_findings(spark, sf), "model", "cwe", 500)
 
 
 @query("g3_anova", """
@@ -354,18 +354,18 @@ def g3a(spark, sf):
 
 @query("g3_permutation_anova")
 def g3(spark, sf):
-    return rp.permutation_anova(fx.outcomes(spark, sf), "event_type", "n", 500)
+    return rp.permutation_anova(fx.outcomes(spark, sf), "event_type", "n", 1000)
 
 
-_REPS = 200
+_REPS, _BOOT_REPS = 1000, 10_000
 
 
-def _replicates(seed: int) -> str:
+def _replicates(seed: int, n: int = _REPS) -> str:
     def word(kind: str) -> str:
         return fx.h32(f"'{seed}|' || r || '|{kind}'")
 
     return (f"k AS (SELECT r, 1 + {word('a')} % {PRIME - 1} AS a, 1 + {word('c')} % {PRIME - 1} AS c, {word('b')} % {PRIME} AS b "
-            f"FROM range(1, {_REPS + 1}) t(r))")
+            f"FROM range(1, {n + 1}) t(r))")
 
 
 _CUT = " + ".join(f"CAST(u >= {c} AS INTEGER)" for c in POISSON_CUTS)
@@ -584,7 +584,7 @@ def g17(spark, sf):
 
 
 _BOOT = f"""
-, {_replicates(2026)},
+, {_replicates(2026, _BOOT_REPS)},
 u AS (SELECT r, g, v, (a * (x % {PRIME}) + c * (y % {PRIME}) + b) % {PRIME} AS u FROM src, k),
 m AS (SELECT r, g, SUM(v * w) / SUM(w) AS m FROM (SELECT r, g, v, {_CUT} AS w FROM u) GROUP BY 1, 2 HAVING SUM(w) > 0)
 SELECT g AS {{g}}, ROUND(quantile_cont(m, 0.025), 6) AS ci_low, ROUND(quantile_cont(m, 0.975), 6) AS ci_high, COUNT(*) AS replicates FROM m GROUP BY 1"""
@@ -595,13 +595,13 @@ SELECT event_type AS g, CAST(total AS DOUBLE) AS v, {fx.h32("user_id || '|' || e
 
 @query("g18_bootstrap_ci", _BOOT.format(g="event_type"), ["src"])
 def g18(spark, sf):
-    b = rp.bootstrap_mean_ci(fx.outcomes(spark, sf), ["event_type"], "total", ["user_id", "event_type"], _REPS, 2026)
+    b = rp.bootstrap_mean_ci(fx.outcomes(spark, sf), ["event_type"], "total", ["user_id", "event_type"], _BOOT_REPS, 2026)
     return b.withColumns(r(["ci_low", "ci_high"]))
 
 
 @query("g18_bootstrap_median_ci")
 def g18m(spark, sf):
-    return rp.bootstrap_median_ci(fx.outcomes(spark, sf), ["event_type"], "total", ["user_id", "event_type"], 500)
+    return rp.bootstrap_median_ci(fx.outcomes(spark, sf), ["event_type"], "total", ["user_id", "event_type"], _BOOT_REPS)
 
 
 @query("g19_rank_biserial", "," + _signed_rank("deltas", "pair") + """
@@ -621,7 +621,7 @@ g AS (SELECT metric, COUNT(*) AS n_runs, """ + rs({
 SELECT g.*, CAST(least(w_plus, w_minus) AS DOUBLE) AS wilcoxon_stat, ROUND((w_plus - w_minus) / (w_plus + w_minus), 8) AS rank_biserial
 FROM g JOIN s ON g.metric = s.metric""", ["outcomes"])
 def g20(spark, sf):
-    p = stats.paired_delta(fx.outcomes(spark, sf), ["user_id"], "event_type", "click", "view", ["total", "n"], 200)
+    p = stats.paired_delta(fx.outcomes(spark, sf), ["user_id"], "event_type", "click", "view", ["total", "n"])
     p = p.withColumns({**r(["mean_a", "mean_b", "mean_delta", "std_delta", "median_delta"], 5), **r(["rank_biserial"], 8)})
     return p.drop("ci_low", "ci_high", "p_two_sided", "p_a_greater", "p_b_greater", "q_two_sided", "q_a_greater", "q_b_greater")
 

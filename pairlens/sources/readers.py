@@ -59,7 +59,9 @@ def read_findings(spark: SparkSession, path: str, phase: str) -> DataFrame:
         .option("pathGlobFilter", f"*{suffix}")
         .json(path)
     )
-    keyed = raw.withColumns(path_keys(F.col("_metadata.file_path"), suffix))
+    # The metadata path is URI-encoded, the path of whole files is not: one key for both.
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    keyed = raw.withColumns(path_keys(plain, suffix))
     return flatten_report(keyed.withColumn("phase", F.lit(phase)))
 
 

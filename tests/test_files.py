@@ -32,6 +32,16 @@ def test_read_findings(spark, runs):
     assert readers.read_findings(spark, str(runs), "before").count() == 2
 
 
+def test_encoded_paths_give_one_key(spark, tmp_path):
+    (tmp_path / "m 1" / "reports").mkdir(parents=True)
+    (tmp_path / "m 1" / "metadata").mkdir()
+    (tmp_path / "m 1" / "reports" / "a b+c_after.json").write_text(json.dumps({"results": [{"filename": "x.py"}]}))
+    (tmp_path / "m 1" / "metadata" / "a b+c.json").write_text("{}")
+    found = readers.read_findings(spark, str(tmp_path / "m 1"), "after").first()
+    meta = readers.read_run_metadata(spark, str(tmp_path / "m 1" / "metadata")).first()
+    assert (found["case"], found["source_dir"]) == (meta["case"], meta["source_dir"]) == ("a b+c", "m 1")
+
+
 def test_read_run_metadata(spark, runs):
     m = {r["case"]: r for r in readers.read_run_metadata(spark, str(runs / "m1" / "metadata")).collect()}
     assert m["case-1"]["metadata_ok"] == 1 and m["case-1"]["actual_changed_files"] == ["a.py"]

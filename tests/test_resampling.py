@@ -96,3 +96,27 @@ def test_hypergeometric_beyond_numpy_range():
     rng = np.random.default_rng(0)
     out = rp._draw_hypergeometric(rng, np.full(200, 3_000_000_000), np.full(200, 1_000_000_000), np.full(200, 1_000_000))
     assert abs(out.mean() - 750_000) < 200 and out.std() < 2000
+
+
+def test_ids_that_share_their_first_word_get_different_weights():
+    """Row ids of 62 bits: with 31 bits two such rows would have one weight in every replicate."""
+    from pairlens.functions.draws import PRIME, replicate_constants
+
+    a, c, b = replicate_constants(5, 4000)
+    x, y1, y2 = 123456, 777, 778
+    u1, u2 = (a * x + c * y1 + b) % PRIME, (a * x + c * y2 + b) % PRIME
+    assert abs(np.corrcoef(u1, u2)[0, 1]) < 0.06 and abs(u1.mean() / PRIME - 0.5) < 0.02
+
+
+def test_tree_allocation_keeps_margins_and_means():
+    from pairlens.operators.replicates import _descend
+
+    totals, sizes, reps = [40, 10, 25, 25, 100], [120, 80], 3000
+    parts = np.stack([_descend(3, totals, sizes, reps, k) for k in range(len(totals))])
+    assert (parts.sum(axis=1) == np.array(totals)[:, None]).all()
+    assert (parts.sum(axis=0) == np.array(sizes)[:, None]).all()
+    want = np.array(totals)[:, None] * np.array(sizes) / 200
+    assert np.abs(parts.mean(axis=2) - want).max() < 0.4
+    # The variance of a hypergeometric count.
+    v = 100 * 0.6 * 0.4 * (100 / 199)
+    assert abs(parts[4, 0].var() / v - 1) < 0.15
