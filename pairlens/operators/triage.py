@@ -5,8 +5,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ranks import ranked
-from .sampling import top_fraction
+from ..functions.draws import md5_draw, md5_hex
+from .keys import key_join
+from .ranks import draw_positions, ranked
+from .staging import stage
 
 # The review policies.
 RECALL_TARGETS = {"recall_90": 0.90, "recall_95": 0.95}
@@ -101,40 +103,43 @@ def _policy_ratios(g: DataFrame) -> DataFrame:
     })
 
 
-def policy_counts(selected: DataFrame, by: Sequence[str], y: str, flag: Column) -> DataFrame:
-    """Metrics of one selection per group."""
-    pos = F.col(y) == 1
-    return _policy_ratios(selected.groupBy(*by).agg(
-        F.count_if(pos & flag).alias("tp"), F.count_if(~pos & flag).alias("fp"),
-        F.count_if(pos & ~flag).alias("fn"), F.count_if(~pos & ~flag).alias("tn"),
-    ))
-
-
 def policy_metrics(test: DataFrame, by: Sequence[str], y: str, score: str, tie: Sequence[str],
                    thresholds: DataFrame, fixed: float = 0.5) -> DataFrame:
-    """Every review policy on the test rows of every run.
+    """Every review policy on the scored test rows of every run.
 
     ``thresholds`` holds one column per recall policy, fitted on training rows.
+    All policies are sums over one table of distinct scores. A top fraction
+    ends inside one score at most; only the rows of that score are ordered.
     """
     by = list(by)
+    table = stage(_curve(test, by, y, score))
     names = [c for c in thresholds.columns if c not in by]
-    base = test.join(thresholds, by, "left") if by else test
+    above = F.col("total") - F.col("below") - F.col("n")
+    quota = {n: F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(float(f)))) for n, f in TOP_FRACTIONS.items()}
     flags = {"always": F.lit(True), f"fixed_{int(fixed * 100)}": F.col(score) >= fixed,
-             **{n: F.coalesce(F.col(score) >= F.col(n), F.lit(False)) for n in names}}
-    cells = F.array(*[F.struct(F.lit(n).alias("policy"), f.alias("sel")) for n, f in flags.items()])
-    out = base.select(*by, F.col(y).alias("_y"), F.explode(cells).alias("_c")).select(*by, "_y", "_c.*")
-    # Run-level sums of a flag per policy: combined before the shuffle.
-    result = policy_counts(out, [*by, "policy"], "_y", F.col("sel"))
-    whole = test.where(F.col(score).isNotNull()).groupBy(*by).agg(
-        F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) != 1).alias("_n"))
-    for name, share in TOP_FRACTIONS.items():
-        taken = top_fraction(test, by, score, share, tie).groupBy(*by).agg(
-            F.count_if(F.col(y) == 1).alias("tp"), F.count_if(F.col(y) != 1).alias("fp"))
-        cells = whole.join(taken, by).select(
-            *by, F.lit(name).alias("policy"), "tp", "fp",
-            (F.col("_p") - F.col("tp")).alias("fn"), (F.col("_n") - F.col("fp")).alias("tn"))
-        result = result.unionByName(_policy_ratios(cells))
-    return result
+             **{n: F.coalesce(F.col(score) >= F.col(n), F.lit(False)) for n in names},
+             **{n: above + F.col("n") <= k for n, k in quota.items()}}
+    cut = {n: (above < k) & (above + F.col("n") > k) for n, k in quota.items()}
+    sums = key_join(table, thresholds, by, "left").groupBy(*by).agg(
+        F.max("total").alias("_n"), F.max("_y_total").alias("_p"),
+        *[F.sum(F.when(f, F.col("n")).otherwise(0)).alias(f"_s_{n}") for n, f in flags.items()],
+        *[F.sum(F.when(f, F.col("_y")).otherwise(0)).alias(f"_t_{n}") for n, f in flags.items()],
+    )
+    cells = F.array(*[F.struct(F.lit(n).alias("policy"), F.col(f"_s_{n}").alias("_sel"), F.col(f"_t_{n}").alias("tp")) for n in flags])
+    whole = sums.select(*by, "_n", "_p", F.explode(cells).alias("_c")).select(*by, "_n", "_p", "_c.*")
+    ends = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("policy"), (quota[n] - above).cast("long").alias("_need")))
+                                     for n, c in cut.items()]))
+    split = table.select(*by, score, F.explode(ends).alias("_c")).select(*by, score, "_c.*")
+    rows = key_join(test.select(*by, score, F.col(y).alias("_y"), md5_draw(*tie).alias("_d"), md5_hex(*tie).alias("_h")),
+                    split, [*by, score])
+    taken = draw_positions(rows, [*by, "policy", "_need"], F.col("_d"), keep=F.col("_need"), tie=["_h"])
+    extra = taken.groupBy(*by, "policy").agg(F.count(F.lit(1)).alias("_more"), F.count_if(F.col("_y") == 1).alias("_hit"))
+    g = key_join(whole, extra, [*by, "policy"], "left").select(
+        *by, "policy", "_n", "_p", (F.col("_sel") + F.coalesce("_more", F.lit(0))).alias("_sel"),
+        (F.col("tp") + F.coalesce("_hit", F.lit(0))).alias("tp"))
+    return _policy_ratios(g.select(
+        *by, "policy", "tp", (F.col("_sel") - F.col("tp")).alias("fp"), (F.col("_p") - F.col("tp")).alias("fn"),
+        (F.col("_n") - F.col("_p") - F.col("_sel") + F.col("tp")).alias("tn")))
 
 
 POLICY_METRICS = ["coverage", "workload_reduction", "finding_recall", "miss_rate", "precision_selected", "lift"]
