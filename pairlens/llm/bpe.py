@@ -15,7 +15,7 @@ then from the right side.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,17 +23,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import map_rows, text_bytes, text_key
+from .common import map_blocks, map_rows, text_bytes, text_key
 
 LEAF_CHARS = 1 << 15
 #: Neighbouring tokens that must be shared for a side to agree.
 AGREE = 2
 WORD_BYTES = 64
-WORDS_HELD = 200_000
+WORDS_HELD = 500_000
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 _LOADED: dict[int, "Codec"] = {}
 
 
+def _halves(word: bytes) -> tuple[bytes, ...]:
+    """A word in lower case and the ASCII punctuation after it, where a token never spans both."""
+    if b"<|" in word:  # may hold a special token
+        return (word,)
+    word = word.lower()
+    core = word.rstrip(_PUNCTUATION)
+    if not core or len(core) == len(word):
+        return (word,)
+    if core[-1] >= 0x80:
+        last = core[-4:].decode(errors="ignore")[-1:]
+        # Only letters that stay one letter in lower case.
+        if not ("\u00c0" <= last <= "\u024f" and last.isalpha() and len(last.lower()) == 1):
+            return (word,)
+    return core, word[len(core):]
+
+
 class Codec:
     """One process's tokenizer with the ids of the words it has met."""
 
@@ -47,45 +64,66 @@ class Codec:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.lists: list[list[int]] = []
-        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.first, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+
+    def _store(self, word: bytes, ids: Sequence[int]) -> None:
+        k, n = len(self.number), len(ids)
+        if k == len(self.first):
+            self.first, self.size = np.resize(self.first, 2 * k), np.resize(self.size, 2 * k)
+        if self.used + n > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + n))
+        self.flat[self.used:self.used + n] = ids
+        self.first[k], self.size[k] = self.used, n
+        self.used += n
+        self.number[word] = k
+
+    def _ids(self, word: bytes) -> np.ndarray:
+        k = self.number[word]
+        return self.flat[self.first[k]:self.first[k] + self.size[k]]
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Look up what is new among ``words``: a word and the punctuation after it are looked up apart."""
         if len(self.number) > WORDS_HELD:
             self.clear()
-        fresh = list(set(words).difference(self.number))
-        if not fresh:
-            return
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
-            self.number[w] = len(self.lists)
-            self.lists.append(e.ids)
-        new = self.lists[len(self.size):]
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for e in new for x in e), np.uint32, int(sizes.sum()))])
-
-    def encode_words(self, words: list[bytes]) -> np.ndarray:
-        self._learn(words)
-        k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        size = self.size[k]
-        total = int(size.sum())
-        return self.flat[np.repeat(self.first[k] - (np.cumsum(size) - size), size) + np.arange(total)]
+        fresh = [w for w in set(words).difference(self.number) if len(w) <= WORD_BYTES]
+        parts = {w: _halves(w) for w in fresh}
+        pieces = list({p for pair in parts.values() for p in pair}.difference(self.number))
+        blocks = [pieces[k:k + 512] for k in range(0, len(pieces), 512)]
+        texts = [[p.decode() for p in b] for b in blocks]
+        # Many pieces with a space between are one text; the places of tokens tell whose they are.
+        for block, words_, e in zip(blocks, texts, self.tokenizer.encode_batch([" ".join(t) for t in texts], add_special_tokens=False)):
+            starts = np.cumsum([0, *(len(w) + 1 for w in words_)])
+            ids, places = e.ids, np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+            cuts = np.searchsorted(places, starts).tolist()
+            for piece, a, b in zip(block, cuts, cuts[1:]):
+                self._store(piece, ids[a:b])
+        for w, pair in parts.items():
+            if w not in self.number:
+                self._store(w, np.concatenate([self._ids(p) for p in pair]))
 
     def encode(self, text: bytes) -> np.ndarray:
-        """The ids of a text; words of unusual length are not remembered."""
-        words = text.split()
-        if len(words) and max(map(len, words)) > WORD_BYTES:
-            parts, run = [], []
-            for w in words:
-                if len(w) > WORD_BYTES:
-                    parts.append(self.encode_words(run))
-                    parts.append(np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32))
-                    run = []
-                else:
-                    run.append(w)
-            return np.concatenate([*parts, self.encode_words(run)])
-        return self.encode_words(words)
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: Sequence[bytes]) -> list[np.ndarray]:
+        """The ids of each text; words of unusual length are not remembered."""
+        split = [t.split() for t in texts]
+        self.learn(w for words in split for w in words)
+        return [self._gather(words) for words in split]
+
+    def _gather(self, words: list[bytes]) -> np.ndarray:
+        try:
+            k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            runs: list[np.ndarray] = []
+            at = 0
+            for n, w in enumerate(words):
+                if w not in self.number:
+                    runs += [self._gather(words[at:n]), np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)]
+                    at = n + 1
+            return np.concatenate([*runs, self._gather(words[at:])])
+        size = self.size[k]
+        return self.flat[np.repeat(self.first[k] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
     def spans(self, text: str, at: int = 0) -> list[tuple[int, int, int]]:
         """(id, start, stop) of every token, places shifted by ``at``."""
@@ -196,8 +234,9 @@ def encode(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> DataFram
     spec = spark.sparkContext.broadcast(vocabulary(path))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), (F.length(text) > leaf_chars).alias("long"))
-    short = map_rows(rows.where("not long").select("doc_id", text_bytes().alias("__body")),
-                     lambda b: ((ids := codec(spec.value).encode(b)).size, _bytes(ids)), ["__body"], "n_tokens long, ids binary")
+    short = map_blocks(rows.where("not long").select("doc_id", text_bytes().alias("__body")),
+                       lambda texts: [(len(ids), _bytes(ids)) for ids in codec(spec.value).encode_batch(texts)],
+                       ["__body"], "n_tokens long, ids binary")
     wide = rows.where("long").select("doc_id", text_key().alias("tkey"), "text")
     count = F.floor((F.length("text") - 1) / leaf_chars).cast("int")
     leaves = (wide.dropDuplicates(["doc_id", "tkey"]).select("doc_id", "tkey", "text", F.explode(F.sequence(F.lit(0), count)).alias("no"))
