@@ -19,7 +19,7 @@ SHARDS = 16
 
 
 def offsets(counts: DataFrame, keys: list[str], bucket: str, span: int = 1024) -> DataFrame:
-    """``counts`` (keys, bucket, n) with ``before``: the rows of the buckets before within ``keys``.
+    """``counts`` (keys, bucket, n) with ``before`` and ``total``: the rows of the buckets before and of all, within ``keys``.
 
     Two levels: windows see ``span`` buckets, or the sums of ``span`` buckets.
     """
@@ -27,14 +27,18 @@ def offsets(counts: DataFrame, keys: list[str], bucket: str, span: int = 1024) -
     inner = Window.partitionBy(*keys, "block").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     at = counts.withColumn("block", block)
-    sums = at.groupBy(*keys, "block").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(outer), F.lit(0)))
+    sums = at.groupBy(*keys, "block").agg(F.sum("n").alias("m")).withColumns({
+        "base": F.coalesce(F.sum("m").over(outer), F.lit(0)), "total": F.sum("m").over(Window.partitionBy(*keys))})
     return (at.withColumn("within", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-            .join(sums.select(*keys, "block", "base"), [*keys, "block"])
-            .select(*keys, bucket, (F.col("base") + F.col("within")).alias("before")))
+            .join(sums.select(*keys, "block", "base", "total"), [*keys, "block"])
+            .select(*keys, bucket, (F.col("base") + F.col("within")).alias("before"), "total"))
 
 
 def placed(rows: DataFrame, keys: list[str], bucket: str, order: list[Column], out: str) -> DataFrame:
-    """``rows`` with their position in ``keys``, by ``bucket`` and then ``order``."""
+    """``rows`` with their position in ``keys``, by ``bucket`` and then ``order``, and the ``total`` of their keys.
+
+    Rows meet these numbers by key and bucket, so that a hot key stays dealt out.
+    """
     before = offsets(rows.groupBy(*keys, bucket).agg(F.count("*").alias("n")), keys, bucket)
     inside = F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)) - 1
     return (rows.withColumn("inside", inside).join(before, [*keys, bucket])
@@ -52,7 +56,6 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 7, group_rows:
     rows = stage(docs.select(
         "doc_id", F.struct("source").alias("s"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(F.lit(seed), "doc_id", text).alias("draw")))
-    totals = rows.groupBy("s").agg(F.count("*").alias("total"))
     n = rows.count()
     # A draw is uniform over 64 bits: its top bits make buckets of about group_rows rows.
     bits = max(0, min(30, (max(n, 1) // group_rows).bit_length()))
@@ -60,7 +63,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 7, group_rows:
     ranked = placed(rows.withColumn("bucket", first), ["s"], "bucket", [F.col("draw"), F.col("doc_id"), F.col("crc")], "rank")
     parts = max(1, n // group_rows)
     fraction = (2 * F.col("rank") + 1) / (2 * F.col("total"))
-    mixed = (stage(ranked.drop("bucket")).join(totals, "s").withColumn("fraction", fraction)
+    mixed = (stage(ranked.drop("bucket")).withColumn("fraction", fraction).drop("total")
              .withColumn("part", F.least(F.floor(F.col("fraction") * parts), F.lit(parts - 1)).cast("long")).withColumn("all", F.lit(0)))
     order = [F.col("fraction"), F.col("s"), F.col("draw"), F.col("doc_id"), F.col("crc")]
     at = placed(mixed, ["all"], "part", order, "at")
