@@ -27,18 +27,26 @@ SHARD_ROWS = 4096
 _PAIRS = [(i, j) for i in range(4) for j in range(i)]
 
 
-def fingerprint_of(text: bytes, width: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of one text as a signed integer."""
+def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
+    """The hash of every run of ``width`` words; a text of fewer words is one run."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     n = max(len(words) - width + 1, 1)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1)[:n].tolist()
     stops = (ends - 1)[min(width, len(words)) - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[a:b], 42) for a, b in zip(starts, stops)], "<u8")
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts, stops)], "<u8")
+
+
+def fingerprint_of(text: bytes, width: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of one text as a signed integer."""
+    h = shingle_hashes(text, width)
+    n = len(h)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 8192):  # a block of bits at a time, for very long texts
         ones += np.unpackbits(h[k:k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

@@ -140,3 +140,78 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (901, 900), (900, 902)], "a long, b long")
     found = {r.node: r.root for r in components(edges, "a", "b").collect()}
     assert found == {**{k: 0 for k in range(1, 201)}, 901: 900, 902: 900}
+
+
+def plain_shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return frozenset(tuple(words[k:k + width]) for k in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def plain_copies(texts, least=0.8):
+    """The number of each text's component under exact Jaccard similarity of all pairs."""
+    sets, parent = [plain_shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for k, a in enumerate(sets):
+        for j, b in enumerate(sets[:k]):
+            if a == b or len(a & b) >= least * len(a | b):
+                x, y = sorted((root(j), root(k)))
+                parent[y] = x
+    return [root(k) for k in range(len(texts))]
+
+
+def planted_copies():
+    """Texts, copies with single words changed so that the similarity lies on both sides of 0.8, and clean texts."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(900)]
+    texts = []
+    for k in range(40):
+        base = [r.choice(words) for _ in range(r.choice([30, 60, 150, 400]))]
+        texts.append(" ".join(base))
+        for changes in (1, len(base) // 60, len(base) // 45, len(base) // 40, len(base) // 30, len(base) // 10):
+            copy = list(base)
+            for at in r.sample(range(len(base)), changes):
+                copy[at] = "changed" + str(r.random())
+            texts.append(" ".join(copy))
+    shared = " ".join(r.choice(words) for _ in range(40))  # a passage that many clean texts hold
+    texts += [" ".join(r.choice(words) for _ in range(80)) + " " + shared for _ in range(40)]
+    hot = [r.choice(words) for _ in range(100)]  # a large group, near its middle but not always near each other
+    for k in range(80):
+        copy = list(hot)
+        for at in r.sample(range(100), r.randint(1, 3)):
+            copy[at] = f"hot{k}x{at}"
+        texts.append(" ".join(copy))
+    return texts + ["", None, "one", "One", "one two three four"]
+
+
+@pytest.mark.parametrize("pairs_per_node", [0, 4])
+def test_near_copies_by_brute_force(spark, get, monkeypatch, pairs_per_node):
+    from pairlens.llm import near_copies as N
+
+    monkeypatch.setattr(N, "PAIRS_PER_NODE", pairs_per_node)
+    texts = planted_copies()
+    roots = plain_copies(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = N.copy_representatives(docs)
+    assert get(left.select("doc_id")) == [(k,) for k in sorted(set(roots))]
+    assert 100 < len(set(roots)) < len(texts) - 150
+
+
+def test_near_stage_removes_copies_and_keeps_clean(spark, sf, get):
+    import corpus_pipeline
+
+    texts = planted_copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert get(corpus_pipeline.near_dedup(spark, docs, sf).select("doc_id")) == [(k,) for k in sorted(set(plain_copies(texts)))]
+
+
+def test_near_copies_on_nasty_rows(docs, none, rows):
+    from pairlens.llm import near_copies as N
+
+    left = keep_rows(docs, N.copy_representatives(docs))
+    assert left.columns == docs.columns and left.count() == len(set(plain_copies([t for _, t, *_ in rows])))
+    assert keep_rows(none, N.copy_representatives(none)).count() == 0
