@@ -47,8 +47,15 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{16,}", hint="AKIA"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+# A private key: the header, and all up to its END line, where no other line of five hyphens comes before. Without END:
+# headers of the key and up to 240 lines of base64. The parts are counted so that the JVM's matcher does not recurse deeply.
+_PEM_HEAD, _PEM_END = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", r"-----END [A-Z ]{0,40}PRIVATE KEY-----"
+_PEM_GAP = r"""[\x20\x09-\x0D\\"'#>*|+,]+"""
+_PEM_FIELDS = r"(?:[\x20\x09-\x0D\\]+[A-Za-z-]{1,40}:\x20?[A-Za-z0-9,.-]+){0,4}"
+_PEM_LINES = rf"(?:{_PEM_GAP}[A-Za-z0-9+/=]{{16,}}){{0,60}}" * 4 + r"(?:[\x0A\x0D]+[A-Za-z0-9+/=]{1,15}(?:[\x0A\x0D]|$))?"
+_PEM = rf"{_PEM_HEAD}(?:[^-]*(?:-{{1,4}}[^-]+){{0,200}}{_PEM_END}|{_PEM_FIELDS}{_PEM_LINES})"
 RULES = BASE + (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", hint="PRIVATE KEY-----"),
+    Rule("pem", _PEM, version=2, hint="PRIVATE KEY-----"),
     Rule("hosting", r"gh[pousr]_[A-Za-z0-9]{36,}", hint="gh"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", hint="xox"),
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35}", hint="AIza"),
