@@ -1,12 +1,14 @@
 """License scans by an exact set-similarity join with license templates.
 
-A text block (a line) matches a template if it holds at least ``threshold`` of
+A text block matches a template if it holds at least ``threshold`` of
 the template's distinct words. Words are ordered by their frequency over the
 whole corpus, rarest first. A block that shares ``need`` words with a template
 must share one of the template's first ``size - need + 1`` words (prefix
 filter), must hold ``need`` template words at all (length filter), and at the
 first shared word enough words must be left on both sides (positional filter).
 Only words of templates count: a block's other words cannot be shared.
+Blocks are the lines of a text and, so that wrapped notices are found, the windows of consecutive words across
+lines that are as long as the template, longer by the part that may be missing (``span_of``). Marks of comments are no words.
 Everything is DataFrame expressions.
 """
 from __future__ import annotations
@@ -78,6 +80,12 @@ def need_of(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
+def span_of(text: str, threshold: float) -> int:
+    """Consecutive words of a block that is to hold the template ``text``."""
+    words = "".join(c.lower() if c.isalnum() else " " for c in text).split()
+    return math.ceil(len(words) / threshold - 1e-9)
+
+
 def words_of(text: Column) -> Column:
     """Words of a text, A-Z in lower case."""
     body = F.btrim(F.translate(text, _UPPER, _LOWER), F.lit(_EDGES))
@@ -111,25 +119,31 @@ def frequencies(docs: DataFrame, words: Sequence[str]) -> dict[str, int]:
     return {r["word"]: r["count"] for r in found.collect()}
 
 
-def template_matches(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, tkey, block (its text), label, shared, size and containment of every block and template above the threshold.
-
-    Repeated lines give repeated rows.
-    """
+def _index(docs: DataFrame, templates: Sequence[Template], threshold: float) -> tuple:
+    """What both joins read: the templates with the ranks of their words, and the prefixes as a table."""
     spark = docs.sparkSession
     sets = [(k, t.label, template_words(t.text)) for k, t in enumerate(templates)]
     sets = [(k, label, words) for k, label, words in sets if words]
     vocabulary = sorted({w for _, _, words in sets for w in words})
     counts = frequencies(docs, vocabulary)
     rank = {w: n for n, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    ranked = [(k, label, sorted(rank[w] for w in words), need_of(len(words), threshold)) for k, label, words in sets]
+    ranked = [(k, label, sorted(rank[w] for w in words), need_of(len(words), threshold), span_of(templates[k].text, threshold)) for k, label, words in sets]
     prefixes = spark.createDataFrame(
-        [(k, label, len(r), need, r, j, r[j]) for k, label, r, need in ranked for j in range(len(r) - need + 1)],
-        "template int, label string, size int, need int, ranks array<int>, at int, word int")
-    rare = sorted({r[j] for _, _, r, need in ranked for j in range(len(r) - need + 1)})
-    least = min(need for *_, need in ranked)
+        [(k, label, len(r), need, span, r, j, r[j]) for k, label, r, need, span in ranked for j in range(len(r) - need + 1)],
+        "template int, label string, size int, need int, span int, ranks array<int>, at int, word int")
+    rare = sorted({r[j] for _, _, r, need, _ in ranked for j in range(len(r) - need + 1)})
+    least = min(need for _, _, _, need, _ in ranked)
     names = sorted(rank, key=rank.get)
     number = F.create_map(*(x for w in vocabulary for x in (F.lit(w), F.lit(rank[w]))))
+    return ranked, vocabulary, rank, prefixes, rare, least, names, number
+
+
+def template_matches(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, tkey, block (its text), label, shared, size and containment of every block and template above the threshold.
+
+    Repeated lines give repeated rows.
+    """
+    _, vocabulary, rank, prefixes, rare, least, names, number = _index(docs, templates, threshold)
     lines = blocks_of(docs).where(F.length("block") > 0)
     # The cheap test first: one of the rare words must stand in the line at all.
     held = F.array_distinct(F.filter(words_of(F.col("block")), lambda w: w.isin(vocabulary)))
@@ -145,6 +159,37 @@ def template_matches(docs: DataFrame, templates: Sequence[Template] = TEMPLATES,
         "doc_id", "tkey", "block", "template", "label", "shared", "size", (F.col("shared") / F.col("size")).alias("containment"))
 
 
+def window_matches(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, tkey, label and containment of every template that a window of its span reaches, in texts of several lines.
+
+    A window must hold one of the template's prefix words; around each of these
+    all windows are tried that begin at a shared word.
+    """
+    ranked, vocabulary, rank, prefixes, rare, least, names, number = _index(docs, templates, threshold)
+    widest = max(span for *_, span in ranked)
+    text = F.coalesce("text", F.lit(""))
+    rare_words = [names[r] for r in rare]
+    # The cheap test first: a text of several lines with one of the rare words.
+    words = docs.where(F.contains(text, F.lit("\n"))).select("doc_id", text_key().alias("tkey"), words_of(text).alias("words"))
+    some = words.where(F.exists("words", lambda w: w.isin(rare_words)))
+    held = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda x: x["w"].isin(vocabulary))
+    mine = F.transform(held, lambda x: F.struct(number[x["w"]].alias("word"), x["at"].alias("at")))
+    texts = some.select("doc_id", "tkey", mine.alias("mine")).where(F.size("mine") >= least)
+    rare_at = F.filter(F.transform("mine", lambda x, i: F.struct(x["word"].alias("word"), x["at"].alias("at"), i.alias("i"))),
+                       lambda x: x["word"].isin(rare))
+    # Words stand at rising places, so that a window has no more entries than words.
+    spots = F.transform(rare_at, lambda x: F.struct(x["word"].alias("word"), x["at"].alias("at"), F.slice(
+        "mine", F.greatest(x["i"] - widest, F.lit(0)) + 1, F.lit(2 * widest + 1)).alias("near")))
+    blocks = stage(texts.select("doc_id", "tkey", F.explode(spots).alias("s")).select("doc_id", "tkey", "s.*"))
+    met = blocks.join(prefixes.withColumnRenamed("at", "place"), "word")
+    own = F.filter("near", lambda x: F.array_contains("ranks", x["word"]) & (x["at"] > F.col("at") - F.col("span")) & (x["at"] < F.col("at") + F.col("span")))
+    close = met.withColumn("own", own).where(F.size("own") >= F.col("need"))
+    best = F.array_max(F.transform(F.filter("own", lambda x: x["at"] <= F.col("at")), lambda s: F.size(F.array_distinct(F.transform(
+        F.filter("own", lambda x: (x["at"] >= s["at"]) & (x["at"] < s["at"] + F.col("span"))), lambda x: x["word"])))))
+    return close.withColumn("shared", best).where("shared >= need").select(
+        "doc_id", "tkey", "label", (F.col("shared") / F.col("size")).alias("containment"))
+
+
 def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -152,7 +197,8 @@ def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, th
     is the best containment of a template, 0 without any. Null and empty texts
     have no words and no labels. Null and repeated ids are scanned row by row.
     """
-    best = template_matches(docs, templates, threshold).groupBy(F.col("doc_id").alias("d"), F.col("tkey").alias("t")).agg(
+    lines = template_matches(docs, templates, threshold).select("doc_id", "tkey", "label", "containment")
+    best = lines.unionAll(window_matches(docs, templates, threshold)).groupBy(F.col("doc_id").alias("d"), F.col("tkey").alias("t")).agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     words = F.col("words")
     rows = docs.select("doc_id", text_key().alias("tkey"), words_of(F.coalesce("text", F.lit(""))).alias("words"))

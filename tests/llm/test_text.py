@@ -55,6 +55,27 @@ def test_license_plan_is_native(docs, none):
     assert L.scan_licenses(none).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    """Every template, wrapped and behind comment marks, has its label; words scattered over a text have none."""
+    import textwrap
+
+    rows, want = [], {}
+    for t in L.TEMPLATES:
+        for width in (22, 40, 72):
+            for mark in ("", "# ", " * ", "// ", "-- "):
+                k = len(rows)
+                wrapped = "\n".join(mark + x for x in textwrap.wrap("Copyright (c) someone else. " + t.text, width))
+                rows.append((k, f"{mark}first line\n{mark}\n{wrapped}\n{mark}last line of a file"))
+                want[k] = t.label
+    scattered = len(rows)
+    rows.append((scattered, "\n".join(" and so it goes on with ".join([w, "x", "y", "z"]) for w in L.template_words(L.TEMPLATES[2].text))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in L.scan_licenses(docs).collect()}
+    assert [k for k, label in want.items() if label not in got[k].labels.split(",")] == []
+    assert all(got[k].score >= 0.85 for k in want)
+    assert got[scattered].labels == "" and got[scattered].score == 0
+
+
 def plain_cut(rows, window):
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, *_ in rows]
     seen = Counter(tuple(w[k:k + window]) for w in split for k in range(len(w) - window + 1))
