@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from ..functions import lexicons as lx, text as tx
 from ..operators import models as md, splits as sp, triage as tr
 from ..operators.staging import scratch, stage
 from ..streaming import scoring
@@ -11,14 +11,25 @@ from . import fixtures as fx
 from .q_stats import NUMERIC, num, r, rs
 from .registry import query
 
-TEXT_FEATURES = ["ps_chars", "ps_lines", "ps_words", "ps_questions", "ps_numeric_literal_count", "ps_words_per_line"]
+# All 49 statement features, by group.
+SETS = {
+    "density_complexity": [f"ps_{c}" for c in (
+        "chars", "lines", "words", "questions", "numeric_literal_count", "identifier_count", "bullet_count", "constraint_count",
+        "modal_count", "chars_per_line", "words_per_line", "identifier_density", "numeric_density")],
+    "technical_evidence": [f"ps_{c}" for c in (
+        "file_path_count", "unique_file_path_count", "test_reference_count", "traceback_count", "url_count", "code_fence_count")],
+    "security_semantics": [
+        *[f"ps_domain_{d}" for d in lx.STATEMENT_DOMAINS], *[f"ps_domain_{d}_count" for d in lx.STATEMENT_DOMAINS],
+        "ps_security_relevant_domain_count", "ps_explicit_security_term_count"],
+}
+TEXT_FEATURES = [f for fs in SETS.values() for f in fs]
 
 
 def labelled_text(spark, sf):
     """Labelled documents with statement features; group = source."""
     d = fx.table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
     j = fx.table(spark, sf, "labels").join(d, "doc_id").withColumn("y", F.col("quality"))
-    return stage(tx.density_features(j, "text").select("doc_id", "source", "lang", "y", "toxic", *TEXT_FEATURES))
+    return stage(tx.statement_features(j, "text").select("doc_id", "source", "lang", "y", "toxic", *TEXT_FEATURES))
 
 
 @query("h1_group_splits", f"""
@@ -111,16 +122,15 @@ def h8(spark, sf):
     return tr.average_precision(preds(spark, sf), ["run"]).withColumns(r(["pr_auc"], 8))
 
 
-# Runs of the split-based queries. Each run is a Spark fit per set; the published 30 runs are a parameter.
-RUNS = 5
-SETS = {"size": ["ps_chars", "ps_lines", "ps_words"], "content": ["ps_questions", "ps_numeric_literal_count"]}
+# Runs of the split-based queries, as published.
+RUNS = 30
 
 
 @query("h9_evaluate_sets")
 def h9(spark, sf):
     d = labelled_text(spark, sf)
     s = sp.group_splits(d, "source", RUNS, 0.2, 42)
-    return md.evaluate_sets(d, SETS, md.LR, s, "source", "y")
+    return md.evaluate_sets(d, {**SETS, "full": TEXT_FEATURES}, md.LR, s, "source", "y")
 
 
 @query("h10_leave_group_out")
@@ -135,7 +145,7 @@ def h11(spark, sf):
     d = stage(labelled_text(spark, sf))
     # Fitted on the training groups, permuted on the test groups of the first split.
     tagged = d.join(sp.group_splits(d, "source", 1, 0.2, 42).select("source", "is_test"), "source")
-    m = md.balanced_lr(tagged.where("is_test = 0"), SETS["size"], "y")
+    m = md.balanced_lr(tagged.where("is_test = 0"), TEXT_FEATURES, "y")
     return md.importance_of(md.permutation_importance(m, tagged.where("is_test = 1"), "y", ["doc_id"], repeats=10))
 
 
@@ -150,7 +160,7 @@ def h12(spark, sf):
 def h13(spark, sf):
     d = labelled_text(spark, sf)
     s = sp.group_splits(d, "source", RUNS, 0.2, 42)
-    return md.interaction_test(d, ["ps_chars", "ps_questions"], "lang", ["de", "en", "es", "fr"], s, "source", "y", 10_000)
+    return md.interaction_test(d, TEXT_FEATURES, "lang", ["de", "en", "es", "fr"], s, "source", "y", 10_000)
 
 
 @query("h14_group_folds", """
@@ -163,7 +173,7 @@ def h14(spark, sf):
 
 @query("h14_oof_scores")
 def h14o(spark, sf):
-    return md.oof_scores(labelled_text(spark, sf), SETS["size"], "y", "source", 5, 42, keep=["doc_id"])
+    return md.oof_scores(labelled_text(spark, sf), TEXT_FEATURES, "y", "source", 5, 42, keep=["doc_id"])
 
 
 _IDS = "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)"
@@ -197,7 +207,7 @@ def h15(spark, sf):
 
 @query("h15_triage_runs")
 def h15t(spark, sf):
-    return md.triage_runs(labelled_text(spark, sf), SETS["size"], "y", "source", ["doc_id"], runs=2)
+    return md.triage_runs(labelled_text(spark, sf), TEXT_FEATURES, "y", "source", ["doc_id"], runs=RUNS)
 
 
 @query("h16_policy_summary", _POLICY + ", l AS (" + " UNION ALL ".join(

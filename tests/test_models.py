@@ -150,3 +150,29 @@ def test_incomplete_units_are_left_out(spark):
     assert wide(df, ["u"], "g", "y", ["x", "y"]).count() == 1
     q = stats.cochran_q(spark.createDataFrame([("u", "x", 1), ("u", "y", 1)], "u string, g string, y int"), ["u"], "g", "y", ["x", "y"])
     assert q.first()["cochran_q"] is None and q.first()["p_value"] is None
+
+
+def test_model_queries_take_all_runs_and_features(spark, sf, monkeypatch):
+    """30 runs and the 49 statement features reach the operators."""
+    from pairlens.functions.text import statement_features
+    from pairlens.plans import q_models as q
+
+    made = statement_features(spark.createDataFrame([("x",)], "text string"), "text").columns[1:]
+    assert len(made) == 49 and sorted(q.TEXT_FEATURES) == sorted(made)
+    seen = {}
+
+    def take(name):
+        monkeypatch.setattr(q.md, name, lambda *a, **k: seen.setdefault(name, (a, k)))
+
+    for name in ("evaluate_sets", "leave_group_out", "interaction_test", "triage_runs", "oof_scores"):
+        take(name)
+    for run in (q.h9, q.h10, q.h13, q.h15t, q.h14o):
+        run(spark, sf)
+    assert set(q.TEXT_FEATURES) <= set(seen["evaluate_sets"][0][0].columns)
+    for name, at in (("evaluate_sets", 3), ("leave_group_out", 3), ("interaction_test", 4)):
+        assert seen[name][0][at].select("run").distinct().count() == 30
+    assert seen["triage_runs"][1]["runs"] == 30
+    assert seen["evaluate_sets"][0][1]["full"] == q.TEXT_FEATURES
+    assert sorted(f for fs in seen["leave_group_out"][0][1].values() for f in fs) == sorted(made)
+    for name in ("interaction_test", "triage_runs", "oof_scores"):
+        assert sorted(seen[name][0][1]) == sorted(made)
