@@ -10,6 +10,8 @@ from .bpe import decode, encode
 from .common import read
 from ..operators.staging import scratch
 from .exact_dedup import exact_duplicates
+from .filter_audit import audit_filters
+from .learned_partitions import nearest
 from .license_scan import NOT_WORD, PHRASES, TEMPLATES, THRESHOLD, need_of, scan_licenses, template_words
 from .packing import pack_documents
 from .quality_gam import classify_quality
@@ -18,6 +20,7 @@ from .secret_scan import BASE, RULES, listed, scan_secrets
 from .sharding import shard_rows
 from .simhash import hex_print, near_duplicates
 from .substrings import remove_repeats
+from .whitening import whiten_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,3 +171,49 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = decode(encode(read(spark, sf_dir, "documents"), path), path)
     return texts.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op11_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+m AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+j AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (len(w) < 50)::INT + 2 * (100 * list_unique(w) < 65 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false))::INT AS fails
+  FROM d LEFT JOIN m ON d.doc_id = m.doc_id),
+s AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM j GROUP BY part, fails),
+l(c, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT v.c || w.c || x.c || y.c || z.c AS filter_order,
+         [(1, v.b, 0), (2, w.b, v.b), (3, x.b, v.b + w.b), (4, y.b, v.b + w.b + x.b), (5, z.b, 31 - z.b)] AS steps
+  FROM l v, l w, l x, l y, l z WHERE v.b + w.b + x.b + y.b + z.b = 31 AND v.b | w.b | x.b | y.b | z.b = 31),
+k AS (SELECT filter_order, u[1] AS step, u[2] AS b, u[3] AS earlier FROM (SELECT filter_order, unnest(steps) AS u FROM o)),
+r AS (
+  SELECT part, filter_order, step, b, sum(n) FILTER (fails & (earlier | b) = 0) AS kept,
+         sum(n) FILTER (fails & b > 0 AND fails & earlier = 0) AS removed, sum(n) FILTER (fails & b > 0 AND fails & earlier > 0) AS redundant,
+         sum(n) FILTER (fails = b) AS unique_fails, sum(good) FILTER (fails & b > 0 AND fails & earlier = 0) AS good_lost,
+         sum(toxic) FILTER (fails & b > 0 AND fails & earlier = 0) AS toxic_lost
+  FROM s, k GROUP BY part, filter_order, step, b)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+       coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, sum(coalesce(removed, 0)) OVER (PARTITION BY part, b)::BIGINT AS shapley
+FROM r
+"""
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_vectors(read(spark, sf_dir, "embeddings"))
