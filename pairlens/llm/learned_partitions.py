@@ -23,7 +23,7 @@ FAN = 32
 #: Vectors of a partition that its split is learned from (its neighbour graph, classifiers and coverage).
 SAMPLE = 4096
 #: Part of the neighbours of held-out queries that the probed partitions of a split must hold.
-RECALL = 0.97
+RECALL = 0.95
 #: Vectors and queries that meet in one task; rows a model is applied to in one task.
 CANDIDATES, QUERIES, ROUTED = 8192, 4096, 65_536
 #: Queries whose scores are held at once.
