@@ -13,17 +13,17 @@ from .staging import stage
 UNIT = ["case", "model"]
 
 
-def restrict_to_touched(findings: DataFrame, touched: DataFrame) -> DataFrame:
+def restrict_to_touched(findings: DataFrame, touched: DataFrame, unit: Sequence[str] = tuple(UNIT)) -> DataFrame:
     """Findings whose path is touched in the same case and model."""
     return findings.join(
-        touched.select(*UNIT, "relative_filename").distinct(), [*UNIT, "relative_filename"], "left_semi"
+        touched.select(*unit, "relative_filename").distinct(), [*unit, "relative_filename"], "left_semi"
     )
 
 
-def touched_paths(runs: DataFrame, listed: str, parsed: str) -> DataFrame:
+def touched_paths(runs: DataFrame, listed: str, parsed: str, unit: Sequence[str] = tuple(UNIT)) -> DataFrame:
     """One row per touched path; the listed files win over the parsed ones."""
     files = F.when(F.size(F.coalesce(listed, F.array())) > 0, F.col(listed)).otherwise(F.col(parsed))
-    return runs.select(*UNIT, F.explode(files).alias("relative_filename")).distinct()
+    return runs.select(*unit, F.explode(files).alias("relative_filename")).distinct()
 
 
 def multiset_diff(
@@ -75,10 +75,10 @@ def matched_counts(before: DataFrame, after: DataFrame,
     return g.withColumns({"matched": m, "new": F.col("n_after") - m, "resolved": F.col("n_before") - m})
 
 
-def file_risk_flags(diffed: DataFrame) -> DataFrame:
+def file_risk_flags(diffed: DataFrame, keys: Sequence[str] = (*UNIT, "relative_filename")) -> DataFrame:
     """Whether the file of each finding has any HIGH finding, after and new."""
     diffed = stage(diffed)
-    keys = [*UNIT, "relative_filename"]
+    keys = list(keys)
     high = F.upper("severity") == "HIGH"
     per_file = diffed.groupBy(*keys).agg(
         F.max(high.cast("int")).alias("is_risky_after"),
@@ -87,7 +87,8 @@ def file_risk_flags(diffed: DataFrame) -> DataFrame:
     return key_join(diffed, per_file, keys)
 
 
-def case_model_summary(before: DataFrame, diffed: DataFrame, units: DataFrame | None = None) -> DataFrame:
+def case_model_summary(before: DataFrame, diffed: DataFrame, units: DataFrame | None = None,
+                       unit: Sequence[str] = tuple(UNIT)) -> DataFrame:
     """Before/after/new/resolved counts, HIGH counts, risk sums and deltas.
 
     ``units`` lists the valid case x model pairs, so that pairs without any
@@ -101,18 +102,18 @@ def case_model_summary(before: DataFrame, diffed: DataFrame, units: DataFrame |
         fresh = F.col("is_new_finding") if is_after else zero
         b, a = (zero, F.lit(1)) if is_after else (F.lit(1), zero)
         return df.select(
-            *UNIT, b.alias("b"), a.alias("a"), fresh.alias("w"),
+            *unit, b.alias("b"), a.alias("a"), fresh.alias("w"),
             (b * high).alias("hb"), (a * high).alias("ha"), (fresh * high).alias("hw"),
             (b * score).alias("rb"), (a * score).alias("ra"), (fresh * score).alias("rw"),
         )
 
     both = phase(before, False).unionByName(phase(diffed, True))
     if units is not None:
-        names = both.columns[2:]
+        names = both.columns[len(unit):]
         both = both.unionByName(
-            units.select(*UNIT).distinct().select(*UNIT, *[F.lit(0).alias(n) for n in names])
+            units.select(*unit).distinct().select(*unit, *[F.lit(0).alias(n) for n in names])
         )
-    g = both.groupBy(*UNIT).agg(*[
+    g = both.groupBy(*unit).agg(*[
         F.sum(short).cast("long").alias(name) for short, name in (
             ("b", "findings_before"), ("a", "findings_after"), ("w", "findings_new"),
             ("hb", "high_before"), ("ha", "high_after"), ("hw", "high_new"),

@@ -5,15 +5,16 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import md5_draw
 from ..functions.ratios import interactions, one_hot
+from .newton import Fitted, SplitTable
 from .ranks import draw_positions, quantiles
-from .splits import group_folds, group_splits
+from .splits import group_folds, group_splits, run_folds
 from .staging import scratch, stage
 from .triage import binary_metrics, curve_metrics
 
@@ -88,33 +89,21 @@ def _weighted(train: DataFrame, label: str, counts: Mapping[int, int]) -> DataFr
     return train.withColumn("_w", w)
 
 
+def _linear(table: SplitTable, fitted: Fitted) -> LinearModel:
+    names = [table.features[k] for k in fitted.columns]
+    return LinearModel(names, dict(zip(names, map(float, fitted.fill))), fitted.mean.tolist(), fitted.scale.tolist(),
+                       fitted.beta[1:].tolist(), float(fitted.beta[0]))
+
+
 def balanced_lr(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0) -> LinearModel | None:
     """L2 logistic regression with balanced class weights; None for a single class.
 
-    The penalty 1/(C * sum of weights) on population-scaled columns gives the
-    optimum of sum(w * loss) + |b|^2 / (2C).
+    The optimum of sum(w * loss) + |b|^2 / (2C) on population-scaled columns, by Newton steps.
     """
-    features = list(features)
-    counts = _class_counts(train, label)
-    if min(counts.get(0, 0), counts.get(1, 0)) == 0:
+    table = SplitTable.whole(train, features, label)
+    if not table.usable(score=False):
         return None
-    model = LinearModel(features, _medians(train, features), [], [], [], 0.0)
-    filled = train.select(F.col(label).cast("double").alias("_y"),
-                          *[model.filled(f).alias(f"_f{i}") for i, f in enumerate(features)])
-    stat = filled.agg(*[F.avg(f"_f{i}").alias(f"m{i}") for i in range(len(features))],
-                      *[F.stddev_pop(f"_f{i}").alias(f"s{i}") for i in range(len(features))]).first()
-    model.means = [float(stat[f"m{i}"]) for i in range(len(features))]
-    model.scales = [float(stat[f"s{i}"]) or 1.0 for i in range(len(features))]
-    scaled = _weighted(filled, "_y", counts).select("_y", "_w", *[
-        ((F.col(f"_f{i}") - model.means[i]) / model.scales[i]).alias(f"_f{i}") for i in range(len(features))])
-    v = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_x").transform(scaled)
-    lr = LogisticRegression(
-        featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (c * sum(counts.values())),
-        elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-8)
-    fit = lr.fit(v.select("_x", "_y", "_w"))
-    model.coefficients = [float(b) for b in fit.coefficients]
-    model.intercept = float(fit.intercept)
-    return model
+    return _linear(table, table.fit({"": list(features)}, [0], c)[0, ""])
 
 
 def balanced_rf(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 15,
@@ -159,31 +148,47 @@ def predictions(df: DataFrame, sets: Mapping[str, Sequence[str]], models: Mappin
                 group: str, label: str, keep: Sequence[str] = ()) -> tuple[DataFrame, list]:
     """Test predictions of every run x feature set x classifier, and the fitted models.
 
-    The driver only loops over fits; each fit and each transform is distributed.
-    Runs whose training or test rows have a single class are left out.
+    Logistic regressions of all runs and sets are fitted together. For other
+    classifiers the driver loops over fits; each fit and each transform is
+    distributed. Runs whose training or test rows have a single class are left out.
     """
-    keep = list(keep)
-    df, splits = stage(df), stage(splits)
+    keep, splits = list(keep), stage(splits)
     runs = [r[0] for r in splits.select("run").distinct().orderBy("run").collect()]
-    out, fits = _Table(df), []
-    for run in runs:
-        tagged = df.join(splits.where(F.col("run") == run).select(group, "is_test"), group)
-        test = tagged.where("is_test = 1")
-        if len(_class_counts(test, label)) < 2:
-            continue
-        train = stage(tagged.where("is_test = 0"))
-        for set_name, features in sets.items():
-            for name, fit in models.items():
-                model = fit(train, features, label)
-                if model is None:
-                    continue
-                fits.append((run, set_name, name, model))
-                scored = model.transform(test)
-                out.add(scored.select(
-                    F.lit(run).alias("run"), F.lit(set_name).alias("feature_set"), F.lit(name).alias("algorithm"),
-                    group, *keep, F.col(label).cast("int").alias("y_true"), "y_pred", "y_score"))
-    if not out.parts:
+    number = F.array_position(F.array(*[F.lit(r) for r in runs]), F.col("run")).cast("int") - 1
+    roles = splits.select(number.alias("no"), group, (1 - F.col("is_test")).alias("is_train"), F.col("is_test").alias("is_score"))
+    names = list(dict.fromkeys(f for fs in sets.values() for f in fs))
+    table = SplitTable(df, names, label, group, roles, len(runs), [c for c in keep if c != group])
+    usable = table.usable(score=True)
+    if not usable:
         raise ValueError("no split has both classes on both sides")
+    columns = ["run", "feature_set", "algorithm", group, *[c for c in keep if c != group], "y_true", "y_pred", "y_score"]
+    run_of = F.element_at(F.array(*[F.lit(r) for r in runs]), F.col("no") + 1)
+    out, fits = None, []
+    for algorithm, fit in models.items():
+        if fit is balanced_lr:
+            fitted = table.fit(sets, usable)
+            fits += [(runs[s], name, algorithm, _linear(table, f)) for (s, name), f in fitted.items()]
+            got = stage(table.scored(fitted).select(run_of.alias("run"), F.lit(algorithm).alias("algorithm"), "*").select(columns))
+        else:
+            got, more = _one_by_one(table, sets, algorithm, fit, [(s, runs[s]) for s in usable], columns)
+            fits += more
+        out = got if out is None else out.unionByName(got)
+    return out, fits
+
+
+def _one_by_one(table: SplitTable, sets: Mapping[str, Sequence[str]], algorithm: str, fit: Fitter, runs: Sequence[tuple],
+                columns: Sequence[str]) -> tuple[DataFrame, list]:
+    values = [F.col("_x")[k].alias(f) for k, f in enumerate(table.features)]
+    rows = table.rows.select(*table.keep, F.col("_y").alias("y_true"), "_train", "_score", *values)
+    out, fits = _Table(table.rows), []
+    for s, run in runs:
+        train = stage(rows.where(F.array_contains("_train", s)))
+        for name, features in sets.items():
+            model = fit(train, features, "y_true")
+            fits.append((run, name, algorithm, model))
+            scored = model.transform(rows.where(F.array_contains("_score", s)))
+            out.add(scored.withColumns({"run": F.lit(run), "feature_set": F.lit(name), "algorithm": F.lit(algorithm),
+                                        "y_true": F.col("y_true").cast("int")}).select(*columns))
     return out.read(), fits
 
 
@@ -285,42 +290,49 @@ def auc_per_group(preds: DataFrame, keys: Sequence[str], column: str) -> DataFra
 
 
 def oof_scores(train: DataFrame, features: Sequence[str], label: str, group: str, k: int = 5, seed: int = 42,
-               keep: Sequence[str] = (), fit: Fitter = balanced_lr) -> DataFrame:
-    """Out-of-fold scores of the training rows under grouped folds."""
+               keep: Sequence[str] = ()) -> DataFrame:
+    """Out-of-fold scores of the training rows under grouped folds; all folds are fitted together."""
     folds = group_folds(train, group, label, k, seed).select(group, "fold")
-    tagged = stage(train.join(folds, group))
-    out = _Table(tagged)
-    for i in range(k):
-        model = fit(tagged.where(F.col("fold") != i), features, label)
-        if model is None:
-            raise ValueError(f"fold {i} leaves a single class for training")
-        scored = model.transform(tagged.where(F.col("fold") == i))
-        out.add(scored.select(group, "fold", *keep, F.col(label).cast("int").alias("y_true"), "y_score"))
-    return out.read()
+    no = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("no")
+    roles = folds.select(group, "fold", no).withColumns(
+        {"is_train": (F.col("no") != F.col("fold")).cast("int"), "is_score": (F.col("no") == F.col("fold")).cast("int")})
+    table = SplitTable(train, features, label, group, roles, k, keep)
+    usable = table.usable(score=False)
+    if len(usable) < k:
+        raise ValueError(f"fold {min(set(range(k)) - set(usable))} leaves a single class for training")
+    scored = table.scored(table.fit({"": list(features)}, usable))
+    return scored.select(group, F.col("no").alias("fold"), *[c for c in keep if c != group], "y_true", "y_score")
 
 
 def triage_runs(df: DataFrame, features: Sequence[str], label: str, group: str, ids: Sequence[str], runs: int = 30,
-                seed: int = 42) -> DataFrame:
-    """Every review policy per run; recall thresholds come from inner folds of the training rows."""
+                seed: int = 42, folds: int = 5) -> DataFrame:
+    """Every review policy per run; recall thresholds come from inner folds of the training rows.
+
+    The runs and the folds inside them are splits of one table and are fitted
+    together: number run * (folds + 1) is the run, the next ones are its folds.
+    Runs with a single class on either side or in the training rows of a fold
+    are left out.
+    """
     from .triage import RECALL_TARGETS, policy_metrics, threshold_for_recall
 
-    df = stage(df)
     splits = stage(group_splits(df, group, runs, 0.2, seed))
-    scored, limits = _Table(df), _Table(df)
-    for run in range(1, runs + 1):
-        tagged = df.join(splits.where(F.col("run") == run).select(group, "is_test"), group)
-        train, test = stage(tagged.where("is_test = 0")), tagged.where("is_test = 1")
-        if len(_class_counts(test, label)) < 2:
-            continue
-        model = balanced_lr(train, features, label)
-        if model is None:
-            continue
-        oof = oof_scores(train, features, label, group, 5, seed + run - 1)
-        limits.add(threshold_for_recall(oof, [], "y_true", "y_score", RECALL_TARGETS).select(
-            F.lit(run).alias("run"), *RECALL_TARGETS))
-        scored.add(model.transform(test).select(
-            F.lit(run).alias("run"), *ids, F.col(label).cast("int").alias("y_true"), "y_score"))
-    return policy_metrics(scored.read(), ["run"], "y_true", "y_score", ids, limits.read())
+    first = (F.col("run") - 1) * (folds + 1)
+    outer = splits.select(first.alias("no"), group, (1 - F.col("is_test")).alias("is_train"), F.col("is_test").alias("is_score"))
+    inner = run_folds(df, splits.where("is_test = 0"), group, label, folds).select(
+        group, "fold", "run", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("k")).select(
+        (first + 1 + F.col("k")).alias("no"), group, (F.col("k") != F.col("fold")).cast("int").alias("is_train"),
+        (F.col("k") == F.col("fold")).cast("int").alias("is_score"))
+    table = SplitTable(df, features, label, group, outer.unionByName(inner), runs * (folds + 1), ids)
+    trained, scored = set(table.usable(score=False)), set(table.usable(score=True))
+    usable = [r * (folds + 1) for r in range(runs)]
+    usable = [s for s in usable if s in scored and all(s + 1 + k in trained for k in range(folds))]
+    if not usable:
+        raise ValueError("no run has both classes everywhere")
+    fitted = table.fit({"": list(features)}, [s + k for s in usable for k in range(folds + 1)])
+    rows = stage(table.scored(fitted).select(
+        (F.floor(F.col("no") / (folds + 1)) + 1).cast("int").alias("run"), (F.col("no") % (folds + 1)).alias("_k"), *ids, "y_true", "y_score"))
+    limits = threshold_for_recall(rows.where("_k > 0"), ["run"], "y_true", "y_score", RECALL_TARGETS)
+    return policy_metrics(rows.where("_k = 0").drop("_k"), ["run"], "y_true", "y_score", ids, limits)
 
 
 def linear_attribution(model: LinearModel, df: DataFrame, ids: Sequence[str], rows: int | None = None, seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import md5_draw
+from .keys import key_join
 from .ranks import draw_positions, positions
 from .stats import median_fill
 
@@ -29,15 +30,28 @@ def leaked_groups(splits: DataFrame, group: str) -> DataFrame:
         F.count_distinct("is_test").alias("_k")).where("_k > 1").drop("_k")
 
 
-def group_folds(df: DataFrame, group: str, y: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Fold of each group: dealt in snake order from the most positives down."""
-    g = df.groupBy(group).agg(F.sum(F.col(y).cast("long")).alias("_pos")).withColumn(
-        "_tag", F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")))
-    placed = positions(g, [], "_pos", ["_tag"], descending=True, out="_p")
+def _dealt(groups: DataFrame, by: Sequence[str], group: str, k: int, seed: Column) -> DataFrame:
+    """``groups`` with their fold: dealt in snake order from the most ``positives`` down."""
+    g = groups.withColumn("_tag", F.concat_ws("|", seed.cast("string"), F.col(group).cast("string")))
+    placed = positions(g, by, "positives", ["_tag"], descending=True, out="_p")
     p = F.col("_p") - 1
     block, j = F.floor(p / k), p % k
-    fold = F.when(block % 2 == 0, j).otherwise(k - 1 - j)
-    return placed.select(group, F.col("_pos").alias("positives"), fold.cast("int").alias("fold"))
+    return placed.withColumn("fold", F.when(block % 2 == 0, j).otherwise(k - 1 - j).cast("int")).drop("_tag", "_p")
+
+
+def _positives(df: DataFrame, group: str, y: str) -> DataFrame:
+    return df.groupBy(group).agg(F.sum(F.col(y).cast("long")).alias("positives"))
+
+
+def group_folds(df: DataFrame, group: str, y: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """Fold of each group: dealt in snake order from the most positives down."""
+    return _dealt(_positives(df, group, y), [], group, k, F.lit(seed)).select(group, "positives", "fold")
+
+
+def run_folds(df: DataFrame, runs: DataFrame, group: str, y: str, k: int = 5) -> DataFrame:
+    """(run, group, fold): ``group_folds`` of the groups of every run with the run's seed, from one count per group."""
+    listed = key_join(runs.select("run", "seed", group), _positives(df, group, y), [group])
+    return _dealt(listed, ["run"], group, k, F.col("seed")).select("run", group, "fold")
 
 
 def train_median_impute(df: DataFrame, columns: Sequence[str], train: Column | None = None) -> DataFrame:

@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.staging import scratch
-from ..sources import cases, contracts, readers
+from ..operators.staging import scratch, stage
+from ..sources import cases, contracts, readers, runs
 from . import fixtures as fx
 from .registry import query
 
@@ -38,6 +38,120 @@ def a1(spark, sf):
     )
 
 
+# Run folders made of line items: reports of both phases, metadata (broken for every eleventh supplier, without a file list for
+# odd ones), patches (that name other files where the list counts) and prompts.
+_DIRS = {"run_a": "A", "run_n": "N", "run_r": "R"}
+_FINDING_ITEM = (
+    "named_struct('filename', filename, 'line_number', line_number, 'test_id', test_id, 'test_name', test_name, "
+    "'issue_severity', severity, 'issue_confidence', confidence, 'issue_text', details, 'issue_cwe', named_struct('id', cwe_id))"
+)
+
+
+def run_files(spark, sf):
+    """(source_dir, folder, name, value): the text of every file of every run."""
+    rows = fx.view(spark, sf, "lineitem", {
+        **{k: fx.FINDING[k] for k in ("phase", "model", "case", "filename", "line_number", "test_id", "test_name", "cwe_id", "severity",
+                                      "confidence", "details", "row_key", "changed")},
+        "supplier": "l_suppkey", "file": fx._FILE, "cents": "CAST(ROUND(l_discount * 100) AS BIGINT)"})
+    rows = stage(rows.withColumn("source_dir", F.concat(F.lit("run_"), F.lower("model"))))
+    reports = rows.groupBy("source_dir", "case", "phase", "supplier").agg(F.array_sort(F.collect_list(F.struct(
+        "line_number", F.md5("row_key").alias("h"), F.expr(_FINDING_ITEM).alias("item")))).alias("r"))
+    items = F.transform("r", lambda x: x["item"])
+    report = F.when(F.col("supplier") % 3 == 0, F.to_json(F.struct(F.array().alias("results"), items.alias("issues")))).otherwise(
+        F.to_json(F.struct(items.alias("results"))))
+    # Reports exist for both phases of every run, also without findings.
+    units = rows.groupBy("source_dir", "case", "supplier", "model").agg(
+        F.sum("cents").alias("d"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.when(F.col("changed") == 1, F.col("file")))).alias("files"))
+    both = units.select("source_dir", "case", "supplier", F.explode(F.array(F.lit("before"), F.lit("after"))).alias("phase"))
+    reports = both.join(reports.select("source_dir", "case", "phase", report.alias("value")), ["source_dir", "case", "phase"], "left")
+    even = F.col("supplier") % 2 == 0
+    valid = (F.col("d") * 10 < F.col("n") * 52).cast("string")
+    listed = F.to_json(F.struct(F.lit(True).alias("patch_apply_success"), F.when(even, F.col("files")).alias("actual_changed_files"),
+                                F.concat(F.lit("own/"), "case").alias("repo"),
+                                F.when(F.col("supplier") % 5 == 0, "patch -p1").otherwise("git apply -v").alias("apply_strategy")))
+    meta = F.concat(F.expr("substring(j, 1, length(j) - 1)"), F.lit(', "experiment_valid": '), valid,
+                    F.when(F.col("supplier") % 11 == 0, F.lit("")).otherwise(F.lit("}")))
+    named = F.when(even & (F.size("files") > 0), F.array(F.lit("other.py"))).otherwise(F.col("files"))
+    # A text write ends every file with a line break.
+    patch = F.array_join(F.transform(named, lambda f: F.concat(
+        F.lit("diff --git a/"), f, F.lit(" b/"), f, F.lit("\n@@ -1 +1,2 @@\n-x\n+y\n+z"))), "\n")
+    prompt = F.concat(F.lit("Fix it.\n"), F.when(F.col("supplier") % 4 == 0, F.lit("OWASP\n")).otherwise(F.lit("")), F.col("case"))
+    generation = F.concat(F.lit('{"success": true, "end_to_end_attempt_count": '), F.col("n").cast("string"), F.lit("}"))
+
+    def named_files(df, folder, name, value):
+        return df.select("source_dir", F.lit(folder).alias("folder"), name.alias("name"), value.alias("value"))
+
+    case = F.col("case")
+    out = named_files(reports, "reports", F.concat(case, F.lit("_bandit_"), "phase", F.lit(".json")), F.coalesce("value", F.lit("{}")))
+    made = units.withColumn("j", listed)
+    for folder, name, value in (
+        ("metadata", F.concat(case, F.lit(".json")), meta), ("generation_metadata", F.concat(case, F.lit(".json")), generation),
+        ("patches", F.when(F.col("supplier") % 7 == 0, F.concat(F.lit("0-"), case, F.lit("-v.patch"))).otherwise(F.concat(case, F.lit(".patch"))), patch),
+        ("patches", F.concat(case, F.lit(".prompt.txt")), prompt)):
+        out = out.unionAll(named_files(made, folder, name, value))
+    return out
+
+
+def made_tables(spark, sf):
+    """The finding tables of the run folders, written in the canonical order and read back."""
+    root, out = scratch(spark), scratch(spark)
+    run_files(spark, sf).repartition("source_dir", "folder", "name").write.partitionBy("source_dir", "folder", "name").text(root)
+    paths = runs.write_tables(runs.finding_tables(spark, root, _DIRS, fx.MODELS), out)
+    return {name: spark.read.parquet(path) for name, path in paths.items()}
+
+
+_RUN_TABLES = f"""
+, u AS (SELECT {fx._CASE} AS "case", l_returnflag AS model, l_suppkey AS supplier, COUNT(*) AS n,
+  COUNT(DISTINCT CASE WHEN {fx.FINDING['changed']} = 1 THEN {fx._FILE} END) AS files FROM lineitem GROUP BY 1, 2, 3),
+w AS (SELECT u.* FROM u JOIN pairs p ON u."case" = p."case" AND u.model = p.model WHERE supplier % 11 <> 0),
+k AS (SELECT *, CASE WHEN supplier % 2 = 0 AND files > 0 THEN 1 ELSE files END AS named FROM w)"""
+
+
+@query("a1_finding_tables", _RUN_TABLES + """,
+t AS (SELECT d.*, k.supplier, k.named FROM diffed d JOIN k ON d."case" = k."case" AND d.model = k.model),
+f AS (SELECT *, MAX(CAST(severity = 'HIGH' AS INTEGER)) OVER q AS is_risky_after,
+  MAX(CASE WHEN severity = 'HIGH' THEN is_new_finding ELSE 0 END) OVER q AS is_risky_new, COUNT(*) OVER (PARTITION BY cwe) AS same, COUNT(*) OVER () AS n_all
+  FROM t WINDOW q AS (PARTITION BY "case", model, relative_filename))
+SELECT model, 'run_' || lower(model) AS source_dir, 'own/' || "case" AS repo, "case", "case" || '_bandit_after.json' AS report_file,
+  line_number, test_id, test_name, cwe, severity, upper(confidence) AS confidence, relative_filename, finding_fingerprint,
+  relative_filename || '|' || line_number || '|' || test_id AS finding_line_key, is_new_finding, existed_before, is_risky_after, is_risky_new,
+  5 * named AS patch_lines, 2 * named AS patch_added, named AS patch_files_touched, named AS patch_hunks,
+  9 + 6 * CAST(supplier % 4 = 0 AS BIGINT) + length("case") AS prompt_chars, CAST(supplier % 4 = 0 AS INTEGER) AS prompt_has_security_guidelines,
+  CAST(supplier % 5 = 0 AS INTEGER) AS fuzzy_patch_apply, ROUND(same / n_all, 8) AS category_prevalence
+FROM f""", ["diffed"])
+def a1_tables(spark, sf):
+    got = made_tables(spark, sf)["findings"]
+    return got.select(
+        "model", "source_dir", "repo", "case", "report_file", "line_number", "test_id", "test_name", "cwe", "severity", "confidence",
+        "relative_filename", "finding_fingerprint", "finding_line_key", "is_new_finding", "existed_before", "is_risky_after", "is_risky_new",
+        "patch_lines", "patch_added", "patch_files_touched", "patch_hunks", "prompt_chars", "prompt_has_security_guidelines",
+        "fuzzy_patch_apply", F.round("category_prevalence", 8).alias("category_prevalence"))
+
+
+@query("a1_run_summary", _RUN_TABLES + """,
+s AS (SELECT s.*, k.named, k.files AS files_touched FROM summary s JOIN k ON s."case" = k."case" AND s.model = k.model)
+SELECT "case", model, findings_before, findings_after, findings_new, findings_resolved_est, high_before, high_after, high_new, delta_high,
+  risk_before, risk_after, delta_risk, risk_introduced, files_touched, 3 * named AS patch_churn
+FROM s WHERE "case" IN (SELECT "case" FROM s GROUP BY 1 HAVING COUNT(DISTINCT model) = 3)""", ["summary"])
+def a1_summary(spark, sf):
+    return made_tables(spark, sf)["common_summary"].select(
+        "case", "model", "findings_before", "findings_after", "findings_new", "findings_resolved_est", "high_before", "high_after", "high_new",
+        "delta_high", "risk_before", "risk_after", "delta_risk", "risk_introduced", "files_touched", "patch_churn")
+
+
+@query("a1_run_status", f"""
+, u AS (SELECT {fx._CASE} AS "case", l_returnflag AS model, l_suppkey AS supplier, COUNT(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+c AS (SELECT DISTINCT "case" FROM u), g AS (SELECT c."case", m.model FROM c, (VALUES ('A'), ('N'), ('R')) m(model)),
+j AS (SELECT g.*, u.n, u.supplier, p."case" IS NOT NULL AND supplier % 11 <> 0 AS valid FROM g LEFT JOIN u ON g."case" = u."case" AND g.model = u.model
+  LEFT JOIN pairs p ON g."case" = p."case" AND g.model = p.model)
+SELECT model, 'run_' || lower(model) AS source_dir, "case", CASE WHEN valid THEN 'pipeline_valid' WHEN n IS NULL THEN 'not_attempted'
+  WHEN supplier % 11 = 0 THEN 'apply_failed' ELSE 'pipeline_incomplete' END AS status, CAST(valid AS INTEGER) AS pipeline_valid,
+  CAST(n IS NOT NULL AS INTEGER) AS generation_success, CAST(n IS NOT NULL AND supplier % 11 <> 0 AS INTEGER) AS apply_success,
+  0 AS artifact_http_429, 0 AS artifact_http_402, CAST(n AS INTEGER) AS end_to_end_attempt_count FROM j""", ["pairs"])
+def a1_status(spark, sf):
+    return made_tables(spark, sf)["status"]
+
+
 @query("a2_read_run_metadata", """
 SELECT event_id, CAST(event_type <> 'error' AS INTEGER) AS metadata_ok,
   CASE WHEN event_type <> 'error' THEN CAST(value > 50 AS INTEGER) END AS patch_ok,

@@ -76,19 +76,49 @@ def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return raw.select("path", F.when(F.is_valid_utf8(text), text).otherwise(clean).alias("text"))
 
 
-def parse_run_metadata(df: DataFrame, text: str, schema: str = META_SCHEMA) -> DataFrame:
-    """Metadata JSON text to columns; unreadable text counts as missing."""
-    fields = StructType.fromDDL(schema).names
+def scan_files(spark: SparkSession, path: str) -> DataFrame:
+    """(source_dir, folder, name, text) of every file below ``path`` from one listing.
+
+    A name may be a folder of one part file, and folders may be written
+    ``column=value``, as a partitioned write leaves them.
+    """
+
+    def plain(e: Column) -> Column:
+        value = F.regexp_replace(e, "^[^=]+=", "")
+        return F.when(e == value, e).otherwise(F.url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))))
+
+    files = _whole_files(spark, path, "*").withColumn("_e", F.transform(F.split("path", "/"), plain))
+    last = F.element_at("_e", -1)
+    files = files.withColumn("_e", F.when(F.startswith(last, F.lit("part-")), F.slice("_e", F.lit(1), F.size("_e") - 1)).otherwise(F.col("_e")))
+    return files.select(F.try_element_at("_e", F.lit(-3)).alias("source_dir"), F.try_element_at("_e", F.lit(-2)).alias("folder"),
+                        F.try_element_at("_e", F.lit(-1)).alias("name"), "text")
+
+
+def parse_reports(files: DataFrame, text: str) -> DataFrame:
+    """Findings of report texts; a corrupt report has none."""
+    parsed = from_text(files, text, REPORT_SCHEMA)
+    report = F.when(F.col("_ok"), F.col("_m"))
+    return flatten_report(parsed.withColumns({"results": report["results"], "issues": report["issues"]}).drop("_m", "_ok", text))
+
+
+def from_text(df: DataFrame, text: str, schema: str) -> DataFrame:
+    """JSON text as the struct ``_m``; ``_ok`` is false for null and corrupt text."""
     bad = "_corrupt"
     rec = F.from_json(
         F.col(text), f"{schema}, {bad} STRING",
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad},
     )
     out = df.withColumn("_m", rec)
-    ok = F.col("_m").isNotNull() & F.col(f"_m.{bad}").isNull()
-    return out.select(
+    return out.withColumn("_ok", F.coalesce(F.col("_m").isNotNull() & F.col(f"_m.{bad}").isNull(), F.lit(False)))
+
+
+def parse_run_metadata(df: DataFrame, text: str, schema: str = META_SCHEMA) -> DataFrame:
+    """Metadata JSON text to columns; unreadable text counts as missing."""
+    fields = StructType.fromDDL(schema).names
+    ok = F.col("_ok")
+    return from_text(df, text, schema).select(
         *df.columns,
-        F.coalesce(ok, F.lit(False)).cast("int").alias("metadata_ok"),
+        ok.cast("int").alias("metadata_ok"),
         *[F.when(ok, F.col(f"_m.{f}")).alias(f) for f in fields],
     )
 
@@ -100,28 +130,26 @@ def read_run_metadata(spark: SparkSession, path: str) -> DataFrame:
     return parse_run_metadata(keyed, "text").drop("text")
 
 
-def pick_artifact(files: DataFrame, cases: DataFrame, suffix: str) -> DataFrame:
+def pick_artifacts(files: DataFrame, cases: DataFrame, suffix: str, by: Sequence[str] = ()) -> DataFrame:
     """Artifact of each case: the exact name, else the first name containing it.
 
-    ``files`` has name and text, ``cases`` has case. The exact names are found
-    by an equi-join; only cases without one are matched on substrings of the
-    names, through the tokens of the name, so no pair table is built.
+    ``files`` has name and text, ``cases`` has case, both have the columns
+    ``by`` inside which names are looked up. The exact names are found by an
+    equi-join; only cases without one are matched on substrings of the names,
+    through the lengths of their ids, so no pair table is built.
     """
-    names = files.where(F.endswith("name", F.lit(suffix)))
-    exact = cases.join(
-        names.select(F.col("name"), F.col("text")).withColumn(
-            "case", F.substring("name", F.lit(1), F.length("name") - len(suffix))
-        ),
-        "case",
-        "left",
-    )
+    by = list(by)
+    names = files.where(F.endswith("name", F.lit(suffix))).select(*by, "name", "text")
+    exact = cases.select(*by, "case").join(
+        names.withColumn("case", F.substring("name", F.lit(1), F.length("name") - len(suffix))), [*by, "case"], "left")
     found = exact.where(F.col("name").isNotNull())
-    rest = exact.where(F.col("name").isNull()).select("case").withColumn("_len", F.length("case"))
+    rest = exact.where(F.col("name").isNull()).select(*by, "case").withColumn("_len", F.length("case"))
     # Substrings of the stem with the lengths that occur among unmatched cases.
     lengths = rest.agg(F.array_sort(F.collect_set("_len"))).scalar()
     stem = F.length("name") - len(suffix)
-    sized = names.select("name", F.explode(lengths).alias("_n")).where(F.col("_n") <= stem)
+    sized = names.select(*by, "name", F.explode(lengths).alias("_n")).where(F.col("_n") <= stem)
     grams = sized.select(
+        *by,
         F.explode(
             F.array_distinct(
                 F.transform(
@@ -132,12 +160,17 @@ def pick_artifact(files: DataFrame, cases: DataFrame, suffix: str) -> DataFrame:
         ).alias("case"),
         "name",
     )
-    first = rest.join(grams, "case").groupBy("case").agg(F.min("name").alias("name"))
-    return found.select("case", "name", "text").unionByName(
-        first.join(names, "name").select("case", "name", "text")
+    first = rest.join(grams, [*by, "case"]).groupBy(*by, "case").agg(F.min("name").alias("name"))
+    return found.select(*by, "case", "name", "text").unionByName(
+        first.join(names, [*by, "name"]).select(*by, "case", "name", "text")
     )
 
 
+def pick_artifact(files: DataFrame, cases: DataFrame, suffix: str) -> DataFrame:
+    """``pick_artifacts`` for names that are all in one folder."""
+    return pick_artifacts(files, cases, suffix)
+
+
 def read_text_artifacts(spark: SparkSession, path: str, cases: DataFrame, suffix: str) -> DataFrame:
     """Whole-file texts below ``path`` assigned to cases."""
     files = _whole_files(spark, path, f"*{suffix}").select(

@@ -75,3 +75,69 @@ def test_json_first(spark):
             ('{"repo": {"repo": "in"}}', "in"), ('{"repo": null, "name": "n"}', "n"), ("{}", "")]
     df = spark.createDataFrame(rows, "j string, want string")
     assert all(r["value"] == r["want"] for r in readers.json_first(df, "j", ["repo", "name"]).collect())
+
+
+@pytest.fixture()
+def many(tmp_path):
+    """Two folders of two models; touched files listed, parsed or absent; broken files; a prompt without a run."""
+    def item(name, line, text="Use  of 0xAF", severity="HIGH"):
+        return {"filename": name, "line_number": line, "test_id": "B1", "test_name": "t", "issue_severity": severity, "issue_confidence": "low",
+                "issue_text": text, "issue_cwe": {"id": 78}}
+
+    good = {"patch_apply_success": True, "experiment_valid": True, "repo_name": "own/x", "apply_strategy": "patch -p1"}
+    patch = "diff --git a/src/a.py b/src/a.py\n@@ -1 +1 @@\n-x\n+y\n"
+
+    def put(run, folder, name, text):
+        (tmp_path / run / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / run / folder / name).write_text(text if isinstance(text, str) else json.dumps(text))
+
+    for run in ("r1", "r2"):
+        put(run, "reports", "c1_bandit_before.json", {"results": [item("/t/swe_before_q/repo/src/a.py", 3), item("src/b.py", 1)]})
+        put(run, "reports", "c1_bandit_after.json", {"issues": [item("b/src/a.py", 9), item("./src/a.py", 4), item("src/b.py", 1), item("src/a.py", 4, "other", "low")]})
+        put(run, "patches", "x-c1-y.patch", patch)
+        put(run, "patches", "c1.prompt.txt", "do\nnot be INSECURE")
+    put("r1", "metadata", "c1.json", good)
+    put("r2", "metadata", "c1.json", {**good, "actual_changed_files": ["src/b.py"], "strict_patch_apply": True})
+    put("r1", "metadata", "c2.json", "{broken")
+    put("r1", "reports", "c2_bandit_before.json", "{}")
+    put("r1", "reports", "c2_bandit_after.json", {"results": [item("src/a.py", 1)]})
+    put("r1", "metadata", "c3.json", good)
+    put("r1", "reports", "c3_bandit_after.json", {"results": [item("src/a.py", 1)]})
+    put("r1", "metadata", "c4.json", good)
+    put("r1", "reports", "c4_bandit_before.json", "{broken")
+    put("r1", "reports", "c4_bandit_after.json", {"results": None})
+    put("r1", "generation_metadata", "c5.json", {"success": False, "error": "status: 429", "end_to_end_attempt_count": 2})
+    put("zz", "reports", "c1_bandit_after.json", {"results": [item("src/a.py", 1)]})
+    put("r1", "notes", "c1.json", "ignored")
+    return str(tmp_path)
+
+
+def test_finding_tables_from_files(spark, many):
+    from pairlens.sources import runs
+
+    t = runs.finding_tables(spark, many, {"r1": "one", "r2": "two"}, ["one", "two"], {"one": 0.5})
+    rows = t.findings.orderBy("model", "line_number", "severity").collect()
+    # The first of the two equal findings in report order was there before.
+    assert [(r["model"], r["relative_filename"], r["line_number"], r["severity"], r["is_new_finding"], r["is_risky_new"]) for r in rows] == [
+        ("one", "src/a.py", 4, "HIGH", 1, 1), ("one", "src/a.py", 4, "LOW", 1, 1), ("one", "src/a.py", 9, "HIGH", 0, 1), ("two", "src/b.py", 1, "HIGH", 0, 0)]
+    assert t.findings.columns[:4] == ["model", "source_dir", "repo", "case"] and rows[0]["repo"] == "own/x" and rows[0]["finding_line_key"] == "src/a.py|4|B1"
+    assert [r["temperature"] for r in rows] == [0.5, 0.5, 0.5, None] and [r["strict_patch_apply"] for r in rows] == [0, 0, 0, 1]
+    assert (rows[0]["prompt_chars"], rows[0]["prompt_has_security_guidelines"], rows[0]["patch_churn"]) == (18, 1, 2)
+    s = {(r["case"], r["model"]): r for r in t.summary.collect()}
+    assert set(s) == {("c1", "one"), ("c1", "two"), ("c4", "one")}
+    assert [s["c1", "one"][c] for c in ("findings_before", "findings_after", "findings_new", "findings_resolved_est", "delta_risk", "files_touched")] == [1, 3, 2, 0, 4, 1]
+    assert s["c4", "one"]["findings_after"] == 0
+    assert {r["case"] for r in t.common_summary.collect()} == {"c1"} and t.common_findings.count() == 4 and t.before.count() == 2
+    state = {(r["case"], r["model"]): (r["status"], r["source_dir"]) for r in t.status.collect()}
+    assert state["c1", "one"] == ("pipeline_valid", "r1") and state["c5", "one"] == ("rate_limited", "r1") and state["c5", "two"] == ("not_attempted", "r2")
+    assert state["c2", "one"][0] == "not_attempted" and state["c4", "one"][0] == "pipeline_valid" and len(state) == 10
+
+
+def test_tables_of_no_runs(spark, tmp_path):
+    from pairlens.sources import runs
+
+    (tmp_path / "x").mkdir()
+    t = runs.finding_tables(spark, str(tmp_path), {"r1": "one"}, ["one"])
+    paths = runs.write_tables(t, str(tmp_path / "out"))
+    assert all(spark.read.parquet(p).count() == 0 for p in paths.values())
+    assert spark.read.parquet(paths["findings"]).columns[0] == "model"

@@ -176,3 +176,59 @@ def test_model_queries_take_all_runs_and_features(spark, sf, monkeypatch):
     assert sorted(f for fs in seen["leave_group_out"][0][1].values() for f in fs) == sorted(made)
     for name in ("interaction_test", "triage_runs", "oof_scores"):
         assert sorted(seen[name][0][1]) == sorted(made)
+
+
+def test_splits_fitted_together_equal_single_fits(spark, data):
+    """Every split and set of one table against Newton on its own rows, gaps filled with their median."""
+    from pairlens.operators.newton import SplitTable
+
+    holes = data.assign(a=data.a.where(data.id % 7 != 0), k=2.5)
+    df = spark.createDataFrame(holes).withColumn("a", F.nanvl("a", F.lit(None)))
+    splits = sp.group_splits(df, "grp", 3, 0.3, 42)
+    roles = splits.select((F.col("run") - 1).alias("no"), "grp", (1 - F.col("is_test")).alias("is_train"), F.col("is_test").alias("is_score"))
+    table = SplitTable(df, ["a", "b", "c", "k"], "y", "grp", roles, 3, ["id"])
+    sets = {"all": ["a", "b", "c", "k"], "two": ["c", "a"]}
+    fits = table.fit(sets, table.usable(score=True))
+    test = splits.where("is_test = 1").toPandas()
+    scored = table.scored(fits).toPandas()
+    for no in range(3):
+        left = set(test[test.run == no + 1].grp)
+        train = holes[~holes.grp.isin(left)]
+        mid = train.a.median()
+        y = train.y.to_numpy()
+        w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+        for name, fs in sets.items():
+            x = train[fs].fillna({"a": mid}).to_numpy()
+            z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+            beta = newton(np.c_[np.ones(len(y)), z], y, w, np.array([0.0] + [1.0] * len(fs)))
+            assert np.allclose(fits[no, name].beta, beta, atol=1e-8)
+            other = holes[holes.grp.isin(left)]
+            v = (other[fs].fillna({"a": mid}).to_numpy() - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+            got = scored[(scored.no == no) & (scored.feature_set == name)].sort_values("id")
+            assert got.id.tolist() == sorted(other.id)
+            assert np.allclose(got.y_score, 1 / (1 + np.exp(-(beta[0] + v @ beta[1:])))[np.argsort(other.id.to_numpy())], atol=1e-8)
+
+
+def test_balanced_lr_equals_spark_ml(spark, data):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    df = spark.createDataFrame(data)
+    m = md.balanced_lr(df, ["a", "b", "c"], "y")
+    n, pos = len(data), int(data.y.sum())
+    v = VectorAssembler(inputCols=["a", "b", "c"], outputCol="v").transform(df.withColumn("w", F.when(F.col("y") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))))
+    v = StandardScaler(inputCol="v", outputCol="x", withMean=True).fit(v).transform(v)
+    fit = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / n, standardization=False, maxIter=500, tol=1e-12).fit(v)
+    # The scaler divides by the sample deviation, a factor that the penalty sees.
+    assert np.allclose(fit.coefficients.toArray(), m.coefficients, rtol=5e-3) and fit.intercept == pytest.approx(m.intercept, abs=1e-4)
+
+
+def test_runs_with_a_single_class_are_left_out(spark):
+    rows = [(i, f"g{i % 6}", float(i % 7), int(i % 6 < 2)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, grp string, a double, y int")
+    splits = spark.createDataFrame([(r, 41 + r, f"g{k}", int(k in t)) for r, t in ((1, (0, 3)), (2, (4, 5)), (3, (0, 1))) for k in range(6)],
+                                   "run int, seed int, grp string, is_test int")
+    e = md.evaluate_sets(df, {"a": ["a"]}, md.LR, splits, "grp", "y").collect()
+    assert [r["run"] for r in e] == [1]
+    with pytest.raises(ValueError):
+        md.evaluate_sets(df, {"a": ["a"]}, md.LR, splits.where("run > 1"), "grp", "y")
