@@ -198,13 +198,13 @@ class Split:
     def place(self, v: np.ndarray) -> np.ndarray:
         return _scores(self.rows, lifted(v, self.longest)).argmax(1)
 
-    def probes(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, part) of the partitions to look at."""
+    def probes(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, part, probability) of the partitions to look at."""
         chance = _scores(self.queries, directions(v))
         order = np.argsort(-chance, axis=1, kind="stable")
         ranked = np.take_along_axis(chance, order, 1)
         row, rank = np.nonzero((np.cumsum(ranked, 1) - ranked < self.coverage) | (self.coverage >= 1))
-        return row, order[row, rank]
+        return row, order[row, rank], ranked[row, rank]
 
 
 # The tables.
@@ -215,7 +215,10 @@ def _together(left: DataFrame, right: DataFrame, keys: list[str], run, schema: s
 
 
 def _apply(rows: DataFrame, models: DataFrame, d: int, probe: bool) -> DataFrame:
-    """Rows of split partitions with their new ones; a model meets blocks of some ten thousand rows of its partition."""
+    """Rows of split partitions with their new ones; a model meets blocks of some ten thousand rows of its partition.
+
+    ``p`` is the probability that a query's neighbour is there, multiplied over the levels.
+    """
     sizes = rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / ROUTED).cast("int").alias("blocks"))
     blocks = stage(models.join(sizes, "part").select("part", "blocks", "blob"))
     dealt = rows.join(blocks.select("part", "blocks"), "part").withColumn("block", F.pmod("c2", F.col("blocks").cast("long")))
@@ -224,19 +227,19 @@ def _apply(rows: DataFrame, models: DataFrame, d: int, probe: bool) -> DataFrame
     def run(some: pa.Table, model: pa.Table) -> pa.Table:
         split = Split(model.column("blob")[0].as_py())
         v = matrix(some.column("v"), d)
-        row, part = split.probes(v) if probe else (np.arange(len(v)), split.place(v))
+        row, part, chance = split.probes(v) if probe else (np.arange(len(v)), split.place(v), np.ones(len(v)))
         some = some.take(pa.array(row))
         base = some.column("part").to_numpy() * FAN
-        return pa.table({"part": base + part, "was": some.column("part"), "c1": some.column("c1"), "c2": some.column("c2"),
-                         "v": some.column("v")})
+        return pa.table({"part": base + part, "was": some.column("part"), "p": some.column("p").to_numpy() * chance,
+                         "c1": some.column("c1"), "c2": some.column("c2"), "v": some.column("v")})
 
-    return _together(dealt.select("part", "block", "c1", "c2", "v"), copies, ["part", "block"], run,
-                     "part long, was long, c1 long, c2 long, v array<double>")
+    return _together(dealt.select("part", "block", "p", "c1", "c2", "v"), copies, ["part", "block"], run,
+                     "part long, was long, p double, c1 long, c2 long, v array<double>")
 
 
 def partition(rows: DataFrame, queries: DataFrame, d: int, longest: float, part_rows: int = PART_ROWS,
               sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
-    """(rows, queries) with their partitions: every row in one, every query in those it probes.
+    """(rows, queries) with their partitions: every row in one, every query in those it probes, with probability p.
 
     Both have c1, c2, v. All start in one partition. Every round splits all
     partitions above twice ``part_rows`` at once, each in a task that learns
@@ -244,20 +247,21 @@ def partition(rows: DataFrame, queries: DataFrame, d: int, longest: float, part_
     stays as it is (the search takes partitions of any size).
     """
     done_rows, done_queries = [], []
-    rows = stage(rows.select(F.lit(0).cast("long").alias("part"), "c1", "c2", "v"))
-    queries = stage(queries.select(F.lit(0).cast("long").alias("part"), "c1", "c2", "v"))
+    columns = ["p", "c1", "c2", "v"]
+    rows = stage(rows.select(F.lit(0).cast("long").alias("part"), F.lit(1.0).alias("p"), "c1", "c2", "v"))
+    queries = stage(queries.select(F.lit(0).cast("long").alias("part"), F.lit(1.0).alias("p"), "c1", "c2", "v"))
     level = 0
     while True:
         sizes = stage(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
         large = sizes.where(F.col("n") > 2 * part_rows)
         named = F.concat_ws("/", F.lit(level), F.col("part").cast("string")).alias("part")
         if large.isEmpty():
-            done_rows.append(rows.select(named, "c1", "c2", "v"))
-            done_queries.append(queries.select(named, "c1", "c2", "v"))
+            done_rows.append(rows.select(named, *columns))
+            done_queries.append(queries.select(named, *columns))
             break
         ends = sizes.where(F.col("n") <= 2 * part_rows).select("part")
-        done_rows.append(rows.join(ends, "part", "left_semi").select(named, "c1", "c2", "v"))
-        done_queries.append(queries.join(ends, "part", "left_semi").select(named, "c1", "c2", "v"))
+        done_rows.append(rows.join(ends, "part", "left_semi").select(named, *columns))
+        done_queries.append(queries.join(ends, "part", "left_semi").select(named, *columns))
         first = W.partitionBy("part").orderBy("c2", "c1")
         chosen = rows.withColumn("at", F.row_number().over(first)).where(F.col("at") <= sample)
         chosen = chosen.join(large, "part").select("part", "n", "v")
@@ -275,10 +279,10 @@ def partition(rows: DataFrame, queries: DataFrame, d: int, longest: float, part_
         whole = stage(whole.where("m > 0.9 * n").select("part"))
         level += 1
         stuck = F.concat_ws("/", F.lit(-level), F.col("part").cast("string")).alias("part")
-        done_rows.append(moved.join(whole, "part", "left_semi").select(stuck, "c1", "c2", "v"))
-        done_queries.append(probed.join(whole, "part", "left_semi").select(stuck, "c1", "c2", "v"))
-        rows = moved.join(whole, "part", "left_anti").select("part", "c1", "c2", "v")
-        queries = probed.join(whole, "part", "left_anti").select("part", "c1", "c2", "v")
+        done_rows.append(moved.join(whole, "part", "left_semi").select(stuck, *columns))
+        done_queries.append(probed.join(whole, "part", "left_semi").select(stuck, *columns))
+        rows = moved.join(whole, "part", "left_anti").select("part", *columns)
+        queries = probed.join(whole, "part", "left_anti").select("part", *columns)
         rows, queries = stage(rows), stage(queries)
     out, asked = done_rows[0], done_queries[0]
     for r, q in zip(done_rows[1:], done_queries[1:]):
@@ -286,45 +290,42 @@ def partition(rows: DataFrame, queries: DataFrame, d: int, longest: float, part_
     return stage(out), stage(asked)
 
 
-def _best(scores: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """Per row of scores the columns of the ``k`` largest and all that tie with the last within rounding."""
-    if scores.shape[1] <= k:
-        for _ in scores:
-            yield np.arange(scores.shape[1])
-        return
-    least = np.partition(scores, -k, axis=1)[:, -k]
-    for s, low in zip(scores, least):
-        yield np.flatnonzero(s >= low - 1e-9 * max(1.0, abs(low)))
+def _best(scores: np.ndarray, k: int, least: np.ndarray) -> Iterator[np.ndarray]:
+    """Per row of scores the columns of the ``k`` largest that reach ``least``, and all that tie with the last within rounding."""
+    low = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+    low = np.maximum(low, least)
+    with np.errstate(invalid="ignore"):
+        low = np.where(np.isfinite(low), low - 1e-9 * np.maximum(1.0, np.abs(low)), low)
+    for s, bound in zip(scores, low):
+        yield np.flatnonzero(s >= bound)
 
 
-def rerank(rows: DataFrame, queries: DataFrame, members: DataFrame, d: int, k: int) -> DataFrame:
-    """(c1, c2, found): per distinct query the ``k`` + 1 best (score, vec_id, same) in its partitions, best first.
+HIT = "c1 long, c2 long, score double, vec_id long, same boolean"
 
-    Partitions of any size are searched in blocks of bounded numbers of rows
-    and queries, all of them with all of them. ``members`` has per distinct
-    vector its ``k`` + 1 smallest ids.
-    """
+
+def _search(rows: DataFrame, queries: DataFrame, members: DataFrame, d: int, k: int) -> DataFrame:
+    """Rows of ``HIT``: per query and block of its partitions the ``k`` + 1 best that reach the query's ``least`` score."""
     per = rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CANDIDATES).alias("row_blocks")).join(
         queries.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("query_blocks")), "part")
     per = stage(per)
     zero = F.lit(0).cast("long")
-    left = rows.join(members, ["c1", "c2"]).join(per, "part").select(
+    left = rows.join(per, "part").join(members, ["c1", "c2"]).select(
         "part", F.pmod("c1", "row_blocks").alias("rb"), F.explode(F.sequence(zero, F.col("query_blocks") - 1)).alias("qb"), "c1", "c2", "ids", "v")
     right = queries.join(per, "part").select(
-        "part", F.explode(F.sequence(zero, F.col("row_blocks") - 1)).alias("rb"), F.pmod("c1", "query_blocks").alias("qb"), "c1", "c2", "v")
+        "part", F.explode(F.sequence(zero, F.col("row_blocks") - 1)).alias("rb"), F.pmod("c1", "query_blocks").alias("qb"), "c1", "c2", "least", "v")
 
     def run(some: pa.Table, asked: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("c1", "c2", "score", "vec_id", "same")}
         if some.num_rows and asked.num_rows:
-            v, q = matrix(some.column("v"), d), matrix(asked.column("v"), d)
+            v, q, least = matrix(some.column("v"), d), matrix(asked.column("v"), d), asked.column("least").to_numpy()
             ids = some.column("ids").to_pylist()
             at, to = (np.stack([t.column("c1").to_numpy(), t.column("c2").to_numpy()], 1) for t in (some, asked))
             for start in range(0, len(q), QUERIES_AT_ONCE):
                 part = q[start:start + QUERIES_AT_ONCE]
-                for r, cols in enumerate(_best(part @ v.T, k + 1), start):
+                for r, cols in enumerate(_best(part @ v.T, k + 1, least[start:start + QUERIES_AT_ONCE]), start):
                     # Summed row by row, so that equal vectors score alike wherever they are met.
                     exact = (v[cols] * q[r]).sum(1)
-                    hits = [(-s, i is None, i or 0, c) for s, c in zip(exact.tolist(), cols.tolist()) for i in ids[c]]
+                    hits = [(-s, i is None, i or 0, c) for s, c in zip(exact.tolist(), cols.tolist()) if s >= least[r] for i in ids[c]]
                     for s, none, i, c in sorted(hits)[:k + 1]:
                         out["c1"].append(to[r, 0])
                         out["c2"].append(to[r, 1])
@@ -334,9 +335,37 @@ def rerank(rows: DataFrame, queries: DataFrame, members: DataFrame, d: int, k: i
         return pa.table({"c1": pa.array(out["c1"], pa.int64()), "c2": pa.array(out["c2"], pa.int64()), "score": pa.array(out["score"], pa.float64()),
                          "vec_id": pa.array(out["vec_id"], pa.int64()), "same": pa.array(out["same"], pa.bool_())})
 
-    hits = _together(left, right, ["part", "rb", "qb"], run, "c1 long, c2 long, score double, vec_id long, same boolean")
+    return _together(left, right, ["part", "rb", "qb"], run, HIT)
+
+
+def rerank(rows: DataFrame, queries: DataFrame, members: DataFrame, d: int, k: int) -> DataFrame:
+    """(c1, c2, found): per distinct query the ``k`` + 1 best (score, vec_id, same) in its partitions, best first.
+
+    A query first looks into its most probable partition, then into the next
+    3, 12, 48 ... and from the second round on only gets back what reaches its
+    ``k`` + 1st best score so far, so that what a query gathers hardly grows
+    with the number of its partitions. Partitions of any size are searched in
+    blocks of bounded numbers of rows and queries. ``members`` has per distinct
+    vector its ``k`` + 1 smallest ids.
+    """
     best = W.partitionBy("c1", "c2").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
-    hits = hits.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
+    order = W.partitionBy("c1", "c2").orderBy(F.desc("p"), "part")
+    asked = stage(queries.withColumn("rank", F.row_number().over(order)))
+    last = asked.agg(F.max("rank")).first()[0] or 0
+    hits, done = None, 0
+    while done < last:
+        now = asked.where((F.col("rank") > done) & (F.col("rank") <= max(1, 4 * done)))
+        if hits is None:
+            now = now.withColumn("least", F.lit(float("-inf")))
+        else:
+            least = hits.where(F.col("at") == k + 1).select("c1", "c2", F.col("score").alias("least"))
+            now = now.join(least, ["c1", "c2"], "left").na.fill(float("-inf"), ["least"])
+        found = _search(rows, stage(now), members, d, k)
+        found = found if hits is None else found.unionByName(hits.drop("at"))
+        hits = stage(found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1))
+        done = max(1, 4 * done)
+    if hits is None:
+        hits = rows.sparkSession.createDataFrame([], f"{HIT}, at int")
     return hits.groupBy("c1", "c2").agg(F.array_sort(F.collect_list(F.struct("at", "score", "vec_id", "same"))).alias("found"))
 
 
