@@ -1,11 +1,12 @@
 """SimHash near-duplicates, linked through BK-trees.
 
 Equal fingerprints are one node. Four 16-bit blocks of a fingerprint give six
-shard keys of two blocks each; fingerprints that differ in two bits or fewer
-agree in at least two blocks and so meet in a shard. A shard builds one BK-tree
+shards of two blocks each; fingerprints that differ in two bits or fewer agree
+in at least two blocks and so meet in a shard. A shard builds one BK-tree
 (children keyed by their distance to the parent) and follows only the edges
-within the radius. Shards above ``SHARD_ROWS`` take an exact way that needs no
-tree: fingerprints within two bits share a string one bit or less away from both.
+within the radius. In a shard above ``SHARD_ROWS`` the bits that its members do
+not share are cut into four blocks again, and once more; shards that share 56
+bits have 256 fingerprints at most, so that every tree is small.
 """
 from __future__ import annotations
 
@@ -27,6 +28,18 @@ SHARD_ROWS = 4096
 _PAIRS = [(i, j) for i in range(4) for j in range(i)]
 
 
+def _finer(mask: int) -> list[int]:
+    """Masks of a shard's shards: its shared bits and two of the four blocks of the others."""
+    rest = [k for k in range(64) if not mask >> k & 1]
+    blocks = [sum(1 << k for k in rest[n * len(rest) // 4:(n + 1) * len(rest) // 4]) for n in range(4)]
+    return [mask | blocks[i] | blocks[j] for i, j in _PAIRS]
+
+
+#: The masks of the shards, and of the shards that each is split into.
+_FIRST = _finer(0)
+_SPLIT = {m: _finer(m) for m in [*_FIRST, *(f for m in _FIRST for f in _finer(m))]}
+
+
 def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
     """The hash of every run of ``width`` words; a text of fewer words is one run."""
     words = text.lower().split()
@@ -43,7 +56,11 @@ def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
 
 def fingerprint_of(text: bytes, width: int = SHINGLE) -> int:
     """The 64-bit fingerprint of one text as a signed integer."""
-    h = shingle_hashes(text, width)
+    return print_of(shingle_hashes(text, width))
+
+
+def print_of(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: bits set in over half of them."""
     n = len(h)
     if not n:
         return 0
@@ -131,27 +148,28 @@ def _shard_links(radius: int):
     return run
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def link_fingerprints(prints: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links (a, b) that connect what lies within two bits among the distinct ``fp`` values."""
-
-    def block(k: int):
-        return F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
-
-    keys = F.array(*(
-        F.lit(n << 32).bitwiseOR(F.shiftleft(block(i), 16)).bitwiseOR(block(j)) for n, (i, j) in enumerate(_PAIRS)))
-    members = prints.select(F.explode(keys).alias("key"), "fp")
-    sizes = members.groupBy("key").count()
-    met = stage(members.join(sizes.where("count > 1"), "key"))
-    shards = met.where(F.col("count") <= shard_rows).select("key", "fp").repartition("key").sortWithinPartitions("key")
-    trees = arrow(shards, _shard_links(RADIUS), "a long, b long")
-    # The rest: at most 65 values are one bit or less from a string, all within two bits of each other.
-    rest = met.where(F.col("count") > shard_rows).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)))
-    stars = (rest.select("fp", F.explode(flips).alias("flip"))
-             .groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))
-             .agg(F.collect_list("fp").alias("fps"), F.min("fp").alias("b")).where("size(fps) > 1")
-             .select(F.explode("fps").alias("a"), "b").where("a <> b").distinct())
-    return trees.unionAll(stars)
+    masks = F.array(*[F.lit(_signed(m)) for m in _FIRST])
+    finer = F.create_map(*[x for m, fs in _SPLIT.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(f)) for f in fs]))])
+    members, links = prints.select("fp", F.explode(masks).alias("mask")), None
+    for last in (False, False, True):
+        members = members.withColumn("shared", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = members.groupBy("mask", "shared").count().where("count > 1")
+        met = stage(members.join(sizes, ["mask", "shared"]))
+        small = met if last else met.where(F.col("count") <= shard_rows)
+        key = F.xxhash64("mask", "shared")
+        # Shards whose hashes are equal share a tree, which finds the links of both.
+        shards = small.select(key.alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+        found = arrow(shards, _shard_links(RADIUS), "a long, b long")
+        links = found if links is None else links.unionAll(found)
+        if not last:
+            members = met.where(F.col("count") > shard_rows).select("fp", F.explode(finer[F.col("mask")]).alias("mask"))
+    return links
 
 
 def near_duplicates(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -188,11 +188,11 @@ def planted_copies():
     return texts + ["", None, "one", "One", "one two three four"]
 
 
-@pytest.mark.parametrize("pairs_per_node", [0, 4])
-def test_near_copies_by_brute_force(spark, get, monkeypatch, pairs_per_node):
+@pytest.mark.parametrize("stars", [0, 2])
+def test_near_copies_by_brute_force(spark, get, monkeypatch, stars):
     from pairlens.llm import near_copies as N
 
-    monkeypatch.setattr(N, "PAIRS_PER_NODE", pairs_per_node)
+    monkeypatch.setattr(N, "STARS", stars)
     texts = planted_copies()
     roots = plain_copies(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
