@@ -234,7 +234,7 @@ def _apply(rows: DataFrame, models: DataFrame, d: int, probe: bool) -> DataFrame
                          "c1": some.column("c1"), "c2": some.column("c2"), "v": some.column("v")})
 
     return _together(dealt.select("part", "block", "p", "c1", "c2", "v"), copies, ["part", "block"], run,
-                     "part long, was long, p double, c1 long, c2 long, v array<double>")
+                     f"part long, was long, p double, c1 long, c2 long, v {rows.schema['v'].dataType.simpleString()}")
 
 
 def partition(rows: DataFrame, queries: DataFrame, d: int, longest: float, part_rows: int = PART_ROWS,
@@ -384,7 +384,10 @@ def nearest(df: DataFrame, asks: Column, col: str = "embedding", key: str = "vec
     whole = df.select(F.col(key).alias("vec_id"), F.col(col).alias("v"), F.coalesce(asks, F.lit(False)).alias("asks")).where(
         finite("v") & F.exists("v", lambda c: c != 0))
     d = width(whole, "v")
-    filled = F.concat(F.transform("v", lambda c: c.cast("double") + 0.0), F.array_repeat(F.lit(0.0), F.lit(d) - F.size("v")))
+    # Floats stay floats where the table has them; sums are in doubles.
+    kind = "float" if df.schema[col].dataType.elementType.typeName() == "float" else "double"
+    zero = F.lit(0.0).cast(kind)
+    filled = F.concat(F.transform("v", lambda c: c.cast(kind) + zero), F.array_repeat(zero, F.lit(d) - F.size("v")))
     whole = whole.select("vec_id", "asks", filled.alias("v"))
     hashed = whole.select("vec_id", "asks", F.xxhash64("v").alias("c1"), F.xxhash64(F.lit("2"), "v").alias("c2"), "v")
     rows = stage(hashed.groupBy("vec_id", "c1", "c2").agg(F.max("asks").alias("asks"), F.first("v").alias("v")))
@@ -393,7 +396,7 @@ def nearest(df: DataFrame, asks: Column, col: str = "embedding", key: str = "vec
     classes = stage(kept.groupBy("c1", "c2").agg(
         F.collect_list("vec_id").alias("ids"), F.max(F.col("vec_id").isNull()).alias("none"), F.first("v").alias("v")))
     asking = rows.where("asks")
-    longest = classes.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).alias("m")).first()["m"]
+    longest = classes.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))).alias("m")).first()["m"]
     asked = classes.join(asking.select("c1", "c2").distinct(), ["c1", "c2"], "left_semi")
     parts, probes = partition(classes, asked, d, float(longest or 1.0) or 1.0, part_rows, sample)
     members = classes.select("c1", "c2", F.when(F.col("none"), F.concat("ids", F.array(F.lit(None).cast("long")))).otherwise(F.col("ids")).alias("ids"))
