@@ -5,27 +5,12 @@ partition gives the same rows again.
 """
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, functions as F
 
 # Modulus of the affine replicate hash (a Mersenne prime below 2**31).
 PRIME = 2147483647
 
 
-
-def _poisson_cuts(top: int = 12) -> tuple[int, ...]:
-    """floor(PRIME * P(Poisson(1) <= k)) for k = 0..top-1."""
-    total, cuts = 0.0, []
-    for k in range(top):
-        total += math.exp(-1.0) / math.factorial(k)
-        cuts.append(int(PRIME * total))
-    return tuple(cuts)
-
-
-POISSON_CUTS = _poisson_cuts()
-
-
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -58,3 +43,36 @@ def replicate_constants(seed: int, replicates: int):
     c = np.array([1 + word(r, "c") % (PRIME - 1) for r in reps], dtype=np.int64)
     b = np.array([word(r, "b") % PRIME for r in reps], dtype=np.int64)
     return a, c, b
+
+
+# Increments and multipliers of the 32-bit draws (published avalanche constants).
+STEP, DRAW_STEP = 0x9E3779B1, 0x85EBCA77
+MIX = ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1))
+LOW = 0xFFFFFFFF
+
+
+def mix32(x):
+    """Every bit of a 32-bit number spread over all of them, on uint64 arrays."""
+    import numpy as np
+
+    for shift, factor in MIX:
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(LOW)
+    return x
+
+
+def replicate_seeds(name: str, replicates):
+    """One 32-bit seed per replicate number (from 0) of what ``name`` names."""
+    import hashlib
+
+    import numpy as np
+
+    base = np.uint64(int(hashlib.md5(name.encode()).hexdigest()[:8], 16))
+    return mix32((base + np.asarray(replicates, np.uint64) * np.uint64(STEP)) & np.uint64(LOW))
+
+
+def picks(seeds, j, m: int):
+    """Draw number ``j`` (from 0) of each seed: uniform over 0 .. m-1."""
+    import numpy as np
+
+    u = mix32((seeds + np.asarray(j, np.uint64) * np.uint64(DRAW_STEP)) & np.uint64(LOW))
+    return ((u * np.uint64(m)) >> np.uint64(32)).astype(np.int64)

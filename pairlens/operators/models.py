@@ -10,8 +10,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.bijection import permuted
 from ..functions.draws import md5_draw
 from ..functions.ratios import interactions, one_hot
+from .keys import key_join
 from .newton import Fitted, SplitTable
 from .ranks import draw_positions, quantiles
 from .splits import group_folds, group_splits, run_folds
@@ -217,29 +219,86 @@ def leave_group_out(df: DataFrame, groups: Mapping[str, Sequence[str]], models:
         F.col("roc_auc").alias("auc_without_group"), (F.col("auc_full") - F.col("roc_auc")).alias("auc_loss_when_removed"))
 
 
+def _shuffled(base: DataFrame, by: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """Every row of ``base`` (by, _row from 1, _n, ...) beside the row that each repeat's shuffle puts in its place.
+
+    The shuffle is a keyed bijection of row numbers: the row that comes computes
+    where it goes, so that only the repeats of whole rows travel. Columns of the
+    coming row have the prefix ``o_``.
+    """
+    by = list(by)
+    named = F.concat_ws("|", F.lit(str(seed)), F.col("repeat").cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
+    sent = base.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    sent = sent.withColumn("_to", permuted(F.col("_row") - 1, F.col("_n"), named) + 1)
+    coming = [c for c in base.columns if c not in (*by, "_row", "_n")]
+    sent = sent.select(*by, "repeat", F.col("_to").alias("_row"), *[F.col(c).alias(f"o_{c}") for c in coming])
+    return key_join(sent, base, [*by, "_row"])
+
+
+def _numbered(rows: DataFrame, by: Sequence[str], ids: Sequence[str], seed: int) -> DataFrame:
+    """Rows with a number ``_row`` inside their group and the group's size ``_n``, staged."""
+    placed = draw_positions(rows, by, md5_draw(F.lit(seed), *ids), out="_row", tie=ids)
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return stage(key_join(placed, sizes, by))
+
+
+def linear_drops(rows: DataFrame, by: Sequence[str], features: Sequence[str], ids: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """Drop in AUC per group, feature and repeat for linear scores.
+
+    ``rows`` has y_true, the margin ``_m`` and the parts ``_c`` that the features
+    add to it. A shuffled feature exchanges one part of the margin; all features
+    of a repeat share its shuffle, and the exchanged margins are formed after it.
+    """
+    by = list(by)
+    base = _numbered(rows, by, ids, seed).drop(*[c for c in ids if c not in by])
+    pairs = _shuffled(base, by, repeats, seed).select(
+        *by, "repeat", "y_true", F.posexplode(F.zip_with("_c", "o__c", lambda mine, other: F.col("_m") - mine + other)).alias("_f", "y_score"))
+    auc = curve_metrics(pairs, [*by, "_f", "repeat"]).select(*by, "_f", "repeat", "roc_auc")
+    whole = curve_metrics(base.withColumn("y_score", F.col("_m")), by).select(*by, F.col("roc_auc").alias("_whole"))
+    feature = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_f") + 1)
+    return key_join(auc, whole, by).select(
+        *by, feature.alias("feature"), "repeat", (F.col("_whole") - F.col("roc_auc")).alias("auc_drop"))
+
+
 def permutation_importance(model, test: DataFrame, label: str, ids: Sequence[str], repeats: int = 5,
-                           seed: int = 42) -> DataFrame:
-    """Drop in test AUC when one feature is shuffled, per feature and repeat.
+                           seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """Drop in test AUC when one feature is shuffled inside its group, per feature and repeat.
 
-    A shuffle joins every row's index with the index of another md5 order; all
-    features and repeats are scored in one transform.
+    Linear models exchange parts of the margin; other models score rows with
+    one value exchanged.
     """
-    ids = list(ids)
-    fs = model.features
-    base = draw_positions(test.select(*ids, F.col(label).cast("int").alias("y_true"), *fs),
-                          [], md5_draw(F.lit(seed), *ids), out="_row", tie=ids)
-    base = stage(base)
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_v")) for f in fs])
-    long = base.select(*ids, F.explode(cells).alias("_c"), F.lit(1).alias("_one")).select(
-        *ids, "_c.*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
-    moved = draw_positions(long, ["feature", "repeat"], md5_draw(F.lit(seed), "feature", "repeat", *ids),
-                           out="_row", tie=ids).select("feature", "repeat", "_row", "_v")
-    rows = base.join(moved, "_row")
-    shuffled = rows.select("feature", "repeat", "y_true", *[
-        F.when(F.col("feature") == f, F.col("_v")).otherwise(F.col(f).cast("double")).alias(f) for f in fs])
-    auc = curve_metrics(model.transform(shuffled), ["feature", "repeat"]).select("feature", "repeat", "roc_auc")
-    whole = curve_metrics(model.transform(base), []).select("roc_auc").scalar()
-    return auc.select("feature", "repeat", (whole - F.col("roc_auc")).alias("auc_drop"))
+    by, ids, fs = list(by), list(ids), model.features
+    y = F.col(label).cast("int").alias("y_true")
+    if isinstance(model, LinearModel):
+        parts = F.array(*[F.lit(b) * ((model.filled(f) - m) / s) for f, m, s, b in zip(fs, model.means, model.scales, model.coefficients)])
+        rows = test.select(*dict.fromkeys([*by, *ids]), y, parts.alias("_c"))
+        rows = rows.withColumn("_m", F.lit(model.intercept) + F.aggregate("_c", F.lit(0.0), lambda s, c: s + c))
+        return linear_drops(rows, by, fs, ids, repeats, seed)
+    base = _numbered(test.select(*dict.fromkeys([*by, *ids]), y, *[F.col(f).cast("double").alias(f) for f in fs]), by, ids, seed)
+    pairs = _shuffled(base, by, repeats, seed).withColumn("feature", F.explode(F.array(*[F.lit(f) for f in fs])))
+    moved = pairs.select(*by, "feature", "repeat", "y_true", *[
+        F.when(F.col("feature") == f, F.col(f"o_{f}")).otherwise(F.col(f)).alias(f) for f in fs])
+    auc = curve_metrics(model.transform(moved), [*by, "feature", "repeat"]).select(*by, "feature", "repeat", "roc_auc")
+    whole = curve_metrics(model.transform(base), by).select(*by, F.col("roc_auc").alias("_whole"))
+    return key_join(auc, whole, by).select(*by, "feature", "repeat", (F.col("_whole") - F.col("roc_auc")).alias("auc_drop"))
+
+
+def importance_runs(df: DataFrame, features: Sequence[str], splits: DataFrame, group: str, label: str, ids: Sequence[str],
+                    repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Permutation importance of every feature on the test rows of every run, from logistic regressions fitted together."""
+    splits = stage(splits)
+    runs = [r[0] for r in splits.select("run").distinct().orderBy("run").collect()]
+    number = F.array_position(F.array(*[F.lit(r) for r in runs]), F.col("run")).cast("int") - 1
+    roles = splits.select(number.alias("no"), group, (1 - F.col("is_test")).alias("is_train"), F.col("is_test").alias("is_score"))
+    table = SplitTable(df, features, label, group, roles, len(runs), ids)
+    usable = table.usable(score=True)
+    fitted = table.fit({"": list(features)}, usable)
+    parts = stage(table.margin_parts({s: f for (s, _), f in fitted.items()}))
+    drops = linear_drops(parts, ["no"], features, ids, repeats, seed)
+    run_of = F.element_at(F.array(*[F.lit(r) for r in runs]), F.col("no") + 1)
+    return drops.groupBy("no", "feature").agg(
+        F.avg("auc_drop").alias("permutation_importance"), F.stddev_pop("auc_drop").alias("permutation_repeat_std")).select(
+        run_of.alias("run"), "feature", "permutation_importance", "permutation_repeat_std")
 
 
 def importance_of(drops: DataFrame) -> DataFrame:

@@ -212,6 +212,30 @@ class SplitTable:
         ship(self.rows.sparkSession)
         return self.rows.select("_x", "_y", "_train", "_score", *self.keep).mapInArrow(run, schema)
 
+    def margin_parts(self, fits: Mapping[int, Fitted]) -> DataFrame:
+        """no, the kept columns, y_true, the margin ``_m`` and what each feature adds to it, ``_c``, of every scored row."""
+        p, n = len(self.features), self.n_splits
+        kept = [self.rows.schema[c] for c in self.keep]
+        schema = T.StructType([T.StructField("no", T.IntegerType()), *kept, T.StructField("y_true", T.IntegerType()),
+                               T.StructField("_m", T.DoubleType()), T.StructField("_c", T.ArrayType(T.DoubleType()))])
+        names = [f.name for f in kept]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x, y, _, score, batch in blocks(batches, p, n):
+                for s, f in fits.items():
+                    mine = np.flatnonzero(score[:, s])
+                    if not len(mine):
+                        continue
+                    parts = f.scaled(x[mine]) * f.beta[1:]
+                    take = batch.take(pa.array(mine))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1, dtype=np.int32) * parts.shape[1]), pa.array(parts.ravel()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(mine), s, np.int32)), *[take.column(take.schema.get_field_index(c)) for c in names],
+                         pa.array(y[mine].astype(np.int32)), pa.array(f.beta[0] + parts.sum(1)), lists], names=schema.names)
+
+        ship(self.rows.sparkSession)
+        return self.rows.select("_x", "_y", "_train", "_score", *self.keep).mapInArrow(run, schema)
+
 
 def blocks(batches: Iterator[pa.RecordBatch], p: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
     """(x, y, train, score, batch) of bounded numbers of rows; the lists of splits as tables of flags."""

@@ -1,17 +1,20 @@
 """Statistical operators: rows are reduced in Spark, tails run on what is left."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import tails
 from ..functions.tails import Z95
 from .compare import wide
+from .gram import gram
 from .keys import key_join
-from .ranks import avg_rank, ranked
-from .staging import stage
+from .ranks import ranked
+from .staging import scratch, stage
 
 
 # --- contingency tables -----------------------------------------------------------
@@ -122,8 +125,8 @@ def feature_risk_table(df: DataFrame, features: Sequence[str], target: str) -> D
 def spearman(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Rank correlation of each feature with the target, with p and FDR.
 
-    The target is ranked once; a feature then needs only its distinct values
-    with the sum of target ranks at each.
+    Rows are first counted per (feature, value, target); both margins of these
+    counts are ranked, so that no rank is joined back to rows.
     """
     from .descriptives import long
 
@@ -131,8 +134,13 @@ def spearman(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
         F.coalesce(F.col(target).cast("double"), F.lit(0.0)).alias("_y"),
         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features],
     )
-    rows = avg_rank(rows, [], "_y", "_ry").withColumn("_ry2", F.col("_ry") * F.col("_ry"))
-    table = ranked(long(rows, ["_ry", "_ry2"], features, "feature"), ["feature"], "value", sums=["_ry", "_ry2"])
+    counts = stage(long(rows, ["_y"], features, "feature").groupBy("feature", "value", "_y").agg(F.count(F.lit(1)).alias("_c")))
+    # Every row stands once per feature, so that one feature has all of the target.
+    margin = counts.where(F.col("feature") == features[0]).groupBy("_y").agg(F.sum("_c").alias("_c"))
+    of_y = ranked(margin, [], "_y", weight="_c").select("_y", F.col("avg_rank").alias("_ry"))
+    r = F.col("_c") * F.col("_ry")
+    table = ranked(key_join(counts, of_y, ["_y"]).withColumns({"_s": r, "_s2": r * F.col("_ry")}).select(
+        "feature", "value", "_c", F.col("_s").alias("_ry"), F.col("_s2").alias("_ry2")), ["feature"], "value", sums=["_ry", "_ry2"], weight="_c")
     g = table.groupBy("feature").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_unique_values"),
         F.sum(F.col("avg_rank") * F.col("_ry")).alias("sxy"),
@@ -152,16 +160,12 @@ def spearman(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Correlation matrix in long form from one pass of pair aggregates."""
-    idx = list(combinations(range(len(columns)), 2))
-    c = [F.col(x).cast("double") for x in columns]
-    sums = df.agg(F.count(F.lit(1)).alias("_n"), *[F.corr(c[i], c[j]).alias(f"r_{i}_{j}") for i, j in idx])
-    cells = [F.struct(F.lit(x).alias("feature_a"), F.lit(x).alias("feature_b"), F.lit(1.0).alias("r")) for x in columns]
-    for i, j in idx:
-        for a, b in ((i, j), (j, i)):
-            cells.append(F.struct(F.lit(columns[a]).alias("feature_a"), F.lit(columns[b]).alias("feature_b"),
-                                  F.col(f"r_{i}_{j}").alias("r")))
-    return sums.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
+    """Correlation matrix in long form from one pass; null for a column that does not vary."""
+    columns = list(columns)
+    r = gram(df, columns).correlation()
+    cells = [(a, b, 1.0 if i == j else None if np.isnan(r[i, j]) else float(r[i, j]))
+             for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(cells, "feature_a string, feature_b string, r double")
 
 
 def median_fill(df: DataFrame, columns: Sequence[str], train: Column | None = None) -> DataFrame:
@@ -177,38 +181,50 @@ def median_fill(df: DataFrame, columns: Sequence[str], train: Column | None = No
     })
 
 
-def rank_correlation_pairs(df: DataFrame, columns: Sequence[str], ids: Sequence[str], threshold: float = 0.8) -> DataFrame:
-    """Column pairs whose rank correlation reaches the threshold in size; ``ids`` identify a row."""
+def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` replaced by the average ranks of their values.
+
+    All columns are ranked in one pass over their distinct values; the value
+    tables are written apart, so that the size of each decides how it is joined.
+    """
     from .descriptives import long
 
-    filled = median_fill(df.select(*ids, *columns), columns)
-    ranks = avg_rank(long(filled, ids, columns, "feature"), ["feature"], "value", "_r")
-    table = ranks.groupBy(*ids).agg(*[
-        F.max(F.when(F.col("feature") == c, F.col("_r"))).alias(c) for c in columns
-    ])
-    n = table.agg(F.count(F.lit(1))).scalar()
-    m = pearson_matrix(table, columns).where("feature_a < feature_b AND r IS NOT NULL")
-    m = m.where(F.abs("r") >= threshold).withColumn("_n", n.cast("double"))
-    t = F.when(F.abs("r") < 1, F.col("r") * F.sqrt((F.col("_n") - 2) / ((1 - F.col("r")) * (1 + F.col("r")))))
-    return m.select(
-        "feature_a", "feature_b", F.col("r").alias("spearman_rho"), F.abs("r").alias("abs_rho"),
-        F.coalesce(tails.t_two_sided_col(t, F.col("_n") - 2), F.lit(0.0)).alias("p_value"),
-    )
+    path = scratch(df.sparkSession)
+    tables = ranked(long(df, [], columns, "feature"), ["feature"], "value").select("feature", "value", F.col("avg_rank").alias("_r"))
+    tables.write.partitionBy("feature").parquet(path)
+    tables = df.sparkSession.read.schema("value double, _r double, feature string").parquet(path)
+    out = df.withColumns({c: F.col(c).cast("double") for c in columns})
+    for c in columns:
+        own = tables.where(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("_r").alias(f"_r_{c}"))
+        out = out.join(own, out[c] == own["_v"], "left").drop("_v").withColumn(c, F.col(f"_r_{c}")).drop(f"_r_{c}")
+    return out
+
+
+def rank_correlation_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.8) -> DataFrame:
+    """Column pairs whose rank correlation reaches the threshold in size, with p."""
+    columns = list(columns)
+    g = gram(rank_columns(median_fill(df.select(*columns), columns), columns), columns)
+    r, n = g.correlation(), int(g.n.max(initial=0))
+    found = []
+    for i, a in enumerate(columns):
+        for j, b in enumerate(columns):
+            if a < b and not np.isnan(r[i, j]) and abs(r[i, j]) >= threshold:
+                x = float(r[i, j])
+                p = tails.t_two_sided(x * math.sqrt((n - 2) / ((1 - x) * (1 + x))), n - 2) if abs(x) < 1 else 0.0
+                found.append((a, b, x, abs(x), p))
+    return df.sparkSession.createDataFrame(found, "feature_a string, feature_b string, spearman_rho double, abs_rho double, p_value double")
 
 
 def vif(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Variance inflation factors from the inverse correlation matrix (p x p numbers)."""
-    import numpy as np
-
     spark = df.sparkSession
     p = len(columns)
     if p == 1:
         return spark.createDataFrame([(columns[0], 1.0)], "feature string, vif double")
     filled = median_fill(df.select(*columns), columns)
     at = {c: i for i, c in enumerate(columns)}
-    m = np.eye(p)
-    for r in pearson_matrix(filled, columns).collect():
-        m[at[r["feature_a"]], at[r["feature_b"]]] = np.nan if r["r"] is None else r["r"]
+    m = gram(filled, columns).correlation()
+    m[np.diag_indices(p)] = 1.0
     flat = np.isnan(m).any(axis=1) & (np.isnan(m).sum(axis=1) >= p - 1)
     m = np.nan_to_num(m)
     inv = np.linalg.pinv(m) if np.linalg.matrix_rank(m) < p else np.linalg.inv(m)
@@ -420,7 +436,6 @@ def adjusted_odds_ratios(df: DataFrame, continuous: Sequence[str], binary: Seque
     k-1 dummies. Each step is one pass: tasks fold their rows into a gradient
     and an information matrix, only those p + p*p sums travel.
     """
-    import numpy as np
     from pyspark import StorageLevel
 
     spark = df.sparkSession

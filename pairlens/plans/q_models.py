@@ -4,11 +4,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx, text as tx
+from ..functions.bijection import ROUNDS
 from ..operators import models as md, splits as sp, triage as tr
 from ..operators.staging import scratch, stage
 from ..streaming import scoring
 from . import fixtures as fx
-from .q_stats import NUMERIC, num, r, rs
+from .q_stats import NUMERIC, boot_sql, num, r, rs
 from .registry import query
 
 # All 49 statement features, by group.
@@ -142,11 +143,57 @@ def h10(spark, sf):
 
 @query("h11_permutation_importance")
 def h11(spark, sf):
-    d = stage(labelled_text(spark, sf))
-    # Fitted on the training groups, permuted on the test groups of the first split.
-    tagged = d.join(sp.group_splits(d, "source", 1, 0.2, 42).select("source", "is_test"), "source")
-    m = md.balanced_lr(tagged.where("is_test = 0"), TEXT_FEATURES, "y")
-    return md.importance_of(md.permutation_importance(m, tagged.where("is_test = 1"), "y", ["doc_id"], repeats=10))
+    d = labelled_text(spark, sf)
+    return md.importance_runs(d, TEXT_FEATURES, sp.group_splits(d, "source", RUNS, 0.2, 42), "source", "y", ["doc_id"], repeats=10)
+
+
+# A fixed scorer over all line items; the shuffles are the same bijection of row numbers in SQL, its walk unrolled.
+SHUFFLED = md.LinearModel(["qty", "disc", "tax"], {}, [25.0, 0.05, 0.04], [16.0, 0.03125, 0.03125], [0.5, -0.75, 0.25], -0.125)
+SHUFFLES, SHUFFLE_SEED = 2, 42
+
+
+def _walk(source: str, steps: int) -> str:
+    """CTEs that send column x of ``source`` (x, n, key) through the rounds, and again where it is not below n."""
+    out = f"p0 AS (SELECT *, true AS go, CAST(ceil(sqrt(n)) AS BIGINT) AS a, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS b FROM {source})"
+    for w in range(steps):
+        out += f", p{w}d AS (SELECT *, x // b AS l, x % b AS r FROM p{w})"
+        at = f"p{w}d"
+        for k in range(ROUNDS):
+            own, other, size = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+            draw = fx.h32(f"key || '|{k}|' || {other}")
+            out += f", p{w}r{k} AS (SELECT * REPLACE (({own} + {draw}) % {size} AS {own}) FROM {at})"
+            at = f"p{w}r{k}"
+        out += f", p{w + 1} AS (SELECT * EXCLUDE (l, r) REPLACE (CASE WHEN go THEN l * b + r ELSE x END AS x, go AND l * b + r >= n AS go) FROM {at})"
+    return out
+
+
+def _part(k: int) -> str:
+    m = SHUFFLED
+    value = f"CAST({m.features[k]} AS DOUBLE)"
+    return f"CAST({m.coefficients[k]} AS DOUBLE) * (({value} - CAST({m.means[k]} AS DOUBLE)) / CAST({m.scales[k]} AS DOUBLE))"
+
+
+_AUC = """SELECT {by}, (SUM(rk) FILTER (WHERE y = 1) - SUM(y) * (SUM(y) + 1) / 2) / (SUM(y) * (COUNT(*) - SUM(y))) AS auc FROM (
+  SELECT {by}, y, RANK() OVER (PARTITION BY {by} ORDER BY s) + (COUNT(*) OVER (PARTITION BY {by}, s) - 1) / 2.0 AS rk FROM {rows}) GROUP BY {by}"""
+
+fx.SQL["kept"] = ([], f"SELECT {fx._select({**NUMERIC, 'row_key': fx.FINDING['row_key']})} FROM lineitem")
+
+
+@query("h11_keyed_shuffle", f"""
+, s AS (SELECT run, y, row_key, {_part(0)} AS c0, {_part(1)} AS c1, {_part(2)} AS c2 FROM kept),
+m AS (SELECT *, CAST({SHUFFLED.intercept} AS DOUBLE) + (((CAST(0.0 AS DOUBLE) + c0) + c1) + c2) AS m,
+  ROW_NUMBER() OVER (PARTITION BY run ORDER BY {fx.h32(f"'{SHUFFLE_SEED}|' || row_key")}, row_key) AS rn, COUNT(*) OVER (PARTITION BY run) AS n FROM s),
+q AS (SELECT run, rep, n, rn - 1 AS x, '{SHUFFLE_SEED}|' || rep || '|' || run AS key, c0, c1, c2 FROM m, range(1, {SHUFFLES + 1}) t(rep)),
+{_walk("q", 6)},
+j AS (SELECT m.run, p.rep, m.y, m.m - m.c0 + p.c0 AS s0, m.m - m.c1 + p.c1 AS s1, m.m - m.c2 + p.c2 AS s2
+  FROM p6 p JOIN m ON p.run = m.run AND p.x = m.rn - 1),
+f AS (SELECT run, rep, y, 'qty' AS feature, s0 AS s FROM j UNION ALL SELECT run, rep, y, 'disc', s1 FROM j UNION ALL SELECT run, rep, y, 'tax', s2 FROM j),
+o AS (SELECT run, y, m AS s FROM m), w AS ({_AUC.format(by="run", rows="o")}), d AS ({_AUC.format(by="run, feature, rep", rows="f")})
+SELECT d.run, d.feature, CAST(d.rep AS INTEGER) AS repeat, ROUND(w.auc - d.auc, 8) AS auc_drop FROM d JOIN w ON d.run = w.run""", ["kept"])
+def h11s(spark, sf):
+    rows = fx.view(spark, sf, "lineitem", {**NUMERIC, "row_key": fx.FINDING["row_key"]})
+    d = md.permutation_importance(SHUFFLED, rows, "y", ["row_key"], SHUFFLES, SHUFFLE_SEED, ["run"])
+    return d.withColumns(r(["auc_drop"], 8))
 
 
 @query("h12_impurity_importance")
@@ -210,12 +257,18 @@ def h15t(spark, sf):
     return md.triage_runs(labelled_text(spark, sf), TEXT_FEATURES, "y", "source", ["doc_id"], runs=RUNS)
 
 
+_H16_ID = "run || '|' || policy || '|' || metric"
+
+
 @query("h16_policy_summary", _POLICY + ", l AS (" + " UNION ALL ".join(
-    f"SELECT run, policy, '{c}' AS metric, CAST({_PCOLS[c]} AS DOUBLE) AS v FROM m" for c in tr.POLICY_METRICS) +
-       ") SELECT policy, metric, COUNT(*) AS n_runs, " + rs({"mean": "AVG(v)", "std": "stddev_samp(v)"}, 8) + " FROM l GROUP BY 1, 2", ["sc"])
+    f"SELECT run, policy, '{c}' AS metric, CAST({_PCOLS[c]} AS DOUBLE) AS v FROM m" for c in tr.POLICY_METRICS) + f"""),
+src AS (SELECT policy || '|' || metric AS g, v, {fx.h32(_H16_ID)} AS x, {fx.h32(_H16_ID, 1)} AS y FROM l WHERE v IS NOT NULL),
+{boot_sql("src", 2026, 20_000)}
+SELECT policy, metric, COUNT(v) AS n_runs, {rs({"mean": "AVG(v)", "std": "stddev_samp(v)"}, 8)}, ROUND(ANY_VALUE(ci_low), 8) AS ci_low,
+  ROUND(ANY_VALUE(ci_high), 8) AS ci_high FROM l JOIN boot ON boot.g = policy || '|' || metric GROUP BY 1, 2""", ["sc"])
 def h16(spark, sf):
     s = tr.policy_summary(stage(_policies(spark, sf)), "policy", ["run"], replicates=20_000)
-    return s.drop("ci_low", "ci_high").withColumns(r(["mean", "std"], 8))
+    return s.withColumns(r(["mean", "std", "ci_low", "ci_high"], 8))
 
 
 @query("h17_linear_attribution", "SELECT k, run, pk, sk, 'qty' AS feature, ROUND(qty, 4) AS value, ROUND(0.5 * (qty - 25.0) / 14.0, 8) + 0.0 AS attribution FROM gaps "

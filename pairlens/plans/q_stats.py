@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.draws import POISSON_CUTS, PRIME
+from ..functions.draws import DRAW_STEP, MIX, PRIME, STEP
 from ..operators import compare, descriptives as de, ranks, replicates as rp, review, sampling, stats
 from . import fixtures as fx
 from .q_joins import adjudicated
@@ -368,7 +368,23 @@ def _replicates(seed: int, n: int = _REPS) -> str:
             f"FROM range(1, {n + 1}) t(r))")
 
 
-_CUT = " + ".join(f"CAST(u >= {c} AS INTEGER)" for c in POISSON_CUTS)
+def _mixed(source: str, c: str) -> str:
+    """``source`` with column ``c`` through the rounds of the 32-bit draws."""
+    for shift, factor in MIX:
+        source = f"(SELECT * REPLACE (CAST((CAST(xor({c}, {c} >> {shift}) AS HUGEINT) * {factor}) % 4294967296 AS BIGINT) AS {c}) FROM {source})"
+    return source
+
+
+def boot_sql(src: str, seed: int, replicates: int, name: str = "boot", order: str = "x, y, v", stat: str = "AVG(v)") -> str:
+    """CTEs: table ``name`` (g, ci_low, ci_high) of the bootstrap of ``src`` (g, v, x, y), whose groups are one cell each."""
+    q, s = f"{name}_q", f"{name}_s"
+    seeds = _mixed(f"(SELECT g, n, r, (b + r * {STEP}) % 4294967296 AS s FROM (SELECT g, ANY_VALUE(n) AS n, ANY_VALUE({fx.h32(f"'{seed}|' || g || '|0'")}) AS b "
+                   f"FROM {q} GROUP BY g), range(0, {replicates}) t(r))", "s")
+    draws = _mixed(f"(SELECT g, n, r, (s + j * {DRAW_STEP}) % 4294967296 AS u FROM (SELECT *, UNNEST(range(0, n)) AS j FROM {s}))", "u")
+    return (f"{q} AS (SELECT g, v, ROW_NUMBER() OVER (PARTITION BY g ORDER BY {order}) - 1 AS i, COUNT(*) OVER (PARTITION BY g) AS n FROM {src}), "
+            f"{s} AS (SELECT * FROM {seeds}), {name}_d AS (SELECT g, r, CAST((CAST(u AS HUGEINT) * n) // 4294967296 AS BIGINT) AS i FROM {draws}), "
+            f"{name}_m AS (SELECT d.g, d.r, {stat} AS m FROM {name}_d d JOIN {q} q ON d.g = q.g AND d.i = q.i GROUP BY 1, 2), "
+            f"{name} AS (SELECT g, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high, COUNT(*) AS replicates FROM {name}_m GROUP BY 1)")
 
 
 @query("g4_sign_flip_test", f"""
@@ -476,26 +492,63 @@ def g9(spark, sf):
 
 # --- G: correlation ---------------------------------------------------------------------------
 
+def normal_two_sided_sql(z: str) -> str:
+    """Two-sided tail of the normal by the series of its integral, for arguments up to 8."""
+    a = f"abs({z})"
+    terms = f"list_sum(list_transform(range(0, 240), lambda k: exp((2 * k + 1) * ln({a}) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
+    return f"CASE WHEN {a} < 1e-12 THEN 1.0 WHEN {a} > 8 THEN 0.0 ELSE greatest(0.0, 1 - 2 * exp(-{a} * {a} / 2) / sqrt(2 * pi()) * {terms}) END"
+
+
+def t_two_sided_sql(t: str, df: str) -> str:
+    """Two-sided tail of Student's t with whole degrees of freedom, by its finite series."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    even = (f"sin({angle}) * list_sum(list_transform(range(0, CAST({df} // 2 AS BIGINT)), "
+            f"lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1) - 0.5 * ln(pi()) + 2 * j * ln(cos({angle})))))")
+    odd = (f"(2 / pi()) * ({angle} + sin({angle}) * list_sum(list_transform(range(0, CAST(({df} - 1) // 2 AS BIGINT)), "
+           f"lambda j: exp(lgamma(j + 1) - lgamma(j + 1.5) + 0.5 * ln(pi()) - ln(2) + (2 * j + 1) * ln(cos({angle}))))))")
+    return f"greatest(0.0, 1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def bh_sql(p: str) -> str:
+    """Benjamini-Hochberg adjustment of column ``p`` over the rows, as window expressions."""
+    return f"least(1.0, MIN({p} * n_all / rank_{p}) OVER (ORDER BY {p} DESC ROWS UNBOUNDED PRECEDING))"
+
+
 @query("g10_spearman", f"""
 , l AS (SELECT feature, y, RANK() OVER (PARTITION BY feature ORDER BY value) + (COUNT(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS rx,
-  RANK() OVER (PARTITION BY feature ORDER BY y) + (COUNT(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry, value FROM {num_long()})
-SELECT feature, COUNT(*) AS n, COUNT(DISTINCT value) AS n_unique_values, ROUND(corr(rx, ry), 8) AS spearman_rho FROM l GROUP BY 1""", ["num"])
+  RANK() OVER (PARTITION BY feature ORDER BY y) + (COUNT(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry, value FROM {num_long()}),
+c AS (SELECT feature, COUNT(*) AS n, COUNT(DISTINCT value) AS n_unique_values, corr(rx, ry) AS rho FROM l GROUP BY 1),
+t AS (SELECT *, rho * sqrt((n - 2) / ((1 - rho) * (1 + rho))) AS t FROM c),
+q AS (SELECT *, {t_two_sided_sql("t", "(n - 2)")} AS p FROM t),
+k AS (SELECT *, COUNT(*) OVER () AS n_all, ROW_NUMBER() OVER (ORDER BY p) AS rank_p FROM q)
+SELECT feature, n, n_unique_values, ROUND(rho, 8) AS spearman_rho, ROUND(p, 6) AS spearman_p_value, ROUND({bh_sql("p")}, 6) AS spearman_fdr_bh FROM k""", ["num"])
 def g10(spark, sf):
     s = stats.spearman(num(spark, sf), FEATURES, "y")
-    return s.select("feature", "n", "n_unique_values", F.round("spearman_rho", 8).alias("spearman_rho"))
+    return s.select("feature", "n", "n_unique_values", F.round("spearman_rho", 8).alias("spearman_rho"),
+                    F.round("spearman_p_value", 6).alias("spearman_p_value"), F.round("spearman_fdr_bh", 6).alias("spearman_fdr_bh"))
 
 
 @query("g11_rank_correlation_pairs", """
 , w AS (SELECT """ + ", ".join(
     f"RANK() OVER (ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in (*FEATURES, "balance")) + """ FROM num),
 p AS (""" + " UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS rho FROM w"
-    for a in sorted((*FEATURES, "balance")) for b in sorted((*FEATURES, "balance")) if a < b) + """)
-SELECT feature_a, feature_b, ROUND(rho, 8) AS spearman_rho, ROUND(abs(rho), 8) AS abs_rho FROM p WHERE abs(rho) >= 0.005""", ["num"])
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS rho, COUNT(*) AS n FROM w"
+    for a in sorted((*FEATURES, "balance")) for b in sorted((*FEATURES, "balance")) if a < b) + f"""),
+t AS (SELECT *, CASE WHEN abs(rho) < 1 - 1e-12 THEN rho * sqrt((n - 2) / ((1 - rho) * (1 + rho))) END AS t FROM p WHERE abs(rho) >= 0.005)
+SELECT feature_a, feature_b, ROUND(rho, 8) AS spearman_rho, ROUND(abs(rho), 8) AS abs_rho,
+  ROUND(CASE WHEN t IS NULL THEN 0.0 ELSE {t_two_sided_sql("t", "(n - 2)")} END, 6) AS p_value FROM t""", ["num"])
 def g11(spark, sf):
-    d = fx.view(spark, sf, "lineitem", {**NUMERIC, "row_key": fx.FINDING["row_key"]})
-    s = stats.rank_correlation_pairs(d, [*FEATURES, "balance"], ["row_key"], 0.005)
-    return s.select("feature_a", "feature_b", F.round("spearman_rho", 8).alias("spearman_rho"), F.round("abs_rho", 8).alias("abs_rho"))
+    s = stats.rank_correlation_pairs(num(spark, sf), [*FEATURES, "balance"], 0.005)
+    return s.withColumns({**r(["spearman_rho", "abs_rho"], 8), **r(["p_value"])})
+
+
+# The 49 statement features of all documents, one pass over their products.
+@query("g13_vif_statement")
+def g13s(spark, sf):
+    from ..functions import text as tx
+    from .q_models import TEXT_FEATURES
+
+    return stats.vif(tx.statement_features(fx.problem(spark, sf), "text"), TEXT_FEATURES)
 
 
 fx.SQL["cc"] = (["num"], "SELECT " + ", ".join(
@@ -583,25 +636,32 @@ def g17(spark, sf):
     return w.withColumns({**r(["p_value"]), **r(["rank_biserial"], 8)})
 
 
-_BOOT = f"""
-, {_replicates(2026, _BOOT_REPS)},
-u AS (SELECT r, g, v, (a * (x % {PRIME}) + c * (y % {PRIME}) + b) % {PRIME} AS u FROM src, k),
-m AS (SELECT r, g, SUM(v * w) / SUM(w) AS m FROM (SELECT r, g, v, {_CUT} AS w FROM u) GROUP BY 1, 2 HAVING SUM(w) > 0)
-SELECT g AS {{g}}, ROUND(quantile_cont(m, 0.025), 6) AS ci_low, ROUND(quantile_cont(m, 0.975), 6) AS ci_high, COUNT(*) AS replicates FROM m GROUP BY 1"""
-
 fx.SQL["src"] = (["outcomes"], f"""
 SELECT event_type AS g, CAST(total AS DOUBLE) AS v, {fx.h32("user_id || '|' || event_type")} AS x, {fx.h32("user_id || '|' || event_type", 1)} AS y FROM outcomes""")
 
 
-@query("g18_bootstrap_ci", _BOOT.format(g="event_type"), ["src"])
+_BOOT = ", {}SELECT g AS event_type, ROUND(ci_low, 6) AS ci_low, ROUND(ci_high, 6) AS ci_high, replicates FROM boot"
+
+
+@query("g18_bootstrap_ci", _BOOT.format(boot_sql("src", 2026, _BOOT_REPS) + " "), ["src"])
 def g18(spark, sf):
     b = rp.bootstrap_mean_ci(fx.outcomes(spark, sf), ["event_type"], "total", ["user_id", "event_type"], _BOOT_REPS, 2026)
     return b.withColumns(r(["ci_low", "ci_high"]))
 
 
-@query("g18_bootstrap_median_ci")
+@query("g18_bootstrap_median_ci", _BOOT.format(boot_sql("src", 2026, _BOOT_REPS, order="v", stat="quantile_cont(v, 0.5)") + " "), ["src"])
 def g18m(spark, sf):
-    return rp.bootstrap_median_ci(fx.outcomes(spark, sf), ["event_type"], "total", ["user_id", "event_type"], _BOOT_REPS)
+    b = rp.bootstrap_median_ci(fx.outcomes(spark, sf), ["event_type"], "total", ["user_id", "event_type"], _BOOT_REPS)
+    return b.withColumns(r(["ci_low", "ci_high"]))
+
+
+# All line items: groups of many cells, whose draws are not in SQL; their numbers are.
+@query("g18_bootstrap_weights", """
+SELECT l_linenumber, COUNT(*) AS least, COUNT(*) AS most, CAST(200 AS BIGINT) AS replicates FROM lineitem GROUP BY 1""")
+def g18w(spark, sf):
+    rows = fx.table(spark, sf, "lineitem").select("l_linenumber", "l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey")
+    sums = rp.multinomial_sums(rows, ["l_linenumber"], "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 200, 7)
+    return sums.groupBy("l_linenumber").agg(F.min("w").alias("least"), F.max("w").alias("most"), F.count(F.lit(1)).alias("replicates"))
 
 
 @query("g19_rank_biserial", "," + _signed_rank("deltas", "pair") + """
@@ -610,20 +670,32 @@ def g19(spark, sf):
     return stats.rank_biserial(deltas(spark, sf), ["pair"], "d").withColumns(r(["rank_biserial"], 8))
 
 
-@query("g20_paired_delta", """
-, l AS (SELECT user_id, 'total' AS metric, event_type, CAST(total AS DOUBLE) AS v FROM outcomes UNION ALL SELECT user_id, 'n', event_type, n FROM outcomes),
-d AS (SELECT a.user_id, a.metric, a.v AS va, b.v AS vb, a.v - b.v AS d FROM l a JOIN l b ON a.user_id = b.user_id AND a.metric = b.metric
-  AND a.event_type = 'click' AND b.event_type = 'view'),""" + _signed_rank("d", "metric") + """,
+fx.SQL["pair_deltas"] = (["outcomes"], """
+WITH l AS (SELECT user_id, 'total' AS metric, event_type, CAST(total AS DOUBLE) AS v FROM outcomes UNION ALL SELECT user_id, 'n', event_type, n FROM outcomes)
+SELECT a.user_id, a.metric, a.v AS va, b.v AS vb, a.v - b.v AS d FROM l a JOIN l b ON a.user_id = b.user_id AND a.metric = b.metric
+  AND a.event_type = 'click' AND b.event_type = 'view'""")
+_PAIR_ID = "user_id || '|' || metric"
+_P3 = {"p_two_sided": "p2", "p_a_greater": "CASE WHEN zz > 0 THEN p2 / 2 ELSE 1 - p2 / 2 END", "p_b_greater": "CASE WHEN zz > 0 THEN 1 - p2 / 2 ELSE p2 / 2 END"}
+
+
+@query("g20_paired_delta", ", d AS (SELECT * FROM pair_deltas)," + _signed_rank("d", "metric") + """,
 g AS (SELECT metric, COUNT(*) AS n_runs, """ + rs({
     "mean_a": "AVG(va)", "mean_b": "AVG(vb)", "mean_delta": "AVG(d)", "std_delta": "stddev_samp(d)", "median_delta": "quantile_cont(d, 0.5)"}, 5) +
        """, COUNT(*) FILTER (WHERE d > 0) AS a_wins, COUNT(*) FILTER (WHERE d < 0) AS b_wins, COUNT(*) FILTER (WHERE d = 0) AS ties,
-  CASE WHEN AVG(d) > 0 THEN 'click' WHEN AVG(d) < 0 THEN 'view' ELSE 'tie' END AS winner_by_mean FROM d GROUP BY 1)
-SELECT g.*, CAST(least(w_plus, w_minus) AS DOUBLE) AS wilcoxon_stat, ROUND((w_plus - w_minus) / (w_plus + w_minus), 8) AS rank_biserial
-FROM g JOIN s ON g.metric = s.metric""", ["outcomes"])
+  CASE WHEN AVG(d) > 0 THEN 'click' WHEN AVG(d) < 0 THEN 'view' ELSE 'tie' END AS winner_by_mean FROM d GROUP BY 1),
+src AS (SELECT metric AS g, d AS v, """ + fx.h32(_PAIR_ID) + " AS x, " + fx.h32(_PAIR_ID, 1) + """ AS y FROM d),
+""" + boot_sql("src", 2026, _BOOT_REPS) + """,
+e AS (SELECT *, """ + normal_two_sided_sql("zz") + """ AS p2 FROM s),
+f AS (SELECT *, """ + ", ".join(f"{x} AS {n}" for n, x in _P3.items()) + """ FROM e),
+k AS (SELECT *, COUNT(*) OVER () AS n_all, """ + ", ".join(f"ROW_NUMBER() OVER (ORDER BY {n}) AS rank_{n}" for n in _P3) + """ FROM f)
+SELECT g.*, CAST(least(w_plus, w_minus) AS DOUBLE) AS wilcoxon_stat, ROUND((w_plus - w_minus) / (w_plus + w_minus), 8) AS rank_biserial,
+  ROUND(ci_low, 5) AS ci_low, ROUND(ci_high, 5) AS ci_high, """ + rs(_P3 | {}, 6).replace("CAST(p2 AS", "CAST(p_two_sided AS") + ", " +
+       ", ".join(f"ROUND({bh_sql(n)}, 6) AS {n.replace('p_', 'q_', 1)}" for n in _P3) + """
+FROM g JOIN k ON g.metric = k.metric JOIN boot ON boot.g = g.metric""", ["pair_deltas"])
 def g20(spark, sf):
     p = stats.paired_delta(fx.outcomes(spark, sf), ["user_id"], "event_type", "click", "view", ["total", "n"])
-    p = p.withColumns({**r(["mean_a", "mean_b", "mean_delta", "std_delta", "median_delta"], 5), **r(["rank_biserial"], 8)})
-    return p.drop("ci_low", "ci_high", "p_two_sided", "p_a_greater", "p_b_greater", "q_two_sided", "q_a_greater", "q_b_greater")
+    return p.withColumns({**r(["mean_a", "mean_b", "mean_delta", "std_delta", "median_delta", "ci_low", "ci_high"], 5), **r(["rank_biserial"], 8),
+                          **r([*_P3, *(n.replace("p_", "q_", 1) for n in _P3)])})
 
 
 @query("g21_adjusted_odds_ratios")

@@ -5,6 +5,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pairlens.operators import replicates as rp
 
@@ -92,10 +93,42 @@ def test_anova_without_inner_variance(spark):
     assert r["f_stat"] == 0.0 and r["p_perm"] == 1.0
 
 
-def test_hypergeometric_beyond_numpy_range():
-    rng = np.random.default_rng(0)
-    out = rp._draw_hypergeometric(rng, np.full(200, 3_000_000_000), np.full(200, 1_000_000_000), np.full(200, 1_000_000))
-    assert abs(out.mean() - 750_000) < 200 and out.std() < 2000
+def _moments(good, bad, sample):
+    n = good + bad
+    mean = sample * (good / n)
+    return mean, mean * (bad / n) * ((n - sample) / (n - 1))
+
+
+@pytest.mark.parametrize("good, bad, sample", [
+    (3_000_000_000, 1_000_000_000, 1_000_000), (6_000_000_000, 4_000_000_000, 5_000_000_000), (4_000_000_000, 6_000_000_000, 9_000_000_000),
+    (40, 10**10, 2 * 10**9), (10**10, 7, 9 * 10**9), (10**15, 3 * 10**15, 10**14), (10**10, 10**10, 3)])
+def test_hypergeometric_of_any_size(good, bad, sample):
+    """Mean and variance of the law where numpy's generator ends; counts stay inside the margins."""
+    from pairlens.functions.hypergeometric import hypergeometric
+
+    reps = 60_000
+    out = hypergeometric(np.random.default_rng(0), np.full(reps, good), np.full(reps, bad), np.full(reps, sample))
+    mean, var = _moments(good, bad, sample)
+    assert abs(out.mean() - mean) < 5 * math.sqrt(var / reps) + 1e-9 and abs(out.var() / var - 1) < 0.04
+    assert out.min() >= max(0, sample - bad) and out.max() <= min(good, sample)
+
+
+def test_rejection_has_the_law_of_small_margins():
+    """The sampler for large margins, used on small ones, against the exact probabilities."""
+    from pairlens.functions.hypergeometric import _rejected
+
+    for good, bad, sample in ((12, 9, 7), (5, 30, 20), (3, 3, 3), (1, 50, 50)):
+        out = _rejected(np.random.default_rng(1), np.full(80_000, good), np.full(80_000, bad), np.full(80_000, sample))
+        for k in range(sample + 1):
+            want = math.comb(good, k) * math.comb(bad, sample - k) / math.comb(good + bad, sample) if sample - k <= bad else 0
+            assert abs((out == k).mean() - want) < 0.008
+
+
+def test_hypergeometric_without_choice():
+    from pairlens.functions.hypergeometric import hypergeometric
+
+    out = hypergeometric(np.random.default_rng(0), [0, 5, 10**10, 7, 0], [5, 0, 0, 10**10, 0], [3, 3, 10**9, 0, 0])
+    assert out.tolist() == [0, 3, 10**9, 0, 0]
 
 
 def test_ids_that_share_their_first_word_get_different_weights():
@@ -108,15 +141,50 @@ def test_ids_that_share_their_first_word_get_different_weights():
     assert abs(np.corrcoef(u1, u2)[0, 1]) < 0.06 and abs(u1.mean() / PRIME - 0.5) < 0.02
 
 
-def test_tree_allocation_keeps_margins_and_means():
-    from pairlens.operators.replicates import _descend
+def _paths(spark, totals, levels):
+    rows = spark.createDataFrame([("k", levels, c, t) for c, t in enumerate(totals)], "g string, levels int, cell long, size long")
+    return {r["cell"]: [s.asDict() for s in r["path"]] for r in rp.tree_paths(rows, ["g"], "levels", "cell", "size").collect()}
+
 
-    totals, sizes, reps = [40, 10, 25, 25, 100], [120, 80], 3000
-    parts = np.stack([_descend(3, totals, sizes, reps, k) for k in range(len(totals))])
+def test_tree_allocation_keeps_margins_and_means(spark):
+    totals, sizes, reps = [40, 10, 25, 0, 25, 100], [120, 80], 3000
+    paths = _paths(spark, totals, 3)
+    assert [len(p) for p in paths.values()] == [3] * 6 and paths[5][0]["total"] == 200 and paths[5][0]["left"] == 75
+    parts = np.stack([rp._descend(3, paths[k], sizes, reps) for k in range(len(totals))])
     assert (parts.sum(axis=1) == np.array(totals)[:, None]).all()
     assert (parts.sum(axis=0) == np.array(sizes)[:, None]).all()
     want = np.array(totals)[:, None] * np.array(sizes) / 200
     assert np.abs(parts.mean(axis=2) - want).max() < 0.4
     # The variance of a hypergeometric count.
     v = 100 * 0.6 * 0.4 * (100 / 199)
-    assert abs(parts[4, 0].var() / v - 1) < 0.15
+    assert abs(parts[5, 0].var() / v - 1) < 0.15
+
+
+@pytest.mark.parametrize("cell", [16, 4096])
+def test_multinomial_weights_sum_to_the_rows(spark, monkeypatch, cell):
+    """Every replicate draws as many rows as there are, over one cell or many; means have the bootstrap's deviation."""
+    monkeypatch.setattr(rp, "CELL_ROWS", cell)
+    rng = np.random.default_rng(2)
+    x = rng.normal(5, 2, 700)
+    rows = pd.DataFrame({"g": np.where(np.arange(700) < 30, "few", "many"), "i": range(700), "x": x, "one": 1.0})
+    rows.loc[5, "x"] = None
+    df = spark.createDataFrame(rows).withColumn("x", F.nanvl("x", F.lit(None)))
+    sums = rp.multinomial_sums(df, ["g"], "x", ["i"], 600, 4).toPandas()
+    assert sums[sums.g == "few"].w.eq(29).all() and sums[sums.g == "many"].w.eq(670).all() and len(sums) == 1200
+    ones = rp.multinomial_sums(df, ["g"], "one", ["i"], 50, 4).toPandas()
+    assert (ones.wv == ones.w).all()
+    for g in ("few", "many"):
+        v = rows[rows.g == g].x.dropna()
+        m = (sums[sums.g == g].wv / sums[sums.g == g].w)
+        assert abs(m.mean() - v.mean()) < 6 * v.std() / math.sqrt(len(v) * 600) and abs(m.std() / (v.std(ddof=0) / math.sqrt(len(v))) - 1) < 0.12
+
+
+@pytest.mark.parametrize("cell", [8, 4096])
+@pytest.mark.parametrize("n", [101, 240])
+def test_order_statistics_have_the_law_of_sorted_draws(monkeypatch, cell, n):
+    monkeypatch.setattr(rp, "CELL_ROWS", cell)
+    places = [0, n // 2 - 1, n // 2, n - 1]
+    got = rp.order_statistics(3, "k", n, places, 6000)
+    want = np.sort(np.random.default_rng(8).integers(0, n, (6000, n)), axis=1)[:, places]
+    assert (np.diff(got, axis=1) >= 0).all()
+    assert np.abs(got.mean(0) - want.mean(0)).max() < 0.06 * n ** 0.5 and np.abs(got[:, 1:3].std(0) / want[:, 1:3].std(0) - 1).max() < 0.06
