@@ -5,9 +5,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.draws import md5_hex
 from ..functions.scores import severity_score
 from .keys import key_join
+from .ranks import positions
 from .staging import stage
 
 UNIT = ["case", "model"]
@@ -35,32 +35,27 @@ def multiset_diff(
 ) -> DataFrame:
     """AFTER rows with existed_before / is_new_finding under the multiset rule.
 
-    The k-th occurrence of a key, ordered by line and then row hash, is new
-    when k exceeds the number of BEFORE rows with that key. Both tables are
-    read once, into counts per (key, line, md5 prefix); AFTER rows join them
-    once. Rows are ordered inside a cell only, so a hot key is split over its
-    lines and prefixes. The offsets of a key's cells are one window, whose rows
-    are cells and not findings. Null keys are keys like others.
+    The k-th occurrence of a key, ordered by line (null first) and then row
+    hash, is new when k exceeds the number of BEFORE rows with that key. The
+    counts of both sides decide most keys at once: all rows of a key are new if
+    there are none before, and none is if there are as many. Only rows of the
+    keys between are put in order, over ranges of lines and md5 prefixes, so
+    that no key is one task. Null keys are keys like others.
     """
     keys = list(keys)
-    rows = after.withColumn("_h", md5_hex(*tie)).withColumn("_hp", F.substring("_h", 1, 2))
-    # Cells of both sides in one aggregate; the BEFORE rows of a key are one cell without a place.
-    kinds = {f.name: f.dataType for f in after.schema.fields}
-    sides = rows.select(*keys, line, "_hp", F.lit(0).alias("_b"), F.lit(1).alias("_a")).unionAll(before.select(
-        *keys, F.lit(None).cast(kinds[line]), F.lit(None).cast("string"), F.lit(1), F.lit(0)))
-    cells = sides.groupBy(*keys, line, "_hp").agg(F.sum("_b").alias("_b"), F.sum("_a").alias("_a"))
-    prior = W.partitionBy(*keys).orderBy(F.col(line).asc_nulls_first(), F.col("_hp").asc_nulls_first())
-    cells = cells.select(
-        *keys, line, "_hp", F.sum("_b").over(W.partitionBy(*keys)).alias("_nb"),
-        F.coalesce(F.sum("_a").over(prior.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-    ).where(F.col("_hp").isNotNull())
-    cell = [*keys, line, "_hp"]
-    local = W.partitionBy(*cell).orderBy("_h", *tie)
-    placed = key_join(rows, cells, cell).withColumn("_new", F.col("_off") + F.row_number().over(local) > F.col("_nb"))
-    return placed.withColumns({
+    sides = after.select(*keys, F.lit(0).alias("_nb"), F.lit(1).alias("_na")).unionAll(
+        before.select(*keys, F.lit(1), F.lit(0)))
+    counts = sides.groupBy(*keys).agg(F.sum("_nb").alias("_nb"), F.sum("_na").alias("_na")).where("_na > 0")
+    rows = stage(key_join(after, counts, keys))
+    mixed = (F.col("_nb") > 0) & (F.col("_nb") < F.col("_na"))
+    sure = rows.where(~mixed).withColumn("_new", F.col("_nb") == 0)
+    at = F.coalesce(F.col(line).cast("double"), F.lit(float("-inf")))
+    placed = positions(rows.where(mixed).withColumn("_at", at), keys, "_at", tie, out="_k")
+    both = sure.unionByName(placed.withColumn("_new", F.col("_k") > F.col("_nb")).drop("_at", "_k"))
+    return both.withColumns({
         "is_new_finding": F.col("_new").cast("int"),
         "existed_before": (~F.col("_new")).cast("int"),
-    }).drop("_h", "_hp", "_nb", "_off", "_new")
+    }).drop("_nb", "_na", "_new")
 
 
 def matched_counts(before: DataFrame, after: DataFrame,

@@ -1,11 +1,13 @@
 """Line-level work on unified diffs and source files."""
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.text import lines
+from ..shipping import ship
 
 # Relation labels of a mapped line.
 OUTSIDE, CONTEXT = "UNCHANGED_OUTSIDE_DIFF", "CONTEXT_LINE_IN_HUNK"
@@ -258,18 +260,52 @@ def hunk_audit(diffs: DataFrame, keys: Sequence[str], patch: str) -> DataFrame:
     )
 
 
-def _find(src: Column, block: Column, floor: Column, hint: Column) -> Column:
-    """Nearest start of ``block`` in ``src`` at or after ``floor`` (0-based), or null."""
-    limit = F.size(src) - F.size(block)
-    # The first line is compared before the whole block is cut out.
-    starts = F.filter(
-        F.when((limit >= floor) & (F.size(block) > 0), F.sequence(floor, limit)).otherwise(
-            F.array().cast("array<int>")
-        ),
-        lambda i: (F.get(src, i) == F.get(block, F.lit(0))) & (F.slice(src, i + 1, F.size(block)) == block),
-    )
-    near = F.array_min(F.transform(starts, lambda i: F.struct(F.abs(i - hint).alias("d"), i.alias("i"))))
-    return near["i"]
+#: What is taken off lines before they are compared, in this order.
+FORMS = (lambda x: x, str.rstrip, str.strip)
+
+
+class _Lines:
+    """The places of those lines of a file that occur in its hunks, for one form of comparing."""
+
+    def __init__(self, source: Sequence[str], wanted: set[str]):
+        self.source, self.places = source, {x: [] for x in wanted}
+        for i, x in enumerate(source):
+            if x in self.places:
+                self.places[x].append(i)
+
+    def find(self, block: Sequence[str], floor: int, hint: int) -> int | None:
+        """The start of ``block`` at or after ``floor`` that is nearest to ``hint``, the smaller of two.
+
+        Only places of the block's rarest line are tried, from the hint outwards.
+        """
+        rare = min(range(len(block)), key=lambda j: len(self.places[block[j]]))
+        at = self.places[block[rare]]
+        right = bisect_left(at, hint + rare)
+        left = right - 1
+        while left >= 0 or right < len(at):
+            if right == len(at) or left >= 0 and hint + rare - at[left] <= at[right] - hint - rare:
+                start, left = at[left] - rare, left - 1
+            else:
+                start, right = at[right] - rare, right + 1
+            if start >= floor and self.source[start:start + len(block)] == block:
+                return start
+        return None
+
+
+def place_hunks(text: str, hunks: Sequence[tuple[int, Sequence[str]]]) -> list[int | None]:
+    """Start (0-based) of the old side of every hunk (hint, lines) in a file, each after the one before."""
+    source, indexes, out, floor = text.replace("\r\n", "\n").split("\n"), {}, [], 0
+    for hint, block in hunks:
+        found = None
+        for k, form in enumerate(FORMS if block else ()):
+            if k not in indexes:
+                indexes[k] = _Lines([form(x) for x in source], {form(x) for _, b in hunks for x in b})
+            found = indexes[k].find([form(x) for x in block], floor, hint)
+            if found is not None:
+                break
+        out.append(found)
+        floor = floor if found is None else found + 1
+    return out
 
 
 def relocate_hunks(
@@ -278,54 +314,36 @@ def relocate_hunks(
     """True position of each hunk's old side in the base file.
 
     Lines are compared exactly, then without trailing and then without any
-    surrounding blanks; hunks of a file are placed in order, each after the
-    one before. The fold runs inside the row of one file section.
+    surrounding blanks; hunks of a file are placed in order, each after the one
+    before. A section of a diff meets its file in one row; there the places of
+    the rarest line of a hunk are its candidates.
     """
     keys = list(keys)
-
-    def rstrip(a):
-        return F.transform(a, lambda v: F.regexp_replace(v, r"\s+$", ""))
-
-    def strip(a):
-        return F.transform(a, lambda v: F.regexp_replace(v, r"^\s+|\s+$", ""))
-
-    def forms(a, name):
-        # The three forms that are compared, made once per block and file.
-        return [a.alias(name), rstrip(a).alias(f"{name}_r"), strip(a).alias(f"{name}_s")]
-
     h = _hunks(hunk_lines(diffs, keys, patch), keys)
     sections = h.groupBy(*keys, "file_id", F.col("old_path").alias(path)).agg(
-        F.array_sort(F.collect_list(F.struct(
-            "hunk_id", "old_start", *forms(_side(F.col("body"), " -"), "block")
-        ))).alias("_hs")
+        F.array_sort(F.collect_list(F.struct("hunk_id", "old_start", _side(F.col("body"), " -").alias("block")))).alias("_hs")
     ).where(F.col(path) != "/dev/null")
-    source = F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n")
-    joined = sections.join(files.select(path, source.alias("_src")), path, "left")
-
-    joined = joined.withColumns({"_src_r": rstrip(F.col("_src")), "_src_s": strip(F.col("_src"))})
-    item = "array<struct<hunk_id:bigint,old_start:int,found:int>>"
-
-    def step(state, hunk):
-        floor, hint, block = state["floor"], hunk["old_start"] - 1, hunk["block"]
-        spot = F.coalesce(
-            _find(F.col("_src"), block, floor, hint),
-            _find(F.col("_src_r"), hunk["block_r"], floor, hint),
-            _find(F.col("_src_s"), hunk["block_s"], floor, hint),
-        )
-        placed = F.struct(
-            hunk["hunk_id"].cast("long").alias("hunk_id"), hunk["old_start"].cast("int").alias("old_start"),
-            spot.cast("int").alias("found"),
-        )
-        return F.struct(
-            F.coalesce(spot + 1, floor).cast("int").alias("floor"),
-            F.concat(state["out"], F.array(placed)).alias("out"),
-        )
-
-    init = F.struct(F.lit(0).alias("floor"), F.array().cast(item).alias("out"))
-    placed = joined.select(
-        *keys, "file_id", path, F.col("_src").isNotNull().alias("_has"),
-        F.explode(F.aggregate("_hs", init, step, lambda s: s["out"])).alias("_o"),
-    )
+    joined = sections.join(files.select(path, F.col(text).alias("_src")), path, "left")
+    item = T.ArrayType(T.StructType([T.StructField("hunk_id", T.LongType()), T.StructField("old_start", T.IntegerType()),
+                                     T.StructField("found", T.IntegerType())]))
+    kept = [*keys, "file_id", path]
+    schema = T.StructType([*[joined.schema[c] for c in kept], T.StructField("_has", T.BooleanType()), T.StructField("_os", item)])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for whole in batches:
+            for k in range(whole.num_rows):
+                row = whole.slice(k, 1)
+                hunks, source = row.column("_hs")[0].as_py(), row.column("_src")[0].as_py()
+                spots = [None] * len(hunks) if source is None else place_hunks(source, [(x["old_start"] - 1, x["block"]) for x in hunks])
+                placed = [{"hunk_id": x["hunk_id"], "old_start": x["old_start"], "found": s} for x, s in zip(hunks, spots)]
+                yield pa.RecordBatch.from_arrays([*[row.column(c) for c in kept], pa.array([source is not None]),
+                                                  pa.array([placed], type=to_arrow_type(item))], names=[*kept, "_has", "_os"])
+
+    ship(diffs.sparkSession)
+    placed = joined.mapInArrow(run, schema).select(*kept, "_has", F.explode("_os").alias("_o"))
     found = F.col("_o.found")
     status = (
         F.when(~F.col("_has"), "no_file")

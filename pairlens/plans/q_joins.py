@@ -139,13 +139,34 @@ def c7(spark, sf):
     return linemap.map_lines(found, d, ["case"], "line_number", "patch")
 
 
-@query("c8_relocate_hunks")
+def _spot(floor: str) -> str:
+    """The first form of comparing (list of lines, block) with a start at or after ``floor``, nearest to the declared one."""
+    forms = []
+    for k in range(3):
+        starts = f"list_filter(range({floor}, len(l{k}) - len(b{k}) + 1), lambda i: l{k}[i + 1 : i + len(b{k})] = b{k})"
+        forms.append(f"list_min(list_transform({starts}, lambda i: abs(i - os + 1) * 10000000 + i)) % 10000000")
+    return f"coalesce({', '.join(forms)})"
+
+
+@query("c8_relocate_hunks", """
+, o AS (SELECT doc_id, hunk, list(x ORDER BY i) FILTER (WHERE p <> '+') AS b0 FROM diff_lines GROUP BY 1, 2),
+d AS (SELECT doc_id, string_split(text, E'\\n') AS l0 FROM documents),
+f AS (SELECT o.doc_id, o.hunk, h.os, b0, list_transform(b0, lambda x: regexp_replace(x, '\\s+$', '')) AS b1,
+  list_transform(b0, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS b2, l0,
+  list_transform(l0, lambda x: regexp_replace(x, '\\s+$', '')) AS l1, list_transform(l0, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS l2
+  FROM o JOIN d ON o.doc_id = d.doc_id JOIN hunks h ON o.doc_id = h.doc_id AND o.hunk = h.hunk),
+one AS (SELECT doc_id, hunk, os, """ + _spot("0") + """ AS found FROM f WHERE hunk = 1),
+two AS (SELECT doc_id, hunk, os, """ + _spot("coalesce(found + 1, 0)") + """ AS found FROM
+  (SELECT f.*, one.found FROM f JOIN one ON f.doc_id = one.doc_id WHERE f.hunk = 2)),
+u AS (SELECT * FROM one UNION ALL SELECT * FROM two)
+SELECT 'doc-' || doc_id AS "case", 'src/m' || doc_id || '.py' AS path, CAST(os AS INTEGER) AS declared_start, CAST(found + 1 AS INTEGER) AS found_start,
+  CASE WHEN found IS NULL THEN 'not_found' WHEN found + 1 = os THEN 'already_correct' ELSE 'relocated' END AS relocation FROM u""", ["hunks"])
 def c8(spark, sf):
     """Hunks of every document's diff are looked for in the document itself."""
     d = fx.diffs(spark, sf)
     files = fx.table(spark, sf, "documents").select(
         F.concat(F.lit("src/m"), "doc_id", F.lit(".py")).alias("path"), "text")
-    return linemap.relocate_hunks(d, files, ["case"], "patch", "path", "text")
+    return linemap.relocate_hunks(d, files, ["case"], "patch", "path", "text").select("case", "path", "declared_start", "found_start", "relocation")
 
 
 @query("c8_relocate_blocks", """

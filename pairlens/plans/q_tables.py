@@ -370,8 +370,7 @@ def f5(spark, sf):
         "row_key", "phase", "is_new_finding")
 
 
-@query("f6_missing_keys", """
-SELECT DISTINCT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)""")
+@query("f6_missing_keys", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def f6(spark, sf):
-    l = fx.table(spark, sf, "lineitem").where("l_quantity > 49").selectExpr("l_partkey AS p_partkey")
-    return joins.missing_keys(fx.table(spark, sf, "part"), l, ["p_partkey"])
+    l = fx.table(spark, sf, "lineitem").selectExpr("l_orderkey AS o_orderkey")
+    return joins.missing_keys(fx.table(spark, sf, "orders"), l, ["o_orderkey"])

@@ -144,3 +144,27 @@ def test_hunk_audit(spark):
         "diff --git a/y b/y", "@@ -1 +1 @@", "-q", "+r", "note ends the hunk", "+ignored"])
     r = linemap.hunk_audit(spark.createDataFrame([(1, patch)], "k int, p string"), ["k"], "p").first()
     assert (r["files_kept"], r["hunks_kept"], r["hunks_dropped_noop"], r["hunks_dropped_empty"], r["hunks_recounted"]) == (2, 2, 1, 1, 1)
+
+
+def test_a_thousand_hunks_in_a_file_of_a_million_lines():
+    """Only places of a hunk's rarest line are tried: blank lines everywhere do not matter."""
+    import time
+
+    from pairlens.operators.linemap import place_hunks
+
+    source = ["" if k % 2 else f"line {k % 5000}" for k in range(1_000_000)]
+    for k in range(0, 1_000_000, 1000):
+        source[k] = f"  mark {k} "
+    hunks = [(k + 700 - (k // 1000) % 1400, source[k - 6:k] + [f"  mark {k}" if k % 3000 else f"mark {k}"] + source[k + 1:k + 5]) for k in range(1000, 1_000_000, 1000)]
+    start = time.time()
+    got = place_hunks("\r\n".join(source), hunks)
+    assert got == [k - 6 for k in range(1000, 1_000_000, 1000)] and time.time() - start < 20
+
+
+def test_nearest_place_and_order_of_hunks():
+    from pairlens.operators.linemap import place_hunks
+
+    text = "\n".join(["a", "b", "x", "a", "b", "x", "a", "b"])
+    assert place_hunks(text, [(2, ["a", "b"])]) == [3] and place_hunks(text, [(1, ["a", "b"])]) == [0]
+    assert place_hunks(text, [(3, ["a", "b"]), (0, ["a", "b"]), (0, ["a", "b"])]) == [3, 6, None]
+    assert place_hunks(text, [(0, []), (0, ["q"]), (0, [" a ", "b"])]) == [None, None, 0]
