@@ -9,7 +9,9 @@ first shared word enough words must be left on both sides (positional filter).
 Only words of templates count: a block's other words cannot be shared.
 Blocks are the lines of a text and, so that wrapped notices are found, the windows of consecutive words across
 lines that are as long as the template, longer by the part that may be missing (``span_of``). Marks of comments are no words.
-Everything is DataFrame expressions.
+Notices that differ in a word, as versions do, match each other's templates; such a block has the label of the
+template that it holds the larger part of, and among equals of the larger one (``rivals_of``).
+Every text is taken apart once; what is joined is the template words in it. Everything is DataFrame expressions.
 """
 from __future__ import annotations
 
@@ -107,87 +109,144 @@ def places_of(words: Column, phrase: str) -> Column:
     return F.when(there, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), here)).otherwise(F.array().cast("array<int>"))
 
 
-def blocks_of(docs: DataFrame) -> DataFrame:
-    """doc_id, tkey and the lines of every text."""
-    return docs.select("doc_id", text_key().alias("tkey"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block"))
+def rivals_of(templates: Sequence[Template], threshold: float) -> list[tuple[int, int]]:
+    """(a, b): template a is also matched by a block that is the text of template b."""
+    sets = [set(template_words(t.text)) for t in templates]
+    return [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets)
+            if a != b and x and len(x & y) >= need_of(len(x), threshold)]
 
 
-def frequencies(docs: DataFrame, words: Sequence[str]) -> dict[str, int]:
-    """How often each of ``words`` occurs in the corpus; as many numbers as words go to the driver."""
-    known = words_of(F.coalesce("text", F.lit("")))
-    found = docs.select(F.explode(F.filter(known, lambda w: w.isin(list(words)))).alias("word")).groupBy("word").count()
-    return {r["word"]: r["count"] for r in found.collect()}
+def _vocabulary(templates: Sequence[Template]) -> list[str]:
+    return sorted({w for t in templates for w in template_words(t.text)})
 
 
-def _index(docs: DataFrame, templates: Sequence[Template], threshold: float) -> tuple:
-    """What both joins read: the templates with the ranks of their words, and the prefixes as a table."""
-    spark = docs.sparkSession
-    sets = [(k, t.label, template_words(t.text)) for k, t in enumerate(templates)]
-    sets = [(k, label, words) for k, label, words in sets if words]
-    vocabulary = sorted({w for _, _, words in sets for w in words})
-    counts = frequencies(docs, vocabulary)
+def scanned(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """What the joins need of every text, from one pass over the texts.
+
+    doc_id, tkey, n_words, the places p0, p1 ... of the phrases, ``held``, the
+    numbers of all its template words, ``lines`` (number, block, distinct template
+    words) and ``mine`` (word, at) over all lines. Lines and texts with too few
+    template words to match anything are not taken apart further.
+    """
+    vocabulary = _vocabulary(templates)
+    number = F.create_map(*(x for k, w in enumerate(vocabulary) for x in (F.lit(w), F.lit(k))))
+    least = min((need_of(len(template_words(t.text)), threshold) for t in templates if template_words(t.text)), default=1)
+    seen = sorted({*vocabulary, *(w for p in PHRASES for w in p.split())})
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text_key().alias("tkey"), text.alias("body__"), words_of(text).alias("words__"))
+    rows = rows.select("*", F.filter("words__", lambda w: w.isin(seen)).alias("seen__"))
+    rows = rows.select("*", F.filter("seen__", lambda w: w.isin(vocabulary)).alias("own__"))
+    enough = F.size(F.array_distinct("own__")) >= least
+
+    def line(block: Column, k: Column) -> Column:
+        own = F.array_distinct(F.filter(words_of(block), lambda w: w.isin(vocabulary)))
+        return F.struct(k.alias("line"), block.alias("block"), F.transform(own, lambda w: number[w]).alias("words"))
+
+    lines = F.filter(F.transform(F.split("body__", "\n"), line), lambda x: F.size(x["words"]) >= least)
+    at = F.filter(F.transform("words__", lambda w, i: F.struct(number[w].alias("word"), i.alias("at"))), lambda x: x["word"].isNotNull())
+    several = enough & F.contains("body__", F.lit("\n"))
+    # Where a phrase's words are not all seen, the text is not searched for it.
+    places = [F.when(F.size(F.array_except(F.array(*map(F.lit, p.split())), "seen__")) == 0, places_of(F.col("words__"), p)).otherwise(
+        F.array().cast("array<int>")).alias(f"p{k}") for k, p in enumerate(PHRASES)]
+    return stage(rows.select("doc_id", "tkey", F.size("words__").cast("long").alias("n_words"), *places,
+                             F.transform("own__", lambda w: number[w]).alias("held"), F.when(enough, lines).alias("lines"), F.when(several, at).alias("mine")))
+
+
+@dataclass
+class Index:
+    """Templates with the ranks of their words, their prefixes as a table, and ``rank``, the rank of each word number."""
+
+    ranked: list[tuple]
+    rank: list[int]
+    prefixes: DataFrame
+    rare: list[int]
+    least: int
+
+    def ranks(self, numbers: Column) -> Column:
+        places = F.array(*map(F.lit, self.rank))
+        return F.transform(numbers, lambda n: F.get(places, n))
+
+
+def _index(texts: DataFrame, templates: Sequence[Template], threshold: float) -> Index:
+    """Words ranked by how often they occur; as many counts as template words go to the driver."""
+    vocabulary = _vocabulary(templates)
+    found = texts.select(F.explode("held").alias("word")).groupBy("word").count().collect()
+    counts = {vocabulary[r["word"]]: r["count"] for r in found}
     rank = {w: n for n, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    ranked = [(k, label, sorted(rank[w] for w in words), need_of(len(words), threshold), span_of(templates[k].text, threshold)) for k, label, words in sets]
-    prefixes = spark.createDataFrame(
+    sets = [(k, t, template_words(t.text)) for k, t in enumerate(templates)]
+    ranked = [(k, t.label, sorted(rank[w] for w in words), need_of(len(words), threshold), span_of(t.text, threshold)) for k, t, words in sets if words]
+    prefixes = texts.sparkSession.createDataFrame(
         [(k, label, len(r), need, span, r, j, r[j]) for k, label, r, need, span in ranked for j in range(len(r) - need + 1)],
         "template int, label string, size int, need int, span int, ranks array<int>, at int, word int")
     rare = sorted({r[j] for _, _, r, need, _ in ranked for j in range(len(r) - need + 1)})
-    least = min(need for _, _, _, need, _ in ranked)
-    names = sorted(rank, key=rank.get)
-    number = F.create_map(*(x for w in vocabulary for x in (F.lit(w), F.lit(rank[w]))))
-    return ranked, vocabulary, rank, prefixes, rare, least, names, number
+    return Index(ranked, [rank[w] for w in vocabulary], prefixes, rare, min((need for *_, need, _ in ranked), default=1))
 
 
-def template_matches(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, tkey, block (its text), label, shared, size and containment of every block and template above the threshold.
-
-    Repeated lines give repeated rows.
-    """
-    _, vocabulary, rank, prefixes, rare, least, names, number = _index(docs, templates, threshold)
-    lines = blocks_of(docs).where(F.length("block") > 0)
-    # The cheap test first: one of the rare words must stand in the line at all.
-    held = F.array_distinct(F.filter(words_of(F.col("block")), lambda w: w.isin(vocabulary)))
-    sure = lines.select("doc_id", "tkey", "block", held.alias("held")).where(
-        (F.size("held") >= least) & F.arrays_overlap("held", F.array(*(F.lit(names[r]) for r in rare))))
-    blocks = stage(sure.select("doc_id", "tkey", "block", F.array_sort(F.transform("held", lambda w: number[w])).alias("mine")))
-    met = blocks.select("*", F.posexplode("mine").alias("pos", "word")).join(prefixes, "word")
+def _line_matches(texts: DataFrame, index: Index) -> DataFrame:
+    lines = texts.where("lines IS NOT NULL").select("doc_id", "tkey", F.explode("lines").alias("l"))
+    sure = lines.select("doc_id", "tkey", "l.line", "l.block", F.array_sort(index.ranks(F.col("l.words"))).alias("mine"))
+    sure = stage(sure.where(F.arrays_overlap("mine", F.array(*map(F.lit, index.rare)))))
+    met = sure.select("*", F.posexplode("mine").alias("pos", "word")).join(index.prefixes, "word")
     # The first shared word: as many words must follow on both sides as are still needed.
     first = F.filter("mine", lambda w: F.array_contains("ranks", w))[0] == F.col("word")
     close = met.where(first).where(F.least(F.size("mine") - F.col("pos"), F.col("size") - F.col("at")) >= F.col("need"))
     shared = F.size(F.array_intersect("mine", "ranks"))
     return close.withColumn("shared", shared).where("shared >= need").select(
-        "doc_id", "tkey", "block", "template", "label", "shared", "size", (F.col("shared") / F.col("size")).alias("containment"))
+        "doc_id", "tkey", "line", "block", "template", "label", "shared", "size", (F.col("shared") / F.col("size")).alias("containment"))
 
 
-def window_matches(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, tkey, label and containment of every template that a window of its span reaches, in texts of several lines.
+def template_matches(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, tkey, line (from 0), block (its text), template (its number), label, shared, size and containment of every line and
+    template above the threshold.
 
-    A window must hold one of the template's prefix words; around each of these
-    all windows are tried that begin at a shared word.
+    Repeated lines give repeated rows.
     """
-    ranked, vocabulary, rank, prefixes, rare, least, names, number = _index(docs, templates, threshold)
-    widest = max(span for *_, span in ranked)
-    text = F.coalesce("text", F.lit(""))
-    rare_words = [names[r] for r in rare]
-    # The cheap test first: a text of several lines with one of the rare words.
-    words = docs.where(F.contains(text, F.lit("\n"))).select("doc_id", text_key().alias("tkey"), words_of(text).alias("words"))
-    some = words.where(F.exists("words", lambda w: w.isin(rare_words)))
-    held = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("at"))), lambda x: x["w"].isin(vocabulary))
-    mine = F.transform(held, lambda x: F.struct(number[x["w"]].alias("word"), x["at"].alias("at")))
-    texts = some.select("doc_id", "tkey", mine.alias("mine")).where(F.size("mine") >= least)
+    texts = scanned(docs, templates, threshold)
+    return _line_matches(texts, _index(texts, templates, threshold))
+
+
+def _window_matches(texts: DataFrame, index: Index) -> DataFrame:
+    widest = max(span for *_, span in index.ranked)
+    places = F.array(*map(F.lit, index.rank))
+    mine = F.transform("mine", lambda x: F.struct(F.get(places, x["word"]).alias("word"), x["at"].alias("at")))
+    some = texts.where(F.col("mine").isNotNull()).select("doc_id", "tkey", mine.alias("mine"))
     rare_at = F.filter(F.transform("mine", lambda x, i: F.struct(x["word"].alias("word"), x["at"].alias("at"), i.alias("i"))),
-                       lambda x: x["word"].isin(rare))
+                       lambda x: x["word"].isin(index.rare))
     # Words stand at rising places, so that a window has no more entries than words.
     spots = F.transform(rare_at, lambda x: F.struct(x["word"].alias("word"), x["at"].alias("at"), F.slice(
         "mine", F.greatest(x["i"] - widest, F.lit(0)) + 1, F.lit(2 * widest + 1)).alias("near")))
-    blocks = stage(texts.select("doc_id", "tkey", F.explode(spots).alias("s")).select("doc_id", "tkey", "s.*"))
-    met = blocks.join(prefixes.withColumnRenamed("at", "place"), "word")
+    blocks = stage(some.select("doc_id", "tkey", F.explode(spots).alias("s")).select("doc_id", "tkey", "s.*"))
+    met = blocks.join(index.prefixes.withColumnRenamed("at", "place"), "word")
     own = F.filter("near", lambda x: F.array_contains("ranks", x["word"]) & (x["at"] > F.col("at") - F.col("span")) & (x["at"] < F.col("at") + F.col("span")))
     close = met.withColumn("own", own).where(F.size("own") >= F.col("need"))
     best = F.array_max(F.transform(F.filter("own", lambda x: x["at"] <= F.col("at")), lambda s: F.size(F.array_distinct(F.transform(
         F.filter("own", lambda x: (x["at"] >= s["at"]) & (x["at"] < s["at"] + F.col("span"))), lambda x: x["word"])))))
     return close.withColumn("shared", best).where("shared >= need").select(
-        "doc_id", "tkey", "label", (F.col("shared") / F.col("size")).alias("containment"))
+        "doc_id", "tkey", "template", "label", "at", "span", "size", (F.col("shared") / F.col("size")).alias("containment"))
+
+
+def window_matches(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, tkey, template, label, at (word of the window), span, size and containment of every template that a window of its
+    span reaches, in texts of several lines.
+
+    A window must hold one of the template's prefix words; around each of these
+    all windows are tried that begin at a shared word.
+    """
+    texts = scanned(docs, templates, threshold)
+    return _window_matches(texts, _index(texts, templates, threshold))
+
+
+def _labels(matches: Column, templates: Sequence[Template], threshold: float) -> Column:
+    """Of matches (template, label, a, z, size, containment) in one text, those without a better rival that overlaps them."""
+    rivals = F.array(*[F.lit(f"{a}-{b}") for a, b in rivals_of(templates, threshold)]).cast("array<string>")
+
+    def beaten(m: Column) -> Column:
+        def better(o: Column) -> Column:
+            more = (o["containment"] > m["containment"]) | ((o["containment"] == m["containment"]) & (o["size"] > m["size"]))
+            return more & (o["a"] <= m["z"]) & (m["a"] <= o["z"]) & F.array_contains(rivals, F.concat(m["template"].cast("string"), F.lit("-"), o["template"].cast("string")))
+        return F.exists(matches, better)
+
+    return F.array_sort(F.array_distinct(F.transform(F.filter(matches, lambda m: ~beaten(m)), lambda m: m["label"])))
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -197,17 +256,20 @@ def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, th
     is the best containment of a template, 0 without any. Null and empty texts
     have no words and no labels. Null and repeated ids are scanned row by row.
     """
-    lines = template_matches(docs, templates, threshold).select("doc_id", "tkey", "label", "containment")
-    best = lines.unionAll(window_matches(docs, templates, threshold)).groupBy(F.col("doc_id").alias("d"), F.col("tkey").alias("t")).agg(
-        F.collect_set("label").alias("found"), F.max("containment").alias("best"))
-    words = F.col("words")
-    rows = docs.select("doc_id", text_key().alias("tkey"), words_of(F.coalesce("text", F.lit(""))).alias("words"))
-    spots = rows.select("doc_id", "tkey", F.size("words").cast("long").alias("n_words"),
-                        *(places_of(words, p).alias(f"p{k}") for k, p in enumerate(PHRASES)))
+    texts = scanned(docs, templates, threshold)
+    index = _index(texts, templates, threshold)
+    fields = ["template", "label", "a", "z", "size", "containment"]
+    zero = F.lit(0)
+    lines = _line_matches(texts, index).withColumns({"a": zero, "z": zero})
+    windows = _window_matches(texts, index).withColumns({"a": F.col("at") - F.col("span"), "z": F.col("at") + F.col("span")})
+    parts = [m.groupBy("doc_id", "tkey", *by).agg(F.collect_set(F.struct(*fields)).alias("matches"), F.max("containment").alias("best")).select(
+        F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "best", F.explode(_labels(F.col("matches"), templates, threshold)).alias("label"))
+        for m, by in ((lines, ["line"]), (windows, []))]
+    best = parts[0].unionAll(parts[1]).groupBy("d", "t").agg(F.collect_set("label").alias("found"), F.max("best").alias("best"))
     cols = [F.col(f"p{k}") for k in range(len(PHRASES))]
     every = F.concat(*cols)
     own = F.array_compact(F.array(*(F.when(F.size(c) > 0, F.lit(label)) for c, label in zip(cols, PHRASES.values()))))
-    based = spots.select("doc_id", "tkey", "n_words", F.size(every).cast("long").alias("n_base"),
+    based = texts.select("doc_id", "tkey", "n_words", F.size(every).cast("long").alias("n_base"),
                          F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
                          F.array_sort(F.array_distinct(own)).alias("own"))
     at = based.join(best, based["doc_id"].eqNullSafe(best["d"]) & (based["tkey"] == best["t"]), "left")

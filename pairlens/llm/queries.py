@@ -12,7 +12,7 @@ from ..operators.staging import scratch
 from .exact_dedup import exact_duplicates
 from .filter_audit import audit_filters
 from .learned_partitions import nearest
-from .license_scan import NOT_WORD, PHRASES, TEMPLATES, THRESHOLD, need_of, scan_licenses, template_words
+from .license_scan import NOT_WORD, PHRASES, TEMPLATES, THRESHOLD, need_of, rivals_of, scan_licenses, template_words
 from .packing import pack_documents
 from .quality_gam import classify_quality
 from .quality_rules import quality_rules
@@ -44,16 +44,20 @@ def _license_sql() -> str:
         return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
     sets = [template_words(t.text) for t in TEMPLATES]
-    templates = ", ".join(f"('{t.label}', {listed(w)}, {need_of(len(w), THRESHOLD)})" for t, w in zip(TEMPLATES, sets))
+    templates = ", ".join(f"({k}, '{t.label}', {listed(w)}, {need_of(len(w), THRESHOLD)})" for k, (t, w) in enumerate(zip(TEMPLATES, sets)))
+    rivals = ", ".join(map(str, rivals_of(TEMPLATES, THRESHOLD)))
     phrases = ", ".join(f"('{label}', {listed(p.split())})" for p, label in PHRASES.items())
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = f"list_filter(string_split_regex({lower}, '{NOT_WORD}'), lambda w: w <> '')"
     return f"""
-WITH t(label, words, need) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}),
+WITH t(k, label, words, need) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}), q(a, b) AS (VALUES {rivals}),
 d AS (SELECT doc_id, coalesce(text, '') AS text, {words.format("coalesce(text, '')")} AS w FROM documents),
-b AS (SELECT doc_id, list_distinct({words.format("line")}) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
-m AS (SELECT doc_id, label, len(list_intersect(b.w, t.words)) / len(t.words) AS best FROM b, t
+b AS (SELECT doc_id, i, list_distinct({words.format("line")}) AS w FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+c AS (SELECT doc_id, i, k, label, len(list_intersect(b.w, t.words)) / len(t.words) AS best, len(t.words) AS size FROM b, t
       WHERE len(list_intersect(b.w, t.words)) >= need),
+m AS (SELECT * FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y JOIN q ON q.b = y.k WHERE q.a = x.k AND y.doc_id = x.doc_id AND y.i = x.i
+      AND (y.best > x.best OR y.best = x.best AND y.size > x.size))),
 f AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS found, max(best) AS best, list(DISTINCT label) AS labels FROM m GROUP BY doc_id),
 s AS (SELECT doc_id, label, i - 1 AS i FROM (SELECT doc_id, label, p.words AS pw, d.w AS w, unnest(range(1, len(d.w) + 1)) AS i FROM d, p)
       WHERE w[i:i + len(pw) - 1] = pw),

@@ -32,11 +32,17 @@ def plain_license(text, threshold):
         base |= {label} if at else set()
     for line in (text or "").split("\n"):
         held = set(license_words(line))
-        for t in L.TEMPLATES:
+        found = {}
+        for k, t in enumerate(L.TEMPLATES):
             want = set(L.template_words(t.text))
             if len(held & want) >= L.need_of(len(want), threshold):
-                labels.add(t.label)
-                best = max(best, len(held & want) / len(want))
+                found[k] = (len(held & want) / len(want), len(want))
+        for k, m in found.items():
+            want = set(L.template_words(L.TEMPLATES[k].text))
+            rivals = [o for j, o in found.items() if len(want & set(L.template_words(L.TEMPLATES[j].text))) >= L.need_of(len(want), threshold)]
+            if max(rivals) == m:
+                labels.add(L.TEMPLATES[k].label)
+            best = max(best, m[0])
     return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
             ",".join(sorted(base | labels)), 1.0 if places else best)
 
@@ -76,6 +82,18 @@ def test_wrapped_notices_are_found(spark):
     assert got[scattered].labels == "" and got[scattered].score == 0
 
 
+def test_versions_are_told_apart(spark):
+    """A notice has the label of its own template, on one line or wrapped, not those of its neighbours."""
+    notices = {"Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0", "Licensed under CC BY 4.0.": "cc-by,cc-by-4.0",
+               "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+               "This library is licensed under the GNU Lesser General Public License, version 2.1.": "lgpl-notice"}
+    rows = [(t, want) for n, want in notices.items() for t in (n, n.replace(" ", "\n", 3), "x\n# " + n.replace("under", "under\n#"))]
+    rows.append(("Licensed under CC BY-SA 4.0.\n\nLicensed under CC BY-ND 4.0.", "cc-by,cc-by-nd-4.0,cc-by-sa-4.0"))
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in L.scan_licenses(docs).collect()}
+    assert [got[k] for k in range(len(rows))] == [want for _, want in rows]
+
+
 def plain_cut(rows, window):
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, *_ in rows]
     seen = Counter(tuple(w[k:k + window]) for w in split for k in range(len(w) - window + 1))
