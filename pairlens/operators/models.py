@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.bijection import permuted
 from ..functions.draws import md5_draw
 from ..functions.ratios import interactions, one_hot
+from .forest import grow_forests, scored_by
 from .keys import key_join
 from .newton import Fitted, SplitTable
 from .ranks import draw_positions, quantiles
@@ -150,9 +151,10 @@ def predictions(df: DataFrame, sets: Mapping[str, Sequence[str]], models: Mappin
                 group: str, label: str, keep: Sequence[str] = ()) -> tuple[DataFrame, list]:
     """Test predictions of every run x feature set x classifier, and the fitted models.
 
-    Logistic regressions of all runs and sets are fitted together. For other
-    classifiers the driver loops over fits; each fit and each transform is
-    distributed. Runs whose training or test rows have a single class are left out.
+    Logistic regressions of all runs and sets are fitted together, and so are
+    forests. For other classifiers the driver loops over fits; each fit and each
+    transform is distributed. Runs whose training or test rows have a single
+    class are left out. Trees stay in a table and are not among the models.
     """
     keep, splits = list(keep), stage(splits)
     runs = [r[0] for r in splits.select("run").distinct().orderBy("run").collect()]
@@ -171,6 +173,9 @@ def predictions(df: DataFrame, sets: Mapping[str, Sequence[str]], models: Mappin
             fitted = table.fit(sets, usable)
             fits += [(runs[s], name, algorithm, _linear(table, f)) for (s, name), f in fitted.items()]
             got = stage(table.scored(fitted).select(run_of.alias("run"), F.lit(algorithm).alias("algorithm"), "*").select(columns))
+        elif fit is balanced_rf:
+            forests = grow_forests(table, sets, usable)
+            got = stage(scored_by(table, forests, sets).select(run_of.alias("run"), F.lit(algorithm).alias("algorithm"), "*").select(columns))
         else:
             got, more = _one_by_one(table, sets, algorithm, fit, [(s, runs[s]) for s in usable], columns)
             fits += more

@@ -232,3 +232,49 @@ def test_runs_with_a_single_class_are_left_out(spark):
     assert [r["run"] for r in e] == [1]
     with pytest.raises(ValueError):
         md.evaluate_sets(df, {"a": ["a"]}, md.LR, splits.where("run > 1"), "grp", "y")
+
+
+def test_forests_of_all_splits(spark):
+    """Trees find what a line cannot, do not depend on the order of rows, and keep groups apart."""
+    from pairlens.operators import forest as fo
+    from pairlens.operators.newton import SplitTable
+
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-1, 1, (600, 4))
+    rows = pd.DataFrame({"id": range(600), "grp": rng.integers(0, 20, 600), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "d": 1.0,
+                         "y": ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(int)})
+    rows.loc[::11, "c"] = None
+    df = spark.createDataFrame(rows).withColumn("c", F.nanvl("c", F.lit(None)))
+    splits = sp.group_splits(df, "grp", 2, 0.3, 42)
+    sets = {"all": ["a", "b", "c", "d"], "noise": ["c", "d"]}
+    e = md.evaluate_sets(df, sets, md.LR_RF, splits, "grp", "y").toPandas().set_index(["algorithm", "feature_set", "run"])
+    assert len(e) == 8 and (e.loc["random_forest", "all"].roc_auc > 0.93).all()
+    assert (e.loc["random_forest", "noise"].roc_auc < 0.65).all() and (e.loc["logistic_regression", "all"].roc_auc < 0.7).all()
+
+    def scores(frame, **more):
+        roles = splits.select((F.col("run") - 1).alias("no"), "grp", (1 - F.col("is_test")).alias("is_train"), F.col("is_test").alias("is_score"))
+        table = SplitTable(frame, sets["all"], "y", "grp", roles, 2, ["id"])
+        forests = fo.grow_forests(table, {"all": sets["all"]}, [0, 1], trees=30, **more)
+        got = fo.scored_by(table, forests, {"all": sets["all"]}).toPandas().sort_values(["no", "id"]).reset_index(drop=True)
+        imp = fo.forest_importance(forests, {"all": sets["all"]}, 30).toPandas()
+        return got, imp
+
+    got, imp = scores(df)
+    again, _ = scores(df.repartition(7))
+    assert (got.y_score == again.y_score).all() and got.y_score.between(0, 1).all()
+    few, _ = scores(df, sample_rows=100)
+    assert len(few) == len(got) and ((few.y_score > 0.5) == few.y_true).mean() > 0.7
+    per = imp.pivot(index="no", columns="feature", values="importance")
+    assert np.allclose(per.sum(axis=1), 1) and (per[["a", "b"]].sum(axis=1) > 0.7).all() and (per["d"] == 0).all()
+
+
+def test_one_tree_is_the_best_split():
+    from pairlens.operators.forest import _pack, _unpack, grow
+
+    x = np.array([[1.0, 5], [2, 5], [3, 5], [10, 5]])
+    y = np.array([0.0, 0, 1, 1])
+    t = grow(x, y, np.array([1.0, 1, 1, 2]), np.random.default_rng(0), 3, 1)
+    assert t.feature.tolist() == [0, -1, -1] and t.threshold[0] == 2.5 and t.score(x).tolist() == [0, 0, 1, 1]
+    assert _unpack(_pack([t, t]))[1].score(x).tolist() == [0, 0, 1, 1]
+    flat = grow(np.ones((3, 2)), np.array([0.0, 1, 1]), np.ones(3), np.random.default_rng(0), 3, 1)
+    assert flat.feature.tolist() == [-1] and flat.value[0] == pytest.approx(2 / 3)
