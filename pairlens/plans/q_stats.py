@@ -74,20 +74,43 @@ w AS (SELECT {by}, COUNT(*) AS n, SUM(CASE WHEN pos THEN lo + (t - 1) / 2.0 ELSE
 s AS (SELECT *, (w_plus - n * (n + 1) / 4.0) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24.0 - tie / 48.0) AS zz FROM w)"""
 
 
-@query("d7_before_after", ", p AS (" + " UNION ALL ".join(
+def normal_two_sided_sql(z: str) -> str:
+    """Two-sided tail of the normal by the series of its integral, for arguments up to 8."""
+    a = f"abs({z})"
+    terms = f"list_sum(list_transform(range(0, 240), lambda k: exp((2 * k + 1) * ln({a}) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
+    return f"CASE WHEN {a} < 1e-12 THEN 1.0 WHEN {a} > 8 THEN 0.0 ELSE greatest(0.0, 1 - 2 * exp(-{a} * {a} / 2) / sqrt(2 * pi()) * {terms}) END"
+
+
+def signed_rank_sql(by: str) -> str:
+    """CTE p: tails of the signed-rank test over the tables s and z, exact without ties or zeros up to 50 differences."""
+    size = "CAST(n * (n + 1) // 2 AS BIGINT) + 1"
+    counts = (f"list_reduce(list_transform(range(1, n + 1), lambda k: [k]), lambda c, k: list_transform(range(0, {size}), "
+              f"lambda i: c[i + 1] + CASE WHEN i >= k[1] THEN c[i - k[1] + 1] ELSE 0 END), "
+              f"list_transform(range(0, {size}), lambda i: CASE WHEN i = 0 THEN CAST(1 AS BIGINT) ELSE 0 END))")
+    return f"""
+x AS (SELECT s.*, n_zero, n <= 50 AND n_zero = 0 AND tie = 0 AS exact FROM s JOIN z USING ({by})),
+x1 AS (SELECT *, CASE WHEN exact THEN {counts} END AS c FROM x),
+x2 AS (SELECT *, list_sum(c[1:CAST(w_plus AS BIGINT) + 1]) / list_sum(c) AS below, list_sum(c[CAST(w_plus AS BIGINT) + 1:]) / list_sum(c) AS above,
+  CASE WHEN NOT exact THEN {normal_two_sided_sql("zz")} END AS pn FROM x1),
+p AS (SELECT *, CASE WHEN exact THEN least(1.0, 2 * least(below, above)) ELSE pn END AS p_two_sided,
+  CASE WHEN exact THEN above WHEN zz > 0 THEN pn / 2 ELSE 1 - pn / 2 END AS p_a_greater,
+  CASE WHEN exact THEN below WHEN zz > 0 THEN 1 - pn / 2 ELSE pn / 2 END AS p_b_greater FROM x2)"""
+
+
+@query("d7_before_after", ", pairs_ AS (" + " UNION ALL ".join(
     f"SELECT model, '{b}' AS before_metric, '{a}' AS after_metric, {b} AS b, {a} AS a, {a} - {b} AS d FROM cohort"
     for b, a in (("findings_before", "findings_after"), ("risk_before", "risk_after"))) + ")," +
-       _signed_rank("p", "model, before_metric, after_metric") + ", g AS (SELECT model, before_metric, after_metric, COUNT(*) AS n_cases, "
+       _signed_rank("pairs_", "model, before_metric, after_metric") + ", g AS (SELECT model, before_metric, after_metric, COUNT(*) AS n_cases, "
        + rs({"before_mean": "AVG(b)", "after_mean": "AVG(a)", "mean_delta": "AVG(d)", "median_delta": "quantile_cont(d, 0.5)"}) +
        """, COUNT(*) FILTER (WHERE d < 0) AS improved_cases, COUNT(*) FILTER (WHERE d > 0) AS worsened_cases,
-  COUNT(*) FILTER (WHERE d = 0) AS unchanged_cases FROM p GROUP BY 1, 2, 3)
-SELECT g.*, CAST(least(w_plus, w_minus) AS DOUBLE) AS statistic, CAST(n + z.n_zero AS BIGINT) AS n_used FROM g
-JOIN s USING (model, before_metric, after_metric) JOIN z USING (model, before_metric, after_metric)""", ["cohort"])
+  COUNT(*) FILTER (WHERE d = 0) AS unchanged_cases FROM pairs_ GROUP BY 1, 2, 3),""" + signed_rank_sql("model, before_metric, after_metric") + """
+SELECT g.*, CAST(least(w_plus, w_minus) AS DOUBLE) AS statistic, ROUND(p_two_sided, 6) AS p_value, CAST(n + n_zero AS BIGINT) AS n_used FROM g
+JOIN p USING (model, before_metric, after_metric)""", ["cohort"])
 def d7(spark, sf):
     pairs = [("findings_before", "findings_after"), ("risk_before", "risk_after")]
     b = de.before_after(fx.cohort(spark, sf), "model", pairs)
-    return b.withColumns(r(["before_mean", "after_mean", "mean_delta", "median_delta"])).withColumn(
-        "n_used", F.col("n_cases")).drop("p_value")
+    return b.withColumns(r(["before_mean", "after_mean", "mean_delta", "median_delta", "p_value"])).withColumn(
+        "n_used", F.col("n_cases"))
 
 
 @query("d13_run_summary", ", l AS (" + " UNION ALL ".join(
@@ -492,13 +515,6 @@ def g9(spark, sf):
 
 # --- G: correlation ---------------------------------------------------------------------------
 
-def normal_two_sided_sql(z: str) -> str:
-    """Two-sided tail of the normal by the series of its integral, for arguments up to 8."""
-    a = f"abs({z})"
-    terms = f"list_sum(list_transform(range(0, 240), lambda k: exp((2 * k + 1) * ln({a}) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
-    return f"CASE WHEN {a} < 1e-12 THEN 1.0 WHEN {a} > 8 THEN 0.0 ELSE greatest(0.0, 1 - 2 * exp(-{a} * {a} / 2) / sqrt(2 * pi()) * {terms}) END"
-
-
 def t_two_sided_sql(t: str, df: str) -> str:
     """Two-sided tail of Student's t with whole degrees of freedom, by its finite series."""
     angle = f"atan(abs({t}) / sqrt({df}))"
@@ -675,7 +691,7 @@ WITH l AS (SELECT user_id, 'total' AS metric, event_type, CAST(total AS DOUBLE)
 SELECT a.user_id, a.metric, a.v AS va, b.v AS vb, a.v - b.v AS d FROM l a JOIN l b ON a.user_id = b.user_id AND a.metric = b.metric
   AND a.event_type = 'click' AND b.event_type = 'view'""")
 _PAIR_ID = "user_id || '|' || metric"
-_P3 = {"p_two_sided": "p2", "p_a_greater": "CASE WHEN zz > 0 THEN p2 / 2 ELSE 1 - p2 / 2 END", "p_b_greater": "CASE WHEN zz > 0 THEN 1 - p2 / 2 ELSE p2 / 2 END"}
+_P3 = ["p_two_sided", "p_a_greater", "p_b_greater"]
 
 
 @query("g20_paired_delta", ", d AS (SELECT * FROM pair_deltas)," + _signed_rank("d", "metric") + """,
@@ -685,11 +701,10 @@ g AS (SELECT metric, COUNT(*) AS n_runs, """ + rs({
   CASE WHEN AVG(d) > 0 THEN 'click' WHEN AVG(d) < 0 THEN 'view' ELSE 'tie' END AS winner_by_mean FROM d GROUP BY 1),
 src AS (SELECT metric AS g, d AS v, """ + fx.h32(_PAIR_ID) + " AS x, " + fx.h32(_PAIR_ID, 1) + """ AS y FROM d),
 """ + boot_sql("src", 2026, _BOOT_REPS) + """,
-e AS (SELECT *, """ + normal_two_sided_sql("zz") + """ AS p2 FROM s),
-f AS (SELECT *, """ + ", ".join(f"{x} AS {n}" for n, x in _P3.items()) + """ FROM e),
-k AS (SELECT *, COUNT(*) OVER () AS n_all, """ + ", ".join(f"ROW_NUMBER() OVER (ORDER BY {n}) AS rank_{n}" for n in _P3) + """ FROM f)
+""" + signed_rank_sql("metric").strip() + """,
+k AS (SELECT *, COUNT(*) OVER () AS n_all, """ + ", ".join(f"ROW_NUMBER() OVER (ORDER BY {n}) AS rank_{n}" for n in _P3) + """ FROM p)
 SELECT g.*, CAST(least(w_plus, w_minus) AS DOUBLE) AS wilcoxon_stat, ROUND((w_plus - w_minus) / (w_plus + w_minus), 8) AS rank_biserial,
-  ROUND(ci_low, 5) AS ci_low, ROUND(ci_high, 5) AS ci_high, """ + rs(_P3 | {}, 6).replace("CAST(p2 AS", "CAST(p_two_sided AS") + ", " +
+  ROUND(ci_low, 5) AS ci_low, ROUND(ci_high, 5) AS ci_high, """ + rs({n: n for n in _P3}) + ", " +
        ", ".join(f"ROUND({bh_sql(n)}, 6) AS {n.replace('p_', 'q_', 1)}" for n in _P3) + """
 FROM g JOIN k ON g.metric = k.metric JOIN boot ON boot.g = g.metric""", ["pair_deltas"])
 def g20(spark, sf):

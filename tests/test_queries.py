@@ -2,6 +2,7 @@
 import duckdb
 import pytest
 
+from pairlens.operators.staging import release
 from pairlens.plans.catalog import ORACLES, QUERIES, TABLES
 from pairlens.plans.check import compare
 
@@ -14,21 +15,36 @@ def con(sf):
     return c
 
 
+# Results that are empty by design: breaches of a contract, and keys that no table lacks.
+MAY_BE_EMPTY = {"a5_require"}
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf, name):
     out = compare(spark, con, name, sf)
     if out == "EMPTY":
-        # The oracle agrees on an empty result at this scale.
+        assert name in MAY_BE_EMPTY, "no rows to compare"
         return
     assert out == "", out
 
 
+@pytest.fixture(autouse=True)
+def staged_tables_go(spark):
+    """What a query has staged is removed after it."""
+    yield
+    release(spark)
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-def test_no_cross_join(spark, sf):
-    for name in ("c4_status_grid", "c10_pairwise", "d3_category_prevalence", "d12_risk_label", "f2_jaccard",
-                 "g1_chi_square", "h3_scale_standard", "g4_sign_flip_test"):
-        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan, name
+# Fits, streams and tables from files run jobs before they return a frame; their plans are those of staged tables.
+EAGER = {n for n in QUERIES if n.startswith(("h4", "h5", "h9", "h10", "h11_permutation", "h12", "h13", "h14_oof", "h15_triage", "i1", "a1_finding", "a1_run", "g13", "g21"))}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
+def test_no_cross_join(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    # A single row beside a table is a broadcast of one value, not a product.
+    assert "CartesianProduct" not in plan, name
