@@ -75,23 +75,32 @@ def review_sample(findings: DataFrame, size: int, seed, key: Sequence[str],
         [-context_quality(status), md5_draw(F.lit(seed), *key), *[F.col(k) for k in key]],
     )
     stratum = F.concat_ws(" | ", "test_id", F.upper("severity"))
-    taken = round_robin_sample(controls.withColumn("_stratum", stratum), "_stratum", size, seed, key)
-    # At most ``size`` rows are left here; the review size is the feature.
-    place = F.row_number().over(W.orderBy("round", "_stratum"))
-    room = F.lit(size) - new.agg(F.count(F.lit(1))).scalar()
-    taken = taken.withColumn("_place", place).where(F.col("_place") <= room)
+    room = max(0, size - new.count())
+    taken = round_robin_sample(controls.withColumn("_stratum", stratum), "_stratum", room, seed, key)
     return new.withColumn("sample_group", F.lit("ALL_NEW_FINDINGS")).unionByName(
-        taken.drop("round", "_stratum", "_place").withColumn("sample_group", F.lit("STRATIFIED_DEDUP_CONTROL"))
+        taken.drop("round", "_stratum").withColumn("sample_group", F.lit("STRATIFIED_DEDUP_CONTROL"))
     )
 
 
 def top_fraction(df: DataFrame, by: Sequence[str], score: str, fraction: float, tie: Sequence[str]) -> DataFrame:
-    """The max(1, ceil(n * fraction)) best scores of every run."""
+    """The max(1, ceil(n * fraction)) best scores of every run.
+
+    Rows are not ranked: counts per range of scores tell in which range the cut
+    of each group lies. All above it are taken, and only the rows of the range
+    that holds the cut are put in order.
+    """
     by = list(by)
-    placed = positions(df, by, score, tie, descending=True, out="place")
-    n = df.where(F.col(score).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    k = F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(float(fraction))))
-    return key_join(placed, n, by).where(F.col("place") <= k).drop("_n")
+    rows = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    rows = rows.withColumn("_b", bucket_of(F.col(score), value_bounds(rows, score)))
+    head = W.partitionBy(*(by or [F.lit(0)]))
+    cells = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c")).select(
+        *by, "_b", "_c", F.sum("_c").over(head).alias("_n"),
+        F.coalesce(F.sum("_c").over(head.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
+    need = F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(float(fraction)))) - F.col("_above")
+    cut = cells.withColumn("_need", need).where((F.col("_need") > 0) & (F.col("_need") <= F.col("_c")))
+    tagged = key_join(rows, stage(cut.select(*by, F.col("_b").alias("_cut"), "_need")), by)
+    edge = positions(tagged.where("_b = _cut"), by, score, tie, descending=True, out="_p").where("_p <= _need").drop("_p")
+    return tagged.where("_b > _cut").unionByName(edge).drop("_b", "_cut", "_need")
 
 
 def rankings(long: DataFrame, metric: str, member: str, value: str) -> DataFrame:

@@ -318,7 +318,7 @@ def i1(spark, sf):
     """All diffs are written as files, scored as a stream, and read back."""
     base = scratch(spark)
     fx.diffs(spark, sf).select("case", "patch").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema("case string, patch string").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    stream = spark.readStream.schema("case string, patch string").parquet(f"{base}/in")
     scores = scoring.score_stream(stream, SCORER, stage(case_features(spark, sf)), "case", "patch")
     scoring.run_scoring(scores, f"{base}/out", f"{base}/ck").awaitTermination()
     return spark.read.parquet(f"{base}/out").withColumns(r(["y_score"], 8))

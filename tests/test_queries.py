@@ -37,14 +37,3 @@ def staged_tables_go(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-
-
-# Fits, streams and tables from files run jobs before they return a frame; their plans are those of staged tables.
-EAGER = {n for n in QUERIES if n.startswith(("h4", "h5", "h9", "h10", "h11_permutation", "h12", "h13", "h14_oof", "h15_triage", "i1", "a1_finding", "a1_run", "g13", "g21"))}
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
-def test_no_cross_join(spark, sf, name):
-    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    # A single row beside a table is a broadcast of one value, not a product.
-    assert "CartesianProduct" not in plan, name
