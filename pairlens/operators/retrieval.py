@@ -125,7 +125,8 @@ def line_scores(files: DataFrame, terms: DataFrame, keys: Sequence[str], text: s
 
     A term scores its weight when the line contains it, plus 20 when the line
     defines it. The terms (at most a hundred) come to the file's row, so no
-    line-term pairs are built.
+    line-term pairs are built; those that stand nowhere in the file are dropped
+    before its lines are looked at.
     """
     keys = list(keys)
 
@@ -143,6 +144,8 @@ def line_scores(files: DataFrame, terms: DataFrame, keys: Sequence[str], text: s
         return F.aggregate("terms", F.lit(0), add)
 
     joined = files.join(terms.select(*keys, "terms"), keys).withColumn("_ls", lines(text))
+    whole = F.lower(F.coalesce(F.col(text), F.lit("")))
+    joined = joined.withColumn("_low", whole).withColumn("terms", F.filter("terms", lambda t: F.contains("_low", t["term"]))).drop("_low")
     # Lower case and indentation are taken off once per line, not once per term.
     scored = F.transform(F.transform("_ls", prepared), lambda x, i: F.struct(score(x).alias("score"), i.alias("index")))
     return joined.withColumn(out, F.filter(scored, lambda s: s["score"] > 0)).drop("terms")

@@ -302,7 +302,26 @@ def c9s(spark, sf):
     return d.select("doc_id", F.explode("scored").alias("_s")).select("doc_id", "_s.index", "_s.score")
 
 
-@query("c9_rank_lines")
+# The fold over the lines of a file by falling score, one line a step: a line inside a window changes nothing, one whose
+# window touches an earlier one widens the first such, another opens a window until there are three.
+@query("c9_rank_lines", """
+WITH RECURSIVE d AS (SELECT doc_id, lang, string_split(E'def the_first():\\n' || text, E'\\n') AS l FROM documents),
+n AS (SELECT doc_id, lang, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM d),
+x AS (SELECT doc_id, lang, len(l) - 1 AS last, UNNEST(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM n),
+s AS (SELECT doc_id, last, i, CASE WHEN contains(lower(x), 'tion') THEN 1 ELSE 0 END +
+  CASE WHEN contains(lower(x), lang) THEN 8 ELSE 0 END + CASE WHEN contains(lower(x), 'the') THEN 10 ELSE 0 END +
+  CASE WHEN starts_with(ltrim(lower(x)), 'def the') OR starts_with(ltrim(lower(x)), 'class the') THEN 20 ELSE 0 END +
+  CASE WHEN starts_with(ltrim(lower(x)), 'def tion') OR starts_with(ltrim(lower(x)), 'def ' || lang) THEN 20 ELSE 0 END AS score FROM x),
+o AS (SELECT doc_id, i, greatest(0, i - 12) AS a, least(last, i + 12) AS z, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS k FROM s WHERE score > 0),
+w(doc_id, k, ws) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) FROM n
+  UNION ALL SELECT w.doc_id, o.k, CASE WHEN len(list_filter(ws, lambda v: v.s <= i AND i <= v.e)) > 0 THEN ws
+    WHEN len(list_filter(ws, lambda v: a <= v.e + 1 AND z >= v.s - 1)) > 0 THEN list_transform(ws, lambda v, j: CASE
+      WHEN j = list_position(list_transform(ws, lambda u: a <= u.e + 1 AND z >= u.s - 1), true)
+      THEN CAST({'s': least(a, v.s), 'e': greatest(z, v.e)} AS STRUCT(s BIGINT, e BIGINT)) ELSE v END)
+    ELSE list_append(ws, CAST({'s': a, 'e': z} AS STRUCT(s BIGINT, e BIGINT))) END
+  FROM w JOIN o ON w.doc_id = o.doc_id AND o.k = w.k + 1 WHERE len(ws) < 3),
+f AS (SELECT doc_id, arg_max(ws, k) AS ws FROM w GROUP BY doc_id)
+SELECT doc_id, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS place, CAST(UNNEST(ws).s AS INTEGER) AS start, CAST(UNNEST(ws).e AS INTEGER) AS "end" FROM f""")
 def c9(spark, sf):
     files, terms = _retrieval_input(spark, sf)
     return retrieval.rank_lines(files, terms, ["doc_id"], "text")
