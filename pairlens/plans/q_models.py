@@ -11,6 +11,7 @@ from ..streaming import scoring
 from . import fixtures as fx
 from .q_stats import NUMERIC, boot_sql, num, r, rs
 from .registry import query
+from .sql_fits import balanced_sql
 
 # All 49 statement features, by group.
 SETS = {
@@ -82,6 +83,18 @@ def h4(spark, sf):
     return md.coefficients(spark, [(0, "full", "logistic_regression", m)])
 
 
+_PLAIN = f"SELECT 1 AS r, y, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in NUM_FEATURES)} FROM num"
+
+
+@query("h4_balanced_lr_numbers", f", q AS ({_PLAIN}), " + balanced_sql("q", "true", NUM_FEATURES, "nt") + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, ROUND(b[{k}], 7) AS coefficient, ROUND(b[{k}] / d_{c}, 9) AS raw_coefficient FROM nt, nt_f"
+    for k, c in enumerate(NUM_FEATURES, 2)), ["num"])
+def h4n(spark, sf):
+    m = md.balanced_lr(num(spark, sf), NUM_FEATURES, "y")
+    return md.coefficients(spark, [(0, "full", "logistic_regression", m)]).select(
+        "feature", F.round("coefficient", 7).alias("coefficient"), F.round("raw_coefficient", 9).alias("raw_coefficient"))
+
+
 @query("h5_balanced_rf")
 def h5(spark, sf):
     d = labelled_text(spark, sf)
@@ -143,6 +156,47 @@ def h9p(spark, sf):
     return stats.paired_delta(m, ["run"], "algorithm", "logistic_regression", "random_forest", METRICS)
 
 
+# Line items by supplier: the same fits, scores and metrics of every run in SQL.
+NUMBER_RUNS = 3
+NUMBER_SETS = {"all": NUM_FEATURES, "two": ["qty", "disc"]}
+fx.SQL["by_supplier"] = ([], f"SELECT l_suppkey AS sk, {fx.FINDING['row_key']} AS row_key, {NUMERIC['y']} AS y, "
+                         + ", ".join(f"CAST({NUMERIC[c]} AS DOUBLE) AS {c}" for c in NUM_FEATURES) + " FROM lineitem")
+
+
+def by_supplier(spark, sf):
+    return fx.view(spark, sf, "lineitem", {"sk": "l_suppkey", "row_key": fx.FINDING["row_key"], **{c: NUMERIC[c] for c in ("y", *NUM_FEATURES)}})
+
+
+def _score(name: str, features) -> str:
+    margin = " + ".join(f"b[{k}] * (({c} - m_{c}) / d_{c})" for k, c in enumerate(features, 2))
+    return f"1 / (1 + exp(-(b[1] + {margin})))"
+
+
+_RUNS_SQL = f"""
+, g AS (SELECT DISTINCT sk FROM by_supplier), c AS (SELECT COUNT(*) AS n FROM g),
+u AS (SELECT run AS r, sk, CAST(ROW_NUMBER() OVER (PARTITION BY run ORDER BY {fx.h32("(41 + run) || '|' || sk")}, sk) <= ceil(0.2 * n) AS INTEGER) AS is_test
+  FROM g, range(1, {NUMBER_RUNS + 1}) t(run), c),
+q AS (SELECT u.r, u.is_test, d.* FROM by_supplier d JOIN u ON d.sk = u.sk), """
+
+_TESTED = " UNION ALL ".join(
+    f"SELECT q.r AS run, '{n}' AS feature_set, y, {_score(n, fs)} AS s FROM q JOIN {n}_n b ON q.r = b.r JOIN {n}_n_f f ON q.r = f.r WHERE is_test = 1"
+    for n, fs in NUMBER_SETS.items())
+
+
+@query("h9_evaluate_numbers", _RUNS_SQL + ", ".join(balanced_sql("q", "is_test = 0", fs, f"{n}_n") for n, fs in NUMBER_SETS.items()) + f""",
+o AS ({_TESTED}), k AS (SELECT run, feature_set, COUNT(*) FILTER (WHERE y = 0 AND s < 0.5) AS tn, COUNT(*) FILTER (WHERE y = 0 AND s >= 0.5) AS fp,
+  COUNT(*) FILTER (WHERE y = 1 AND s < 0.5) AS fn, COUNT(*) FILTER (WHERE y = 1 AND s >= 0.5) AS tp FROM o GROUP BY 1, 2),
+a AS (SELECT run, feature_set, (SUM(rk) FILTER (WHERE y = 1) - SUM(y) * (SUM(y) + 1) / 2) / (SUM(y) * (COUNT(*) - SUM(y))) AS auc FROM (
+  SELECT *, RANK() OVER (PARTITION BY run, feature_set ORDER BY ROUND(s, 12)) + (COUNT(*) OVER (PARTITION BY run, feature_set, ROUND(s, 12)) - 1) / 2.0 AS rk FROM o) GROUP BY 1, 2)
+SELECT CAST(k.run AS INTEGER) AS run, k.feature_set, tn, fp, fn, tp, {rs({"accuracy": "(tp + tn) / (tp + tn + fp + fn)", "recall_1": "tp / (tp + fn)"})},
+  ROUND(auc, 6) AS roc_auc FROM k JOIN a ON k.run = a.run AND k.feature_set = a.feature_set""", ["by_supplier"])
+def h9n(spark, sf):
+    d = by_supplier(spark, sf)
+    m = md.evaluate_sets(d, NUMBER_SETS, md.LR, sp.group_splits(d, "sk", NUMBER_RUNS, 0.2, 42), "sk", "y")
+    return m.select(F.col("run").cast("int").alias("run"), "feature_set", "tn", "fp", "fn", "tp", F.round("accuracy", 6).alias("accuracy"),
+                    F.round("recall_1", 6).alias("recall_1"), F.round("roc_auc", 6).alias("roc_auc"))
+
+
 @query("h10_leave_group_out")
 def h10(spark, sf):
     d = labelled_text(spark, sf)
@@ -232,6 +286,18 @@ def h14o(spark, sf):
     return md.oof_scores(labelled_text(spark, sf), TEXT_FEATURES, "y", "source", 5, 42, keep=["doc_id"])
 
 
+@query("h14_oof_numbers", f"""
+, g AS (SELECT sk, CAST(SUM(y) AS BIGINT) AS positives FROM by_supplier GROUP BY 1),
+p AS (SELECT *, ROW_NUMBER() OVER (ORDER BY positives DESC, md5('42|' || sk)) - 1 AS p FROM g),
+f AS (SELECT sk, CAST(CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS INTEGER) AS fold FROM p),
+q AS (SELECT k.k AS r, f.fold, d.* FROM by_supplier d JOIN f ON d.sk = f.sk, range(0, 5) k(k)), """ + balanced_sql("q", "fold <> q.r", NUM_FEATURES, "nt") + f"""
+SELECT sk, fold, row_key, y AS y_true, ROUND({_score("nt", NUM_FEATURES)}, 8) AS y_score FROM q JOIN nt b ON q.r = b.r JOIN nt_f f ON q.r = f.r WHERE fold = q.r""",
+       ["by_supplier"])
+def h14n(spark, sf):
+    o = md.oof_scores(by_supplier(spark, sf), NUM_FEATURES, "y", "sk", 5, 42, keep=["row_key"])
+    return o.withColumns({"fold": F.col("fold").cast("int"), **r(["y_score"], 8)})
+
+
 _IDS = "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)"
 fx.SQL["sc"] = ([], f"SELECT l_linenumber AS run, {NUMERIC['y']} AS y, {NUMERIC['score']} AS score, {_IDS} AS id FROM lineitem")
 

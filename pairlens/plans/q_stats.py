@@ -4,10 +4,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.draws import DRAW_STEP, MIX, PRIME, STEP
+from ..functions.tails import Z95
 from ..operators import compare, descriptives as de, ranks, replicates as rp, review, sampling, stats
 from . import fixtures as fx
 from .q_joins import adjudicated
 from .registry import query
+from .sql_fits import newton_sql, solve_sql
 
 
 def r(cols, places=6):
@@ -713,9 +715,26 @@ def g20(spark, sf):
                           **r([*_P3, *(n.replace("p_", "q_", 1) for n in _P3)])})
 
 
-@query("g21_adjusted_odds_ratios")
+_TERMS = ["intercept", "qty", "disc", "tax", "s_O"]
+_N = len(_TERMS)
+
+
+@query("g21_adjusted_odds_ratios", """
+, f AS (SELECT """ + ", ".join(f"AVG({c}) AS m_{c}, stddev_pop({c}) AS d_{c}" for c in _TERMS[1:4]) + """ FROM num),
+rows_ AS (SELECT 1 AS r, CAST(y AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS w, [1.0, """ + ", ".join(f"(CAST({c} AS DOUBLE) - m_{c}) / d_{c}" for c in _TERMS[1:4]) + """,
+  CAST(s = 'O' AS DOUBLE)] AS z FROM num, f), """ + newton_sql("rows_", _N) + f""",
+i0 AS (SELECT b, list_transform(h, lambda row, i: list_concat(row, list_transform(range(1, {_N + 1}), lambda j: CASE WHEN i = j THEN CAST(1 AS DOUBLE) ELSE 0 END))) AS m FROM nt),
+{solve_sql("i0", "inv", _N)},
+t AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, b[{k}] AS coef, sqrt(m[{k}][{_N + k}]) AS se FROM inv" for k, c in enumerate(_TERMS, 1)) + f"""),
+e AS (SELECT *, coef / se AS zz, exp(coef) AS ratio, exp(coef - {Z95} * se) AS low, exp(coef + {Z95} * se) AS high FROM t),
+v AS (SELECT *, {normal_two_sided_sql("zz")} AS p FROM e),
+k AS (SELECT *, COUNT(*) OVER () AS n_all, ROW_NUMBER() OVER (ORDER BY p) AS rank_p FROM v), q AS (SELECT *, {bh_sql("p")} AS fdr FROM k)
+SELECT feature, ROUND(coef, 7) AS coef, ROUND(se, 7) AS std_error, true AS converged, ROUND(ratio, 7) AS adjusted_odds_ratio, ROUND(low, 6) AS or_ci95_low,
+  ROUND(high, 6) AS or_ci95_high, ROUND(p, 6) AS p_value, ROUND(fdr, 6) AS fdr_bh,
+  CASE WHEN fdr < 0.05 AND low > 1 THEN 'higher adjusted risk' WHEN fdr < 0.05 AND high < 1 THEN 'lower adjusted risk' ELSE 'inconclusive' END AS direction FROM q""", ["num"])
 def g21(spark, sf):
-    return stats.adjusted_odds_ratios(num(spark, sf), ["qty", "disc", "tax"], [], "y", "s", ["F", "O"])
+    t = stats.adjusted_odds_ratios(num(spark, sf), ["qty", "disc", "tax"], [], "y", "s", ["F", "O"])
+    return t.drop("z_value").withColumns({**r(["coef", "std_error", "adjusted_odds_ratio"], 7), **r(["or_ci95_low", "or_ci95_high", "p_value", "fdr_bh"])})
 
 
 @query("g22_wilson_ci", f"""
