@@ -218,7 +218,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP
     settled = met.where("alike").select(*run)
     mixed = met.where("not alike")
     distinct = stage(mixed.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct(*run)).alias("at")))
-    settled = settled.unionAll(mixed.join(distinct.where("times > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(*run))
+    twice = stage(distinct.where("times > 1").select("anchor", "context"))
+    settled = settled.unionAll(mixed.join(twice, ["anchor", "context"], "left_semi").select(*run))
     # One occurrence of each distinct context carries its words to the others of its anchor.
     crowds = stage(distinct.groupBy("anchor").count().where(F.col("count") > group_rows).select("anchor", F.lit(True).alias("crowd")))
     placed = distinct.join(crowds, "anchor", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
