@@ -204,6 +204,24 @@ def h10(spark, sf):
     return md.leave_group_out(d, SETS, md.LR_RF, s, "source", "y")
 
 
+NUMBER_GROUPS = {"amount": ["qty", "price"], "rates": ["disc", "tax"]}
+_LEFT = {"full": [f for fs in NUMBER_GROUPS.values() for f in fs], "amount": NUMBER_GROUPS["rates"], "rates": NUMBER_GROUPS["amount"]}
+
+
+@query("h10_leave_group_numbers", _RUNS_SQL + ", ".join(balanced_sql("q", "is_test = 0", fs, f"{n}_n") for n, fs in _LEFT.items()) + ", o AS (" + " UNION ALL ".join(
+    f"SELECT q.r AS run, '{n}' AS left_out, y, ROUND({_score(n, fs)}, 12) AS s FROM q JOIN {n}_n b ON q.r = b.r JOIN {n}_n_f f ON q.r = f.r WHERE is_test = 1"
+    for n, fs in _LEFT.items()) + """),
+a AS (SELECT run, left_out, (SUM(rk) FILTER (WHERE y = 1) - SUM(y) * (SUM(y) + 1) / 2) / (SUM(y) * (COUNT(*) - SUM(y))) AS auc FROM (
+  SELECT *, RANK() OVER (PARTITION BY run, left_out ORDER BY s) + (COUNT(*) OVER (PARTITION BY run, left_out, s) - 1) / 2.0 AS rk FROM o) GROUP BY 1, 2)
+SELECT CAST(a.run AS INTEGER) AS run, a.left_out AS group_removed, 2 AS n_removed, ROUND(f.auc, 6) AS auc_full, ROUND(a.auc, 6) AS auc_without_group
+FROM a JOIN a f ON a.run = f.run AND f.left_out = 'full' WHERE a.left_out <> 'full'""", ["by_supplier"])
+def h10n(spark, sf):
+    d = by_supplier(spark, sf)
+    m = md.leave_group_out(d, NUMBER_GROUPS, md.LR, sp.group_splits(d, "sk", NUMBER_RUNS, 0.2, 42), "sk", "y")
+    return m.select(F.col("run").cast("int").alias("run"), "group_removed", F.col("n_removed").cast("int").alias("n_removed"),
+                    F.round("auc_full", 6).alias("auc_full"), F.round("auc_without_group", 6).alias("auc_without_group"))
+
+
 @query("h11_permutation_importance")
 def h11(spark, sf):
     d = labelled_text(spark, sf)
@@ -332,6 +350,29 @@ def h15t(spark, sf):
     return md.triage_runs(labelled_text(spark, sf), TEXT_FEATURES, "y", "source", ["doc_id"], runs=RUNS)
 
 
+# Two runs over line items by supplier with everything in SQL: outer fits, five inner folds each, thresholds, policies.
+_TRIAGE = 2
+
+
+@query("h15_triage_numbers", f"""
+, g AS (SELECT sk, CAST(SUM(y) AS BIGINT) AS positives FROM by_supplier GROUP BY 1), gn AS (SELECT COUNT(*) AS n FROM g),
+u AS (SELECT run, sk, positives, CAST(ROW_NUMBER() OVER (PARTITION BY run ORDER BY {fx.h32("(41 + run) || '|' || sk")}, sk) <= ceil(0.2 * n) AS INTEGER) AS is_test
+  FROM g, range(1, {_TRIAGE + 1}) t(run), gn),
+p AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run ORDER BY positives DESC, md5((41 + run) || '|' || sk)) - 1 AS p FROM u WHERE is_test = 0),
+f AS (SELECT run, sk, CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS fold FROM p),
+w AS (SELECT run, 6 * (run - 1) AS r, sk, is_test = 0 AS tr, is_test = 1 AS ts FROM u
+  UNION ALL SELECT run, 6 * (run - 1) + 1 + k, sk, fold <> k, fold = k FROM f, range(0, 5) t(k)),
+q AS (SELECT w.run, w.r, w.tr, w.ts, d.* FROM by_supplier d JOIN w ON d.sk = w.sk), """ + balanced_sql("q", "tr", NUM_FEATURES, "nt") + f""",
+scored AS (SELECT CAST(run AS INTEGER) AS run, q.r % 6 AS inner_fold, y, row_key AS id, {_score("nt", NUM_FEATURES)} AS score
+  FROM q JOIN nt b ON q.r = b.r JOIN nt_f z ON q.r = z.r WHERE ts),
+oof AS (SELECT * FROM scored WHERE inner_fold > 0), sc AS (SELECT * FROM scored WHERE inner_fold = 0)""" + _POLICY.replace(
+    "AS pos FROM sc GROUP BY 1, 2", "AS pos FROM oof GROUP BY 1, 2") +
+       "SELECT run, policy, tp, fp, fn, tn, n_test, n_selected, positives, " + rs(_PCOLS, 8) + " FROM m", ["by_supplier"])
+def h15n(spark, sf):
+    t = md.triage_runs(by_supplier(spark, sf), NUM_FEATURES, "y", "sk", ["row_key"], runs=_TRIAGE)
+    return t.withColumns({"run": F.col("run").cast("int"), **r(_PCOLS, 8)})
+
+
 _H16_ID = "run || '|' || policy || '|' || metric"
 
 
