@@ -120,5 +120,8 @@ def best_fit(pieces: DataFrame, keys: list[str], capacities: Sequence[int] = CAP
 
 
 def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, piece, start, length, bin_id, capacity, offset for every piece of ``docs`` (doc_id, text)."""
+    """doc_id, piece, start, length, bin_id, capacity, offset for every piece of ``docs`` (doc_id, text).
+
+    Repeated rows are packed each for itself; no rows give no bins.
+    """
     return best_fit(pieces_of(docs, max(capacities)), ["doc_id", "piece", "start"], capacities, group_rows)

@@ -202,7 +202,8 @@ def merged(spans: Column) -> Column:
 def redact(docs: DataFrame, path: str, mark: str = "[REDACTED]", rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs`` with every span that the ledger at ``path`` holds replaced by ``mark``, and ``n_chars`` brought in line.
 
-    All columns stay; no row is added or lost.
+    All columns stay; no row is added or lost, repeated rows are all kept, and no
+    rows stay none. Null texts stay null.
     """
     own, key = free_name(docs, "row__"), "blob__"
     names = F.array(*(F.lit(r.name) for r in rules))

@@ -50,7 +50,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 7, group_rows:
 
     Counts of shards differ by one at most, and so do, per source, those of
     shards and their proportional share, up to rounding. A null text counts one
-    byte; a null source is a source of its own; repeated rows are placed apart.
+    byte; a null source is a source of its own; repeated rows are placed apart;
+    no rows fill no shard.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = stage(docs.select(

@@ -175,4 +175,5 @@ def test_sharding(docs, rows, shards, group_rows):
 
 
 def test_sharding_empty(none):
-    assert H.shard_rows(none).count() == 0
+    out = H.shard_rows(none)
+    assert out.count() == 0 and {"doc_id", "shard", "slot"} <= set(out.columns)
