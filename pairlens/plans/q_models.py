@@ -429,3 +429,50 @@ def i1(spark, sf):
     scores = scoring.score_stream(stream, SCORER, stage(case_features(spark, sf)), "case", "patch")
     scoring.run_scoring(scores, f"{base}/out", f"{base}/ck").awaitTermination()
     return spark.read.parquet(f"{base}/out").withColumns(r(["y_score"], 8))
+
+
+# The same features under a model fitted on the labelled documents.
+_PATCH = {"patch_churn": "ad + rm", "patch_hunks": "hk", "patch_files_touched": "fl", "patch_density": "(ad + rm) / (ls + 1.0)", "prompt_chars": "chars",
+          "prompt_size_category": "CASE WHEN chars <= 500 THEN 0 WHEN chars <= 1000 THEN 1 WHEN chars <= 2000 THEN 2 ELSE 3 END"}
+_FITTED_SQL = _SCORE_SQL[:_SCORE_SQL.index(",\ns AS (")] + """,
+v AS (SELECT 1 AS r, "case", """ + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _PATCH.items()) + """ FROM f),
+q AS (SELECT v.*, quality AS y FROM v JOIN labels l ON v."case" = 'doc-' || l.doc_id), """ + balanced_sql("q", "true", list(_PATCH), "nt") + f""",
+o AS (SELECT "case", {_score("nt", _PATCH)} AS z FROM v, nt b, nt_f)
+SELECT "case", ROUND(z, 7) AS y_score, CAST(z >= 0.5 AS INTEGER) AS y_pred FROM o"""
+
+
+def fitted_scorer(spark, sf):
+    """The logistic regression of quality on patch and prompt features of the labelled documents."""
+    made = md.patch_features(fx.diffs(spark, sf).select("case", "patch"), case_features(spark, sf), "case", "patch")
+    labels = fx.table(spark, sf, "labels").select(F.concat(F.lit("doc-"), "doc_id").alias("case"), "quality")
+    return md.balanced_lr(made.join(labels, "case"), list(_PATCH), "quality")
+
+
+@query("h18_fitted_score", _FITTED_SQL, ["diffs"])
+def h18f(spark, sf):
+    d = fx.diffs(spark, sf).select("case", "patch")
+    return md.batch_score(fitted_scorer(spark, sf), d, case_features(spark, sf), "case", "patch").withColumns(r(["y_score"], 7))
+
+
+@query("i1_fitted_stream", _FITTED_SQL, ["diffs"])
+def i1f(spark, sf):
+    """A model fitted on what is labelled scores diffs as they arrive."""
+    base = scratch(spark)
+    fx.diffs(spark, sf).select("case", "patch").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("case string, patch string").parquet(f"{base}/in")
+    scores = scoring.score_stream(stream, fitted_scorer(spark, sf), stage(case_features(spark, sf)), "case", "patch")
+    scoring.run_scoring(scores, f"{base}/out", f"{base}/ck").awaitTermination()
+    return spark.read.parquet(f"{base}/out").withColumns(r(["y_score"], 7))
+
+
+_ATTRIBUTED = ["qty", "disc", "tax", "price"]
+
+
+@query("h17_fitted_attribution", f", q AS ({_PLAIN}), " + balanced_sql("q", "true", _ATTRIBUTED, "nt") + " " + " UNION ALL ".join(
+    f"SELECT row_key, '{c}' AS feature, ROUND(CAST({c} AS DOUBLE), 4) AS value, ROUND(b[{k}] * ((CAST({c} AS DOUBLE) - m_{c}) / d_{c}), 7) + 0.0 AS attribution "
+    "FROM kept, nt, nt_f" for k, c in enumerate(_ATTRIBUTED, 2)), ["num", "kept"])
+def h17f(spark, sf):
+    """Every line item's parts of its score under the regression fitted on all of them."""
+    rows = fx.view(spark, sf, "lineitem", {**NUMERIC, "row_key": fx.FINDING["row_key"]})
+    a = md.linear_attribution(md.balanced_lr(rows, _ATTRIBUTED, "y"), rows, ["row_key"])
+    return a.withColumns({"value": F.round("value", 4), "attribution": F.round("attribution", 7) + F.lit(0.0)})
