@@ -7,16 +7,18 @@ windows have equal anchors at the same place. The steps:
 
 1. Neighbouring windows with one anchor form a context. An anchor that occurs
    once makes all windows of its context unique; a context that occurs twice
-   makes all of them repeated. Counting settles nearly everything, and copies
-   however many are combined before the shuffle.
+   makes all of them repeated. Counting settles what no tree could tell apart,
+   and copies however many are combined before the shuffle.
 2. What is left are distinct contexts that share an anchor, as at the edges of
-   copied passages. They are grouped by the anchor, a short prefix. A group of
-   more than ``group_rows`` contexts is split by longer prefixes: its suffixes
-   are dealt out one by one under their full ``window`` words.
-3. A group's subtree is built level by level: the nodes of depth d are the
-   classes of suffixes that agree in d words, found by prefix doubling. A node
-   as deep as the window with two suffixes below it is a repeat. A prefix of
-   full depth is such a node itself, so that its suffixes need only be counted.
+   copied passages. The suffixes that begin in them are grouped by the anchor, a
+   prefix of 8 words. A group of more than ``group_words`` words is split by
+   prefixes of 12, 18 and 27 words, step by step until each part fits; a
+   suffix that is alone under a prefix is unique. A part that is too large
+   under the full ``window`` is a single node, and needs no tree.
+3. A task builds the subtrees of its groups: suffixes in order and, between
+   neighbours, the depth of the node that joins them. The deepest internal node
+   above a suffix is the longest repeat that begins there; nodes of ``window``
+   words and more are the repeats that are removed.
 """
 from __future__ import annotations
 
@@ -31,10 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.staging import stage
-from .common import GROUP_ROWS, arrow, text_bytes, text_key
+from .common import arrow, text_bytes, text_key
 
 WINDOW = 35
 ANCHOR = 8
+#: Words of the contexts or suffixes of one group, and of the groups whose trees a task builds at once.
+GROUP_WORDS, TREE_WORDS = 1 << 18, 1 << 19
+#: Lengths of the prefixes that large groups are split by.
+LONGER = (12, 18, 27)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -141,47 +147,64 @@ def anchored(docs: DataFrame, window: int) -> DataFrame:
     return arrow(source, run, f"doc_id {kind}, tkey long, lo int, n int, anchor long, context long")
 
 
-def deep_nodes(words: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """Of the suffixes of ``words`` at ``starts``, those below a node of ``depth`` words with another suffix.
+def longest_repeats(words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """For every suffix ``starts`` of the stretches that end before ``stops``, the depth of the deepest internal node above it.
 
-    Level by level: suffixes that agree in d words are one class; classes of 2d
-    words are pairs of classes of d words. Only stretches inside one context
-    are read: every start has ``depth`` words.
+    Each stretch is followed by a place of its own in ``words``, whose word does
+    not matter: nothing equals an end. Ranks of stretches of 1, 2, 4 ... words
+    come from pairs of ranks; the last ones put the suffixes in order, and the
+    words that neighbours share are found by going down the ranks again. That
+    is the depth of the node where their branches part.
     """
-    level = np.unique(words, return_inverse=True)[1].astype(np.int64)
-    reach = 1
-    while reach < depth:
-        step = min(reach, depth - reach)
-        pairs = level[:-step] * (int(level.max()) + 1) + level[step:]
-        level = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
-        reach += step
-    node = level[starts]
-    order = np.argsort(node, kind="stable")
-    same = node[order][1:] == node[order][:-1]
-    out = np.zeros(len(starts), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
+    if len(starts) < 2:
+        return np.zeros(len(starts), np.int64)
+    known, level = np.unique(words, return_inverse=True)
+    ends = np.unique(stops)
+    level[ends] = len(known) + np.arange(len(ends))
+    longest = int(np.diff(np.concatenate([[-1], ends])).max())
+    ranks, reach = [level.astype(np.int64)], 1
+    while reach < longest:
+        now = ranks[-1]
+        after = np.concatenate([now[reach:] + 1, np.zeros(min(reach, len(now)), np.int64)])
+        ranks.append(np.unique(now * (int(now.max()) + 2) + after, return_inverse=True)[1].astype(np.int64))
+        reach *= 2
+    order = np.argsort(ranks[-1][starts], kind="stable")
+    left, right = starts[order[:-1]].copy(), starts[order[1:]].copy()
+    shared = np.zeros(len(left), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        inside = np.maximum(left, right) < len(words)
+        same = inside & (ranks[k][np.where(inside, left, 0)] == ranks[k][np.where(inside, right, 0)])
+        shared[same] += 1 << k
+        left[same] += 1 << k
+        right[same] += 1 << k
+    out = np.zeros(len(starts), np.int64)
+    out[order[1:]] = shared
+    out[order[:-1]] = np.maximum(out[order[:-1]], shared)
     return out
 
 
-def _trees(window: int, hold: int = 8192):
+def _trees(window: int, hold: int = TREE_WORDS):
     """Subtrees of the groups in a stream sorted by group; gives the runs of repeated windows."""
 
     def solve(rows: list[tuple]) -> list[tuple]:
         words = [np.frombuffer(r[5], np.uint64) for r in rows]
-        base = np.concatenate([[0], np.cumsum([len(w) for w in words])])[:-1]
+        sizes = np.array([len(w) for w in words])
+        base = np.cumsum(sizes + 1) - sizes - 1
+        end = np.zeros(1, np.uint64)
         n = np.array([r[4] for r in rows])
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = deep_nodes(np.concatenate(words), np.repeat(base, n) + inside, window)
+        depth = longest_repeats(np.concatenate([x for w in words for x in (w, end)]), np.repeat(base, n) + inside, base + sizes)
+        hit = depth >= window
         row, place = np.repeat(np.arange(len(rows)), n)[hit], inside[hit]
         if not len(row):
             return []
         first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)]))
-        sizes = np.diff(np.append(first, len(row)))
-        return [(rows[r][1], rows[r][2], rows[r][3] + p, int(s)) for r, p, s in zip(row[first], place[first].tolist(), sizes)]
+        runs = np.diff(np.append(first, len(row)))
+        return [(rows[r][1], rows[r][2], rows[r][3] + p, int(s)) for r, p, s in zip(row[first], place[first].tolist(), runs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
 
         def solved() -> pa.RecordBatch:
             cols = list(zip(*solve(held))) or [(), (), (), ()]
@@ -193,10 +216,11 @@ def _trees(window: int, hold: int = 8192):
             kind = b.schema.field(1).type
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 # Enough is held and a new group begins: the groups so far are whole.
-                if len(held) >= hold and row[0] != held[-1][0]:
+                if size >= hold and row[0] != held[-1][0]:
                     yield solved()
-                    held = []
+                    held, size = [], 0
                 held.append(row)
+                size += len(row[5]) // 8
         if held:
             yield solved()
 
@@ -207,7 +231,7 @@ def _same_row(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["d"]) & (left["tkey"] == right["t"])
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
+def repeated_runs(docs: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS) -> DataFrame:
     """doc_id, tkey, lo, n: the windows lo to lo + n - 1 of the text also begin elsewhere."""
     anchors = stage(anchored(docs, window))
     totals = anchors.groupBy("anchor").agg(F.count("*").alias("total"), F.min("context").alias("c0"), F.max("context").alias("c1"))
@@ -221,30 +245,51 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP
     twice = stage(distinct.where("times > 1").select("anchor", "context"))
     settled = settled.unionAll(mixed.join(twice, ["anchor", "context"], "left_semi").select(*run))
     # One occurrence of each distinct context carries its words to the others of its anchor.
-    crowds = stage(distinct.groupBy("anchor").count().where(F.col("count") > group_rows).select("anchor", F.lit(True).alias("crowd")))
-    placed = distinct.join(crowds, "anchor", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
-    wanted = (placed.groupBy(F.col("at.doc_id").alias("d"), F.col("at.tkey").alias("t"))
-              .agg(F.collect_list(F.struct("anchor", "crowd", "at.lo", "at.n")).alias("wanted")))
-    source = docs.select("doc_id", text_key().alias("tkey"), text_bytes().alias("body"))
-    texts = source.join(wanted, _same_row(source, wanted)).select("doc_id", "tkey", "body", "wanted")
+    words = F.sum(F.col("at.n") + F.lit(window - 1))
+    large = stage(distinct.groupBy("anchor").agg(words.alias("words")).where(F.col("words") > group_words).select("anchor", F.lit(True).alias("large")))
+    placed = distinct.join(large, "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spelled = arrow(texts, _spell(window), f"anchor long, doc_id {kind}, tkey long, lo int, n int, words binary, full long")
-    groups = spelled.where("full is null").drop("full").repartition("anchor").sortWithinPartitions("anchor")
-    found = arrow(groups, _trees(window), f"doc_id {kind}, tkey long, lo int, n int")
-    # Full prefixes: one node each. Repeated rows of one text give one context, so that each place counts once.
-    crowd = spelled.where("full is not null").select("anchor", "full", *run)
-    deep = crowd.groupBy("anchor", "full").count().where("count > 1").select("anchor", "full")
-    return settled.unionAll(found).unionAll(crowd.join(deep, ["anchor", "full"], "left_semi").select(*run))
-
 
-def _spell(window: int):
-    """The words of wanted contexts; for crowded anchors each suffix alone, by the hash of its window."""
+    def spelled(some: DataFrame, suffixes: bool) -> DataFrame:
+        wanted = some.groupBy(F.col("at.doc_id").alias("d"), F.col("at.tkey").alias("t")).agg(
+            F.collect_list(F.struct("anchor", "at.lo", "at.n")).alias("wanted"))
+        source = docs.select("doc_id", text_key().alias("tkey"), text_bytes().alias("body"))
+        texts = source.join(wanted, _same_row(source, wanted)).select("doc_id", "tkey", "body", "wanted")
+        return arrow(texts, _spell(window, suffixes), f"group long, doc_id {kind}, tkey long, lo int, n int, words binary, prefixes array<long>")
+
+    def trees(some: DataFrame) -> DataFrame:
+        grouped = some.select("group", *run, "words").repartition("group").sortWithinPartitions("group")
+        return arrow(grouped, _trees(window), f"doc_id {kind}, tkey long, lo int, n int")
+
+    found = trees(spelled(placed.where("not large"), False))
+    if large.isEmpty():
+        return settled.unionAll(found)
+    # One row per suffix of the large groups. Repeated rows of one text give one context, so that each place counts once.
+    left = stage(spelled(placed.where("large"), True))
+    for k in range(len(LONGER)):
+        tagged = left.withColumn("group", F.xxhash64("group", F.get("prefixes", F.lit(k))))
+        sizes = stage(tagged.groupBy("group").count().where("count > 1"))
+        tagged = stage(tagged.join(sizes, "group"))
+        fits = F.col("count") * window <= group_words
+        found = found.unionAll(trees(tagged.where(fits)))
+        left = tagged.where(~fits).drop("count")
+        if left.isEmpty():
+            return settled.unionAll(found)
+    # Still too large under all words of the window: one deep node each.
+    node = F.xxhash64("group", "words")
+    deep = stage(left.groupBy(node.alias("node")).count().where("count > 1").select("node"))
+    return settled.unionAll(found).unionAll(left.withColumn("node", node).join(deep, "node", "left_semi").select(*run))
+
+
+def _spell(window: int, suffixes: bool):
+    """The words of wanted contexts, or each suffix that begins in them by its window and the hashes of its longer prefixes."""
+    lengths = [min(n, window) for n in LONGER]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for b in batches:
-            kinds = [pa.int64(), b.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
-            names = ["anchor", "doc_id", "tkey", "lo", "n", "words", "full"]
+            kinds = [pa.int64(), b.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+            names = ["group", "doc_id", "tkey", "lo", "n", "words", "prefixes"]
             out: list[tuple] = []
 
             def flush() -> pa.RecordBatch:
@@ -253,15 +298,14 @@ def _spell(window: int):
             for ident, tkey, body, wanted in zip(*b.columns):
                 ident, tkey = ident.as_py(), tkey.as_py()
                 words = word_hashes(body.as_py(), known)
-                rolling = None
+                rolling = Rolling(words) if suffixes else None
                 for w in wanted.as_py():
                     lo, n = w["lo"], w["n"]
-                    if w["crowd"]:
-                        rolling = rolling or Rolling(words)
-                        full = rolling.of(np.arange(lo, lo + n), window).view(np.int64).tolist()
-                        out += [(w["anchor"], ident, tkey, lo + k, 1, None, h) for k, h in enumerate(full)]
-                    else:
+                    if rolling is None:
                         out.append((w["anchor"], ident, tkey, lo, n, words[lo:lo + n + window - 1].tobytes(), None))
+                        continue
+                    hashes = np.stack([rolling.of(np.arange(lo, lo + n), m) for m in lengths], 1).view(np.int64).tolist()
+                    out += [(w["anchor"], ident, tkey, lo + k, 1, words[lo + k:lo + k + window].tobytes(), h) for k, h in enumerate(hashes)]
                 if len(out) > 10_000:
                     yield flush()
                     out = []
@@ -280,7 +324,7 @@ def cut_text(body: bytes, runs: list[dict] | None, window: int) -> tuple[list[by
     return words, keep
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and ``removed`` for every row of ``docs`` (doc_id, text).
 
     ``removed`` holds the maximal stretches of words (start, stop) that are
@@ -288,7 +332,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group_rows: int = GROU
     rows and equal texts repeat each other; texts shorter than the window stay
     as they are. Ids may be null or repeated.
     """
-    runs = repeated_runs(docs, window, group_rows).groupBy(F.col("doc_id").alias("d"), F.col("tkey").alias("t")).agg(
+    runs = repeated_runs(docs, window, group_words).groupBy(F.col("doc_id").alias("d"), F.col("tkey").alias("t")).agg(
         F.collect_set(F.struct("lo", "n")).alias("runs"))
     source = docs.select("doc_id", text_key().alias("tkey"), text_bytes().alias("body"))
     at = source.join(runs, _same_row(source, runs), "left").select("doc_id", "body", "runs")

@@ -107,9 +107,9 @@ def plain_cut(rows, window):
     return sorted(out, key=lambda t: tuple((x is not None, str(type(x)), x) for x in t))
 
 
-@pytest.mark.parametrize("window,group_rows", [(35, 4096), (35, 1), (12, 2)])
-def test_repeats(docs, rows, get, window, group_rows):
-    out = U.remove_repeats(docs, window, group_rows).persist()
+@pytest.mark.parametrize("window,group_words", [(35, 1 << 18), (35, 1), (12, 30), (35, 200)])
+def test_repeats(docs, rows, get, window, group_words):
+    out = U.remove_repeats(docs, window, group_words).persist()
     assert get(out.drop("removed")) == plain_cut(rows, window)
     assert all(sum(s.stop - s.start for s in r.removed) == r.n_removed for r in out.collect())
 
@@ -170,7 +170,8 @@ def test_bpe(docs, rows, get, codec, leaf):
 
 def test_bpe_empty(none):
     path = tokenizer_path("word_bpe_49k.json")
-    assert B.decode(B.encode(none, path), path).count() == 0
+    out = B.decode(B.encode(none, path), path)
+    assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "ids", "decoded"]
 
 
 def plain_spans(text, rules):
@@ -294,3 +295,24 @@ def test_private_key_of_any_length(spark):
     P.scan_new(docs, path)
     clean = {r.doc_id: r.text for r in P.redact(docs, path).collect()}
     assert clean[1] == "[REDACTED] tail" and len(clean[2]) < len(text)
+
+
+@given(st.lists(st.lists(st.integers(0, 3), max_size=30), min_size=1, max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_longest_repeats_are_the_deepest_nodes(stretches):
+    words, starts, stops, at = [], [], [], 0
+    for s in stretches:
+        words += [*s, 9]
+        starts += range(at, at + len(s))
+        stops.append(at + len(s))
+        at += len(s) + 1
+    got = U.longest_repeats(np.array(words, np.uint64), np.array(starts, np.int64), np.array(stops, np.int64))
+    end = dict(zip(starts, (e for s, e in zip(stretches, stops) for _ in s)))
+
+    def common(a, b):
+        k = 0
+        while a + k < end[a] and b + k < end[b] and words[a + k] == words[b + k]:
+            k += 1
+        return k
+
+    assert got.tolist() == [max((common(a, b) for b in starts if b != a), default=0) for a in starts]
