@@ -48,15 +48,16 @@ def replicate_constants(seed: int, replicates: int):
 # Increments and multipliers of the 32-bit draws (published avalanche constants).
 STEP, DRAW_STEP = 0x9E3779B1, 0x85EBCA77
 MIX = ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1))
-LOW = 0xFFFFFFFF
 
 
 def mix32(x):
-    """Every bit of a 32-bit number spread over all of them, on uint64 arrays."""
+    """Every bit of a 32-bit number spread over all of them, on uint32 arrays (products wrap)."""
     import numpy as np
 
     for shift, factor in MIX:
-        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(LOW)
+        x = x ^ (x >> np.uint32(shift))
+        if factor != 1:
+            x = x * np.uint32(factor)
     return x
 
 
@@ -66,13 +67,13 @@ def replicate_seeds(name: str, replicates):
 
     import numpy as np
 
-    base = np.uint64(int(hashlib.md5(name.encode()).hexdigest()[:8], 16))
-    return mix32((base + np.asarray(replicates, np.uint64) * np.uint64(STEP)) & np.uint64(LOW))
+    base = np.uint32(int(hashlib.md5(name.encode()).hexdigest()[:8], 16))
+    return mix32(np.asarray(replicates, np.uint32) * np.uint32(STEP) + base)
 
 
 def picks(seeds, j, m: int):
     """Draw number ``j`` (from 0) of each seed: uniform over 0 .. m-1."""
     import numpy as np
 
-    u = mix32((seeds + np.asarray(j, np.uint64) * np.uint64(DRAW_STEP)) & np.uint64(LOW))
-    return ((u * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+    u = mix32(np.asarray(j).astype(np.uint32) * np.uint32(DRAW_STEP) + seeds)
+    return ((u.astype(np.uint64) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)

@@ -22,8 +22,8 @@ from .staging import stage
 
 # Groups held in a task before its partial sums are handed on.
 FLUSH_GROUPS = 256
-#: Rows that a cell of a group is meant to hold, and draws held at once.
-CELL_ROWS, DRAWS = 4096, 2_000_000
+#: Rows that a cell of a group is meant to hold, signs held at once, and draws made at once (they stay in the cache).
+CELL_ROWS, DRAWS, PICKS = 4096, 2_000_000, 1 << 16
 
 
 def sign_sums(df: DataFrame, by: Sequence[str], value: str, ids: Sequence[str], replicates: int, seed: int) -> DataFrame:
@@ -146,7 +146,7 @@ def multinomial_sums(df: DataFrame, by: Sequence[str], value: str, ids: Sequence
             left = _node_rng(seed, key, at["d"], at["node"]).binomial(here, at["left"] / at["total"])
             here = here - left if at["half"] else left
         seeds = replicate_seeds(f"{seed}|{key}|{cell}", np.arange(replicates))
-        sums, step = np.zeros(replicates), max(1, DRAWS // max(1, int(here.max(initial=1))))
+        sums, step = np.zeros(replicates), max(1, PICKS // max(1, int(here.max(initial=1))))
         for a in range(0, replicates, step):
             k = here[a:a + step]
             which = np.repeat(np.arange(len(k)), k)
@@ -231,7 +231,7 @@ def order_statistics(seed: int, key: str, n: int, places: Sequence[int], replica
                 if used.any():
                     todo.append((a, b, reps[used], k[used], p[used]))
             continue
-        step = max(1, DRAWS // max(1, int(here.max())))
+        step = max(1, PICKS // max(1, int(here.max())))
         for a in range(0, len(reps), step):
             k, p, r = here[a:a + step], pos[a:a + step], reps[a:a + step]
             which = np.repeat(np.arange(len(k)), k)
