@@ -55,6 +55,34 @@ def test_read_text_artifacts(spark, runs):
     assert got == {"case-1": ("case-1.patch", "+x\n"), "case-2": ("aa-case-2.patch", "+one\n")}
 
 
+def test_packed_files_read_like_loose_ones(spark, runs, tmp_path_factory):
+    loose = {tuple(r) for r in readers.scan_files(spark, str(runs)).collect()}
+    rows = [(str(f.relative_to(runs)), f.read_bytes()) for f in sorted(runs.rglob("*")) if f.is_file()] + [("m3/patches/bad.patch", b"a\xff\n")]
+    packed, mixed = str(tmp_path_factory.mktemp("packed")), str(runs)
+    files = spark.createDataFrame(rows, "path string, content binary")
+    readers.write_pack(files, packed)
+    bad = ("m3", "patches", "bad.patch", "a\n")
+    assert len(loose) == 14 and {tuple(r) for r in readers.scan_files(spark, packed).collect()} == loose | {bad}
+    # A pack beside loose files adds its own to them.
+    readers.write_pack(files.where("path LIKE 'm3/%'"), mixed)
+    got = [tuple(r) for r in readers.scan_files(spark, mixed).collect()]
+    assert len(got) == 15 and set(got) == loose | {bad}
+    assert readers._whole_files(spark, packed, "*.patch").count() == 7
+
+
+def test_run_folders_of_a_query_are_few_files(spark, sf, monkeypatch):
+    """A file per report, patch and prompt costs the driver its name; a pack does not."""
+    from pairlens.plans import q_sources
+    from pairlens.sources import runs as sources
+
+    seen = []
+    monkeypatch.setattr(sources, "finding_tables", lambda spark, root, *rest: seen.append(root))
+    monkeypatch.setattr(sources, "write_tables", lambda tables, out: {})
+    q_sources.made_tables(spark, sf)
+    made = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(seen[0]).count()
+    assert made < readers.scan_files(spark, seen[0]).count() / 2
+
+
 def test_write_ordered_keeps_empty_schema(spark, tmp_path):
     df = spark.createDataFrame([], "b int, a string, extra double")
     readers.write_ordered(df, str(tmp_path / "out"), ["a", "b", "c"])
