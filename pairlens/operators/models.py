@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.bijection import permuted
 from ..functions.draws import md5_draw
 from ..functions.ratios import interactions, one_hot
+from .exchange import exchanged_auc
 from .forest import grow_forests, scored_by
 from .keys import key_join
 from .newton import Fitted, SplitTable
@@ -256,9 +257,7 @@ def linear_drops(rows: DataFrame, by: Sequence[str], features: Sequence[str], id
     """
     by = list(by)
     base = _numbered(rows, by, ids, seed).drop(*[c for c in ids if c not in by])
-    pairs = _shuffled(base, by, repeats, seed).select(
-        *by, "repeat", "y_true", F.posexplode(F.zip_with("_c", "o__c", lambda mine, other: F.col("_m") - mine + other)).alias("_f", "y_score"))
-    auc = curve_metrics(pairs, [*by, "_f", "repeat"]).select(*by, "_f", "repeat", "roc_auc")
+    auc = exchanged_auc(base, _shuffled(base, by, repeats, seed), by)
     whole = curve_metrics(base.withColumn("y_score", F.col("_m")), by).select(*by, F.col("roc_auc").alias("_whole"))
     feature = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_f") + 1)
     return key_join(auc, whole, by).select(

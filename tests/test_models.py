@@ -278,3 +278,34 @@ def test_one_tree_is_the_best_split():
     assert _unpack(_pack([t, t]))[1].score(x).tolist() == [0, 0, 1, 1]
     flat = grow(np.ones((3, 2)), np.array([0.0, 1, 1]), np.ones(3), np.random.default_rng(0), 3, 1)
     assert flat.feature.tolist() == [-1] and flat.value[0] == pytest.approx(2 / 3)
+
+
+def test_exchanged_scores_over_many_ranges(spark, monkeypatch):
+    """Rank sums of many ranges, ties, null keys and a single class against the ranked table of all rows."""
+    from pairlens.operators import exchange
+    from pairlens.operators.triage import curve_metrics
+
+    rng = np.random.default_rng(3)
+    n = 3000
+    rows = [(None if k % 3 == 0 else int(k % 3), i, int(k % 3 != 2 and rng.random() < 0.4), float(a + b), [float(a), float(b)],
+             [float(c), float("nan") if i % 50 == 0 else float(d)])
+            for i, (k, a, b, c, d) in enumerate(zip(rng.integers(0, 3, n), *np.round(rng.normal(size=(4, n)) * [[1], [4], [1], [4]], 1)))]
+    pairs = spark.createDataFrame(rows, "g int, i int, y_true int, _m double, _c array<double>, o__c array<double>").withColumn("repeat", F.col("i") % 2)
+    monkeypatch.setattr(exchange, "RANGE_SCORES", 500)
+    assert len(exchange._cuts(pairs, n, 2)) > 5
+    long = pairs.select("g", "repeat", "y_true", F.posexplode(F.zip_with("_c", "o__c", lambda a, b: F.col("_m") - a + b)).alias("_f", "y_score"))
+    want = {(r["g"], r["_f"], r["repeat"]): r["roc_auc"] for r in curve_metrics(long, ["g", "_f", "repeat"]).collect()}
+    got = {(r["g"], r["_f"], r["repeat"]): r["roc_auc"] for r in exchange.exchanged_auc(pairs, pairs, ["g"]).collect()}
+    assert got == pytest.approx(want, abs=1e-12) and len(got) == 12 and got[2, 0, 0] is None
+    assert got[None, 0, 0] is not None
+
+
+def test_exchanged_scores_do_not_travel_as_rows(spark):
+    """A shuffle of rows times features took most of the time of the permutation importance."""
+    from pairlens.operators import exchange
+
+    pairs = spark.range(2000).selectExpr("CAST(id AS INT) AS i", "CAST(id % 2 AS INT) AS y_true", "CAST(id AS DOUBLE) AS _m",
+                                         "transform(sequence(1, 40), k -> CAST(k AS DOUBLE)) AS _c", "transform(sequence(1, 40), k -> CAST(id AS DOUBLE)) AS o__c",
+                                         "1 AS repeat")
+    plan = exchange.exchanged_auc(pairs, pairs, [])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
