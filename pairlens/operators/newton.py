@@ -69,28 +69,30 @@ class SplitTable:
     def _make(self, tagged: DataFrame, label: str) -> None:
         x = F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(float("nan"))) for f in self.features])
         rows = stage(tagged.select(*self.keep, F.col(label).cast("double").alias("_y"), x.alias("_x"), "_train", "_score").where("_y IS NOT NULL"))
-        tasks = -(-rows.count() // TASK_ROWS)
-        self.rows = stage(rows.coalesce(max(1, tasks)))
+        tasks = max(1, -(-rows.count() // TASK_ROWS))
+        # Only a table of many small parts is written again.
+        self.rows = stage(rows.coalesce(tasks)) if tasks < rows.rdd.getNumPartitions() else rows
         self._count()
         self._scale()
 
     # Passes.
 
-    def sums(self, part: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
-        """Sums over all rows of the vectors that ``part`` gives per key for a block (x, y, train)."""
+    def sums(self, part: Callable[..., Iterator[tuple[int, np.ndarray]]], scored: bool = False) -> dict[int, np.ndarray]:
+        """Sums over all rows of the vectors that ``part`` gives per key for a block (x, y, train, and score if asked for)."""
         p, n = len(self.features), self.n_splits
+        flags = ["_train", "_score"] if scored else ["_train"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
-            for x, y, train, _, _ in blocks(batches, p, n):
-                for key, v in part(x, y, train):
+            for x, y, *of, _ in blocks(batches, p, n, len(flags)):
+                for key, v in part(x, y, *of):
                     total[key] = total[key] + v if key in total else v
             for key, v in total.items():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([key], pa.int32()), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["key", "v"])
 
         ship(self.rows.sparkSession)
-        made = self.rows.select("_x", "_y", "_train", "_score").mapInArrow(run, "key int, v array<double>")
+        made = self.rows.select("_x", "_y", *flags).mapInArrow(run, "key int, v array<double>")
         cells = made.select("key", F.posexplode("v").alias("at", "v")).groupBy("key", "at").agg(F.sum("v").alias("v")).toArrow()
         key, at, v = (cells.column(c).to_numpy() for c in ("key", "at", "v"))
         out = {}
@@ -103,15 +105,19 @@ class SplitTable:
     def _count(self) -> None:
         """Rows of both classes per split, and which features have gaps."""
         n, p = self.n_splits, len(self.features)
-        got = self.rows.select("_y", F.explode("_train").alias("no")).groupBy("no").agg(
-            F.count_if(F.col("_y") == 0).alias("a"), F.count_if(F.col("_y") == 1).alias("b")).collect()
-        self.train_counts = {r["no"]: (r["a"], r["b"]) for r in got}
-        got = self.rows.select("_y", F.explode("_score").alias("no")).groupBy("no").agg(
-            F.count_if(F.col("_y") == 0).alias("a"), F.count_if(F.col("_y") == 1).alias("b")).collect()
-        self.score_counts = {r["no"]: (r["a"], r["b"]) for r in got}
-        first = self.sums(lambda x, y, train: iter([(0, np.concatenate([np.isnan(x).sum(0).astype(float), np.nansum(x, 0), (~np.isnan(x)).sum(0)]))]))
-        flat = first.get(0, np.zeros(3 * p))
+
+        def part(x: np.ndarray, y: np.ndarray, train: np.ndarray, score: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+            yield 0, np.concatenate([np.isnan(x).sum(0).astype(float), np.nansum(x, 0), (~np.isnan(x)).sum(0)])
+            classes = np.array([y == 0, y == 1], float)
+            yield 1, np.concatenate([(classes @ train).ravel(), (classes @ score).ravel()])
+
+        got = self.sums(part, scored=True)
+        counts = got.get(1, np.zeros(4 * n)).astype(int).reshape(2, 2, n)
+        self.train_counts, self.score_counts = (
+            {s: (int(c[0, s]), int(c[1, s])) for s in range(n) if c[:, s].any()} for c in counts)
+        flat = got.get(0, np.zeros(3 * p))
         holes = np.flatnonzero(flat[:p])
+        self.whole_rows = not len(holes)
         self.centre = flat[p:2 * p] / np.maximum(flat[2 * p:], 1)
         self.fill = np.zeros((n, p))
         if len(holes):
@@ -125,6 +131,10 @@ class SplitTable:
         n, p, centre, fill = self.n_splits, len(self.features), self.centre, self.fill
 
         def part(x: np.ndarray, y: np.ndarray, train: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+            if not np.isnan(x).any():
+                d, t = x - centre, train.T.astype(float)
+                yield from enumerate(np.hstack([t @ d, t @ np.square(d), t.sum(1)[:, None]]))
+                return
             for s in range(n):
                 some = x[train[:, s]]
                 some = np.where(np.isnan(some), fill[s], some) - centre
@@ -139,6 +149,12 @@ class SplitTable:
             var[var <= 1e-13 * (np.square(mean) + v[p:2 * p] / m)] = 0.0
             self.mean[s], self.spread[s] = mean + centre, np.where(var > 0, np.sqrt(var), 1.0)
 
+    def _common(self) -> np.ndarray | None:
+        """One unit per feature in which every split's columns are well scaled; None when there are gaps or no such unit."""
+        unit = np.median(self.spread, 0)
+        near = (self.spread <= 100 * unit) & (unit <= 100 * self.spread) & (np.abs(self.mean - self.centre) <= 100 * self.spread)
+        return unit if self.whole_rows and near.all() else None
+
     def usable(self, score: bool) -> list[int]:
         """Splits with both classes among their training rows, and among the scored ones if asked for."""
         both = lambda counts, s: min(counts.get(s, (0, 0))) > 0
@@ -160,10 +176,17 @@ class SplitTable:
         weight = {s: [sum(self.train_counts[s]) / (2.0 * k) for k in self.train_counts[s]] for s in splits}
         base = {k: (np.inf, f[2].beta, None) for k, f in fits.items()}
         active = dict(fits)
+        unit = self._common()
         for step in range(STEPS):
             if not active:
                 break
-            sums = self.sums(_newton_part({k: (s, f) for k, (s, _, f) in active.items()}, weight))
+            now = {k: (s, f) for k, (s, _, f) in active.items()}
+            if unit is None:
+                sums = self.sums(_newton_part(now, weight))
+            else:
+                maps = {k: _to_scaled(f, self.centre, unit) for k, (_, f) in now.items()}
+                shared = self.sums(_shared_part(now, weight, self.centre, unit, maps))
+                sums = {k: _in_scaled(v, maps[k]) for k, v in shared.items()}
             for k, (s, _, fitted) in list(active.items()):
                 m = len(fitted.beta)
                 v, b = sums[k], fitted.beta
@@ -196,7 +219,7 @@ class SplitTable:
         names = [f.name for f in kept]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x, y, _, score, batch in blocks(batches, p, n):
+            for x, y, score, batch in blocks(batches, p, n, 1):
                 for (s, name), f in fits.items():
                     mine = np.flatnonzero(score[:, s])
                     if not len(mine):
@@ -210,7 +233,7 @@ class SplitTable:
                         names=schema.names)
 
         ship(self.rows.sparkSession)
-        return self.rows.select("_x", "_y", "_train", "_score", *self.keep).mapInArrow(run, schema)
+        return self.rows.select("_x", "_y", "_score", *self.keep).mapInArrow(run, schema)
 
     def margin_parts(self, fits: Mapping[int, Fitted]) -> DataFrame:
         """no, the kept columns, y_true, the margin ``_m`` and what each feature adds to it, ``_c``, of every scored row."""
@@ -221,7 +244,7 @@ class SplitTable:
         names = [f.name for f in kept]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x, y, _, score, batch in blocks(batches, p, n):
+            for x, y, score, batch in blocks(batches, p, n, 1):
                 for s, f in fits.items():
                     mine = np.flatnonzero(score[:, s])
                     if not len(mine):
@@ -234,11 +257,11 @@ class SplitTable:
                          pa.array(y[mine].astype(np.int32)), pa.array(f.beta[0] + parts.sum(1)), lists], names=schema.names)
 
         ship(self.rows.sparkSession)
-        return self.rows.select("_x", "_y", "_train", "_score", *self.keep).mapInArrow(run, schema)
+        return self.rows.select("_x", "_y", "_score", *self.keep).mapInArrow(run, schema)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], p: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """(x, y, train, score, batch) of bounded numbers of rows; the lists of splits as tables of flags."""
+def blocks(batches: Iterator[pa.RecordBatch], p: int, n: int, lists: int) -> Iterator[tuple]:
+    """(x, y, a table of flags per list of splits, batch) of bounded numbers of rows; the lists follow x and y."""
 
     def flags(column: pa.ListArray, rows: int) -> np.ndarray:
         out = np.zeros((rows, n), bool)
@@ -249,7 +272,7 @@ def blocks(batches: Iterator[pa.RecordBatch], p: int, n: int) -> Iterator[tuple[
         for at in range(0, whole.num_rows, BLOCK):
             b = whole.slice(at, BLOCK)
             x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, p)
-            yield x, b.column(1).to_numpy(), flags(b.column(2), b.num_rows), flags(b.column(3), b.num_rows), b
+            yield x, b.column(1).to_numpy(), *[flags(b.column(2 + k), b.num_rows) for k in range(lists)], b
 
 
 def _newton_part(fits: Mapping[int, tuple[int, Fitted]], weight: Mapping[int, Sequence[float]]):
@@ -268,3 +291,51 @@ def _newton_part(fits: Mapping[int, tuple[int, Fitted]], weight: Mapping[int, Se
             yield k, np.concatenate([[loss], z.T @ (w * (mu - t)), info[np.triu_indices(len(f.beta))]])
 
     return part
+
+
+def _to_scaled(f: Fitted, centre: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Matrix from the columns (1, (x - centre) / unit) of all features to the scaled columns of a fit."""
+    out = np.zeros((len(centre) + 1, len(f.columns) + 1))
+    out[0, 0] = 1
+    out[0, 1:] = (centre[f.columns] - f.mean) / f.scale
+    out[1 + np.array(f.columns, int), np.arange(1, len(f.columns) + 1)] = unit[f.columns] / f.scale
+    return out
+
+
+def _in_scaled(v: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Loss, gradient and upper information matrix over the common columns as those of a fit's own columns."""
+    q, m = to.shape
+    info = np.zeros((q, q))
+    info[np.triu_indices(q)] = v[q + 1:]
+    info = to.T @ (np.triu(info) + np.triu(info, 1).T) @ to
+    return np.concatenate([v[:1], to.T @ v[1:q + 1], info[np.triu_indices(m)]])
+
+
+#: Products of two columns at most that are formed once for all fits.
+PRODUCTS = 128
+
+
+def _shared_part(fits: Mapping[int, tuple[int, Fitted]], weight: Mapping[int, Sequence[float]], centre: np.ndarray, unit: np.ndarray,
+                 maps: Mapping[int, np.ndarray]):
+    """``_newton_part`` of all fits at once on columns without gaps: a block is scaled once, rows outside a split weigh nothing."""
+    keys = list(fits)
+    splits = [fits[k][0] for k in keys]
+    beta = np.column_stack([maps[k] @ fits[k][1].beta for k in keys])
+    zero, one = (np.array([weight[s][c] for s in splits]) for c in (0, 1))
+    a, b = np.triu_indices(len(centre) + 1)
+
+    def part(x: np.ndarray, y: np.ndarray, train: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        g = np.hstack([np.ones((len(x), 1)), (x - centre) / unit])
+        margin, t = g @ beta, y[:, None]
+        w = np.where(t == 1, one, zero) * train[:, splits]
+        e = np.exp(-np.abs(margin))
+        mu = np.where(margin >= 0, 1, e) / (1 + e)
+        loss = (w * (np.log1p(e) + np.maximum(margin, 0) - t * margin)).sum(0)
+        grad, curve = (w * (mu - t)).T @ g, w * mu * (1 - mu)
+        if len(a) <= PRODUCTS:
+            info = curve.T @ (g[:, a] * g[:, b])
+        else:
+            info = np.array([((g.T * c) @ g)[a, b] for c in curve.T])
+        yield from zip(keys, np.hstack([loss[:, None], grad, info]))
+
+    return part

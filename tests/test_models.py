@@ -309,3 +309,30 @@ def test_exchanged_scores_do_not_travel_as_rows(spark):
                                          "1 AS repeat")
     plan = exchange.exchanged_auc(pairs, pairs, [])._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_fits_of_all_splits_share_a_block(spark, monkeypatch):
+    """Fits from one scaled block for all splits and sets equal those scaled one by one; gaps go the second way."""
+    from pairlens.operators import newton
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 18)) * np.logspace(-3, 3, 18) + np.logspace(3, -3, 18)
+    y = (x[:, 0] * 1e3 + rng.normal(size=600) > 1e6).astype(int)
+    cols = [f"f{k}" for k in range(18)]
+    df = spark.createDataFrame([(int(i % 12), int(t), *map(float, v)) for i, (t, v) in enumerate(zip(y, x))],
+                               "g int, y int, " + ", ".join(f"{c} double" for c in cols))
+    roles = spark.range(36).selectExpr("CAST(id DIV 12 AS INT) AS no", "CAST(id % 12 AS INT) AS g",
+                                       "CAST(id % 3 <> id DIV 12 AS INT) AS is_train", "CAST(id % 3 = id DIV 12 AS INT) AS is_score")
+    for names in (cols, cols[:6]):
+        sets = {"all": names, "some": names[1:4]}
+        table = newton.SplitTable(df, names, "y", "g", roles, 3)
+        assert table._common() is not None
+        assert table.train_counts[0] == (int((y[np.arange(600) % 12 % 3 != 0] == 0).sum()), int(y[np.arange(600) % 12 % 3 != 0].sum()))
+        got = table.fit(sets, [0, 1, 2])
+        with monkeypatch.context() as m:
+            m.setattr(newton.SplitTable, "_common", lambda self: None)
+            want = table.fit(sets, [0, 1, 2])
+        for k, f in want.items():
+            assert got[k].beta == pytest.approx(f.beta, abs=1e-7)
+    gaps = newton.SplitTable(df.withColumn("f1", F.when(F.col("g") != 3, F.col("f1"))), cols, "y", "g", roles, 3)
+    assert gaps._common() is None and len(gaps.fit({"all": cols}, [0])) == 1
