@@ -9,16 +9,16 @@ bucket's prefix count.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.draws import md5_hex
 from .keys import key_join
 from .staging import stage
 
-_COARSE = 64
-
 
 def bucket_count(df: DataFrame) -> int:
     """Range buckets of an input: as many as shuffles have partitions, which a cluster sets by its size."""
@@ -37,24 +37,20 @@ def value_bounds(df: DataFrame, value: str, buckets: int | None = None) -> list[
     return sorted(set(cuts))
 
 
-def bucket_of(value: Column, bounds: Sequence[float]) -> Column:
-    """Index of the range bucket of ``value``: the number of bounds below it."""
-    v = value.cast("double")
-
-    def below(cuts):
-        return F.size(F.filter(F.array(*[F.lit(float(b)) for b in cuts]), lambda b: b < v))
+def bucketed(df: DataFrame, value: str, bounds: Sequence[float], out: str = "_b") -> DataFrame:
+    """``df`` with the index of the range bucket of ``value``: the number of bounds that are not above it.
 
-    if not bounds:
-        return F.lit(0)
-    if len(bounds) <= _COARSE:
-        return below(bounds)
-    width = -(-len(bounds) // _COARSE)
-    slabs = [bounds[i:i + width] for i in range(0, len(bounds), width)]
-    coarse = below([s[-1] for s in slabs])
-    out = F.lit(len(bounds))
-    for i, slab in reversed(list(enumerate(slabs))):
-        out = F.when(coarse == i, F.lit(i * width) + below(slab)).otherwise(out)
-    return out
+    Every row searches the bounds by halves, since there are as many of them as
+    shuffles have partitions. Nulls are in the first bucket, NaN in the last.
+    """
+    cuts = sorted({float(b) + 0.0 for b in bounds if math.isfinite(b)})
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    # -0.0 equals 0.0 in every comparison here, but not in the search.
+    rows = df.withColumn("_at_bound", F.col(value).cast("double") + F.lit(0.0))
+    placed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_at_bound", outputCol=out, handleInvalid="keep").transform(rows)
+    place = F.least(F.coalesce(F.col(out).cast("int"), F.lit(0)), F.lit(len(cuts)))
+    return placed.withColumn(out, place).drop("_at_bound")
 
 
 def ranked(
@@ -83,7 +79,7 @@ def ranked(
     ))
     if bounds is None:
         bounds = value_bounds(g, value, buckets)
-    g = g.withColumn("_b", bucket_of(F.col(value), bounds))
+    g = bucketed(g, value, bounds)
     counted = ["n", *sums]
     inside = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     local = [F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in counted]

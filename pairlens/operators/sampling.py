@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.draws import md5_draw
 from .keys import key_join
-from .ranks import bucket_of, draw_positions, positions, value_bounds
+from .ranks import bucketed, draw_positions, positions, value_bounds
 from .staging import stage
 
 # Order of context states, best first.
@@ -91,7 +91,7 @@ def top_fraction(df: DataFrame, by: Sequence[str], score: str, fraction: float,
     """
     by = list(by)
     rows = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    rows = rows.withColumn("_b", bucket_of(F.col(score), value_bounds(rows, score)))
+    rows = bucketed(rows, score, value_bounds(rows, score))
     head = W.partitionBy(*(by or [F.lit(0)]))
     cells = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c")).select(
         *by, "_b", "_c", F.sum("_c").over(head).alias("_n"),
@@ -118,7 +118,7 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) ->
     keys = list(keys)
     # One row per start: a start that many rows share costs one.
     rows = stage(df.groupBy(*keys, start).agg(F.max(end).alias(end), F.count(F.lit(1)).alias("_n")))
-    rows = rows.withColumn("_b", bucket_of(F.col(start), value_bounds(rows, start)))
+    rows = bucketed(rows, start, value_bounds(rows, start))
     prior = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     reach = rows.groupBy(*keys, "_b").agg(F.max(end).alias("_m")).select(
         *keys, "_b", F.max("_m").over(prior).alias("_reach")

@@ -153,3 +153,17 @@ def test_merge_intervals(spark, monkeypatch, buckets):
                 want.append([a, b])
         mine = got[got.k == k].sort_values("s")
         assert [list(x) for x in zip(mine.s, mine.e)] == want
+
+
+def test_many_bounds_are_searched_not_listed(spark):
+    inf, nan = float("inf"), float("nan")
+    bounds = [-inf, *np.round(np.linspace(-30, 30, 601), 6), inf]
+    values = [None, nan, -inf, inf, -0.0, 0.0, -30.0, 30.0, *np.random.default_rng(3).normal(0, 15, 500).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = ranks.bucketed(df, "v", bounds)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and len(plan) < 2000
+    cuts = np.unique(bounds[1:-1])
+    for v, b in got.collect():
+        assert b == (0 if v is None else len(cuts) if np.isnan(v) else np.searchsorted(cuts, v, "right"))
+    assert ranks.bucketed(df, "v", []).where("_b <> 0").count() == 0
