@@ -7,6 +7,7 @@ holds their DuckDB form for the oracle.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -283,16 +284,20 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
     return restrict_to_touched(valid, touched)
 
 
-def diffed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def diffed(spark: SparkSession, sf: str, keep: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """BEFORE findings and the AFTER findings with novelty flags.
 
     The flat findings are a table of their own (Parquet between stages), since
-    several branches read them.
+    several branches read them. With ``keep`` it has these columns and what the
+    diff needs: what follows a written table cannot prune what was written.
     """
     from ..operators.findings import multiset_diff
     from ..operators.staging import stage
 
-    f = stage(findings(spark, sf))
+    f = findings(spark, sf)
+    if keep is not None:
+        f = f.select(*dict.fromkeys(["phase", "case", "model", "finding_fingerprint", "line_number", "row_key", *keep]))
+    f = stage(f)
     before = f.where("phase = 'before'")
     return before, multiset_diff(before, f.where("phase = 'after'"))
 
@@ -300,7 +305,7 @@ def diffed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def summary(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.findings import case_model_summary
 
-    before, after = diffed(spark, sf)
+    before, after = diffed(spark, sf, ["severity"])
     return case_model_summary(before, after, pairs(spark, sf))
 
 

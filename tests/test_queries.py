@@ -2,6 +2,7 @@
 import duckdb
 import pytest
 
+from pairlens.operators import staging
 from pairlens.operators.staging import release
 from pairlens.plans.catalog import ORACLES, QUERIES, TABLES
 from pairlens.plans.check import compare
@@ -37,3 +38,16 @@ def staged_tables_go(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name,wanted", [
+    ("d2_file_risk_flags", {"relative_filename", "severity"}), ("d2_null_path", {"relative_filename", "severity"}),
+    ("f5_flatten_phases", set()), ("b16_derive_targets", {"severity"}),
+    ("e12_review_sample", {"relative_filename", "test_id", "cwe", "severity", "confidence", "changed"})])
+def test_diff_stages_only_what_is_read(spark, sf, name, wanted):
+    staging.release(spark)
+    QUERIES[name](spark, sf)
+    made = [spark.read.parquet(p).columns for p in staging._MADE[spark.sparkContext.applicationId]]
+    needed = {"phase", "case", "model", "finding_fingerprint", "line_number", "row_key"} | wanted
+    assert set(made[0]) == needed and set(made[1]) == needed | {"_nb", "_na"}
+    staging.release(spark)
