@@ -334,9 +334,15 @@ def _hunk_header(h: int, count_shift) -> F.Column:
     )
 
 
-def diffs(spark: SparkSession, sf: str) -> DataFrame:
+def documents(spark: SparkSession, sf: str, wanted: DataFrame | None = None) -> DataFrame:
+    """The documents, or those whose doc_id is in ``wanted``."""
+    d = table(spark, sf, "documents")
+    return d if wanted is None else d.join(wanted.select("doc_id"), "doc_id", "left_semi")
+
+
+def diffs(spark: SparkSession, sf: str, wanted: DataFrame | None = None) -> DataFrame:
     """One unified diff per document, built inside the row."""
-    d = table(spark, sf, "documents").withColumn("_x", F.split("text", "\n"))
+    d = documents(spark, sf, wanted).withColumn("_x", F.split("text", "\n"))
 
     def prefixed(x, i):
         digit = F.substring(F.md5(F.concat("doc_id", F.lit("-"), i + 1)), 1, 1)

@@ -409,8 +409,8 @@ s AS (SELECT "case", -0.8 + 0.02 * (ad + rm) + 0.3 * hk - 0.1 * fl + 0.7 * ((ad
 SELECT "case", ROUND(CAST(1 / (1 + exp(-z)) AS DOUBLE), 8) AS y_score, CAST(1 / (1 + exp(-z)) >= 0.5 AS INTEGER) AS y_pred FROM s"""
 
 
-def case_features(spark, sf):
-    d = fx.table(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("case"), "text")
+def case_features(spark, sf, wanted=None):
+    d = fx.documents(spark, sf, wanted).select(F.concat(F.lit("doc-"), "doc_id").alias("case"), "text")
     return tx.text_size(d, "text").drop("text")
 
 
@@ -441,11 +441,16 @@ o AS (SELECT "case", {_score("nt", _PATCH)} AS z FROM v, nt b, nt_f)
 SELECT "case", ROUND(z, 7) AS y_score, CAST(z >= 0.5 AS INTEGER) AS y_pred FROM o"""
 
 
+def fitted_rows(spark, sf):
+    """Patch and prompt features with quality; diffs are only built where there is a label."""
+    labels = fx.table(spark, sf, "labels")
+    made = md.patch_features(fx.diffs(spark, sf, labels).select("case", "patch"), case_features(spark, sf, labels), "case", "patch")
+    return made.join(labels.select(F.concat(F.lit("doc-"), "doc_id").alias("case"), "quality"), "case")
+
+
 def fitted_scorer(spark, sf):
     """The logistic regression of quality on patch and prompt features of the labelled documents."""
-    made = md.patch_features(fx.diffs(spark, sf).select("case", "patch"), case_features(spark, sf), "case", "patch")
-    labels = fx.table(spark, sf, "labels").select(F.concat(F.lit("doc-"), "doc_id").alias("case"), "quality")
-    return md.balanced_lr(made.join(labels, "case"), list(_PATCH), "quality")
+    return md.balanced_lr(fitted_rows(spark, sf), list(_PATCH), "quality")
 
 
 @query("h18_fitted_score", _FITTED_SQL, ["diffs"])

@@ -51,3 +51,15 @@ def test_diff_stages_only_what_is_read(spark, sf, name, wanted):
     needed = {"phase", "case", "model", "finding_fingerprint", "line_number", "row_key"} | wanted
     assert set(made[0]) == needed and set(made[1]) == needed | {"_nb", "_na"}
     staging.release(spark)
+
+
+def test_fit_builds_diffs_of_labelled_documents_only(spark, sf):
+    from pairlens.plans import fixtures as fx
+    from pairlens.plans.q_models import fitted_rows
+
+    d, labels = fx.table(spark, sf, "documents"), fx.table(spark, sf, "labels")
+    labelled = {f"doc-{r[0]}" for r in d.join(labels, "doc_id", "left_semi").select("doc_id").collect()}
+    some = labels.where("doc_id % 2 = 0").select("doc_id")
+    built = {r[0] for r in fx.diffs(spark, sf, some).select("case").collect()}
+    assert built == {c for c in labelled if int(c[4:]) % 2 == 0}
+    assert {r[0] for r in fitted_rows(spark, sf).select("case").collect()} == labelled
