@@ -149,9 +149,12 @@ class _Table:
 
 
 def predictions(df: DataFrame, sets: Mapping[str, Sequence[str]], models: Mapping[str, Fitter], splits: DataFrame,
-                group: str, label: str, keep: Sequence[str] = ()) -> tuple[DataFrame, list]:
+                group: str, label: str, keep: Sequence[str] = (), staged: bool = True) -> tuple[DataFrame, list]:
     """Test predictions of every run x feature set x classifier, and the fitted models.
 
+    Without ``staged`` they are not written and come without ``group`` and ``keep``,
+    for what reads them once and only combines them.
+
     Logistic regressions of all runs and sets are fitted together, and so are
     forests. For other classifiers the driver loops over fits; each fit and each
     transform is distributed. Runs whose training or test rows have a single
@@ -166,17 +169,19 @@ def predictions(df: DataFrame, sets: Mapping[str, Sequence[str]], models: Mappin
     usable = table.usable(score=True)
     if not usable:
         raise ValueError("no split has both classes on both sides")
-    columns = ["run", "feature_set", "algorithm", group, *[c for c in keep if c != group], "y_true", "y_pred", "y_score"]
+    kept = [group, *[c for c in keep if c != group]] if staged else []
+    columns = ["run", "feature_set", "algorithm", *kept, "y_true", "y_pred", "y_score"]
+    done = stage if staged else (lambda made: made)
     run_of = F.element_at(F.array(*[F.lit(r) for r in runs]), F.col("no") + 1)
     out, fits = None, []
     for algorithm, fit in models.items():
         if fit is balanced_lr:
             fitted = table.fit(sets, usable)
             fits += [(runs[s], name, algorithm, _linear(table, f)) for (s, name), f in fitted.items()]
-            got = stage(table.scored(fitted).select(run_of.alias("run"), F.lit(algorithm).alias("algorithm"), "*").select(columns))
+            got = done(table.scored(fitted, kept).select(run_of.alias("run"), F.lit(algorithm).alias("algorithm"), "*").select(columns))
         elif fit is balanced_rf:
             forests = grow_forests(table, sets, usable)
-            got = stage(scored_by(table, forests, sets).select(run_of.alias("run"), F.lit(algorithm).alias("algorithm"), "*").select(columns))
+            got = done(scored_by(table, forests, sets).select(run_of.alias("run"), F.lit(algorithm).alias("algorithm"), "*").select(columns))
         else:
             got, more = _one_by_one(table, sets, algorithm, fit, [(s, runs[s]) for s in usable], columns)
             fits += more
@@ -206,7 +211,7 @@ RUN_KEYS = ["run", "feature_set", "algorithm"]
 def evaluate_sets(df: DataFrame, sets: Mapping[str, Sequence[str]], models: Mapping[str, Fitter], splits: DataFrame,
                   group: str, label: str) -> DataFrame:
     """Metrics per run x feature set x classifier."""
-    preds, _ = predictions(df, sets, models, splits, group, label)
+    preds, _ = predictions(df, sets, models, splits, group, label, staged=False)
     return binary_metrics(preds, RUN_KEYS)
 
 
@@ -215,7 +220,8 @@ def leave_group_out(df: DataFrame, groups: Mapping[str, Sequence[str]], models:
     """AUC lost when one feature group is removed, on the same split."""
     full = [f for fs in groups.values() for f in fs]
     sets = {"full": full, **{f"without_{g}": [f for f in full if f not in set(fs)] for g, fs in groups.items()}}
-    m = evaluate_sets(df, sets, models, splits, group, label).select(*RUN_KEYS, "roc_auc")
+    # Read twice below, and few rows.
+    m = stage(evaluate_sets(df, sets, models, splits, group, label).select(*RUN_KEYS, "roc_auc"))
     whole = m.where("feature_set = 'full'").select("run", "algorithm", F.col("roc_auc").alias("auc_full"))
     part = m.where("feature_set <> 'full'").join(whole, ["run", "algorithm"])
     sizes = F.create_map(*[x for g, fs in groups.items() for x in (F.lit(g), F.lit(len(fs)))])

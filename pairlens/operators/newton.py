@@ -1,14 +1,16 @@
 """Penalised logistic regressions of many splits and feature sets, fitted together.
 
-All fits share one staged table. A pass over it gives, for every fit that has
-not converged, the loss, gradient and information matrix at its coefficients:
-tasks fold blocks of rows with matrix products, Spark adds the partial sums,
-and the driver solves one small system per fit.
+All fits share one staged table whose rows are packed blocks of rows, so that a
+pass hands arrays to numpy instead of taking every row apart. A pass gives, for
+every fit that has not converged, the loss, gradient and information matrix at
+its coefficients: tasks fold blocks with matrix products, Spark adds the partial
+sums, and the driver solves one small system per fit.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,12 @@ from ..shipping import ship
 from .ranks import quantiles
 from .staging import stage
 
-#: Rows a task of the staged table holds at least, and rows multiplied at once.
-TASK_ROWS, BLOCK = 4096, 8192
+#: Rows a task of the staged table holds at least, rows of a packed block at most, and bytes of its features.
+TASK_ROWS, BLOCK, BLOCK_BYTES = 4096, 8192, 1 << 18
+#: Bytes of the packed blocks that go to Python at once, and of a row group of them.
+BATCH_BYTES, ROW_GROUP = 4 << 20, 16 << 20
+#: Splits whose flags share one long.
+FLAGS = 62
 #: Newton steps at most, and the largest change of a coefficient at which a fit is done.
 STEPS, TOLERANCE = 200, 1e-9
 
@@ -46,16 +52,21 @@ class SplitTable:
 
     ``splits`` has one row per (split, group): ``no`` (from 0), the group,
     ``is_train``, ``is_score``. Groups are looked up once; a row then carries
-    two short lists, so rows are not multiplied by splits.
+    the flags of its splits as bits, so rows are not multiplied by splits.
     """
 
     def __init__(self, df: DataFrame, features: Sequence[str], label: str, group: str, splits: DataFrame, n_splits: int,
                  keep: Sequence[str] = ()):
         self.features, self.n_splits = list(features), n_splits
         self.keep = [c for c in dict.fromkeys([group, *keep])]
+        no = F.col("no").cast("int")
+
+        def bits(flag: str, word: int):
+            mine = (F.col(flag) == 1) & (F.floor(no / FLAGS) == word)
+            return F.coalesce(F.bit_or(F.when(mine, F.call_function("shiftleft", F.lit(1).cast("long"), no % FLAGS))), F.lit(0).cast("long"))
+
         member = splits.groupBy(F.col(group).alias("_g")).agg(
-            F.array_sort(F.collect_set(F.when(F.col("is_train") == 1, F.col("no").cast("int")))).alias("_train"),
-            F.array_sort(F.collect_set(F.when(F.col("is_score") == 1, F.col("no").cast("int")))).alias("_score"))
+            *[bits(f"is_{role}", w).alias(f"_{role}_{w}") for role in ("train", "score") for w in range(self._words)])
         self._make(df.join(member, df[group].eqNullSafe(member["_g"])), label)
 
     @classmethod
@@ -63,36 +74,72 @@ class SplitTable:
         """One split that trains on all rows and scores none."""
         self = cls.__new__(cls)
         self.features, self.n_splits, self.keep = list(features), 1, []
-        self._make(df.withColumn("_train", F.array(F.lit(0))).withColumn("_score", F.array().cast("array<int>")), label)
+        self._make(df.withColumns({"_train_0": F.lit(1).cast("long"), "_score_0": F.lit(0).cast("long")}), label)
         return self
 
+    @property
+    def _words(self) -> int:
+        return max(1, -(-self.n_splits // FLAGS))
+
     def _make(self, tagged: DataFrame, label: str) -> None:
-        x = F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(float("nan"))) for f in self.features])
-        rows = stage(tagged.select(*self.keep, F.col(label).cast("double").alias("_y"), x.alias("_x"), "_train", "_score").where("_y IS NOT NULL"))
-        tasks = max(1, -(-rows.count() // TASK_ROWS))
+        """The packed table: rows of a block as one row of arrays' bytes, the kept columns as an Arrow stream."""
+        flags = [f"_{role}_{w}" for role in ("train", "score") for w in range(self._words)]
+        x = [F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(float("nan"))).alias(f"_x{k}") for k, f in enumerate(self.features)]
+        y = F.col(label).cast("double").alias("_y")
+        source = tagged.select(*self.keep, y, *x, *flags).where("_y IS NOT NULL")
+        self.kinds = [source.schema[c] for c in self.keep]
+        self.spark = source.sparkSession
+        ship(self.spark)
+        # Blocks are bounded by rows before they are packed and by bytes after it.
+        self.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        run = _packer(len(self.keep), len(self.features), self._words)
+        packed = stage(source.mapInArrow(run, "n int, x binary, y binary, train binary, score binary, kept binary"), ROW_GROUP)
+        rows = packed.agg(F.sum("n")).first()[0] or 0
+        tasks = max(1, -(-rows // TASK_ROWS))
         # Only a table of many small parts is written again.
-        self.rows = stage(rows.coalesce(tasks)) if tasks < rows.rdd.getNumPartitions() else rows
+        self.packed = stage(packed.coalesce(tasks), ROW_GROUP) if tasks < packed.rdd.getNumPartitions() else packed
         self._count()
         self._scale()
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        """The rows one by one: the kept columns, ``_y``, ``_x`` and the lists ``_train`` and ``_score`` of split numbers, staged."""
+        p, n = len(self.features), self.n_splits
+        schema = T.StructType([*self.kinds, T.StructField("_y", T.DoubleType()), T.StructField("_x", T.ArrayType(T.DoubleType())),
+                               T.StructField("_train", T.ArrayType(T.IntegerType())), T.StructField("_score", T.ArrayType(T.IntegerType()))])
+
+        def lists(flags: np.ndarray) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(flags.sum(1))].astype(np.int32)), pa.array(np.nonzero(flags)[1].astype(np.int32)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x, y, train, score, kept in blocks(batches, p, n, 2):
+                xs = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * p), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(y), xs, lists(train), lists(score)], names=schema.names)
+
+        return stage(self._packed("train", "score", "kept").mapInArrow(run, schema))
+
+    def _packed(self, *more: str) -> DataFrame:
+        ship(self.spark)
+        self.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return self.packed.select("n", "x", "y", *more)
+
     # Passes.
 
     def sums(self, part: Callable[..., Iterator[tuple[int, np.ndarray]]], scored: bool = False) -> dict[int, np.ndarray]:
         """Sums over all rows of the vectors that ``part`` gives per key for a block (x, y, train, and score if asked for)."""
         p, n = len(self.features), self.n_splits
-        flags = ["_train", "_score"] if scored else ["_train"]
+        flags = ["train", "score"] if scored else ["train"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
-            for x, y, *of, _ in blocks(batches, p, n, len(flags)):
+            for x, y, *of in blocks(batches, p, n, len(flags)):
                 for key, v in part(x, y, *of):
                     total[key] = total[key] + v if key in total else v
             for key, v in total.items():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([key], pa.int32()), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["key", "v"])
 
-        ship(self.rows.sparkSession)
-        made = self.rows.select("_x", "_y", *flags).mapInArrow(run, "key int, v array<double>")
+        made = self._packed(*flags).mapInArrow(run, "key int, v array<double>")
         cells = made.select("key", F.posexplode("v").alias("at", "v")).groupBy("key", "at").agg(F.sum("v").alias("v")).toArrow()
         key, at, v = (cells.column(c).to_numpy() for c in ("key", "at", "v"))
         out = {}
@@ -209,70 +256,98 @@ class SplitTable:
             raise RuntimeError(f"{len(active)} fits did not converge in {STEPS} steps")
         return {(s, name): f for s, name, f in fits.values()}
 
-    def scored(self, fits: Mapping[tuple[int, str], Fitted]) -> DataFrame:
-        """no, feature_set, the kept columns, y_true, y_score, y_pred: every scored row of every split by its fits."""
-        p, n = len(self.features), self.n_splits
-        kept = [self.rows.schema[c] for c in self.keep]
+    def scored(self, fits: Mapping[tuple[int, str], Fitted], keep: Sequence[str] | None = None) -> DataFrame:
+        """no, feature_set, the kept columns (or ``keep`` of them), y_true, y_score, y_pred: every scored row of every split by its fits."""
+        p, n, taken = len(self.features), self.n_splits, self._taken(keep)
         schema = T.StructType([
-            T.StructField("no", T.IntegerType()), T.StructField("feature_set", T.StringType()), *kept,
+            T.StructField("no", T.IntegerType()), T.StructField("feature_set", T.StringType()), *[self.kinds[k] for k in taken],
             T.StructField("y_true", T.IntegerType()), T.StructField("y_score", T.DoubleType()), T.StructField("y_pred", T.IntegerType())])
-        names = [f.name for f in kept]
+        by_split: dict[int, list[tuple[str, Fitted]]] = {}
+        for (s, name), f in fits.items():
+            by_split.setdefault(s, []).append((name, f))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x, y, score, batch in blocks(batches, p, n, 1):
-                for (s, name), f in fits.items():
+            for x, y, score, *kept in blocks(batches, p, n, 1):
+                for s, models in by_split.items():
                     mine = np.flatnonzero(score[:, s])
                     if not len(mine):
                         continue
-                    z = 1 / (1 + np.exp(-np.clip(f.beta[0] + f.scaled(x[mine]) @ f.beta[1:], -700, 700)))
-                    take = batch.take(pa.array(mine))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(mine), s, np.int32)), pa.array([name] * len(mine)),
-                         *[take.column(take.schema.get_field_index(c)) for c in names],
-                         pa.array(y[mine].astype(np.int32)), pa.array(z), pa.array((z >= 0.5).astype(np.int32))],
-                        names=schema.names)
+                    some, of = x[mine], [kept[0][k].take(pa.array(mine)) for k in taken]
+                    no, true = pa.array(np.full(len(mine), s, np.int32)), pa.array(y[mine].astype(np.int32))
+                    for name, f in models:
+                        z = 1 / (1 + np.exp(-np.clip(f.beta[0] + f.scaled(some) @ f.beta[1:], -700, 700)))
+                        yield pa.RecordBatch.from_arrays(
+                            [no, pa.repeat(name, len(mine)), *of, true, pa.array(z), pa.array((z >= 0.5).astype(np.int32))], names=schema.names)
+
+        return self._packed("score", *["kept"] * bool(taken)).mapInArrow(run, schema)
 
-        ship(self.rows.sparkSession)
-        return self.rows.select("_x", "_y", "_score", *self.keep).mapInArrow(run, schema)
+    def _taken(self, keep: Sequence[str] | None) -> list[int]:
+        return [k for k, c in enumerate(self.keep) if keep is None or c in keep]
 
     def margin_parts(self, fits: Mapping[int, Fitted]) -> DataFrame:
         """no, the kept columns, y_true, the margin ``_m`` and what each feature adds to it, ``_c``, of every scored row."""
         p, n = len(self.features), self.n_splits
-        kept = [self.rows.schema[c] for c in self.keep]
-        schema = T.StructType([T.StructField("no", T.IntegerType()), *kept, T.StructField("y_true", T.IntegerType()),
+        schema = T.StructType([T.StructField("no", T.IntegerType()), *self.kinds, T.StructField("y_true", T.IntegerType()),
                                T.StructField("_m", T.DoubleType()), T.StructField("_c", T.ArrayType(T.DoubleType()))])
-        names = [f.name for f in kept]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x, y, score, batch in blocks(batches, p, n, 1):
+            for x, y, score, kept in blocks(batches, p, n, 1):
                 for s, f in fits.items():
                     mine = np.flatnonzero(score[:, s])
                     if not len(mine):
                         continue
                     parts = f.scaled(x[mine]) * f.beta[1:]
-                    take = batch.take(pa.array(mine))
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1, dtype=np.int32) * parts.shape[1]), pa.array(parts.ravel()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(mine), s, np.int32)), *[take.column(take.schema.get_field_index(c)) for c in names],
+                        [pa.array(np.full(len(mine), s, np.int32)), *[c.take(pa.array(mine)) for c in kept],
                          pa.array(y[mine].astype(np.int32)), pa.array(f.beta[0] + parts.sum(1)), lists], names=schema.names)
 
-        ship(self.rows.sparkSession)
-        return self.rows.select("_x", "_y", "_score", *self.keep).mapInArrow(run, schema)
+        return self._packed("score", "kept").mapInArrow(run, schema)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], p: int, n: int, lists: int) -> Iterator[tuple]:
-    """(x, y, a table of flags per list of splits, batch) of bounded numbers of rows; the lists follow x and y."""
+def _packer(kept: int, p: int, words: int):
+    """Rows of ``kept`` columns, a label, ``p`` features and ``words`` longs of flags per role, as packed blocks."""
+    size = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(p, 1))))
 
-    def flags(column: pa.ListArray, rows: int) -> np.ndarray:
-        out = np.zeros((rows, n), bool)
-        out[np.repeat(np.arange(rows), np.diff(column.offsets.to_numpy())), column.flatten().to_numpy(zero_copy_only=False)] = True
-        return out
+    def together(columns: Sequence[pa.Array]) -> bytes:
+        return b"".join(c.to_numpy(zero_copy_only=False).tobytes() for c in columns)
 
-    for whole in batches:
-        for at in range(0, whole.num_rows, BLOCK):
-            b = whole.slice(at, BLOCK)
-            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, p)
-            yield x, b.column(1).to_numpy(), *[flags(b.column(2 + k), b.num_rows) for k in range(lists)], b
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                b = whole.slice(at, size)
+                y, x, flags = b.columns[kept], b.columns[kept + 1:kept + 1 + p], b.columns[kept + 1 + p:]
+                held = b""
+                if kept:
+                    sink = pa.BufferOutputStream()
+                    own = pa.RecordBatch.from_arrays(b.columns[:kept], names=[str(k) for k in range(kept)])
+                    with pa.ipc.new_stream(sink, own.schema) as out:
+                        out.write_batch(own)
+                    held = sink.getvalue().to_pybytes()
+                cells = [together(x), together([y]), together(flags[:words]), together(flags[words:]), held]
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]],
+                                                 names=["n", "x", "y", "train", "score", "kept"])
+
+    return run
+
+
+def blocks(batches: Iterator[pa.RecordBatch], p: int, n: int, lists: int) -> Iterator[tuple]:
+    """(x, y, a table of flags per role, and the kept columns if they are read) of every packed block."""
+    split = np.arange(n)
+
+    def flags(cell: pa.Scalar, rows: int) -> np.ndarray:
+        words = np.frombuffer(cell.as_buffer(), np.int64).reshape(-1, rows)
+        return (words[split // FLAGS] >> (split % FLAGS)[:, None] & 1).astype(bool).T
+
+    for b in batches:
+        for rows, x, y, *more in zip(*b.columns):
+            rows = rows.as_py()
+            out = [np.frombuffer(x.as_buffer(), float).reshape(p, rows).T, np.frombuffer(y.as_buffer(), float)]
+            out += [flags(c, rows) for c in more[:lists]]
+            for cell in more[lists:]:
+                held = cell.as_buffer()
+                out.append(pa.ipc.open_stream(held).read_next_batch().columns if held.size else [])
+            yield tuple(out)
 
 
 def _newton_part(fits: Mapping[int, tuple[int, Fitted]], weight: Mapping[int, Sequence[float]]):

@@ -70,13 +70,29 @@ def ranked(
     Null and NaN values are left out; null keys are groups like others.
     """
     by = list(by)
-    rows = df.where(F.col(value).isNotNull())
-    if df.schema[value].dataType.typeName() in ("double", "float"):
-        rows = rows.where(~F.isnan(value))
     unit = F.col(weight) if weight else F.lit(1)
-    g = stage(rows.groupBy(*by, value).agg(
+    g = stage(present(df, value).groupBy(*by, value).agg(
         F.sum(unit).cast("long").alias("n"), *[F.sum(s).alias(s) for s in sums]
     ))
+    return placed(g, by, value, sums, bounds, buckets)
+
+
+def present(df: DataFrame, value: str) -> DataFrame:
+    """Rows whose value is neither null nor NaN."""
+    rows = df.where(F.col(value).isNotNull())
+    return rows.where(~F.isnan(value)) if df.schema[value].dataType.typeName() in ("double", "float") else rows
+
+
+def placed(
+    g: DataFrame,
+    by: Sequence[str],
+    value: str,
+    sums: Sequence[str] = (),
+    bounds: Sequence[float] | None = None,
+    buckets: int | None = None,
+) -> DataFrame:
+    """``ranked`` of a staged table that has one row per (by, value) with ``n`` and ``sums``, and no missing values."""
+    by = list(by)
     if bounds is None:
         bounds = value_bounds(g, value, buckets)
     g = bucketed(g, value, bounds)

@@ -34,14 +34,15 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, row_group: int | None = None) -> DataFrame:
     """The same rows read back from a written table.
 
     The upstream plan then runs once however many branches follow, and a lost
-    executor re-reads files instead of repeating it.
+    executor re-reads files instead of repeating it. ``row_group`` bounds the
+    bytes of a row group, for rows that are large: a reader holds one at a time.
     """
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    (df.write if row_group is None else df.write.option("parquet.block.size", row_group)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import md5_draw, md5_hex
 from .keys import key_join
-from .ranks import draw_positions, ranked
+from .ranks import draw_positions, placed, present, ranked
 from .staging import stage
 
 # The review policies.
@@ -17,11 +17,16 @@ TOP_FRACTIONS = {"top_20": 0.20, "top_50": 0.50}
 
 def confusion_metrics(preds: DataFrame, by: Sequence[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
     """tn, fp, fn, tp and the threshold metrics; undefined ratios are zero."""
+    return _threshold_ratios(preds.groupBy(*by).agg(*_confusion(y_true, y_pred)))
+
+
+def _confusion(y_true: str, y_pred: str) -> list[Column]:
     y, p = F.col(y_true) == 1, F.col(y_pred) == 1
-    g = preds.groupBy(*by).agg(
-        F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"),
-        F.count_if(y & ~p).alias("fn"), F.count_if(y & p).alias("tp"),
-    )
+    return [F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"),
+            F.count_if(y & ~p).alias("fn"), F.count_if(y & p).alias("tp")]
+
+
+def _threshold_ratios(g: DataFrame) -> DataFrame:
 
     def ratio(a, b):
         return F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -52,8 +57,10 @@ def average_precision(preds: DataFrame, by: Sequence[str], y: str = "y_true", sc
 
 def curve_metrics(preds: DataFrame, by: Sequence[str], y: str = "y_true", score: str = "y_score") -> DataFrame:
     """ROC-AUC and average precision from one ranked table."""
-    by = list(by)
-    t = _curve(preds, by, y, score)
+    return _areas(_curve(preds, by, y, score), list(by))
+
+
+def _areas(t: DataFrame, by: Sequence[str]) -> DataFrame:
     at_least = F.col("_y_total") - F.col("_y_below")
     step = F.col("_y") * at_least / (F.col("total") - F.col("below"))
     g = t.groupBy(*by).agg(
@@ -69,9 +76,17 @@ def curve_metrics(preds: DataFrame, by: Sequence[str], y: str = "y_true", score:
 
 def binary_metrics(preds: DataFrame, by: Sequence[str], y_true: str = "y_true", y_pred: str = "y_pred",
                    y_score: str = "y_score") -> DataFrame:
-    """Threshold and curve metrics per run."""
-    c = confusion_metrics(preds, by, y_true, y_pred)
-    return c.join(curve_metrics(preds, by, y_true, y_score).drop("n"), list(by))
+    """Threshold and curve metrics per run.
+
+    One table of the distinct scores serves both, so that ``preds`` is read once
+    and need not be written.
+    """
+    by = list(by)
+    cells = stage(preds.groupBy(*by, y_score).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(y_true).cast("long")).alias("_y"), *_confusion(y_true, y_pred)))
+    c = _threshold_ratios(cells.groupBy(*by).agg(*[F.sum(k).alias(k) for k in ("tn", "fp", "fn", "tp")]))
+    curve = _areas(placed(present(cells, y_score).select(*by, y_score, "n", "_y"), by, y_score, ["_y"]), by)
+    return c.join(curve.drop("n"), by)
 
 
 def threshold_for_recall(df: DataFrame, by: Sequence[str], y: str, score: str, targets: Mapping[str, float]) -> DataFrame:

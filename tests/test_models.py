@@ -336,3 +336,47 @@ def test_fits_of_all_splits_share_a_block(spark, monkeypatch):
             assert got[k].beta == pytest.approx(f.beta, abs=1e-7)
     gaps = newton.SplitTable(df.withColumn("f1", F.when(F.col("g") != 3, F.col("f1"))), cols, "y", "g", roles, 3)
     assert gaps._common() is None and len(gaps.fit({"all": cols}, [0])) == 1
+
+
+def test_split_table_is_packed(spark):
+    """Passes read blocks, not rows; the flags of any number of splits and the kept columns come back as they were."""
+    import numpy as np
+    from pairlens.operators import newton
+
+    n, groups = 130, 40
+    roles = [(s, g, int((s + g) % 3 > 0), int((s + g) % 3 == 0)) for s in range(n) for g in range(groups)]
+    splits = spark.createDataFrame(roles, "no int, g int, is_train int, is_score int")
+    df = spark.range(0, 3000, 1, 1).selectExpr(
+        "CAST(id % 40 AS INT) AS g", "CASE WHEN id % 7 > 0 THEN 'k' || id END AS name", "CAST(id % 2 AS INT) AS y", "id % 11 AS a", "id % 5 AS b")
+    table = newton.SplitTable(df, ["a", "b"], "y", "g", splits, n, ["name"])
+    assert table.packed.count() < 3000 / 100
+    got = table.rows.collect()
+    want = {(r["g"], r["name"], float(r["y"]), (float(r["a"]), float(r["b"]))) for r in df.collect()}
+    assert len(got) == 3000 and {(r["g"], r["name"], r["_y"], tuple(r["_x"])) for r in got} == want
+    for r in got[:200]:
+        assert r["_train"] == [s for s in range(n) if (s + r["g"]) % 3 > 0] and r["_score"] == [s for s in range(n) if (s + r["g"]) % 3 == 0]
+    fits = table.fit({"": ["a", "b"]}, [0, 129])
+    scored = table.scored(fits).toPandas()
+    assert len(scored) == sum((s + i % 40) % 3 == 0 for s in (0, 129) for i in range(3000)) and np.isfinite(scored.y_score).all()
+    assert list(table.scored(fits, ()).columns) == ["no", "feature_set", "y_true", "y_score", "y_pred"]
+
+
+def test_binary_metrics_reads_once(spark):
+    """Both kinds of metrics come from one read of the predictions; missing scores count as rows only."""
+    from pyspark.sql import functions as F
+    from pairlens.operators import triage
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    made = spark.range(0, 400, 1, 4).selectExpr(
+        "id % 3 AS k", "CAST(id % 2 AS INT) AS y_true", "CASE WHEN id % 50 = 0 THEN double('NaN') ELSE (id * 37 % 100) / 100 END AS y_score")
+    made = made.withColumn("y_pred", F.when(F.isnan("y_score"), 0).otherwise((F.col("y_score") >= 0.5).cast("int")))
+    got = triage.binary_metrics(made.mapInArrow(seen, made.schema), ["k"]).toPandas().set_index("k").sort_index()
+    assert read.value == 400
+    one = triage.confusion_metrics(made, ["k"]).join(triage.curve_metrics(made, ["k"]).drop("n"), "k").toPandas().set_index("k").sort_index()
+    assert (got[one.columns] - one).abs().to_numpy().max() < 1e-12
