@@ -7,7 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import lexicons as lx
 from .draws import col
-from .text import lines, norm_text, strip_blanks
+from .text import norm_text, strip_short
+
+# The characters that end a line, and the blanks that do not.
+BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+INLINE = r"[\t\x1f\p{Zs}]"
 
 # Ordinal scores of severity and confidence labels.
 LEVELS: Mapping[str, int] = {"LOW": 1, "MEDIUM": 2, "HIGH": 3}
@@ -41,19 +45,20 @@ def line_key(path, line, test_id) -> Column:
 
 def pointed_line(context) -> Column:
     """Code of the first line marked '>>', without marker and line number."""
-    marked = F.filter(lines(context), lambda x: x.rlike(f"^{lx.SPACE}*>>"))
-    first = F.coalesce(F.get(marked, F.lit(0)), F.lit(""))
+    t = F.coalesce(col(context), F.lit(""))
+    # The line is found in the text as it is; texts without the mark are not searched.
+    first = F.regexp_extract(t, rf"(?:^|{BREAK})({INLINE}*>>[^{BREAK[1:-1]}]*)", 1)
     code = F.regexp_replace(first, rf"^{lx.SPACE}*>>{lx.SPACE}*\p{{Nd}}+{lx.SPACE}*:{lx.SPACE}*", "")
     code = F.regexp_replace(code, rf"^{lx.SPACE}*\p{{Nd}}+{lx.SPACE}*:{lx.SPACE}*", "")
-    return F.regexp_replace(strip_blanks(code), f"{lx.SPACE}+", " ")
+    code = F.regexp_replace(strip_short(code), f"{lx.SPACE}+", " ")
+    return F.when(F.contains(t, F.lit(">>")), code).otherwise(F.lit(""))
 
 
 def equivalence_key(case, path, test_id, cwe, details, line, context) -> Column:
     """16 hex digits that agree for the same finding seen in several models."""
-    code = pointed_line(context)
-    code = F.when(code == "", F.concat(F.lit("LINE:"), F.coalesce(col(line).cast("string"), F.lit("")))) \
-        .otherwise(code)
-    parts = [F.lower(strip_blanks(F.coalesce(c.cast("string"), F.lit(""))))
+    code = F.coalesce(F.nullif(pointed_line(context), F.lit("")),
+                      F.concat(F.lit("LINE:"), F.coalesce(col(line).cast("string"), F.lit(""))))
+    parts = [F.lower(strip_short(F.coalesce(c.cast("string"), F.lit(""))))
              for c in (*map(col, (case, path, test_id, cwe, details)), code)]
     return F.substring(F.sha2(F.concat_ws("||", *parts), 256), 1, 16)
 

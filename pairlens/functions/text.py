@@ -318,6 +318,15 @@ def strip_blanks(c: Column) -> Column:
     return F.regexp_replace(c, f"^{lx.SPACE}+|{lx.SPACE}+$", "")
 
 
+#: The characters of ``lx.SPACE``.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def strip_short(c: Column) -> Column:
+    """``strip_blanks`` of names and single lines, without a regular expression."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
 def extract_diff(text) -> Column:
     """The unified diff inside a free-text answer, or the empty string."""
     t = F.replace(F.coalesce(col(text), F.lit("")), F.lit("\r\n"), F.lit("\n"))

@@ -130,3 +130,28 @@ def test_size_and_terms(spark):
     rows = tx.text_size(df, "t").select("*", tx.has_any("t", lx.GUIDELINE_TERMS).alias("g")).collect()
     assert [(r["prompt_chars"], r["prompt_lines"], r["prompt_tokens"], r["g"]) for r in rows] == [
         (9, 1, 2, 0), (0, 0, 0, 0), (12, 1, 3, 1)]
+
+
+def test_pointed_line_and_blanks(spark):
+    """The marked line is found in the text as by its list of lines; every blank of the class is stripped, and only those."""
+    import itertools
+
+    from pairlens.functions import scores as sc
+    from pairlens.functions.text import lines
+
+    parts = ["", "x", ">>", " >> 3 : a  b ", "\n", "\r\n", "\x0b", "\x85", " ", "\x1f>> 12:c", "\t\xa0>>d\x1c", "7: >>"]
+    df = spark.createDataFrame([("".join(p),) for p in itertools.product(parts, repeat=3)] + [(None,)], "t string")
+    marked = F.filter(lines("t"), lambda x: x.rlike(f"^{lx.SPACE}*>>"))
+    code = F.coalesce(F.get(marked, F.lit(0)), F.lit(""))
+    for head in (">>", ""):
+        code = F.regexp_replace(code, rf"^{lx.SPACE}*{head}{lx.SPACE}*\p{{Nd}}+{lx.SPACE}*:{lx.SPACE}*", "")
+    code = F.regexp_replace(F.regexp_replace(code, f"^{lx.SPACE}+|{lx.SPACE}+$", ""), f"{lx.SPACE}+", " ")
+    assert df.where(sc.pointed_line("t") != code).count() == 0 and df.where(sc.pointed_line("t") != "").count() > 100
+    rows = spark.range(0, 0xD800, 1, 4).selectExpr("decode(encode(char(0), 'UTF-16BE'), 'UTF-16BE') AS z", "id").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    for around in ((F.col("c"), F.lit("x"), F.col("c")), (F.lit("x"), F.col("c")), (F.col("c"), F.lit("x")), (F.col("c"),)):
+        text = F.concat(*around)
+        assert rows.where(tx.strip_short(text) != F.regexp_replace(text, f"^{lx.SPACE}+|{lx.SPACE}+$", "")).count() == 0
+    # Texts without the mark are not searched: the plan asks first, and no list of lines is made.
+    plan = df.select(sc.pointed_line("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan and "filter(" not in plan
