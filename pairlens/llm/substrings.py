@@ -41,6 +41,8 @@ ANCHOR = 8
 GROUP_WORDS, TREE_WORDS = 1 << 18, 1 << 19
 #: Lengths of the prefixes that large groups are split by.
 LONGER = (12, 18, 27)
+#: Bits that tell which texts hold a context of a large group, 2 MB however many there are.
+FILTER_BITS = 1 << 24
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -231,6 +233,24 @@ def _same_row(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["d"]) & (left["tkey"] == right["t"])
 
 
+def _may_hold(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``source`` whose text key may be one of ``wanted``: all that are, and few others.
+
+    Bits set by the keys are sent to all tasks, so that the other texts are not shuffled.
+    """
+
+    def place(key: str) -> tuple[Column, Column]:
+        slot = F.pmod(key, F.lit(FILTER_BITS))
+        return F.floor(slot / (1 << 15)).alias("part"), slot % (1 << 15)
+
+    part, at = place("t")
+    bits = wanted.groupBy(part).agg(F.bitmap_construct_agg(at).alias("bits"))
+    part, at = place("tkey")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    met = source.withColumn("part", part).withColumn("at", at).join(F.broadcast(bits), "part")
+    return met.where(F.getbit(byte, F.col("at") % 8) == 1).select(source.columns)
+
+
 def repeated_runs(docs: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS) -> DataFrame:
     """doc_id, tkey, lo, n: the windows lo to lo + n - 1 of the text also begin elsewhere."""
     anchors = stage(anchored(docs, window))
@@ -254,6 +274,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, group_words: int = GROU
         wanted = some.groupBy(F.col("at.doc_id").alias("d"), F.col("at.tkey").alias("t")).agg(
             F.collect_list(F.struct("anchor", "at.lo", "at.n")).alias("wanted"))
         source = docs.select("doc_id", text_key().alias("tkey"), text_bytes().alias("body"))
+        if suffixes:  # written on their own: few texts hold them, and the others need not move again
+            source = _may_hold(source, wanted)
         texts = source.join(wanted, _same_row(source, wanted)).select("doc_id", "tkey", "body", "wanted")
         return arrow(texts, _spell(window, suffixes), f"group long, doc_id {kind}, tkey long, lo int, n int, words binary, prefixes array<long>")
 

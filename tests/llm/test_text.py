@@ -124,6 +124,21 @@ def test_repeats_random(spark, get):
         assert get(U.remove_repeats(docs, 10, size).drop("removed")) == plain_cut(rows, 10)
 
 
+def test_large_groups_move_few_texts(spark, get, monkeypatch):
+    """Texts that hold no context of a large group do not enter the join that spells those."""
+    r = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(k, " ".join(f"w{r.random()}" for _ in range(20))) for k in range(400)]
+    rows += [(1000 + k, " ".join(f"{x}{r.random()}" for x in "abcdefghij") + f" {passage} " + " ".join(f"{x}{r.random()}" for x in "klmnopqrst"))
+             for k in range(30)]
+    rows += [(2000 + k, rows[400 + k][1]) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sides, same_row = [], U._same_row
+    monkeypatch.setattr(U, "_same_row", lambda left, right: (sides.append(left), same_row(left, right))[1])
+    assert get(U.remove_repeats(docs, 14, 60).drop("removed")) == plain_cut(rows, 14)
+    assert min(side.count() for side in sides) < 50
+
+
 def test_repeats_empty(none):
     assert U.remove_repeats(none).count() == 0
 
