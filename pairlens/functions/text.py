@@ -10,17 +10,38 @@ from .draws import col
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
-ODD_BREAK = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: The line breaks besides \\n.
+ODD_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
+def _odd(t: Column) -> Column:
+    """True when the text holds a line break other than \\n."""
+    held = F.lit(False)
+    for c in ODD_BREAKS:
+        held = held | F.contains(t, F.lit(c))
+    return held
 
 
 def lines(text) -> Column:
     """Lines of the text; a final line break does not open another line."""
     t = F.coalesce(col(text), F.lit(""))
     # Most texts only hold \\n, which splits without the regular expression.
-    parts = F.when(t.rlike(ODD_BREAK), F.split(t, LINE_BREAK)).otherwise(F.split(t, "\n"))
+    parts = F.when(_odd(t), F.split(t, LINE_BREAK)).otherwise(F.split(t, "\n"))
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def line_count(t: Column) -> Column:
+    """The number of ``lines``, which texts that only hold \\n do not have to be split for."""
+    breaks = count_of(t, "\n") + F.when((t == "") | F.endswith(t, F.lit("\n")), 0).otherwise(1)
+    return F.when(_odd(t), F.size(lines(t)).cast("long")).otherwise(breaks)
+
+
+def bullet_count(t: Column) -> Column:
+    """The number of ``lines`` that begin with a bullet."""
+    by_line = F.size(F.filter(lines(t), lambda x: x.rlike(BULLET))).cast("long")
+    return F.when(_odd(t), by_line).otherwise(_lit_count(t, BULLET_LINE))
+
+
 def norm_text(text) -> Column:
     """Trim, lower, squeeze blanks, hex literals to ``<hex>``."""
     c = F.lower(F.coalesce(col(text), F.lit("")))
@@ -35,7 +56,7 @@ def text_size(df: DataFrame, text: str, prefix: str = "prompt_") -> DataFrame:
     chars = F.length(t)
     return df.withColumns({
         f"{prefix}chars": chars.cast("long"),
-        f"{prefix}lines": F.size(lines(t)).cast("long"),
+        f"{prefix}lines": line_count(t),
         f"{prefix}tokens": F.when(chars == 0, F.lit(0))
         .otherwise(F.greatest(F.lit(1), F.floor(chars / 4))).cast("long"),
     })
@@ -110,6 +131,9 @@ IDENTIFIER = (
 )
 NUMBER = rf"(?=\p{{Nd}})(?<!{lx.WORD})\p{{Nd}}+(?:\.\p{{Nd}}+)?{lx.EDGE}"
 BULLET = rf"^{lx.SPACE}*(?:[-*+]|\p{{Nd}}+[.)]){lx.SPACE}+"
+_INLINE = r"[\s\x1c-\x1f\x85\p{Z}&&[^\n]]"
+#: ``BULLET`` on every line of a text whose lines end in \n.
+BULLET_LINE = rf"(?dm)^{_INLINE}*(?:[-*+]|\p{{Nd}}+[.)]){_INLINE}+"
 TEST_WORD = (
     rf"(?<!{lx.WORD})test(?:s|ing)?(?!{lx.WORD})|pytest|unittest|fail_to_pass|pass_to_pass"
 )
@@ -125,40 +149,48 @@ def _identifiers(t: Column) -> Column:
 
 
 def _prepare(df: DataFrame, text: str, *lists: Sequence[str]) -> DataFrame:
-    """Text, lower-cased text, its lines and tokens, and the lexicon hits, each computed once."""
+    """Text, lower-cased text, its tokens, and the lexicon hits, each computed once."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumns({"_t": t, "_low": F.lower(t)})
-    out = out.withColumns({"_ls": lines(F.col("_t")), "_tok": tokens(F.col("_low"))})
+    out = out.withColumn("_tok", tokens(F.col("_low")))
     return out.withColumn("_hits", lexicon_hits(F.col("_tok"), *lists))
 
 
-_WORK = ("_t", "_low", "_ls", "_tok", "_hits")
+_WORK = ("_t", "_low", "_tok", "_hits")
 
 
-def density_features(df: DataFrame, text: str, prefix: str = "ps_") -> DataFrame:
-    """Counts, ratios and densities of a statement (13 columns)."""
+def _density(prefix: str) -> dict[str, Column]:
     t, low, hits = F.col("_t"), F.col("_low"), F.col("_hits")
     # Lower-casing a dotted capital I splits its word; such texts are counted as they are.
     words = F.when(F.contains(t, F.lit("\u0130")), _lit_count(t, f"{lx.WORD}+")).otherwise(F.size("_tok"))
-    out = _prepare(df, text, lx.CONSTRAINTS, lx.MODALS).withColumns({
+    return {
         f"{prefix}chars": F.length(t).cast("long"),
-        f"{prefix}lines": F.size("_ls").cast("long"),
+        f"{prefix}lines": line_count(t),
         f"{prefix}words": words.cast("long"),
         f"{prefix}questions": count_of(t, "?"),
         f"{prefix}numeric_literal_count": _lit_count(t, NUMBER),
         f"{prefix}identifier_count": _identifiers(t),
-        f"{prefix}bullet_count": F.size(F.filter("_ls", lambda x: x.rlike(BULLET))).cast("long"),
+        f"{prefix}bullet_count": bullet_count(t),
         f"{prefix}constraint_count": pattern_count(lx.CONSTRAINTS, low, hits),
         f"{prefix}modal_count": pattern_count(lx.MODALS, low, hits),
-    }).drop(*_WORK)
+    }
+
+
+def _ratios(prefix: str) -> dict[str, Column]:
     n_lines = F.greatest(F.col(f"{prefix}lines"), F.lit(1))
     n_words = F.greatest(F.col(f"{prefix}words"), F.lit(1))
-    return out.withColumns({
+    return {
         f"{prefix}chars_per_line": F.col(f"{prefix}chars") / n_lines,
         f"{prefix}words_per_line": F.col(f"{prefix}words") / n_lines,
         f"{prefix}identifier_density": F.col(f"{prefix}identifier_count") / n_words,
         f"{prefix}numeric_density": F.col(f"{prefix}numeric_literal_count") / n_words,
-    })
+    }
+
+
+def density_features(df: DataFrame, text: str, prefix: str = "ps_") -> DataFrame:
+    """Counts, ratios and densities of a statement (13 columns)."""
+    out = _prepare(df, text, lx.CONSTRAINTS, lx.MODALS).withColumns(_density(prefix)).drop(*_WORK)
+    return out.withColumns(_ratios(prefix))
 
 
 def _paths(t: Column) -> Column:
@@ -166,6 +198,10 @@ def _paths(t: Column) -> Column:
     return F.when(F.contains(t, F.lit("/")), found).otherwise(F.array().cast("array<string>"))
 
 
+def _fences() -> Column:
+    return F.floor(count_of(F.col("_t"), "```") / 2).cast("long")
+
+
 def _evidence(prefix: str) -> dict[str, Column]:
     low = F.col("_low")
     return {
@@ -181,7 +217,7 @@ def evidence_features(df: DataFrame, text: str, prefix: str = "ps_") -> DataFram
     """Paths, test words, tracebacks, URLs and fenced blocks (6 columns)."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumns({"_t": t, "_low": F.lower(t), "_paths": _paths(t)}).withColumns({
-        **_evidence(prefix), f"{prefix}code_fence_count": F.floor(count_of(F.col("_t"), "```") / 2).cast("long"),
+        **_evidence(prefix), f"{prefix}code_fence_count": _fences(),
     })
     return out.drop("_t", "_low", "_paths")
 
@@ -196,9 +232,14 @@ def lexicon_features(
     """Per domain a flag and a count, and the number of implicit domains hit."""
     out = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
     out = out.withColumn("_hits", lexicon_hits(tokens(F.col("_low")), *lexicon.values()))
-    out = out.withColumns({
-        f"{prefix}domain_{d}_count": pattern_count(ps, F.col("_low"), F.col("_hits")) for d, ps in lexicon.items()
-    }).drop("_hits", "_low")
+    return _domain_flags(out.withColumns(_domain_counts(lexicon, prefix)).drop("_hits", "_low"), lexicon, explicit, prefix)
+
+
+def _domain_counts(lexicon: Mapping[str, Sequence[str]], prefix: str) -> dict[str, Column]:
+    return {f"{prefix}domain_{d}_count": pattern_count(ps, F.col("_low"), F.col("_hits")) for d, ps in lexicon.items()}
+
+
+def _domain_flags(out: DataFrame, lexicon: Mapping[str, Sequence[str]], explicit: str, prefix: str) -> DataFrame:
     out = out.withColumns({
         f"{prefix}domain_{d}": (F.col(f"{prefix}domain_{d}_count") > 0).cast("int") for d in lexicon
     })
@@ -213,8 +254,13 @@ def lexicon_features(
 
 
 def statement_features(df: DataFrame, text: str) -> DataFrame:
-    """All 49 statement features."""
-    return lexicon_features(evidence_features(density_features(df, text), text), text)
+    """All 49 statement features; the text is lower-cased and taken apart once for all of them."""
+    lexicon, prefix = lx.STATEMENT_DOMAINS, "ps_"
+    out = _prepare(df, text, lx.CONSTRAINTS, lx.MODALS, *lexicon.values()).withColumn("_paths", _paths(F.col("_t")))
+    out = out.withColumns({
+        **_density(prefix), **_evidence(prefix), f"{prefix}code_fence_count": _fences(), **_domain_counts(lexicon, prefix),
+    }).drop(*_WORK, "_paths")
+    return _domain_flags(out.withColumns(_ratios(prefix)), lexicon, "explicit_security", prefix)
 
 
 def envelope_features(df: DataFrame, text: str, prefix: str = "sem_") -> DataFrame:
@@ -233,7 +279,7 @@ def envelope_features(df: DataFrame, text: str, prefix: str = "sem_") -> DataFra
     out = out.withColumn("_paths", _paths(t)).withColumns({
         **_evidence(prefix),
         **{f"_n_{d}": pattern_count(ps, low, hits) for d, ps in domains.items()},
-        f"{prefix}bullet_count": F.size(F.filter("_ls", lambda x: x.rlike(BULLET))).cast("long"),
+        f"{prefix}bullet_count": bullet_count(t),
         f"{prefix}question_count": count_of(t, "?"),
         f"{prefix}code_block_count": F.floor(count_of(t, "```") / 2).cast("long"),
         f"{prefix}constraint_count": pattern_count(lx.ENVELOPE_CONSTRAINTS, low, hits),

@@ -155,3 +155,26 @@ def test_pointed_line_and_blanks(spark):
     # Texts without the mark are not searched: the plan asks first, and no list of lines is made.
     plan = df.select(sc.pointed_line("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(" in plan and "filter(" not in plan
+
+
+def test_lines_are_counted_as_they_are_split(spark):
+    """Counts without splitting agree with the lines, whatever breaks, blanks and ends the text has."""
+    r = random.Random(5)
+    parts = ["\n", "\n\n", "\r", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", " ", " ", " ", "\t", "- ", "-", "* x", "+", "1. ", "12)", "٣. ", "x", "é"]
+    kept = [p for p in parts if p not in ("\r", "\r\n", "\x0b", "\x1c", "\x85", " ")]
+    texts = ["", "\n", "- ", "-\n", "- \n- x", "\n\n  - x\n"] + ["".join(r.choice(some) for _ in range(r.randint(1, 14))) for some in (parts, kept) for _ in range(400)]
+    t = F.col("t")
+    slow = F.size(tx.lines(t)).cast("long"), F.size(F.filter(tx.lines(t), lambda x: x.rlike(tx.BULLET))).cast("long")
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select("t", tx.line_count(t), tx.bullet_count(t), *slow).collect()
+    assert [x for x in got if x[1:3] != x[3:5]] == [] and sum(x[4] for x in got) > 100
+
+
+def test_statement_is_taken_apart_once(spark):
+    """One search for tokens serves all 49 features."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        made = tx.statement_features(spark.createDataFrame([("a/b.py must", )], "t string"), "t")
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert len(re.findall(r"regexp_extract_all\(_low#\d+, \[\\p\{L\}\\p\{N\}_\]\+, 0\)", plan)) == 1
