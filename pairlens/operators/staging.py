@@ -34,16 +34,24 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def stage(df: DataFrame, row_group: int | None = None) -> DataFrame:
+def stage(df: DataFrame, row_group: int | None = None, codec: str | None = None) -> DataFrame:
     """The same rows read back from a written table.
 
     The upstream plan then runs once however many branches follow, and a lost
     executor re-reads files instead of repeating it. ``row_group`` bounds the
     bytes of a row group, for rows that are large: a reader holds one at a time.
+    ``codec`` is for tables that are large on disk. What this function returned
+    is a written table already and comes back as it is.
     """
+    # Not getattr: an unknown attribute of a frame is looked up among its columns.
+    if "_staged" in vars(df):
+        return df
     path = scratch(df.sparkSession)
-    (df.write if row_group is None else df.write.option("parquet.block.size", row_group)).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    (writer if codec is None else writer.option("compression", codec)).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
 
 
 def release(spark: SparkSession) -> int:

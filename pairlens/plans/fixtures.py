@@ -276,12 +276,13 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings in touched files of the valid pairs."""
     from ..operators.findings import restrict_to_touched
 
     raw = raw_findings(spark, sf)
-    touched = raw.where("changed = 1").select("case", "model", "relative_filename")
-    valid = raw.join(pairs(spark, sf), ["case", "model"], "left_semi")
-    return restrict_to_touched(valid, touched)
+    touched = raw.where("changed = 1").select("case", "model", "relative_filename").distinct()
+    # The few touched paths meet the pairs, so that the findings travel once for both.
+    return restrict_to_touched(raw, touched.join(pairs(spark, sf), ["case", "model"], "left_semi"))
 
 
 def diffed(spark: SparkSession, sf: str, keep: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -291,13 +292,13 @@ def diffed(spark: SparkSession, sf: str, keep: Sequence[str] | None = None) -> t
     several branches read them. With ``keep`` it has these columns and what the
     diff needs: what follows a written table cannot prune what was written.
     """
-    from ..operators.findings import multiset_diff
+    from ..operators.findings import CODEC, multiset_diff
     from ..operators.staging import stage
 
     f = findings(spark, sf)
     if keep is not None:
         f = f.select(*dict.fromkeys(["phase", "case", "model", "finding_fingerprint", "line_number", "row_key", *keep]))
-    f = stage(f)
+    f = stage(f, codec=CODEC)
     before = f.where("phase = 'before'")
     return before, multiset_diff(before, f.where("phase = 'after'"))
 

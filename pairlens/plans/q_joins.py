@@ -22,7 +22,7 @@ def c1(spark, sf):
 @query("c2_multiset_diff", """
 SELECT "case", model, row_key, finding_fingerprint, is_new_finding, existed_before FROM diffed""", ["diffed"])
 def c2(spark, sf):
-    _, after = fx.diffed(spark, sf)
+    _, after = fx.diffed(spark, sf, [])
     return after.select("case", "model", "row_key", "finding_fingerprint", "is_new_finding", "existed_before")
 
 

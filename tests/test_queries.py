@@ -63,3 +63,30 @@ def test_fit_builds_diffs_of_labelled_documents_only(spark, sf):
     built = {r[0] for r in fx.diffs(spark, sf, some).select("case").collect()}
     assert built == {c for c in labelled if int(c[4:]) % 2 == 0}
     assert {r[0] for r in fitted_rows(spark, sf).select("case").collect()} == labelled
+
+
+def test_novelty_alone_stages_only_its_columns(spark, sf):
+    staging.release(spark)
+    QUERIES["c2_multiset_diff"](spark, sf)
+    made = [spark.read.parquet(p).columns for p in staging._MADE[spark.sparkContext.applicationId]]
+    assert set(made[0]) == {"phase", "case", "model", "finding_fingerprint", "line_number", "row_key"}
+    staging.release(spark)
+
+
+def test_findings_travel_once_for_pairs_and_paths(spark, sf):
+    """One shuffle holds the findings; the others hold paths and pairs."""
+    from pairlens.plans import fixtures as fx
+
+    plan = fx.findings(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    outer = next(k for k, line in enumerate(plan) if "Join" in line)
+    assert "LeftSemi" in plan[outer] and "relative_filename" in plan[outer]
+    # No other join lies on the side of the findings, the lines under the first branch.
+    depth = len(plan[outer]) - len(plan[outer].lstrip(" :+-"))
+    findings = [line for line in plan[outer + 1:] if line[depth:depth + 1] == ":"]
+    assert findings and not any("Join" in line for line in findings)
+
+
+def test_staged_table_is_not_written_again(spark):
+    once = staging.stage(spark.range(3).selectExpr("id", "id AS _staged"))
+    assert staging.stage(once) is once and staging.stage(once.where("id > 0")) is not once
+    staging.release(spark)
