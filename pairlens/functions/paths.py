@@ -33,7 +33,8 @@ def norm_path(path, case=None, repo_dirs: Sequence[str] = ()) -> Column:
     p = F.regexp_replace(p, "^[ab]/", "")
     for name in repo_dirs:
         p = F.replace(p, F.lit(f"{name}/{name}/"), F.lit(f"{name}/"))
-    return F.btrim(p, F.lit("/"))
+    # Never null, and said so: joins on it would else look whether it is, and make it once more for that.
+    return F.coalesce(F.btrim(p, F.lit("/")), F.lit(""))
 
 
 def _trimmed(c) -> Column:

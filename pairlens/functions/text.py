@@ -44,10 +44,9 @@ def bullet_count(t: Column) -> Column:
 
 def norm_text(text) -> Column:
     """Trim, lower, squeeze blanks, hex literals to ``<hex>``."""
-    c = F.lower(F.coalesce(col(text), F.lit("")))
-    c = F.regexp_replace(c, f"^{lx.SPACE}+|{lx.SPACE}+$", "")
-    c = F.regexp_replace(c, f"{lx.SPACE}+", " ")
-    return F.regexp_replace(c, rf"(?<!{lx.WORD})0x[0-9a-f]+(?!{lx.WORD})", "<hex>")
+    c = F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), f"{lx.SPACE}+", " ")
+    # What stands before a literal is looked at where one may begin, not at every place.
+    return F.regexp_replace(F.btrim(c, F.lit(" ")), rf"0(?<!{lx.WORD}0)x[0-9a-f]+(?!{lx.WORD})", "<hex>")
 
 
 def text_size(df: DataFrame, text: str, prefix: str = "prompt_") -> DataFrame:

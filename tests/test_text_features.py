@@ -178,3 +178,12 @@ def test_statement_is_taken_apart_once(spark):
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert len(re.findall(r"regexp_extract_all\(_low#\d+, \[\\p\{L\}\\p\{N\}_\]\+, 0\)", plan)) == 1
+
+
+def test_normalised_paths_and_texts_are_cheap_to_use(spark):
+    """A path that cannot be null is not made again to see whether it is; blanks are squeezed once."""
+    df = spark.createDataFrame([(" a  0x1F\t\x1cB 0xG é0x1 0x2_ 0x3\U0001D400 \x85", None)], "t string, p string")
+    assert not df.select(paths.norm_path("p", "t").alias("p")).schema["p"].nullable
+    assert tx.norm_text("t")._jc.toString().count("regexp_replace") == 2
+    made = df.select(tx.norm_text("t").alias("t"))
+    assert made.first()["t"] == "a <hex> b 0xg é0x1 0x2_ 0x3\U0001D400"
