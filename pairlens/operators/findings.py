@@ -141,9 +141,13 @@ def common_cohort(df: DataFrame, entity: str, member: str, required: Sequence[st
     return kept.join(full, entity, "left_semi")
 
 
-def category_prevalence(df: DataFrame, category: str = "cwe", severity: str = "severity") -> DataFrame:
-    """Category share over all rows, severity score, and their product."""
-    counts = df.groupBy(category).agg(F.count(F.lit(1)).alias("_n"))
+def category_prevalence(df: DataFrame, category: str = "cwe", severity: str = "severity", rows: DataFrame | None = None) -> DataFrame:
+    """Category share over all rows, severity score, and their product.
+
+    ``rows`` has the categories of the same rows, if there is a smaller table of
+    them; what makes ``df`` then does not run for the shares.
+    """
+    counts = (df if rows is None else rows).groupBy(category).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     share = counts.select(
         F.col(category).alias("_cat"), (F.col("_n") / total).alias("category_prevalence")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.staging import scratch, stage
+from ..operators.staging import scratch
 from ..sources import cases, contracts, readers, runs
 from . import fixtures as fx
 from .registry import query
@@ -49,21 +49,25 @@ _FINDING_ITEM = (
 
 def run_files(spark, sf):
     """(source_dir, folder, name, value): the text of every file of every run."""
-    rows = fx.view(spark, sf, "lineitem", {
+    # The line items of a run meet as they are; their texts are made where they have met.
+    met = fx.table(spark, sf, "lineitem").repartition("l_suppkey", "l_returnflag")
+    rows = met.selectExpr(*[f"{e} AS `{n}`" for n, e in {
         **{k: fx.FINDING[k] for k in ("phase", "model", "case", "filename", "line_number", "test_id", "test_name", "cwe_id", "severity",
                                       "confidence", "details", "row_key", "changed")},
-        "supplier": "l_suppkey", "file": fx._FILE, "cents": "CAST(ROUND(l_discount * 100) AS BIGINT)"})
-    rows = stage(rows.withColumn("source_dir", F.concat(F.lit("run_"), F.lower("model"))))
-    reports = rows.groupBy("source_dir", "case", "phase", "supplier").agg(F.array_sort(F.collect_list(F.struct(
-        "line_number", F.md5("row_key").alias("h"), F.expr(_FINDING_ITEM).alias("item")))).alias("r"))
-    items = F.transform("r", lambda x: x["item"])
-    report = F.when(F.col("supplier") % 3 == 0, F.to_json(F.struct(F.array().alias("results"), items.alias("issues")))).otherwise(
-        F.to_json(F.struct(items.alias("results"))))
-    # Reports exist for both phases of every run, also without findings.
-    units = rows.groupBy("source_dir", "case", "supplier", "model").agg(
-        F.sum("cents").alias("d"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.when(F.col("changed") == 1, F.col("file")))).alias("files"))
-    both = units.select("source_dir", "case", "supplier", F.explode(F.array(F.lit("before"), F.lit("after"))).alias("phase"))
-    reports = both.join(reports.select("source_dir", "case", "phase", report.alias("value")), ["source_dir", "case", "phase"], "left")
+        "supplier": "l_suppkey", "file": fx._FILE, "cents": "CAST(ROUND(l_discount * 100) AS BIGINT)"}.items()])
+    # The digest as bytes has the order of its hexadecimal digits.
+    entry = F.struct("line_number", F.unhex(F.md5("row_key")).alias("h"), F.expr(_FINDING_ITEM).alias("item"))
+    units = rows.groupBy("supplier", "model", "case").agg(
+        F.sum("cents").alias("d"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.when(F.col("changed") == 1, F.col("file")))).alias("files"),
+        *[F.sort_array(F.collect_list(F.when(F.col("phase") == p, entry))).alias(p) for p in ("before", "after")])
+
+    def report(phase):
+        # Reports exist for both phases of every run, also without findings.
+        items = F.col(phase)["item"]
+        issues = F.to_json(F.struct(F.array().alias("results"), items.alias("issues")))
+        found = F.when(F.col("supplier") % 3 == 0, issues).otherwise(F.to_json(F.struct(items.alias("results"))))
+        return F.when(F.size(phase) > 0, found).otherwise("{}")
+
     even = F.col("supplier") % 2 == 0
     valid = (F.col("d") * 10 < F.col("n") * 52).cast("string")
     listed = F.to_json(F.struct(F.lit(True).alias("patch_apply_success"), F.when(even, F.col("files")).alias("actual_changed_files"),
@@ -77,19 +81,14 @@ def run_files(spark, sf):
         F.lit("diff --git a/"), f, F.lit(" b/"), f, F.lit("\n@@ -1 +1,2 @@\n-x\n+y\n+z"))), "\n")
     prompt = F.concat(F.lit("Fix it.\n"), F.when(F.col("supplier") % 4 == 0, F.lit("OWASP\n")).otherwise(F.lit("")), F.col("case"))
     generation = F.concat(F.lit('{"success": true, "end_to_end_attempt_count": '), F.col("n").cast("string"), F.lit("}"))
-
-    def named_files(df, folder, name, value):
-        return df.select("source_dir", F.lit(folder).alias("folder"), name.alias("name"), value.alias("value"))
-
     case = F.col("case")
-    out = named_files(reports, "reports", F.concat(case, F.lit("_bandit_"), "phase", F.lit(".json")), F.coalesce("value", F.lit("{}")))
-    made = units.withColumn("j", listed)
-    for folder, name, value in (
+    files = F.array(*[F.struct(F.lit(folder).alias("folder"), name.alias("name"), value.alias("value")) for folder, name, value in (
+        *[("reports", F.concat(case, F.lit(f"_bandit_{p}.json")), report(p)) for p in ("before", "after")],
         ("metadata", F.concat(case, F.lit(".json")), meta), ("generation_metadata", F.concat(case, F.lit(".json")), generation),
         ("patches", F.when(F.col("supplier") % 7 == 0, F.concat(F.lit("0-"), case, F.lit("-v.patch"))).otherwise(F.concat(case, F.lit(".patch"))), patch),
-        ("patches", F.concat(case, F.lit(".prompt.txt")), prompt)):
-        out = out.unionAll(named_files(made, folder, name, value))
-    return out
+        ("patches", F.concat(case, F.lit(".prompt.txt")), prompt))])
+    made = units.withColumns({"j": listed, "source_dir": F.concat(F.lit("run_"), F.lower("model"))})
+    return made.select("source_dir", F.inline(files))
 
 
 def made_tables(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.diffs import diff_metrics, touched_files
@@ -12,7 +12,7 @@ from ..functions.paths import norm_path
 from ..functions.scores import apply_flags, execution_status, fingerprint, line_key, severity_score
 from ..functions.text import has_any, text_size
 from ..operators.findings import (
-    case_model_summary, category_prevalence, common_cohort, file_risk_flags, multiset_diff, restrict_to_touched, touched_paths,
+    CODEC, case_model_summary, category_prevalence, common_cohort, file_risk_flags, multiset_diff, restrict_to_touched, touched_paths,
 )
 from ..operators.staging import stage
 from . import readers
@@ -45,29 +45,34 @@ class RunFiles:
 
 
 def scan_runs(spark: SparkSession, root: str) -> RunFiles:
-    """One listing and one read of everything below ``root``; small files share splits.
+    """One listing of everything below ``root``; small files share splits.
 
     ``<source_dir>/<folder>/<name>`` names a file. A name may also be a folder
     of one part file, and folders may be written ``column=value``, which is what
     a partitioned Spark write leaves. Files of no known kind are not kept.
+
+    Loose files are read once. Packs are tables already, so reports, which are
+    most of their bytes, are read where they lie.
     """
     files = readers.scan_files(spark, root)
-    folder, name = F.col("folder"), F.col("name")
-    kind = (
-        F.when((folder == "reports") & F.endswith(name, F.lit(SUFFIXES["before"])), "before")
-        .when((folder == "reports") & F.endswith(name, F.lit(SUFFIXES["after"])), "after")
-        .when((folder == "metadata") & F.endswith(name, F.lit(".json")), "metadata")
-        .when((folder == "generation_metadata") & F.endswith(name, F.lit(".json")), "generation")
-        .when((folder == "patches") & F.endswith(name, F.lit(SUFFIXES["prompt"])), "prompt")
-        .when((folder == "patches") & F.endswith(name, F.lit(SUFFIXES["patch"])), "patch")
-    )
+    folders = {"before": "reports", "after": "reports", "metadata": "metadata", "generation": "generation_metadata", "patch": "patches", "prompt": "patches"}
     ending = {**SUFFIXES, "metadata": ".json", "generation": ".json"}
-    cut = F.lit(0)
-    for k, v in ending.items():
-        cut = F.when(kind == k, F.lit(len(v))).otherwise(cut)
-    known = stage(files.where(kind.isNotNull()).select(
-        "source_dir", F.substring("name", F.lit(1), F.length("name") - cut).alias("case"), "name", kind.alias("kind"), "text"))
-    part = {k: known.where(F.col("kind") == k).drop("kind") for k in ending}
+    of = {k: (F.col("folder") == folders[k]) & F.endswith("name", F.lit(v)) for k, v in ending.items()}
+
+    def known(kinds: Sequence[str]) -> DataFrame:
+        kind, cut = F.lit(None).cast("string"), F.lit(0)
+        for k in kinds:
+            kind, cut = F.when(of[k], F.lit(k)).otherwise(kind), F.when(of[k], F.lit(len(ending[k]))).otherwise(cut)
+        any_of = F.expr("false")
+        for k in kinds:
+            any_of = any_of | of[k]
+        return files.where(any_of).select(
+            "source_dir", F.substring("name", F.lit(1), F.length("name") - cut).alias("case"), "name", kind.alias("kind"), "text")
+
+    # A file has one kind only: no two have the same folder and endings that agree.
+    apart = ["before", "after"] if readers.only_packs(spark, root) else []
+    rest = stage(known([k for k in ending if k not in apart]), codec=CODEC)
+    part = {k: (known([k]) if k in apart else rest.where(F.col("kind") == k)).drop("kind") for k in ending}
     return RunFiles(part["before"], part["after"], part["metadata"], part["generation"], part["patch"], part["prompt"])
 
 
@@ -95,16 +100,40 @@ def _with_texts(runs: DataFrame, files: RunFiles, models: Mapping[str, str]) ->
     return out.drop("_patch", "_prompt")
 
 
-def _flat(reports: DataFrame, models: Mapping[str, str], runs: DataFrame) -> DataFrame:
-    """Findings of the valid runs with their normalised path and both identities."""
-    kept = _keyed(reports, models).join(runs.select(*RUN), RUN, "left_semi")
-    found = readers.parse_reports(kept.withColumnRenamed("name", "report_file"), "text")
-    found = found.withColumn("relative_filename", norm_path("filename", "case"))
-    return found.withColumns({
-        "finding_fingerprint": fingerprint("relative_filename", "test_id", "cwe", "details"),
-        "finding_line_key": line_key("relative_filename", "line_number", "test_id"),
-        "severity_score": severity_score("severity"), "file_touched_by_patch": F.lit(1),
-    })
+def _found(reports: DataFrame, marks: str | None = None) -> DataFrame:
+    """Findings of reports, or those with ``marks``, with their normalised path and identity."""
+    found = readers.parse_reports(reports, "text", marks).withColumn("relative_filename", norm_path("filename", "case"))
+    return found.withColumn("finding_fingerprint", fingerprint("relative_filename", "test_id", "cwe", "details"))
+
+
+def _numbered(reports: DataFrame, models: Mapping[str, str]) -> DataFrame:
+    """Reports of known models, each with its number among those of its run: one, unless a file is there more than once."""
+    return _keyed(reports, models).withColumn("copy", F.row_number().over(W.partitionBy(*RUN).orderBy(F.md5("text"))))
+
+
+def _restricted(reports: DataFrame, models: Mapping[str, str], runs: DataFrame, touched: DataFrame) -> DataFrame:
+    """The findings in touched files of the valid runs, with what decides their novelty and risk."""
+    kept = _numbered(reports, models).drop("name").join(runs.select(*RUN, "run"), RUN)
+    found = _found(kept).select("run", "copy", "position", "relative_filename", "finding_fingerprint", "cwe", "severity")
+    return stage(restrict_to_touched(found, touched, ["run"]), codec=CODEC)
+
+
+def _whole(reports: DataFrame, models: Mapping[str, str], columns: DataFrame, marked: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
+    """All columns of the findings in ``marked``, with its ``fields``, and those of their run.
+
+    The findings of a run are one file: what was found out about them meets it
+    as one row, and the file is read again, instead of shuffling every column.
+    """
+    marks = readers.by_position(marked.repartition("run"), ["run", "copy"], "position", fields)
+    marks = marks.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("copy", "marks"))).alias("marks"))
+    told = columns.join(marks, "run").drop("run")
+    rest = [c for c in columns.columns if c not in (*RUN, "run")]
+    kept = _numbered(reports, models).withColumnRenamed("name", "report_file").join(told, RUN)
+    kept = kept.withColumn("marks", F.try_element_at("marks", F.col("copy"))).drop("copy")
+    return _found(kept, "marks").select(
+        *RUN, "relative_filename", "report_file", "filename", "line_number", "test_id", "test_name", "cwe", "severity", "confidence", "details",
+        "finding_fingerprint", line_key("relative_filename", "line_number", "test_id").alias("finding_line_key"),
+        severity_score("severity").alias("severity_score"), F.lit(1).alias("file_touched_by_patch"), *fields, *rest)
 
 
 @dataclass
@@ -127,7 +156,7 @@ def _run_columns(runs: DataFrame, temperatures: Mapping[str, float]) -> DataFram
     said = {c: F.coalesce(F.col(c), F.lit(False)).cast("int") for c in ("functional_tests_run", "functional_correctness_claimed")}
     names = [c for c in runs.columns if c.startswith(("patch_", "prompt_")) and c != "patch_apply_success"]
     return flagged.select(
-        *RUN, F.coalesce("repo_name", "repo", F.lit("")).alias("repo"), *names, degree.alias("temperature"),
+        "run", *RUN, F.coalesce("repo_name", "repo", F.lit("")).alias("repo"), *names, degree.alias("temperature"),
         F.lit("common_parameters_only").alias("decoding_protocol"), *[F.lit(0).alias(f"{c}_comparable") for c in ("temperature", "top_p", "top_k")],
         F.lit(1).alias("patch_apply_success"), F.lit(1).alias("pipeline_valid"), *[c.alias(n) for n, c in said.items()],
         F.col("strict_apply").alias("strict_patch_apply"), F.col("fuzzy_apply").alias("fuzzy_patch_apply"))
@@ -144,28 +173,39 @@ def finding_tables(spark: SparkSession, root: str, models: Mapping[str, str], ex
     of the common tables must have a valid run of.
     """
     files = scan_runs(spark, root)
-    runs = stage(_with_texts(valid_runs(files, models), files, models))
-    touched = touched_paths(runs, "actual_changed_files", "_parsed", RUN).withColumn(
-        "relative_filename", norm_path("relative_filename", "case")).distinct()
-    touched = stage(touched)
-    before = stage(restrict_to_touched(_flat(files.before, models, runs), touched, RUN))
-    after = stage(restrict_to_touched(_flat(files.after, models, runs), touched, RUN))
-
-    # Report order is a total order within a run, so no further tie is needed.
-    diffed = stage(multiset_diff(before, after, [*RUN, "finding_fingerprint"], "position", ["position"]))
+    # Written with the rows, the number of a run is the same for all that read them.
+    valid = stage(valid_runs(files, models).withColumn("run", F.monotonically_increasing_id()))
+    runs = stage(_with_texts(valid, files, models))
     columns = stage(_run_columns(runs, temperatures or {}))
-    flagged = file_risk_flags(diffed, [*RUN, "relative_filename"]).withColumn("is_risky", F.col("is_risky_after"))
-    findings = stage(flagged.join(columns, RUN).drop("position"))
-
-    n_touched = touched.groupBy(*RUN).agg(F.count(F.lit(1)).alias("files_touched"))
-    summary = case_model_summary(before, diffed, columns, RUN).join(n_touched, RUN, "left").na.fill(0, ["files_touched"]).join(columns, RUN)
-    summary = stage(summary)
-    full = common_cohort(summary, "case", "model", expected)
-    cases = full.select("case").distinct()
+    touched = touched_paths(runs, "actual_changed_files", "_parsed", ["run", "case"])
+    touched = stage(touched.select("run", norm_path("relative_filename", "case").alias("relative_filename")).distinct(), codec=CODEC)
+    before = _restricted(files.before, models, runs, touched)
+    after = _restricted(files.after, models, runs, touched)
+
+    # Report order is a total order within a report.
+    diffed = multiset_diff(before, after, ["run", "finding_fingerprint"], "position", ["copy"])
+    diffed = stage(diffed.drop("finding_fingerprint"), codec=CODEC)
+    flagged = file_risk_flags(diffed, ["run", "relative_filename"]).withColumn("is_risky", F.col("is_risky_after"))
+    flagged = stage(flagged.drop("relative_filename", "severity"), codec=CODEC)
+
+    n_touched = touched.groupBy("run").agg(F.count(F.lit(1)).alias("files_touched"))
+    counted = case_model_summary(before, diffed, runs, ["run"])
+    summary = counted.join(n_touched, "run", "left").na.fill(0, ["files_touched"]).join(columns, "run")
+    rest = [c for c in columns.columns if c not in (*RUN, "run")]
+    summary = stage(summary.select("run", *RUN, *counted.columns[1:], "files_touched", *rest))
+    common = stage(common_cohort(summary, "case", "model", expected).select("case").distinct())
+    common_runs = summary.join(common, "case", "left_semi").select("run")
+
+    flags = ["is_new_finding", "existed_before", "is_risky_after", "is_risky_new", "is_risky"]
+
+    def findings(kept: DataFrame) -> DataFrame:
+        whole = _whole(files.after, models, columns, kept, flags)
+        return readers.order_columns(category_prevalence(whole, rows=kept), FLAT_ORDER)
+
     return FindingTables(
-        readers.order_columns(category_prevalence(findings), FLAT_ORDER), before.join(columns, RUN).drop("position"), summary,
-        readers.order_columns(category_prevalence(stage(findings.join(cases, "case", "left_semi"))), FLAT_ORDER),
-        summary.join(cases, "case", "left_semi"), run_status(files, models, expected))
+        findings(flagged), _whole(files.before, models, columns, before), summary.drop("run"),
+        findings(flagged.join(common_runs, "run", "left_semi")),
+        summary.join(common, "case", "left_semi").drop("run"), run_status(files, models, expected))
 
 
 def run_status(files: RunFiles, models: Mapping[str, str], expected: Sequence[str]) -> DataFrame:

@@ -169,3 +169,61 @@ def test_tables_of_no_runs(spark, tmp_path):
     paths = runs.write_tables(t, str(tmp_path / "out"))
     assert all(spark.read.parquet(p).count() == 0 for p in paths.values())
     assert spark.read.parquet(paths["findings"]).columns[0] == "model"
+
+
+def test_findings_are_staged_without_what_only_the_tables_show(spark, many, tmp_path_factory):
+    """The wide columns go from the reports to the tables; reports in packs are not copied."""
+    from pathlib import Path
+
+    from pairlens.operators import staging
+    from pairlens.sources import runs
+
+    packed = str(tmp_path_factory.mktemp("packed"))
+    rows = [(str(f.relative_to(many)), f.read_bytes()) for f in sorted(Path(many).rglob("*")) if f.is_file()]
+    readers.write_pack(spark.createDataFrame(rows, "path string, content binary"), packed)
+    models = {"r1": "one", "r2": "two"}
+    loose = runs.finding_tables(spark, many, models, ["one", "two"])
+    staging.release(spark)
+    got = runs.finding_tables(spark, packed, models, ["one", "two"])
+    made = [spark.read.parquet(p) for p in staging._MADE[spark.sparkContext.applicationId]]
+    assert not any({"details", "filename", "test_name"} & set(d.columns) for d in made)
+    texts = [d for d in made if "text" in d.columns and "kind" in d.columns]
+    assert len(texts) == 1 and {r[0] for r in texts[0].select("kind").distinct().collect()} == {"metadata", "generation", "patch", "prompt"}
+    assert got.findings.count() == 4 and got.before.count() == 2 and got.common_findings.columns == loose.common_findings.columns
+    staging.release(spark)
+
+
+def test_report_that_is_there_twice(spark, many):
+    """A folder of two part files: the findings of both count, each with its own marks."""
+    import shutil
+    from pathlib import Path
+
+    from pairlens.sources import runs
+
+    path = Path(many) / "r1" / "reports" / "c1_bandit_after.json"
+    first = json.loads(path.read_text())["issues"]
+    path.unlink()
+    path.mkdir()
+    gone = {**first[0], "filename": "src/z.py"}
+    (path / "part-0.json").write_text(json.dumps({"issues": [gone, gone, *first]}))
+    (path / "part-1.json").write_text(json.dumps({"issues": [first[3], gone, {**first[3], "line_number": 77, "issue_text": "third"}]}))
+    t = runs.finding_tables(spark, many, {"r1": "one"}, ["one"])
+    rows = sorted((r["line_number"], r["severity"], r["details"], r["relative_filename"]) for r in t.findings.collect())
+    low, high = ("LOW", "other", "src/a.py"), ("HIGH", "Use  of 0xAF", "src/a.py")
+    assert rows == sorted([(9, *high), (4, *high), (4, *low), (4, *low), (77, "LOW", "third", "src/a.py")])
+    assert t.summary.where("case = 'c1'").first()["findings_after"] == 5
+    shutil.rmtree(path)
+
+
+def test_marks_by_position(spark):
+    df = spark.createDataFrame([(1, 3, "d"), (1, 0, "a"), (1, 4, "e"), (2, 2, "x")], "k int, p int, v string")
+    got = {r["k"]: [None if m is None else (m["place"], m["v"]) for m in r["marks"]] for r in readers.by_position(df, ["k"], "p", ["v"]).collect()}
+    assert got == {1: [(0, "a"), None, None, (3, "d"), (4, "e")], 2: [None, None, (2, "x")]}
+
+
+def test_paths_are_taken_apart_once(spark, many):
+    """Conditions on the names of a file do not repeat what makes the names."""
+    named = readers.scan_files(spark, many).where("folder = 'reports' AND name LIKE '%after%' AND source_dir <> 'r9' AND length(name) > 1")
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2 and plan.count("regexp_replace") <= 2
+    assert named.count() > 0
